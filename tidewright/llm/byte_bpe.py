@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import table
+from tidewright.llm.common import short_batches, table
 
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_BYTES are never kept.
-REMEMBER, REMEMBER_BYTES = 300_000, 64
+REMEMBER, REMEMBER_BYTES = 250_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,7 +127,8 @@ class Encoder(dict):
         if ids is None:
             piece = word.encode("utf-8", "surrogatepass")
             token, rank = self.tokens[self.hashed.find(piece)]
-            ids = np.array([rank] if token == piece else merge(piece, self.ranks), "<u4").tobytes()
+            found = [rank] if token == piece else merge(piece, self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
             if len(piece) > REMEMBER_BYTES:
                 return ids
         if len(self) >= REMEMBER:
@@ -160,11 +162,12 @@ class Codec:
         tokens = list(read_ranks(path).items())
         shared = spark.sparkContext.broadcast((f"{path}\n{pattern}", tokens, PerfectHash([t for t, _ in tokens]), pattern))
 
-        @F.pandas_udf("binary")
-        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf("ids binary, decoded binary")
+        def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             own = _encoder(shared)
             for s in texts:
-                yield pd.Series([own.encode(x) if x else b"" for x in s], dtype=object)
+                ids = [own.encode(x) if x else b"" for x in s]
+                yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]}, dtype=object)
 
         @F.pandas_udf("binary")
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -172,11 +175,12 @@ class Codec:
             for s in ids:
                 yield pd.Series([own.decode(x) if x else b"" for x in s], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        short_batches(spark)
+        self._round_trip, self._decode = round_trip, decode
 
-    def encode(self, text: Column) -> Column:
-        """Ids of a text as little-endian unsigned 32-bit integers (binary); null and empty texts have none."""
-        return self._encode(text)
+    def round_trip(self, text: Column) -> Column:
+        """ids: a text's ids as little-endian unsigned 32-bit integers, none for null and empty texts; decoded: their bytes again."""
+        return self._round_trip(text)
 
     def decode(self, ids: Column) -> Column:
         """The bytes that packed ids stand for."""
@@ -191,8 +195,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     replaced). Special strings inside texts are ordinary text.
     """
     codec = Codec(docs.sparkSession, path, pattern)
-    coded = docs.withColumn("ids", codec.encode(F.col("text")))
-    return coded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "decoded": codec.decode(F.col("ids"))})
+    coded = docs.withColumn("ids", codec.round_trip(F.col("text")))
+    return coded.withColumns({"ids": F.col("ids.ids"), "n_tokens": (F.octet_length("ids.ids") / 4).cast("long"), "decoded": F.col("ids.decoded")})
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -55,6 +55,13 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get texts in batches of at most so many rows, which bounds their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast when it was counted and holds few enough rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, line_dedup, token_count, url_filter
+from tidewright.llm import byte_bpe, line_dedup, minhash, token_count, url_filter
 
 QUERIES = {
     "op4_url_reputation": url_filter.query,
     "op5_token_count": token_count.query,
+    "op7_minhash_dedup": minhash.query,
     "op8_byte_bpe": byte_bpe.query,
     "op10_line_dedup": line_dedup.query,
 }

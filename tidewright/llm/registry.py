@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, line_dedup, minhash, token_count, url_filter
+from tidewright.llm import byte_bpe, embedding_dedup, line_dedup, minhash, token_count, url_filter
 
 QUERIES = {
+    "op3_embedding_dedup": embedding_dedup.query,
     "op4_url_reputation": url_filter.query,
     "op5_token_count": token_count.query,
     "op7_minhash_dedup": minhash.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
+    "op3_embedding_dedup": embedding_dedup.SQL,
     "op4_url_reputation": url_filter.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, embedding_dedup, line_dedup, minhash, token_count, url_filter
+from tidewright.llm import byte_bpe, embedding_dedup, line_dedup, minhash, quality, token_count, url_filter
 
 QUERIES = {
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_url_reputation": url_filter.query,
     "op5_token_count": token_count.query,
+    "op6_quality": quality.query,
     "op7_minhash_dedup": minhash.query,
     "op8_byte_bpe": byte_bpe.query,
     "op10_line_dedup": line_dedup.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, embedding_dedup, line_dedup, minhash, quality, token_count, url_filter
+from tidewright.llm import byte_bpe, edit_fingerprint, embedding_dedup, line_dedup, minhash, quality, token_count, url_filter
 
 QUERIES = {
     "op3_embedding_dedup": embedding_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality": quality.query,
     "op7_minhash_dedup": minhash.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_edit_fingerprint": edit_fingerprint.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, edit_fingerprint, embedding_dedup, line_dedup, minhash, quality, token_count, url_filter
+from tidewright.llm import byte_bpe, edit_fingerprint, embedding_dedup, line_dedup, minhash, mixing, quality, token_count, url_filter
 
 QUERIES = {
+    "op2_source_mixing": mixing.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_url_reputation": url_filter.query,
     "op5_token_count": token_count.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
+    "op2_source_mixing": mixing.SQL,
     "op3_embedding_dedup": embedding_dedup.SQL,
     "op4_url_reputation": url_filter.SQL,
     "op10_line_dedup": line_dedup.SQL,

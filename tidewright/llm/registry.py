@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewright.llm import byte_bpe, edit_fingerprint, embedding_dedup, line_dedup, minhash, mixing, quality, token_count, url_filter
+import corpus_pipeline
+from tidewright.llm import byte_bpe, chat_format, edit_fingerprint, embedding_dedup, line_dedup, minhash, mixing, quality, token_count, url_filter
 
 QUERIES = {
+    "op1_chat_repair": chat_format.query,
     "op2_source_mixing": mixing.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_url_reputation": url_filter.query,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_edit_fingerprint": edit_fingerprint.query,
     "op10_line_dedup": line_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_source_mixing": mixing.SQL,

@@ -142,7 +142,8 @@ def repair(turns: DataFrame) -> DataFrame:
     CHUNK turn numbers: each chunk gives the matrix of its turns, the matrices of a conversation of more
     than one chunk give the states at its chunks' ends, and each chunk is then solved between its own.
     So a conversation with most of the rows is as many tasks as it has chunks, and no row holds a
-    whole conversation: the pieces of its turns, in order, are its rendered text.
+    whole conversation: the pieces of its turns, in order, are its rendered text. Of ways that cost the
+    same, the states at the ends of chunks are the lowest first, then the roles inside.
 
     Turns are ordered by turn (nulls last), then role and text. Null and unknown roles must take a known
     one; null texts are empty. A turn without a conv_id is a conversation alone. Repeated rows are

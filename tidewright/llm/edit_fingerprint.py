@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,95 +112,122 @@ def likeness(a: str, b: str) -> float:
     return float((xa == xb).sum() / len(at))
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of a text and of its edited form."""
-    for big in batches:
-        # slices of about a million characters, so that the matrix of steps stays small
-        part = np.cumsum(np.array(big["n_chars"].to_pylist(), np.int64)) // 1_000_000
-        begins = [0, *(np.flatnonzero(np.diff(part)) + 1), big.num_rows] if big.num_rows else []
-        for begin, end in zip(begins[:-1], begins[1:], strict=True):
-            batch = big.slice(begin, end - begin)
-            texts = [_code_points(t) for c in ("text", "edited") for t in batch[c].to_pylist()]
-            prints = [fingerprint(e) for e in embed(texts)]
-            own, edited = prints[: batch.num_rows], prints[batch.num_rows :]
-            near = [likeness(a, b) for a, b in zip(own, edited, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "next_id", "n_chars", "edited_sha256")), pa.array(own, pa.string()), pa.array(edited, pa.string()), pa.array(near, pa.float64())], ["doc_id", "next_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
+def edited(text: str, following: str) -> str:
+    """text with its last third (rounded down) replaced by the first as many characters of the next one's, or all."""
+    k = len(text) // 3
+    return text[: len(text) - k] + following[:k]
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id) of each distinct doc_id: the next one in descending order, null last, then the first again.
+def _finished(rows: list[tuple[int | None, str]], following: list[str]) -> dict[str, pa.Array]:
+    """The result's columns for rows whose next texts are known."""
+    texts = [t for _, t in rows]
+    changed = list(map(edited, texts, following))
+    known = list(dict.fromkeys([*texts, *changed, *following]))
+    prints = dict(zip(known, map(fingerprint, embed(list(map(_code_points, known)))), strict=True))
+    own, other, after = ([prints[t] for t in x] for x in (texts, changed, following))
+    return {
+        "doc_id": pa.array([d for d, _ in rows], pa.int64()),
+        "n_chars": pa.array(list(map(len, texts)), pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
+        "fingerprint": pa.array(own, pa.string()),
+        "edited_fingerprint": pa.array(other, pa.string()),
+        "near_edited": pa.array(list(map(likeness, own, other)), pa.float64()),
+        "near_next": pa.array(list(map(likeness, own, after)), pa.float64()),
+    }
 
-    Ids are dealt by range and sorted in their part; each part looks up its neighbours alone, and only
-    the first and last id of each part (two rows a part) are ordered together.
-    """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    spark = docs.sparkSession
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Characters that a worker fingerprints at once, and rows of one doc_id that it holds back.
+_AT_ONCE, _HELD_BACK = 1_000_000, 1000
 
-        part, first, last = TaskContext.get().partitionId(), True, None
-        schema = ["part", "doc_id", "next_id", "role"]
 
-        def rows(ids, nexts, role):
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(nexts, pa.int64()), pa.array([role] * len(ids), pa.string())], schema)
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's rows in descending order of doc_id (then text): their results, where the next text is known.
 
-        for b in batches:
-            own = b["doc_id"].to_pylist()
-            if own and first:
-                yield rows(own[:1], [None], "first")
-                first, line = False, own
-            elif own:
-                line = [last[0], *own]
-            if own:
-                yield rows(line[:-1], line[1:], "pair")
-                last = [own[-1]]
-        if last:
-            yield rows(last, [None], "last")
+    role: done (a result), first (the part's first text), open (a row whose next text comes after the part,
+    or after more rows of its doc_id than are held back), next (the text that such a doc_id's rows wait for).
+    """
+    from pyspark import TaskContext
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.select("doc_id").repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last())
-    found = cut(dealt.mapInArrow(paired, "part int, doc_id long, next_id long, role string"))
-    ends = sorted((r.part, r.role == "last", r.doc_id) for r in found.filter("role <> 'pair'").collect())  # two rows a part
-    firsts, lasts = [r[2] for r in ends if not r[1]], [r[2] for r in ends if r[1]]
-    joins = spark.createDataFrame(list(zip(lasts, firsts[1:] + firsts[:1], strict=True)), "doc_id long, next_id long")
-    return found.filter("role = 'pair'").select("doc_id", "next_id").union(joins)
+    part = TaskContext.get().partitionId()
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def out(role: str, columns: dict[str, pa.Array], texts: list[str] | None = None) -> pa.RecordBatch:
+        n = len(columns["doc_id"])
+        arrays = [columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([role] * n, pa.string()), pa.array(texts or [None] * n, pa.string()), *arrays], ["part", "role", "text", *names])
+
+    def told(role: str, rows: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        return out(role, {"doc_id": pa.array([d for d, _ in rows], pa.int64())}, [t for _, t in rows])
+
+    started, waiting, opened = False, [], False  # waiting: rows of one doc_id; opened: some of its rows are out already
+    ready, following, size = [], [], 0
+    for batch in batches:
+        for row in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            if not started:
+                started = True
+                yield told("first", [row])
+            if waiting and row[0] != waiting[0][0]:
+                if opened:
+                    yield told("open", waiting)
+                    yield told("next", [(waiting[0][0], row[1])])
+                else:
+                    ready += waiting
+                    following += [row[1]] * len(waiting)
+                    size += sum(len(t) for _, t in waiting) + len(row[1])
+                waiting, opened = [], False
+            elif len(waiting) >= _HELD_BACK:
+                yield told("open", waiting)
+                waiting, opened = [], True
+            waiting.append(row)
+            if size >= _AT_ONCE:
+                yield out("done", _finished(ready, following))
+                ready, following, size = [], [], 0
+    if ready:
+        yield out("done", _finished(ready, following))
+    if waiting:
+        yield told("open", waiting)
+        yield told("last", [(waiting[0][0], "")])
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            done = _finished([(batch["doc_id"][k].as_py(), batch["text"][k].as_py())], [batch["following"][k].as_py()])
+            yield pa.RecordBatch.from_arrays(list(done.values()), list(done))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the
-    next document's, in descending order of doc_id; the last document is followed by the first. Each
-    document sends only that prefix to the one before it; texts move once, by doc_id.
+    next document's, in descending order of doc_id; the last document is followed by the first. Texts
+    move once: dealt by range of doc_id and sorted, each row has its next one after it. Only the rows at
+    the end of a part wait for the first text of the next part; those pairs, a few a part, are finished apart.
 
     Null texts are empty. A document alone is its own next one. Of rows sharing a doc_id (or having
     none, which comes last) each is fingerprinted by itself, and as a next document the least text of
     them stands for all. An empty table gives an empty one. Equal texts have equal fingerprints.
     """
-    short_batches(docs.sparkSession)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    order = cut(next_ids(docs))
-    sizes = own.groupBy("doc_id").agg((F.max("n_chars") / 3).cast("long").alias("k"))
-    wanted = order.select(F.col("doc_id").alias("__to"), F.col("next_id").alias("__from"))
-    wanted = wanted.join(sizes, F.col("__to").eqNullSafe(F.col("doc_id"))).drop("doc_id")
-    starts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("__from"))).select("__to", "__from", F.expr("left(text, int(k))").alias("start"))
-    starts = starts.groupBy("__to", "__from").agg(F.min("start").alias("start"))
-    k = F.floor(F.col("n_chars") / 3)
-    edited = F.concat(F.expr("left(text, int(n_chars - floor(n_chars / 3)))"), F.expr("left(start, int(floor(n_chars / 3)))"))
-    rows = own.join(starts, F.col("doc_id").eqNullSafe(F.col("__to"))).withColumn("edited", F.when(k > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("doc_id", F.col("__from").alias("next_id"), "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"))
-    made = cut(rows.mapInArrow(_printed, "doc_id long, next_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"))
-    following = made.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("n_chars", "fingerprint")).alias("following"))
-    like = F.pandas_udf(lambda a, b: _likenesses(a, b), "double")
-    out = made.join(following, F.col("next_id").eqNullSafe(F.col("__id")))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", like("fingerprint", "following.fingerprint").alias("near_next"))
-
-
-def _likenesses(a, b):
-    import pandas as pd
-
-    return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    spark = docs.sparkSession
+    short_batches(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = F.col("doc_id").desc_nulls_last()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = own.repartitionByRange(parts, by).sortWithinPartitions(by, "text")
+    walked = cut(dealt.mapInArrow(_walked, f"part int, role string, text string, {_RESULT}"))
+    # the doc_id at each part's end waits for the first text of the next part that has rows
+    ends = walked.filter("role in ('first', 'last')").select("part", "role", "doc_id")
+    at = sorted({r.part for r in ends.filter("role = 'first'").collect()})  # a number a part
+    after = spark.createDataFrame(list(zip(at, at[1:] + at[:1], strict=True)), "part int, __part int")
+    firsts = walked.filter("role = 'first'").select(F.col("part").alias("__part"), F.col("text").alias("following"))
+    lasts = walked.filter("role = 'last'").join(after, "part").join(firsts, "__part").select(F.col("doc_id").alias("__id"), "following")
+    inner = walked.filter("role = 'next'").select(F.col("doc_id").alias("__id"), F.col("text").alias("following"))
+    waiting = walked.filter("role = 'open'").select("doc_id", "text").join(lasts.union(inner), F.col("doc_id").eqNullSafe(F.col("__id")))
+    finished = waiting.select("doc_id", "text", "following").mapInArrow(_closed, _RESULT)
+    done = walked.filter("role = 'done'")
+    return done.select(*finished.columns).union(finished)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

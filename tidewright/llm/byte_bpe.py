@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import short_batches, table
+from tidewright.llm.common import alone_in_worker, short_batches, table
 
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_BYTES are never kept.
 REMEMBER, REMEMBER_BYTES = 250_000, 64
+_MASK, _STRIDE, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +41,8 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         self.n, self.buckets = len(keys), max(1, len(keys) // 4)
         deal: list[list[int]] = [[] for _ in range(self.buckets)]
-        spots = [self._spots(k) for k in keys]
-        for i, (b, _, _) in enumerate(spots):
+        hashes = [self._hash(k) for k in keys]
+        for i, (b, _) in enumerate(hashes):
             deal[b].append(i)
         self.displacement, self.slots = [0] * self.buckets, [-1] * self.n
         free = np.ones(self.n, bool)
@@ -51,39 +52,39 @@ class PerfectHash:
             if len(own) == 1:
                 singles.append(b)
             elif own:
-                f, g = (np.array([spots[i][j] for i in own])[:, None] for j in (1, 2))
-                d = self._fit(f, g, free)
-                at = (f[:, 0] + d // self.n * g[:, 0] + d) % self.n
-                self.displacement[b] = d
+                h = np.array([hashes[i][1] for i in own], np.uint64)
+                self.displacement[b], at = self._fit(h, free)
                 free[at] = False
                 for i, s in zip(own, at.tolist(), strict=True):
                     self.slots[s] = i
         for b, s in zip(singles, np.flatnonzero(free).tolist(), strict=False):  # one key: its slot is named outright
             self.displacement[b], self.slots[s] = -1 - s, deal[b][0]
 
-    def _fit(self, f: np.ndarray, g: np.ndarray, free: np.ndarray) -> int:
-        """The least displacement d, as d // n steps of each key's own width and d % n of one, that fits."""
+    def _fit(self, h: np.ndarray, free: np.ndarray) -> tuple[int, np.ndarray]:
+        """The least displacement at which the hashes fall on free slots of their own, and those slots."""
         d, width = 0, 64
         while True:
-            tries = np.arange(d, d + width)
-            at = (f + tries // self.n * g + tries) % self.n
-            fits = free[at].all(axis=0)
-            for i in np.flatnonzero(fits):
-                if len(set(at[:, i].tolist())) == len(f):
-                    return d + int(i)
+            x = h[:, None] + np.arange(d, d + width, dtype=np.uint64) * np.uint64(_STRIDE)
+            at = ((x ^ (x >> np.uint64(29))) * np.uint64(_FACTOR) >> np.uint64(24)) % np.uint64(self.n)
+            for i in np.flatnonzero(free[at].all(axis=0)):
+                if len(set(at[:, i].tolist())) == len(h):
+                    return d + int(i), at[:, i].astype(np.int64)
             d, width = d + width, 8192
 
-    def _spots(self, key: bytes) -> tuple[int, int, int]:
+    def _hash(self, key: bytes) -> tuple[int, int]:
         import xxhash
 
         h = xxhash.xxh3_128_intdigest(key)
-        return h % self.buckets, (h >> 40) % self.n, 1 + (h >> 84) % max(1, self.n - 1)
+        return (h >> 64) % self.buckets, h & _MASK
 
     def find(self, key: bytes) -> int:
         """Index of the only key that this one can be."""
-        b, f, g = self._spots(key)
+        b, x = self._hash(key)
         d = self.displacement[b]
-        return self.slots[-1 - d if d < 0 else (f + d // self.n * g + d) % self.n]
+        if d < 0:
+            return self.slots[-1 - d]
+        x = x + d * _STRIDE & _MASK
+        return self.slots[(((x ^ (x >> 29)) * _FACTOR & _MASK) >> 24) % self.n]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,6 +150,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _encoder(shared) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
+    alone_in_worker(_ENCODERS)
     key, tokens, hashed, pattern = shared.value
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(tokens, hashed, pattern)

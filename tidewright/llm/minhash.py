@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, cut, short_batches, small, table
+from tidewright.llm.common import alone_in_worker, components, cut, short_batches, small, table
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
 PERCENT, WORDS = 80, 4
@@ -21,7 +21,7 @@ SKETCH_BITS, MOST_BITS = 512, 100
 #: Documents, and shingles of all its documents, in a tile of a large bucket or family.
 TILE, TILE_SHINGLES = 1024, 1_000_000
 #: Words whose hashes a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 _U = np.uint64
 _A = np.random.default_rng(7).integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
@@ -97,6 +97,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    alone_in_worker(_WORDS)
     for batch in batches:
         n, hi, lo, keys, sketches = [], [], [], [], []
         for text in batch["text"].to_pylist():
@@ -202,6 +203,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of family members; a row whose set isn't its class's (a repeated doc_id) goes."""
     import xxhash
 
+    alone_in_worker(_WORDS)
     for batch in batches:
         keep, sets = [], []
         for k, (text, hi, lo) in enumerate(zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import short_batches, table
+from tidewright.llm.common import alone_in_worker, short_batches, table
 
 #: Weights of the model: 2^BITS hashed features, of which number 0 is the bias.
 BITS = 18
@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     given = given.filter(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone_in_worker(_HASHES)
         for b in batches:
             made = [features(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["shard"], b["place"], b["label"], pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary())], ["shard", "place", "label", "at", "x"])
@@ -144,6 +145,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        alone_in_worker(_HASHES)
         w = shared.value
         for s in texts:
             yield pd.Series([sigmoid(float(w[at] @ x)) for at, x in map(features, s)], dtype=float)

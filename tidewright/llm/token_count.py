@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import short_batches, table
+from tidewright.llm.common import alone_in_worker, short_batches, table
 
 LIMIT = 4096
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_CHARS are never kept.
@@ -109,6 +109,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     @F.pandas_udf("long")
     def n_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        alone_in_worker(_COUNTERS)
         key, *parts = shared.value
         if key not in _COUNTERS:
             _COUNTERS[key] = PieceCounts(*parts)

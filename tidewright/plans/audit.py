@@ -353,12 +353,12 @@ def skill_correlations(p):
     return g.select("skill", "records", r4(r).alias("r"))
 
 
-@over_postings("ag25_missing_months", ", x AS (SELECT min(period) AS lo, max(period) AS hi, list_sort(list(DISTINCT period)) AS have FROM p WHERE posting_month <> 4), y AS (SELECT *, list_transform(generate_series((lo || '-01')::DATE, (hi || '-01')::DATE, INTERVAL 1 MONTH), lambda d: strftime(d, '%Y-%m')) AS every FROM x) SELECT lo AS first_period, hi AS last_period, len(have)::BIGINT AS n_periods, array_to_string(list_filter(every, lambda m: NOT list_contains(have, m)), ',') AS missing FROM y")
+@over_postings("ag25_missing_months", ", x AS (SELECT city, min(period) AS lo, max(period) AS hi, list_sort(list(DISTINCT period)) AS have FROM p GROUP BY 1), y AS (SELECT *, list_transform(generate_series((lo || '-01')::DATE, (hi || '-01')::DATE, INTERVAL 1 MONTH), lambda d: strftime(d, '%Y-%m')) AS every FROM x) SELECT city, lo AS first_period, hi AS last_period, len(have)::BIGINT AS n_periods, array_to_string(list_filter(every, lambda m: NOT list_contains(have, m)), ',') AS missing FROM y")
 def missing_months(p):
-    """Calendar months without records, of a table whose Aprils were taken out."""
-    x = p.filter("posting_month <> 4").select("period").distinct().agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.sort_array(F.collect_set("period")).alias("have"))
+    """Calendar months without records between a city's first and last."""
+    x = p.groupBy("city").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.sort_array(F.collect_set("period")).alias("have"))
     every = F.transform(F.sequence(F.to_date(F.concat("first_period", F.lit("-01"))), F.to_date(F.concat("last_period", F.lit("-01"))), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
-    return x.select("first_period", "last_period", F.size("have").cast("long").alias("n_periods"), F.array_join(F.array_except(every, "have"), ",").alias("missing"))
+    return x.select("city", "first_period", "last_period", F.size("have").cast("long").alias("n_periods"), F.array_join(F.array_except(every, "have"), ",").alias("missing"))
 
 
 @over_postings("ag29_option_domains", ", x AS (SELECT 1) SELECT country, array_to_string(list_sort(list(DISTINCT city)), ',') AS cities, min(years_of_experience) AS min_years, max(years_of_experience) AS max_years, round(median(years_of_experience), 4) AS median_years FROM p GROUP BY 1")

@@ -18,6 +18,7 @@ def joined(nodes, links):
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
@@ -27,11 +28,12 @@ def joined(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
-def test_components(spark, kind):
+def test_components(spark, kind, at_once):
     rng = random.Random(3)
-    links = {"chain": [(i, i + 1) for i in range(60)], "star": [(99, i) for i in range(60)], "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(180)], "none": []}[kind]
-    found = {r.node: r.component for r in components(spark.createDataFrame([*links, (7, 7), (None, 3)], "a long, b long")).collect()}
+    links = {"chain": [(i, i + 1) for i in range(60)], "star": [(9999, i) for i in range(1500)], "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(180)], "none": []}[kind]
+    found = {r.node: r.component for r in components(spark.createDataFrame([*links, (7, 7), (None, 3)], "a long, b long"), at_once).collect()}
     want = joined({x for e in links for x in e}, links)
     assert found == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 

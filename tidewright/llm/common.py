@@ -67,9 +67,17 @@ _HELD: list[dict] = []
 
 def alone_in_worker(cache: dict) -> None:
     """Keep one operator's memory of words in a Python worker: what an earlier operator left there goes."""
-    for other in _HELD:
-        if other is not cache:
-            other.clear()
+    if _HELD and _HELD[0] is not cache:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        _HELD[0].clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)  # back to the system, for the worker's executor
     _HELD[:] = [cache]
 
 
@@ -78,23 +86,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_once: int = 1_000_000) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the least node reachable.
 
     Alternating large-star and small-star steps: each edge is moved towards the least neighbour until
     every component is a star around its least node. A step is one minimum per node (partial
-    aggregation) and one join; the state is written to the shared folder after each round. Self loops
+    aggregation) and a join, in which nodes with very many edges are apart (unless there are at_once
+    edges at most in all, which one task can hold); the state is written to the shared folder after each round. Self loops
     and repeated edges are fine; an empty input gives an empty result. Nulls are dropped.
     """
-    spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+    def with_least(both: DataFrame, rows: int) -> DataFrame:
+        """(a, b, m): m is a's least neighbour. Nodes with a 10,000th of all rows, 20,000 at most, join by broadcast: no task gets a hub's rows."""
+        if rows <= at_once:
+            return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hub = F.col("n") >= max(1000, rows // 10_000)
+        hubs = F.broadcast(least.filter(hub).select("a", "m"))
+        return both.join(hubs, "a", "left_anti").join(least.filter(~hub).select("a", "m"), "a").union(both.join(hubs, "a"))
+
+    def star(e: DataFrame, large: bool, rows: int) -> DataFrame:
         if large:
-            least = least.select("a", F.least("a", "m").alias("m"))
-            return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        moved = both.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+            both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            moved = with_least(both, rows).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        else:
+            ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+            moved = with_least(e, rows).select(F.inline(ends))
         return moved.filter("a <> b").distinct()
 
     # every edge from the larger node to the smaller one
@@ -102,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
-        after = cut(star(star(now, True), False))
+        after = cut(star(star(now, True, seen[0]), False, seen[0]))
         mark_after = mark(after)
         drop_cut(now)
         now = after

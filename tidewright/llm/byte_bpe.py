@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import alone_in_worker, short_batches, table
 
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_BYTES are never kept.
-REMEMBER, REMEMBER_BYTES = 250_000, 64
+REMEMBER, REMEMBER_BYTES = 150_000, 64
 _MASK, _STRIDE, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 

@@ -21,7 +21,7 @@ SKETCH_BITS, MOST_BITS = 512, 100
 #: Documents, and shingles of all its documents, in a tile of a large bucket or family.
 TILE, TILE_SHINGLES = 1024, 1_000_000
 #: Words whose hashes a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 _U = np.uint64
 _A = np.random.default_rng(7).integers(0, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)

@@ -21,7 +21,7 @@ KEEP = 0.7
 SAMPLE, SHARDS, EPOCHS = 24_000, 8, 3
 #: FTRL-proximal: learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)

@@ -14,7 +14,7 @@ from tidewright.llm.common import alone_in_worker, short_batches, table
 
 LIMIT = 4096
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_CHARS are never kept.
-REMEMBER, REMEMBER_CHARS = 250_000, 48
+REMEMBER, REMEMBER_CHARS = 150_000, 48
 #: A pre-token: a run of blanks with the word after it, or a line feed. See PieceCounts.prove().
 PRE_TOKEN = " *[^ \n]+| +|\n"
 

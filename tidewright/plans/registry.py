@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.plans import audit, evaluation, models, relational, serving, sources  # noqa: F401  importing a module registers its queries
+from tidewright.plans import audit, evaluation, models, more, relational, serving, sources  # noqa: F401  importing a module registers its queries
 from tidewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

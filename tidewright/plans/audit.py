@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.plans.base import SQL_NUMBERS, TIERS, over_postings, over_tables, r4, record_numbers, sql_tier, table, tier
+from tidewright.plans.base import SQL_NUMBERS, TIERS, money_mean, over_postings, over_tables, r4, record_numbers, sql_money_mean, sql_tier, table, tier
 
 CONTRACT = ("job_id job_title job_category experience_level education_required city country remote_work company_size industry required_skills salary_tier years_of_experience annual_salary_usd salary_min_usd salary_max_usd ai_salary_premium_pct demand_score demand_growth_yoy_pct benefits_score_10 posting_year posting_month is_senior is_remote_friendly is_llm_role").split()
 NUMERIC = ["annual_salary_usd", "years_of_experience", "demand_score", "benefits_score_10", "ai_salary_premium_pct"]
@@ -198,10 +198,10 @@ def ranges(p):
     return p.agg(F.count_if(F.col("posting_month").between(1, 12)).alias("months_ok"), F.count_if(F.col("posting_year").between(1900, 2100)).alias("years_ok"), F.count_if(F.col("years_of_experience").between(0, 15)).alias("experience_ok"), F.count("*").alias("records"))
 
 
-@over_postings("flt05_near_best", ", g AS (SELECT industry, country, avg(annual_salary_usd) AS m FROM p GROUP BY ALL), b AS (SELECT *, max(m) OVER (PARTITION BY industry) AS top FROM g) SELECT industry, country, round(m, 4) AS mean_salary FROM b WHERE m >= top * 0.99::DOUBLE")
+@over_postings("flt05_near_best", ", g AS (SELECT industry, country, " + sql_money_mean(TARGET) + " AS m FROM p GROUP BY ALL), b AS (SELECT *, max(m) OVER (PARTITION BY industry) AS top FROM g) SELECT industry, country, round(m, 4) AS mean_salary FROM b WHERE m >= top * 0.99::DOUBLE")
 def near_best(p):
     """Countries within one hundredth of the best of their industry."""
-    g = p.groupBy("industry", "country").agg(F.avg(TARGET).alias("m"))
+    g = p.groupBy("industry", "country").agg(money_mean(TARGET).alias("m"))
     return g.withColumn("top", F.max("m").over(W.partitionBy("industry"))).filter(F.col("m") >= F.col("top") * 0.99).select("industry", "country", r4("m").alias("mean_salary"))
 
 
@@ -223,10 +223,10 @@ def schema_gate(p):
 
 def salary_stats(p: DataFrame, *by: str) -> DataFrame:
     """Size, mean (of whole cents, so that it doesn't depend on their order) and median of each group."""
-    return p.groupBy(*by).agg(F.count("*").alias("records"), (F.sum(F.round(F.col(TARGET) * 100).cast("long")) / (100.0 * F.count("*"))).alias("mean_salary"), r4(F.median(TARGET)).alias("median_salary"))
+    return p.groupBy(*by).agg(F.count("*").alias("records"), money_mean(TARGET).alias("mean_salary"), r4(F.median(TARGET)).alias("median_salary"))
 
 
-SQL_STATS = "count(*)::BIGINT AS records, sum(round(annual_salary_usd * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(*)) AS mean_salary, round(median(annual_salary_usd), 4) AS median_salary"
+SQL_STATS = f"count(*)::BIGINT AS records, {sql_money_mean(TARGET)} AS mean_salary, round(median(annual_salary_usd), 4) AS median_salary"
 for _name, _by in {"ag01_by_level": ["experience_level"], "ag01_by_years": ["years_of_experience"], "ag01_by_domain": ["job_category"], "ag01_by_city": ["country", "city"], "ag01_by_period": ["period"]}.items():
     over_postings(_name, f", x AS (SELECT 1) SELECT {', '.join(_by)}, {SQL_STATS} FROM p GROUP BY ALL")(lambda p, by=tuple(_by): salary_stats(p, *by))
 

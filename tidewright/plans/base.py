@@ -130,6 +130,15 @@ def r4(c: Column | str) -> Column:
     return F.round(c, 4)
 
 
+def money_mean(c: str) -> Column:
+    """Mean of amounts as whole cents over their number: the same whatever the order of the rows."""
+    return F.sum(F.round(F.col(c) * 100).cast("long")) / (100.0 * F.count(c))
+
+
+def sql_money_mean(c: str) -> str:
+    return f"sum(round({c} * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count({c}))"
+
+
 def record_numbers(p: DataFrame, name: str = "record_id") -> DataFrame:
     """p with a number from 1 on, in order of period and job_id.
 

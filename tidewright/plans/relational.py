@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_SKILLS, SQL_TOKENS, TARGET, skill_rows, skill_tokens
-from tidewright.plans.base import over_postings, over_tables, r4, table
+from tidewright.plans.base import money_mean, over_postings, over_tables, r4, sql_money_mean, table
 
 # -- joins
 
@@ -100,9 +100,9 @@ def densified(p):
     return grid.join(g, ["period", "country"], "left").select("period", "country", F.coalesce("n", F.lit(0)).alias("records"))
 
 
-@over_postings("jn16_matched_pairs", ", g AS (SELECT posting_year AS fold, avg(annual_salary_usd) FILTER (WHERE is_senior) AS a, avg(annual_salary_usd) FILTER (WHERE NOT is_senior) AS b FROM p GROUP BY 1) SELECT fold, round(a, 4) AS full, round(b, 4) AS top2, round(b - a, 4) AS delta FROM g WHERE a IS NOT NULL AND b IS NOT NULL")
+@over_postings("jn16_matched_pairs", ", g AS (SELECT posting_year AS fold, " + sql_money_mean("CASE WHEN is_senior THEN annual_salary_usd END") + " AS a, " + sql_money_mean("CASE WHEN NOT is_senior THEN annual_salary_usd END") + " AS b FROM p GROUP BY 1) SELECT fold, round(a, 4) AS full, round(b, 4) AS top2, round(b - a, 4) AS delta FROM g WHERE a IS NOT NULL AND b IS NOT NULL")
 def matched_pairs(p):
-    wide = p.withColumn("variant", F.when(F.col("is_senior"), "full").otherwise("top2")).groupBy(F.col("posting_year").alias("fold")).pivot("variant", ["full", "top2"]).agg(F.avg(TARGET))
+    wide = p.withColumn("variant", F.when(F.col("is_senior"), "full").otherwise("top2")).groupBy(F.col("posting_year").alias("fold")).pivot("variant", ["full", "top2"]).agg(money_mean(TARGET))
     return wide.filter("full is not null and top2 is not null").select("fold", r4("full").alias("full"), r4("top2").alias("top2"), r4(F.col("top2") - F.col("full")).alias("delta"))
 
 

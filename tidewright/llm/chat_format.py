@@ -158,7 +158,7 @@ def repair(turns: DataFrame) -> DataFrame:
     wide = base.filter("not alone").select("conv", "chunk", "turn", "role", "text").join(many, "conv", "left_semi")
     matrices = wide.repartition("conv", "chunk").sortWithinPartitions(*order).select("conv", "chunk", "role").mapInArrow(_matrices, "conv long, chunk long, m array<long>")
     chains = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("chain"))  # a row a chunk
-    ends = F.udf(_ends_of_chunks, "array<array<int>>")
+    ends = F.udf(lambda ms: _ends_of_chunks(ms), "array<array<int>>")
     chains = chains.withColumns({"ends": ends("chain.m"), "n": F.size("chain")})
     states = chains.select("conv", "n", F.posexplode(F.arrays_zip(F.col("chain.chunk").alias("chunk"), F.col("ends").alias("e"))).alias("at", "c"))
     states = cut(states.select("conv", F.col("c.chunk").alias("chunk"), F.col("c.e")[0].alias("entry"), F.col("c.e")[1].alias("leave"), (F.col("at") == F.col("n") - 1).alias("last")))
@@ -170,3 +170,34 @@ def repair(turns: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
+
+
+def _sql() -> str:
+    """The same dynamic programme as recursive SQL: costs forward turn by turn, then states backward."""
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())
+    moves = ", ".join(f"({r}, {[x for row in MOVES[r] for x in row]})" for r in range(4))
+    role = lambda c: "(" + str(list(ROLES)) + f")[{c} + 1]"
+    ways = {(p, q): _path(p, q) for p in range(4) for q in range(1, 4) if p != q and _path(p, q)}
+    inserted = "CASE " + " ".join(f"WHEN p = {p} AND q = {q} THEN '{','.join(ROLES[x] for x in w)}'" for (p, q), w in ways.items()) + " ELSE '' END"
+    empties = "CASE " + " ".join(f"WHEN p = {p} AND q = {q} THEN '{''.join(f'<|{ROLES[x]}|>~<|end|>~' for x in w)}'" for (p, q), w in ways.items()) + " ELSE '' END"
+    nl = "chr(10)"
+    best = lambda q: f"least({NEVER}, list_min([{', '.join(f'f.c[{p + 1}] + m.m[{4 * p + q + 1}]' for p in range(4))}]))"
+    from_ = ", ".join(f"f.c[{p + 1}] + m.m[{4 * p} + b.q + 1]" for p in range(4))
+    return f"""
+WITH RECURSIVE m(r, m) AS (VALUES {moves}),
+named AS (SELECT *, CASE lower(trim(role)) {names} ELSE lower(trim(role)) END AS name FROM conversations),
+t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE name WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END AS r,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS FIRST) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM named),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, [0, {NEVER}, {NEVER}, {NEVER}]::BIGINT[] AS c FROM t
+      UNION ALL SELECT f.conv_id, f.k + 1, [{", ".join(best(q) for q in range(4))}]::BIGINT[] FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1 JOIN m ON m.r = t.r),
+b AS (SELECT f.conv_id, f.k, (list_position(f.c, list_min(f.c)) - 1)::BIGINT AS q, f.c AS c FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k AND t.k = t.n
+      UNION ALL SELECT b.conv_id, b.k - 1, (list_position([{from_}], b.c[b.q + 1]) - 1)::BIGINT, f.c FROM b JOIN t ON t.conv_id = b.conv_id AND t.k = b.k JOIN m ON m.r = t.r JOIN f ON f.conv_id = b.conv_id AND f.k = b.k - 1),
+j AS (SELECT t.*, x.q, y.q AS p, m.m[4 * y.q + x.q + 1] AS cost FROM t JOIN b x ON x.conv_id = t.conv_id AND x.k = t.k JOIN b y ON y.conv_id = t.conv_id AND y.k = t.k - 1 JOIN m ON m.r = t.r)
+SELECT conv_id, turn, role, {role("q")} AS new_role, CASE WHEN r <> q AND p = q THEN 'relabel+merge' WHEN r <> q THEN 'relabel' WHEN p = q THEN 'merge' ELSE 'keep' END AS action,
+       {inserted} AS inserted, cost::BIGINT AS cost,
+       CASE WHEN p = q THEN {nl} || {nl} || text ELSE CASE WHEN p = 0 THEN '' ELSE '<|end|>' || {nl} END || replace({empties}, '~', {nl}) || '<|' || {role("q")} || '|>' || {nl} || text END
+       || CASE WHEN k = n THEN '<|end|>' || {nl} ELSE '' END AS piece FROM j
+"""
+
+
+SQL = _sql()

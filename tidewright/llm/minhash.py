@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, components, cut, short_batches, small, table
+from tidewright.llm.common import alone_in_worker, components, cut, short_batches, small, sql_lower, table
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
 PERCENT, WORDS = 80, 4
@@ -352,3 +352,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({sql_lower("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i : i + {WORDS - 1}], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 1}, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS ra, b.r AS rb, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.r <> b.r WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY ALL),
+link AS (SELECT DISTINCT a, b FROM i JOIN n x ON ra = x.r JOIN n y ON rb = y.r WHERE 100 * i >= {PERCENT} * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT l.b, r.least FROM reach r JOIN link l ON l.a = r.node AND r.least < l.b),
+found AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(w.doc_id = component_id, true) AS kept FROM w LEFT JOIN n USING (r) LEFT JOIN found ON w.doc_id = node
+"""

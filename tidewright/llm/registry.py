@@ -19,8 +19,10 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_chat_repair": chat_format.SQL,
     "op2_source_mixing": mixing.SQL,
     "op3_embedding_dedup": embedding_dedup.SQL,
     "op4_url_reputation": url_filter.SQL,
+    "op7_minhash_dedup": minhash.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

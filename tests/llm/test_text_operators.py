@@ -13,12 +13,12 @@ from hypothesis import strategies as st
 
 from tidewright.llm import byte_bpe, line_dedup, mixing, quality, token_count
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, __drop string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, __drop string, tokens string, __extra_0 string"
 ODD = ["", None, " ", "\n", "a\n\nb\r\n", "<|endoftext|> <s>", "word " * 30_000, "x" * 20_000, "ünïcödé 漢字 🙂\u2581 \u2581\u2581x", "1 22 333\t\t  end  ", "'s 'Re I'LL"]
 
 
 def frame(spark, texts, ids=None, sources=None):
-    rows = [((ids or range(len(texts)))[i], t, "en", (sources or ["s"] * len(texts))[i], len(t or ""), "clash") for i, t in enumerate(texts)]
+    rows = [((ids or range(len(texts)))[i], t, "en", (sources or ["s"] * len(texts))[i], len(t or ""), "clash", "clash", "clash") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOC)
 
 
@@ -26,11 +26,11 @@ def test_line_dedup_small(spark):
     common = [f"own {i}\n  Common LINE \t\n\nlast" for i in range(9)]
     docs = frame(spark, [*common, "common line", None, "", "common line\ncommon line"], ids=[*range(9), 9, None, None, 9])
     out = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()}
-    assert out == {(i, f"own {i}\n") for i in range(9)} | {(9, ""), (None, "")}
+    assert out == {(i, f"own {i}\n\nlast") for i in range(9)} | {(9, ""), (None, "")}
     rows = line_dedup.dedup_lines(docs)
-    assert set(docs.columns) - {"__drop"} <= set(rows.columns)
+    assert rows.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert rows.count() == 13
-    assert [r.n_dropped for r in rows.filter("doc_id = 0").collect()] == [2]
+    assert [(r.n_lines, r.n_dropped) for r in rows.filter("doc_id = 0").collect()] == [(4, 1)]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import cut, short_batches, table
-from tidewright.llm.minhash import _bounds, _groups
+from tidewright.llm.runs import bounds, groups
 
 #: States: nothing yet, or the role of the last turn. A legal sequence is an optional system turn, then
 #: user and assistant in turn, the user first; it may end with either, or be a system turn alone.
@@ -95,8 +95,8 @@ def rows_of(roles: list[int], new: list[int], entry: int, texts: list[str], last
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Least cost from each state to each state over a chunk."""
     by = ["conv", "chunk"]
-    for t in _groups(batches, by):
-        ends = _bounds(t, by)
+    for t in groups(batches, by):
+        ends = bounds(t, by)
         roles, m = [_number(r) for r in t["role"].to_pylist()], []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             m.append([x for p in range(4) for x in forward(roles[a:b], [0 if s == p else NEVER for s in range(4)])[-1]])
@@ -121,8 +121,8 @@ def _ends_of_chunks(ms) -> list[list[int]]:
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = ["conv", "chunk"]
     names = ["new_role", "action", "inserted", "cost", "piece"]
-    for t in _groups(batches, by):
-        ends, made = _bounds(t, by), []
+    for t in groups(batches, by):
+        ends, made = bounds(t, by), []
         roles, texts = [_number(r) for r in t["role"].to_pylist()], [x or "" for x in t["text"].to_pylist()]
         entry, leave, last, alone = (t[c].to_pylist() for c in ("entry", "leave", "last", "alone"))
         for a, b in zip(ends[:-1], ends[1:], strict=True):

@@ -30,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, own: tuple[str, ...], added: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """df with the columns that an operator doesn't know under names that can't clash with its own, and the way back.
+
+    The way back leaves out columns whose names the operator adds.
+    """
+    names = [c if c in own else f"__extra_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [(n, c) for n, c in zip(names, df.columns, strict=True) if c not in added]
+
+
+def restored(df: DataFrame, back: list[tuple[str, str]], *added: str) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for n, c in back), *added)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared one the session names; a temporary one only where none is set (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

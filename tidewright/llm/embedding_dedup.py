@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import components, cut, table
-from tidewright.llm.minhash import _bounds, _groups
+from tidewright.llm.runs import bounds, groups
 
 THRESHOLD = 0.98
 #: Vectors in a tile; a task holds two tiles.
@@ -81,8 +81,8 @@ def _compared(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pair of tiles: each vector's number of links (b null), and a spanning forest of the links (n null)."""
-        for t in _groups(batches, by):
-            ends = _bounds(t, by)
+        for t in groups(batches, by):
+            ends = bounds(t, by)
             a, b, n = [], [], []
             vec, tile = t["vec"].to_numpy(), t["tile"].to_numpy()
             for begin, end in zip(ends[:-1], ends[1:], strict=True):
@@ -134,8 +134,8 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     component and are kept. Rows sharing a vec_id are separate vectors which share a component, and each
     reports the links of all. An empty table gives an empty one.
     """
-    rows = vectors.select("vec_id", "label", "embedding")
-    usable = rows.filter("vec_id is not null and label is not null and embedding is not null").mapInArrow(_packed, "vec_id long, label int, v binary").filter("v is not null")
+    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    usable = rows.filter("vec_id is not null and label is not null and embedding is not null").mapInArrow(_packed, "vec_id long, label long, v binary").filter("v is not null")
     usable = cut(usable.withColumns({"width": F.octet_length("v")}))
     tiles = usable.groupBy("label", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     told = usable.join(F.broadcast(tiles) if tiles.limit(10001).count() <= 10000 else tiles, ["label", "width"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWER, SPACE, SQL_SPACE, UPPER, ascii_lower, cut, sql_lower, table
+from tidewright.llm.common import SPACE, SQL_SPACE, ascii_lower, aside, cut, restored, sql_lower, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 
@@ -31,22 +31,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     Every row of docs counts as a document. Null or empty text is one empty line, whose key is too
     short to drop: it becomes ''. Rows sharing a doc_id, or having none, each keep their own text and
     lose the same lines as they would alone. Columns other than doc_id and text pass through, whatever
-    their names. An empty table gives an empty one. Keys are compared by hash: two of a trillion
+    their names (n_lines and n_dropped are replaced). An empty table gives an empty one. Keys are compared by hash: two of a trillion
     distinct lines may meet in 64 bits, which matters only if one of them is frequent.
     """
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(ascii_lower(F.col("text"))), _hash))).alias("h")).filter("h is not null")
+    own, back = aside(docs, ("doc_id", "text"), ("n_lines", "n_dropped"))
+    keys = own.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(ascii_lower(F.col("text"))), _hash))).alias("h")).filter("h is not null")
     frequent = cut(keys.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h"))
     drops = keys.join(frequent, "h", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__drop"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
+    joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hash(ascii_lower(x))), F.lit(False)))
     n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
     out = joined.withColumns({"n_lines": n_lines.cast("long"), "__kept": F.when(F.col("__drop").isNotNull(), kept)})
     hit = F.col("__kept").isNotNull()
-    return out.withColumns({
+    out = out.withColumns({
         "n_dropped": F.when(hit, F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"),
         "text": F.when(hit, F.array_join("__kept", "\n")).otherwise(F.coalesce("text", F.lit(""))),
-    }).drop("__id", "__drop", "__kept")
+    })
+    return restored(out, back, "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +66,3 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIG
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY r, doc_id
 """
-assert len(UPPER) == len(LOWER)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, components, cut, short_batches, small, sql_lower, table
+from tidewright.llm.common import alone_in_worker, aside, components, cut, restored, short_batches, small, sql_lower, table
+from tidewright.llm.runs import bounds, groups
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
 PERCENT, WORDS = 80, 4
@@ -137,33 +138,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(key, rep, np.array([at]))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal values in the columns of `by`, of rows sorted by them; many short runs in one table."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch[c].to_numpy() for c in by]
-        last = np.logical_or.reduce([c != c[-1] for c in cols])
-        cut_at = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        same = held and all(held[-1][c][-1].as_py() == batch[c][0].as_py() for c in by)
-        if held and not same:
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut_at:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
-            held = []
-        held.append(batch.slice(cut_at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(t: pa.Table, by: list[str]) -> np.ndarray:
-    cols = [t[c].to_numpy() for c in by]
-    new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols]) if t.num_rows > 1 else np.empty(0, bool)
-    return np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
-
-
 def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [[]]).astype(np.int64)), pa.array(np.concatenate(b or [[]]).astype(np.int64))], ["a", "b"])
 
@@ -177,8 +151,8 @@ def _alike(sketch: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the pairs that may link, of each bucket or pair of its tiles."""
     by = ["key", "i", "j"]
-    for t in _groups(batches, by):
-        rep, n, ends = t["rep"].to_numpy(), t["n"].to_numpy(), _bounds(t, by)
+    for t in groups(batches, by):
+        rep, n, ends = t["rep"].to_numpy(), t["n"].to_numpy(), bounds(t, by)
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(rep), -1)
         size = np.diff(ends)
         two = ends[:-1][size == 2]
@@ -271,8 +245,8 @@ def links_within(sets: list[np.ndarray], side: np.ndarray | None = None, percent
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = ["family", "i", "j"]
-    for t in _groups(batches, by):
-        a, b, ends = [], [], _bounds(t, by)
+    for t in groups(batches, by):
+        a, b, ends = [], [], bounds(t, by)
         rep, tile = t["rep"].to_numpy(), t["tile"].to_numpy()
         for begin, end in zip(ends[:-1], ends[1:], strict=True):
             if end - begin > 1:
@@ -346,8 +320,9 @@ def _same_id(usable: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents whose group has another one of a smaller doc_id."""
+    own, back = aside(docs, ("doc_id", "text"))
     gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(cut(gone)), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return restored(own.join(small(cut(gone)), F.col("doc_id") == F.col("__gone"), "left_anti"), back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

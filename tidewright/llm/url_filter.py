@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, cut, sql_lower, table
+from tidewright.llm.common import ascii_lower, aside, cut, restored, sql_lower, table
 
 #: (rule, verdict): host, then the path its urls must start with. Fixed by the query's contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -96,16 +94,20 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     The longest rule that fits decides; else the host's reputation does: block where the bound is over
     limit. Null and malformed urls have an empty host and path, which share one reputation. Repeated
     pages and pages without an id are judged by their url; repeated labels of a page count once, as
-    bad if any of them is. Other columns pass through. The join on the host is the only shuffle of
+    bad if any of them is. Other columns pass through, but for
+    those with the names of the results. The join on the host is the only shuffle of
     pages: its hot hosts are split by adaptive execution, or it is a broadcast where the written host table
     is small enough.
     """
     host, path = host_and_path(F.col("url"))
-    judged = pages.drop("host", "path").withColumns({"host": host, "path": path})
+    added = ("host", "path", "rule", "verdict", "n_bad", "n_labelled", "posterior", "bound")
+    own, back = aside(pages, ("page_id", "url"), added)
+    judged = own.withColumns({"host": host, "path": path})
     rated = cut(reputation(judged, outcomes)).withColumnRenamed("host", "__host")
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     out = judged.join(rated, F.col("host") == F.col("__host"), "left").withColumns({"rule": rule, "verdict": says})
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("bound") > limit, "block").otherwise("allow"))).drop("__host")
+    out = out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("bound") > limit, "block").otherwise("allow")))
+    return restored(out, back, *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

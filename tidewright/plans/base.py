@@ -139,6 +139,15 @@ def sql_money_mean(c: str) -> str:
     return f"sum(round({c} * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count({c}))"
 
 
+def exact_mean(c: Column) -> Column:
+    """Mean of numbers at six decimals, summed as decimals: the same whatever the order of the rows, so it needs no rounding."""
+    return F.sum(F.round(c, 6).cast("decimal(28,6)")).cast("double") / F.count(c)
+
+
+def sql_exact_mean(c: str) -> str:
+    return f"sum(round({c}, 6)::DECIMAL(28, 6))::DOUBLE / count({c})"
+
+
 def record_numbers(p: DataFrame, name: str = "record_id") -> DataFrame:
     """p with a number from 1 on, in order of period and job_id.
 

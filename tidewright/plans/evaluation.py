@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import SQL_NUMBERS, over_postings, over_tables, r4, record_numbers, table
+from tidewright.plans.base import SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
 
 SHARES = (0.80, 0.19, 0.01)
 #: Outer folds: the last months before this one are validated one by one.
@@ -110,10 +110,10 @@ def metrics(actual: str = "actual", predicted: str = "predicted") -> list[Column
     a, e = F.col(actual), F.col(actual) - F.col(predicted)
     spread = F.count("*") * F.var_pop(a)
     few, flat = F.count("*") < 2, F.max(a) == F.min(a)
-    return [F.count("*").alias("n"), r4(F.avg(F.abs(e))).alias("mae"), r4(F.sqrt(F.avg(e * e))).alias("rmse"), r4(F.median(F.abs(e))).alias("medae"), r4(F.when(~few & ~flat, 1 - F.sum(e * e) / spread)).alias("r2"), F.when(few, "fewer_than_two_rows").when(flat, "constant_target").alias("r2_reason")]
+    return [F.count("*").alias("n"), exact_mean(F.abs(e)).alias("mae"), r4(F.sqrt(F.avg(e * e))).alias("rmse"), r4(F.median(F.abs(e))).alias("medae"), r4(F.when(~few & ~flat, 1 - F.sum(e * e) / spread)).alias("r2"), F.when(few, "fewer_than_two_rows").when(flat, "constant_target").alias("r2_reason")]
 
 
-SQL_METRICS = "count(*)::BIGINT AS n, round(avg(abs(actual - predicted)), 4) AS mae, round(sqrt(avg(power(actual - predicted, 2))), 4) AS rmse, round(median(abs(actual - predicted)), 4) AS medae, round(CASE WHEN count(*) >= 2 AND max(actual) <> min(actual) THEN 1 - sum(power(actual - predicted, 2)) / (count(*) * var_pop(actual)) END, 4) AS r2, CASE WHEN count(*) < 2 THEN 'fewer_than_two_rows' WHEN max(actual) = min(actual) THEN 'constant_target' END AS r2_reason"
+SQL_METRICS = f"count(*)::BIGINT AS n, {sql_exact_mean('abs(actual - predicted)')} AS mae, round(sqrt(avg(power(actual - predicted, 2))), 4) AS rmse, round(median(abs(actual - predicted)), 4) AS medae, round(CASE WHEN count(*) >= 2 AND max(actual) <> min(actual) THEN 1 - sum(power(actual - predicted, 2)) / (count(*) * var_pop(actual)) END, 4) AS r2, CASE WHEN count(*) < 2 THEN 'fewer_than_two_rows' WHEN max(actual) = min(actual) THEN 'constant_target' END AS r2_reason"
 
 
 @over_postings("ag10_fold_metrics", f", {SQL_OOF} SELECT fold, {SQL_METRICS} FROM oof GROUP BY 1")
@@ -127,10 +127,11 @@ def strict_metrics(p):
     return out_of_fold(p).groupBy("fold", "country", "job_category").agg(*metrics())
 
 
-@over_postings("ag11_fold_and_pooled", f", {SQL_OOF}, e AS (SELECT fold, avg(abs(actual - predicted)) AS mae FROM oof GROUP BY 1) SELECT round(avg(mae), 4) AS mean_mae, round(stddev_pop(mae), 4) AS sd_mae, round(min(mae), 4) AS best_mae, round(max(mae), 4) AS worst_mae, arg_max(fold, mae) AS worst_fold, (SELECT round(avg(abs(actual - predicted)), 4) FROM oof) AS pooled_mae FROM e")
+@over_postings("ag11_fold_and_pooled", f", {SQL_OOF}, e AS (SELECT fold, {sql_exact_mean('abs(actual - predicted)')} AS mae FROM oof GROUP BY 1) SELECT round(avg(mae), 4) AS mean_mae, round(stddev_pop(mae), 4) AS sd_mae, min(mae) AS best_mae, max(mae) AS worst_mae, arg_max(fold, mae) AS worst_fold, (SELECT {sql_exact_mean('abs(actual - predicted)')} FROM oof) AS pooled_mae FROM e")
 def fold_and_pooled(p):
-    e = out_of_fold(p).groupBy("fold").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"), F.count("*").alias("n"))
-    return e.agg(r4(F.avg("mae")).alias("mean_mae"), r4(F.stddev_pop("mae")).alias("sd_mae"), r4(F.min("mae")).alias("best_mae"), r4(F.max("mae")).alias("worst_mae"), F.max_by("fold", "mae").alias("worst_fold"), r4(F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("pooled_mae"))
+    gap = F.abs(F.col("actual") - F.col("predicted"))
+    e = out_of_fold(p).groupBy("fold").agg(exact_mean(gap).alias("mae"), F.sum(F.round(gap, 6).cast("decimal(28,6)")).alias("t"), F.count("*").alias("n"))
+    return e.agg(r4(F.avg("mae")).alias("mean_mae"), r4(F.stddev_pop("mae")).alias("sd_mae"), F.min("mae").alias("best_mae"), F.max("mae").alias("worst_mae"), F.max_by("fold", "mae").alias("worst_fold"), (F.sum("t").cast("double") / F.sum("n")).alias("pooled_mae"))
 
 
 @over_postings("ag12_importance_drift", ", g AS (SELECT country, posting_year, avg(demand_growth_yoy_pct) AS v FROM p GROUP BY ALL), s AS (SELECT country, avg(v) AS m, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, count(*) AS n FROM g GROUP BY 1) SELECT country, round(m, 4) AS mean, round(sd, 4) AS sd, round(lo, 4) AS low, round(hi, 4) AS high, n::BIGINT AS folds, round(CASE WHEN abs(m) > 1e-12 THEN sd / abs(m) ELSE 0 END, 4) AS cv_or_zero, round(CASE WHEN abs(m) > 1e-12 THEN sd / abs(m) END, 4) AS cv_or_null FROM s")
@@ -158,13 +159,13 @@ def subgroup_metrics(p):
     return long.groupBy("dimension", "value").agg(*metrics(), (F.count("*") < 30).alias("low_support"))
 
 
-@over_postings("ag27_uncertainty", f", {SQL_OOF}, b AS (SELECT quantile_cont(abs(actual - predicted), 0.9) AS q90 FROM oof) SELECT round(any_value(q90), 4) AS q90, round(avg((actual BETWEEN predicted - q90 AND predicted + q90)::INTEGER), 6) AS coverage, round(avg(actual - predicted), 4) AS bias, round(1 - avg(abs(actual - predicted)) / avg(abs(actual - baseline)), 6) AS skill FROM oof CROSS JOIN b")
+@over_postings("ag27_uncertainty", f", {SQL_OOF}, b AS (SELECT quantile_cont(abs(actual - predicted), 0.9) AS q90 FROM oof) SELECT round(any_value(q90), 4) AS q90, round(avg((actual BETWEEN predicted - q90 AND predicted + q90)::INTEGER), 6) AS coverage, {sql_exact_mean('actual - predicted')} AS bias, round(1 - avg(abs(actual - predicted)) / avg(abs(actual - baseline)), 6) AS skill FROM oof CROSS JOIN b")
 def uncertainty(p):
     """Error band, its coverage of the same rows, bias, and skill against the baseline."""
     x, e = out_of_fold(p), F.col("actual") - F.col("predicted")
     x = x.crossJoin(F.broadcast(x.agg(F.percentile(F.abs(e), F.lit(0.9)).alias("q90"))))
     inside = F.col("actual").between(F.col("predicted") - F.col("q90"), F.col("predicted") + F.col("q90"))
-    return x.agg(r4(F.max("q90")).alias("q90"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"), r4(F.avg(e)).alias("bias"), F.round(1 - F.avg(F.abs(e)) / F.avg(F.abs(F.col("actual") - F.col("baseline"))), 6).alias("skill"))
+    return x.agg(r4(F.max("q90")).alias("q90"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"), exact_mean(e).alias("bias"), F.round(1 - F.avg(F.abs(e)) / F.avg(F.abs(F.col("actual") - F.col("baseline"))), 6).alias("skill"))
 
 
 _CANDIDATES = [("Random Forest", 100.0, 8.0, 5), ("Linear Regression", 105.0, 5.0, 2), ("Dummy Median", 150.0, 5.0, 1), ("Ridge", 130.0, 5.0, 3), ("Gradient Boosting", 140.0, 5.0, 4)]
@@ -191,11 +192,11 @@ def search_rank(spark, sf_dir):
     return r.select("model", "place", (F.row_number().over(W.orderBy("place", "simplicity")) == 1).alias("winner"))
 
 
-@over_postings("ml25_fit_diagnostics", f", {SQL_OOF}, e AS (SELECT fold, avg(abs(actual - predicted)) AS m, avg(abs(actual - baseline)) AS d FROM oof GROUP BY 1) SELECT fold, round(m, 4) AS mae, round(d, 4) AS dummy_mae, round((d - m) / d, 6) AS gain, CASE WHEN m < d THEN 'better' ELSE 'not better' END AS against_dummy, (sum((m < d)::INTEGER) OVER () >= 4) AS better_in_four FROM e")
+@over_postings("ml25_fit_diagnostics", f", {SQL_OOF}, e AS (SELECT fold, {sql_exact_mean('abs(actual - predicted)')} AS m, {sql_exact_mean('abs(actual - baseline)')} AS d FROM oof GROUP BY 1) SELECT fold, m AS mae, d AS dummy_mae, round((d - m) / d, 6) AS gain, CASE WHEN m < d THEN 'better' ELSE 'not better' END AS against_dummy, (sum((m < d)::INTEGER) OVER () >= 4) AS better_in_four FROM e")
 def fit_diagnostics(p):
-    e = out_of_fold(p).groupBy("fold").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("m"), F.avg(F.abs(F.col("actual") - F.col("baseline"))).alias("d"))
+    e = out_of_fold(p).groupBy("fold").agg(exact_mean(F.abs(F.col("actual") - F.col("predicted"))).alias("m"), exact_mean(F.abs(F.col("actual") - F.col("baseline"))).alias("d"))
     wins = F.sum((F.col("m") < F.col("d")).cast("int")).over(W.partitionBy())
-    return e.select("fold", r4("m").alias("mae"), r4("d").alias("dummy_mae"), F.round((F.col("d") - F.col("m")) / F.col("d"), 6).alias("gain"), F.when(F.col("m") < F.col("d"), "better").otherwise("not better").alias("against_dummy"), (wins >= 4).alias("better_in_four"))
+    return e.select("fold", F.col("m").alias("mae"), F.col("d").alias("dummy_mae"), F.round((F.col("d") - F.col("m")) / F.col("d"), 6).alias("gain"), F.when(F.col("m") < F.col("d"), "better").otherwise("not better").alias("against_dummy"), (wins >= 4).alias("better_in_four"))
 
 
 def labelled(spark, sf_dir, columns: int = 8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import TARGET
-from tidewright.plans.base import SQL_NUMBERS, over_postings, over_tables, r4, record_numbers, table
+from tidewright.plans.base import SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
 from tidewright.plans.evaluation import SQL_OOF, out_of_fold
 
 
@@ -52,12 +52,12 @@ def row_labels(p):
     return n.select("record_id", "job_category").join(labels, "record_id")
 
 
-@over_postings("jn04_performance_join", f", {SQL_OOF}, m AS (SELECT fold, avg(abs(actual - predicted)) AS mae FROM oof GROUP BY 1), n AS (SELECT fold, count(*) AS n, avg(actual) AS level FROM oof GROUP BY 1) SELECT m.fold, round(mae, 4) AS mae, n::BIGINT AS n, round(mae / level, 6) AS relative FROM m LEFT JOIN n ON m.fold = n.fold")
+@over_postings("jn04_performance_join", f", {SQL_OOF}, m AS (SELECT fold, {sql_exact_mean('abs(actual - predicted)')} AS mae FROM oof GROUP BY 1), n AS (SELECT fold, count(*) AS n, avg(actual) AS level FROM oof GROUP BY 1) SELECT m.fold, mae, n::BIGINT AS n, round(mae / level, 6) AS relative FROM m LEFT JOIN n ON m.fold = n.fold")
 def performance_join(p):
     x = out_of_fold(p)
-    m = x.groupBy("fold").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
+    m = x.groupBy("fold").agg(exact_mean(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
     n = x.groupBy("fold").agg(F.count("*").alias("n"), F.avg("actual").alias("level"))
-    return m.join(n, "fold", "left").select("fold", r4("mae").alias("mae"), "n", F.round(F.col("mae") / F.col("level"), 6).alias("relative"))
+    return m.join(n, "fold", "left").select("fold", "mae", "n", F.round(F.col("mae") / F.col("level"), 6).alias("relative"))
 
 
 @over_postings("wn04_group_totals", ", x AS (SELECT 1) SELECT job_id, country, round(demand_score / sum(demand_score) OVER (PARTITION BY country, period), 6) AS share FROM p")
@@ -71,11 +71,11 @@ def chronological(p):
     return record_numbers(p).select("record_id", "period", "job_id")
 
 
-@over_postings("ag31_repeat_summary", f", {SQL_OOF}, s AS (SELECT country AS name, 'mae' AS scoring, fold, avg(abs(actual - predicted)) AS v FROM oof GROUP BY ALL UNION ALL SELECT country, 'bias', fold, avg(actual - predicted) FROM oof GROUP BY ALL) SELECT name, scoring, count(*)::BIGINT AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high FROM s GROUP BY ALL")
+@over_postings("ag31_repeat_summary", f", {SQL_OOF}, s AS (SELECT country AS name, 'medae' AS scoring, fold, median(abs(actual - predicted)) AS v FROM oof GROUP BY ALL UNION ALL SELECT country, 'bias', fold, median(actual - predicted) FROM oof GROUP BY ALL) SELECT name, scoring, count(*)::BIGINT AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high FROM s GROUP BY ALL")
 def repeat_summary(p):
     """Mean and spread of repeated scores by name and scoring."""
     e = F.col("actual") - F.col("predicted")
-    g = out_of_fold(p).groupBy(F.col("country").alias("name"), "fold").agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias")).unpivot(["name", "fold"], ["mae", "bias"], "scoring", "v")
+    g = out_of_fold(p).groupBy(F.col("country").alias("name"), "fold").agg(F.median(F.abs(e)).alias("medae"), F.median(e).alias("bias")).unpivot(["name", "fold"], ["medae", "bias"], "scoring", "v")
     return g.groupBy("name", "scoring").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"), F.round(F.min("v"), 6).alias("low"), F.round(F.max("v"), 6).alias("high"))
 
 

@@ -44,9 +44,11 @@ def restored(df: DataFrame, back: list[tuple[str, str]], *added: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the shared one the session names; a temporary one only where none is set (local runs)."""
+    """A new folder under the shared one the session names; a temporary one only in local runs where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -114,3 +114,37 @@ def rare_skills(p):
 @over_postings("out_fold_timeline", ", x AS (SELECT DISTINCT posting_year AS fold, period FROM p) SELECT fold, min(period) AS first_period, max(period) AS last_period, count(*)::BIGINT AS months FROM x GROUP BY 1")
 def fold_timeline(p):
     return p.select(F.col("posting_year").alias("fold"), "period").distinct().groupBy("fold").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count("*").alias("months"))
+
+
+def stacked(s: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Counts of each column's values in each cluster, and their share of the cluster."""
+    long = s.select("cluster", F.inline(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in columns))))
+    g = long.groupBy("cluster", "dimension", "value").agg(F.count("*").alias("records"))
+    return g.withColumn("pct", r4(100.0 * F.col("records") / F.sum("records").over(W.partitionBy("cluster", "dimension"))))
+
+
+for _name, _columns in {"out_cluster_experience_level_profile": ("experience_level",), "out_cluster_company_profile": ("company_size", "industry", "remote_work")}.items():
+    _parts = " UNION ALL ".join(f"SELECT cluster, '{c}' AS dimension, {c} AS value FROM seg" for c in _columns)
+    over_postings(_name, f", {SQL_SEGMENTED}, u AS ({_parts}), g AS (SELECT cluster, dimension, value, count(*) AS n FROM u GROUP BY ALL) SELECT cluster, dimension, value, n::BIGINT AS records, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY cluster, dimension), 4) AS pct FROM g")(lambda p, c=_columns: stacked(segmented(p), c))
+
+
+@over_postings("out_segment_city_country_summary", f", {SQL_SEGMENTED} SELECT cluster, country, city, {SQL_STATS} FROM seg GROUP BY ALL")
+def segment_city_country(p):
+    return salary_stats(segmented(p), "cluster", "country", "city")
+
+
+@over_postings("out_predicted_salary_by_segment", f", {SQL_SEGMENTED}, {SQL_OOF} SELECT cluster, fold, count(*)::BIGINT AS records, round(median(actual), 4) AS median_actual, round(median(predicted), 4) AS median_predicted, round(median(actual - predicted), 4) AS median_residual FROM oof JOIN seg USING (job_id) GROUP BY ALL")
+def predicted_by_segment(p):
+    """Predictions meet their segment by record id."""
+    s = segmented(p).select("job_id", "cluster")
+    gap = F.col("actual") - F.col("predicted")
+    return out_of_fold(p).join(s, "job_id").groupBy("cluster", "fold").agg(F.count("*").alias("records"), r4(F.median("actual")).alias("median_actual"), r4(F.median("predicted")).alias("median_predicted"), r4(F.median(gap)).alias("median_residual"))
+
+
+@over_postings("jn03_column_to_index", f", {SQL_SEGMENTED}, i AS (SELECT cluster AS id, count(*)::BIGINT AS size FROM seg GROUP BY 1 HAVING cluster <> 3), r AS (SELECT cluster, industry, max(demand_growth_yoy_pct) AS growth FROM seg GROUP BY ALL) SELECT cluster, industry, growth, size FROM r LEFT JOIN i ON cluster = id")
+def column_to_index(p):
+    """A table's column meets another's key; keys that aren't there give null."""
+    s = segmented(p)
+    keyed = s.groupBy(F.col("cluster").alias("id")).agg(F.count("*").alias("size")).filter("id <> 3")
+    rows = s.groupBy("cluster", "industry").agg(F.max("demand_growth_yoy_pct").alias("growth"))
+    return rows.join(keyed, F.col("cluster") == F.col("id"), "left").drop("id")

@@ -9,7 +9,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -86,9 +86,8 @@ def population_scaling(p):
     return x.groupBy("feature").agg(r4(F.avg("v")).alias("mean_before"), r4(F.stddev_pop("v")).alias("sd_before"), r4(F.abs(F.avg("n"))).alias("mean_after"), r4(F.stddev_pop("n")).alias("sd_after"))
 
 
-def balanced(p: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, int]]:
-    """job_id and features, each family's block divided by the root of its width; and the widths."""
-    x = prepared(p)
+def balancer(x: DataFrame, without: tuple[str, ...] = ()):
+    """An encoder fitted on prepared records, which divides each family's block by the root of its width; and the widths."""
     families = {n: c for n, c in FAMILIES.items() if n not in without}
     f = Features(x, [c for n in families for c in families[n] if c in NOMINAL], [c for n in families for c in families[n] if c in NUMERIC], "skills" in families)
     family = {c: n for n, own in families.items() for c in own}
@@ -97,7 +96,14 @@ def balanced(p: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, di
         widths[family[c]] = widths.get(family[c], 0) + n
     scale = [widths[family[c]] ** -0.5 for c, n in f.blocks() for _ in range(n)]
     v = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, scale)), lambda a, b: a * b)
-    return f.transform(x).select("job_id", "job_category", TARGET, array_to_vector(v).alias("features")), widths
+    return (lambda df: f.transform(df).select("job_id", "job_category", TARGET, array_to_vector(v).alias("features"))), widths
+
+
+def balanced(p: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """job_id and features of the records that the encoder is fitted on; and the families' widths."""
+    x = prepared(p)
+    encode, widths = balancer(x, without)
+    return encode(x), widths
 
 
 @over_postings("ml05_family_blocks")
@@ -105,11 +111,10 @@ def family_blocks(p):
     return p.sparkSession.createDataFrame(sorted(balanced(p)[1].items()), "family string, width int")
 
 
-def centred(x: DataFrame) -> DataFrame:
-    """x with features less their mean, which PCA.transform doesn't do."""
-    from pyspark.ml.stat import Summarizer
-
-    mean = x.select(Summarizer.mean(F.col("features")).alias("m")).first().m
+def centred(x: DataFrame, mean=None) -> DataFrame:
+    """x with features less their mean (or one fitted elsewhere), which PCA.transform doesn't do."""
+    if mean is None:
+        mean = x.select(Summarizer.mean(F.col("features")).alias("m")).first().m
     v = F.zip_with(vector_to_array("features"), F.array(*(F.lit(float(e)) for e in mean)), lambda a, b: a - b)
     return x.withColumn("features", array_to_vector(v))
 
@@ -144,8 +149,6 @@ def correlation_filter(p, limit: float = 0.9):
     """Greedy choice over the collected correlation matrix of encoded columns: by variance, if no chosen column is nearer than the limit."""
     x, _ = balanced(p)
     m = Correlation.corr(x.select("features"), "features").first()[0].toArray()
-    from pyspark.ml.stat import Summarizer
-
     var = x.select(Summarizer.variance(F.col("features")).alias("v")).first().v
     kept: list[int] = []
     for i in sorted(range(len(var)), key=lambda i: (-var[i], i)):
@@ -207,10 +210,10 @@ def subsample_stability(p, draws: int = 2, share: float = 0.8):
 
 @over_postings("ml14_representations")
 def representations(p):
-    """Clusters of ablated feature spaces against those of the full one."""
+    """Clusters of ablated feature spaces against those of the full one, and how far they depend on what was left out."""
     spaces = {"R0": (), "R2": ("role",), "R3": ("numeric",), "R4": ("role", "numeric")}
     runs = {n: clustered(reduced(p, without=w), "KMeans", 3).select("job_id", F.col("cluster").alias(n)) for n, w in spaces.items()}
-    return reduce(DataFrame.union, [rand_index(runs["R0"].join(runs[n], "job_id").select(F.col("R0").alias("a"), F.col(n).alias("b"))).select(F.lit(n).alias("space"), "ari") for n in ("R2", "R3", "R4")])
+    return reduce(DataFrame.union, [rand_index(runs["R0"].join(runs[n], "job_id").select(F.col("R0").alias("a"), F.col(n).alias("b"))).select(F.lit(n).alias("space"), "ari", F.when(F.col("ari") < 0.5, "high").when(F.col("ari") < 0.8, "moderate").otherwise("low").alias("dependency_band")) for n in ("R2", "R3", "R4")])
 
 
 @over_postings("ml15_segment_profiles")
@@ -228,7 +231,7 @@ def kmeans_embeddings(spark, sf_dir):
 
 
 def ladder(y_sd: float, n: int) -> dict[str, object]:
-    """The regressors: ridge's penalty is alpha 10 on the target's own scale; boosting has squared loss, as there is no Huber one here."""
+    """The regressors: ridge's penalty is alpha 10 on the target's own scale; boosting here has squared loss; ensembles.HuberBoosting has the Huber one."""
     own = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "predicted"}
     return {
         "Linear Regression": LinearRegression(**own, solver="normal", regParam=1e-6),

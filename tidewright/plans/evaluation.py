@@ -199,9 +199,14 @@ def fit_diagnostics(p):
     return e.select("fold", F.col("m").alias("mae"), F.col("d").alias("dummy_mae"), F.round((F.col("d") - F.col("m")) / F.col("d"), 6).alias("gain"), F.when(F.col("m") < F.col("d"), "better").otherwise("not better").alias("against_dummy"), (wins >= 4).alias("better_in_four"))
 
 
-def labelled(spark, sf_dir, columns: int = 8) -> DataFrame:
-    """vec_id, label, and the first components of each embedding as x."""
-    return table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("vec_id", "label", F.transform(F.slice("embedding", 1, columns), lambda v: v.cast("double")).alias("x"))
+#: Components that SQL_LABELLED has; the queries that are held against it take as many, those named _whole take all.
+SQL_COLUMNS = 8
+
+
+def labelled(spark, sf_dir, columns: int | None = SQL_COLUMNS) -> DataFrame:
+    """vec_id, label, and the first components of each embedding (None: all of them) as x."""
+    x = F.slice("embedding", 1, columns) if columns else F.col("embedding")
+    return table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("vec_id", "label", F.transform(x, lambda v: v.cast("double")).alias("x"))
 
 
 SQL_LABELLED = "v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda e: e::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
@@ -227,9 +232,9 @@ d AS (SELECT vec_id, label, sum(power(e - m, 2)) AS d2 FROM u JOIN c USING (labe
 b AS (SELECT sum(c.n * power(c.m - g.m, 2)) AS b FROM c JOIN g USING (i)), x AS (SELECT a.label AS p, z.label AS q, sqrt(sum(power(a.m - z.m, 2))) AS dist FROM c a JOIN c z ON a.i = z.i AND a.label <> z.label GROUP BY ALL),
 r AS (SELECT p, max((wp.s + wq.s) / dist) AS r FROM x JOIN w wp ON wp.label = p JOIN w wq ON wq.label = q GROUP BY 1)
 SELECT round((SELECT b FROM b) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin, round(sum(w), 4) AS inertia, count(*)::BIGINT AS clusters FROM w""")
-def cluster_validity(spark, sf_dir):
+def cluster_validity(spark, sf_dir, columns: int | None = SQL_COLUMNS):
     """Calinski-Harabasz, Davies-Bouldin and inertia of given labels, from centroids (a row a label and component)."""
-    u = labelled(spark, sf_dir).select("vec_id", "label", F.posexplode("x").alias("i", "e"))
+    u = labelled(spark, sf_dir, columns).select("vec_id", "label", F.posexplode("x").alias("i", "e"))
     c = u.groupBy("label", "i").agg(F.avg("e").alias("m"), F.count("*").alias("n"))
     g = u.groupBy("i").agg(F.avg("e").alias("g"))
     gap = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
@@ -245,13 +250,30 @@ def cluster_validity(spark, sf_dir):
     return t.select(r4(F.expr("b / (k - 1) / (inertia / (n - k))")).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"), r4("inertia").alias("inertia"), F.col("k").alias("clusters"))
 
 
+@over_tables("ag19_cluster_validity_whole")
+def cluster_validity_whole(spark, sf_dir):
+    """cluster_validity over every component of the vectors."""
+    return cluster_validity(spark, sf_dir, None)
+
+
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x to those of y, from one matrix product; where that loses digits, from the differences."""
+    size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    d = size - 2 * (x @ y.T)
+    i, j = np.nonzero(d < 1e-6 * size)
+    for k in range(0, len(i), 20_000):
+        a, b = i[k : k + 20_000], j[k : k + 20_000]
+        d[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(d, 0, out=d), out=d)
+
+
 def _distances(pair: pd.DataFrame) -> pd.DataFrame:
     """Of two tiles: for each vector of the first, the sum of its distances to the second's vectors by label, and their number."""
     from_, to = pair[pair["side"] == 0], pair[pair["side"] == 1]
     if from_.empty or to.empty:
         return pd.DataFrame({"vec_id": [], "label": [], "other": [], "t": [], "n": []})
     x, y = np.stack(from_["x"].to_numpy()), np.stack(to["x"].to_numpy())
-    d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0))
+    d = _gaps(x, y)
     d[from_["vec_id"].to_numpy()[:, None] == to["vec_id"].to_numpy()[None, :]] = 0
     parts = []
     for other, at in to.reset_index(drop=True).groupby("label").groups.items():
@@ -261,9 +283,9 @@ def _distances(pair: pd.DataFrame) -> pd.DataFrame:
 
 
 @over_tables("ag19_silhouette", f"WITH {SQL_LABELLED}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS t, count(*) FILTER (WHERE a.vec_id <> b.vec_id) AS n FROM v a JOIN v b ON true GROUP BY ALL), m AS (SELECT vec_id, label, max(CASE WHEN label = other AND n > 0 THEN t / n END) AS a, min(CASE WHEN label <> other THEN t / n END) AS b FROM d GROUP BY ALL) SELECT label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*)::BIGINT AS members FROM m GROUP BY 1")
-def silhouette(spark, sf_dir, tile: int = 500):
-    """Euclidean silhouette of given labels, whole: tiles of vectors meet in pairs, and a pair gives sums by label, not distances. The work grows with the square of the vectors, as the measure does."""
-    v = labelled(spark, sf_dir)
+def silhouette(spark, sf_dir, tile: int = 500, columns: int | None = SQL_COLUMNS):
+    """Euclidean silhouette of given labels over every pair of vectors: tiles of them meet in pairs, and a pair gives sums by label, not distances. The work grows with the square of the vectors, as the measure does."""
+    v = labelled(spark, sf_dir, columns)
     tiles = max(1, -(-v.count() // tile))
     v = v.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
@@ -275,6 +297,12 @@ def silhouette(spark, sf_dir, tile: int = 500):
     return m.groupBy("label").agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"), F.count("*").alias("members"))
 
 
+@over_tables("ag19_silhouette_whole")
+def silhouette_whole(spark, sf_dir):
+    """silhouette over every component of the vectors; larger tiles, so that a long row is sent to fewer of them."""
+    return silhouette(spark, sf_dir, 2000, None)
+
+
 @over_tables("ag20_balance", f"WITH {SQL_LABELLED}, g AS (SELECT label, count(*)::DOUBLE AS n FROM v GROUP BY 1), s AS (SELECT n / sum(n) OVER () AS s FROM g) SELECT round(-sum(s * ln(s)) / ln(count(*)), 6) AS entropy, round(min(s), 6) AS least_share FROM s")
 def balance(spark, sf_dir):
     g = labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
@@ -296,10 +324,17 @@ def labelling_pairs(spark, sf_dir):
 
 
 @over_tables("ag32_block_norms", f"WITH {SQL_LABELLED}, u AS (SELECT vec_id, generate_subscripts(x, 1) <= 2 AS narrow, unnest(x) AS e FROM v), b AS (SELECT vec_id, narrow, sum(e * e) AS before, sum(e * e) / count(*) AS after FROM u GROUP BY ALL) SELECT CASE WHEN narrow THEN 'narrow' ELSE 'wide' END AS family, round(sqrt(sum(before)), 6) AS norm_before, round(avg(sqrt(before)), 6) AS row_before, round(sqrt(sum(after)), 6) AS norm_after, round(avg(sqrt(after)), 6) AS row_after FROM b GROUP BY 1")
-def block_norms(spark, sf_dir):
-    """Frobenius norm and mean row length of two column families, before and after each is divided by the root of its width."""
+def block_norms(spark, sf_dir, columns: int | None = SQL_COLUMNS):
+    """Frobenius norm and mean row length of two column families (the first two components, and the rest), before and after each is divided by the root of its width."""
     sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
-    v = labelled(spark, sf_dir)
-    parts = F.array(*(F.struct(F.lit(n).alias("family"), sq(F.slice("x", s, k)).alias("b"), (sq(F.slice("x", s, k)) / k).alias("a")) for n, s, k in (("narrow", 1, 2), ("wide", 3, 6))))
+    v = labelled(spark, sf_dir, columns)
+    blocks = (("narrow", F.slice("x", 1, 2)), ("wide", F.slice("x", F.lit(3), F.greatest(F.size("x") - 2, F.lit(0)))))
+    parts = F.array(*(F.struct(F.lit(n).alias("family"), sq(x).alias("b"), (sq(x) / F.size(x)).alias("a")) for n, x in blocks))
     g = v.select(F.inline(parts)).groupBy("family")
     return g.agg(F.round(F.sqrt(F.sum("b")), 6).alias("norm_before"), F.round(F.avg(F.sqrt("b")), 6).alias("row_before"), F.round(F.sqrt(F.sum("a")), 6).alias("norm_after"), F.round(F.avg(F.sqrt("a")), 6).alias("row_after"))
+
+
+@over_tables("ag32_block_norms_whole")
+def block_norms_whole(spark, sf_dir):
+    """block_norms over every component of the vectors."""
+    return block_norms(spark, sf_dir, None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_TOKENS, TARGET, skill_tokens
 from tidewright.plans.base import over_postings, over_tables, r4
-from tidewright.plans.evaluation import labelled, metrics, outer_folds, rand_index
+from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index
 
 NOMINAL = ["job_title", "job_category", "education_required", "country", "remote_work", "company_size", "industry"]
 NUMERIC = ["years_of_experience", "demand_score", "benefits_score_10", "skill_count"]
@@ -61,6 +62,13 @@ class Features:
         sizes = self.model.stages[1].categorySizes if self.nominal else []
         return [*((c, n - 1) for c, n in zip(self.nominal, sizes, strict=True)), *((c, 1) for c in self.numeric), *([("skills", len(self.tokens.vocabulary))] if self.skills else [])]
 
+    def columns(self) -> list[tuple[str, str]]:
+        """Original column and name of each encoded one, in order."""
+        labels = dict(zip(self.nominal, self.model.stages[0].labelsArray, strict=True)) if self.nominal else {}
+        if self.skills:
+            labels["skills"] = self.tokens.vocabulary
+        return [(c, f"{c}={labels[c][i]}" if c in labels else c) for c, n in self.blocks() for i in range(n)]
+
 
 @over_postings("ml01_multi_hot", f", t AS (SELECT job_id, {SQL_TOKENS} AS a FROM p), w AS (SELECT count(DISTINCT u)::INTEGER AS width FROM (SELECT unnest(a) AS u FROM t)) SELECT job_id, width, coalesce(len(a), 0)::INTEGER AS n_on FROM t CROSS JOIN w")
 def multi_hot(p):
@@ -241,10 +249,9 @@ def ladder(y_sd: float, n: int) -> dict[str, object]:
     }
 
 
-def cross_validated(p: DataFrame, models: list[str], folds: int = 2, **features) -> DataFrame:
-    """Out-of-fold predictions of the models on the last expanding folds: every encoder and model sees its fold's history alone."""
+def each_fold(p: DataFrame, models: list[str], folds: int = N_OUTER, **features) -> Iterator[DataFrame]:
+    """Out-of-fold predictions of the models on the expanding folds (the last ones, if fewer are asked for): every encoder and model sees its fold's history alone."""
     x = prepared(p)
-    out = []
     for fold, month in [tuple(r) for r in outer_folds(p).orderBy(F.desc("fold")).limit(folds).collect()]:  # a row a fold
         train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
         f = Features(train, **features)
@@ -255,38 +262,81 @@ def cross_validated(p: DataFrame, models: list[str], folds: int = 2, **features)
         fitted = {"Dummy Median": dummy} if "Dummy Median" in models else {}
         fitted |= {n: m.fit(encoded).transform(shown).select("job_id", "actual", "predicted") for n, m in ladder(about[0], about[1]).items() if n in models}
         encoded.unpersist()
-        out += [d.select(F.lit(n).alias("model"), F.lit(fold).alias("fold"), "job_id", "actual", "predicted") for n, d in fitted.items()]
-    return reduce(DataFrame.union, out)
+        yield reduce(DataFrame.union, [d.select(F.lit(n).alias("model"), F.lit(fold).alias("fold"), "job_id", "actual", "predicted") for n, d in fitted.items()])
+
+
+def cross_validated(p: DataFrame, models: list[str], folds: int = N_OUTER, **features) -> DataFrame:
+    """model, fold, job_id, actual and predicted of each_fold() in one table."""
+    return reduce(DataFrame.union, each_fold(p, models, folds, **features))
+
+
+SCORES = "model string, fold int, n long, mae double, rmse double, medae double, r2 double, r2_reason string"
+
+
+def fold_scores(p: DataFrame, models: list[str], **features) -> DataFrame:
+    """Metrics of each model and fold. A fold is scored before the next one is fitted, so the driver holds one fold's plan and a row a model."""
+    rows = [tuple(r) for d in each_fold(p, models, **features) for r in d.groupBy("model", "fold").agg(*metrics()).collect()]
+    return p.sparkSession.createDataFrame(rows, SCORES)
 
 
 @over_postings("ml17_model_ladder")
 def model_ladder(p):
-    return cross_validated(p, ["Dummy Median", "Linear Regression", "Ridge", "Random Forest", "Gradient Boosting"]).groupBy("model", "fold").agg(*metrics())
+    return fold_scores(p, ["Dummy Median", "Linear Regression", "Ridge", "Random Forest", "Gradient Boosting"])
+
+
+def feature_sets() -> list[tuple[str, str, dict]]:
+    """kind, name and columns of each ablation: four options, four experiments that add to a core, and each family left out."""
+    every = {"nominal": NOMINAL, "numeric": NUMERIC, "skills": True}
+    core = {"nominal": NOMINAL, "numeric": ["demand_score", "benefits_score_10"], "skills": False}
+    without = lambda own: {"nominal": [c for c in NOMINAL if c not in own], "numeric": [c for c in NUMERIC if c not in own], "skills": "skills" not in own}
+    return [
+        ("option", "A_all", every),
+        ("option", "B_two_strongest", {"nominal": ["job_category"], "numeric": ["years_of_experience"], "skills": False}),
+        ("option", "C_no_job_category", without(["job_category"])),
+        ("option", "D_no_years_of_experience", without(["years_of_experience"])),
+        ("experiment", "A0_core", core),
+        ("experiment", "A1_plus_years", core | {"numeric": [*core["numeric"], "years_of_experience"]}),
+        ("experiment", "A2_experience_level", core | {"nominal": [*NOMINAL, "experience_level"]}),
+        ("experiment", "A6_skills", every),
+        *(("leave_one_out", n, without(own)) for n, own in FAMILIES.items()),
+    ]
 
 
 @over_postings("ml18_ablations")
-def ablations(p):
-    """The same model with each family left out."""
+def ablations(p, models=("Ridge", "Random Forest")):
+    """The same models over each set of features, fold by fold. A set that has two names is fitted once."""
+    names: dict[str, list[tuple[str, str]]] = {}
+    sets = {}
+    for kind, name, own in feature_sets():
+        names.setdefault(repr(own), []).append((kind, name))
+        sets[repr(own)] = own
     out = []
-    for n, own in FAMILIES.items():
-        d = cross_validated(p, ["Ridge"], 1, nominal=[c for c in NOMINAL if c not in own], numeric=[c for c in NUMERIC if c not in own], skills=n != "skills")
-        out.append(d.withColumn("left_out", F.lit(n)))
-    return reduce(DataFrame.union, out).groupBy("left_out").agg(*metrics())
+    for key, own in sets.items():
+        called = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in names[key])))
+        out.append(fold_scores(p, list(models), **own).select(called, "*"))
+    return reduce(DataFrame.union, out)
 
 
 @over_postings("ml19_importance")
 def importance(p):
-    """Impurity importance of encoded columns, rolled up to the original ones."""
+    """Impurity importance in each fold's history: of encoded columns, and rolled up to the original ones and to families."""
     x = prepared(p)
-    f = Features(x)
-    encoded = f.transform(x).select(TARGET, "features")
-    about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
-    imp = ladder(*about)["Random Forest"].fit(encoded).featureImportances.toArray()
-    rows, at = [], 0
-    for c, n in f.blocks():
-        rows.append((c, float(imp[at : at + n].sum())))
-        at += n
-    return p.sparkSession.createDataFrame(rows, "feature string, importance double")
+    family = {c: n for n, own in FAMILIES.items() for c in own}
+    rows = []
+    for fold, month in [tuple(r) for r in outer_folds(p).orderBy("fold").collect()]:  # a row a fold
+        train = x.filter(F.col("period") < month)
+        f = Features(train)
+        encoded = f.transform(train).select(TARGET, "features").persist()
+        about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
+        imp = ladder(*about)["Random Forest"].fit(encoded).featureImportances.toArray()
+        encoded.unpersist()
+        sums: dict[tuple[str, str, str], float] = {}
+        for (c, name), v in zip(f.columns(), imp, strict=True):
+            for level, own in (("encoded", name), ("raw", c), ("family", family[c])):
+                key = (level, family[c], own)
+                sums[key] = sums.get(key, 0.0) + float(v)
+        rows += [(fold, *key, v) for key, v in sums.items()]
+    return p.sparkSession.createDataFrame(rows, "fold int, level string, family string, feature string, importance double")
 
 
 @over_postings("ml21_tuning")
@@ -305,33 +355,50 @@ def tuning(p, trees=(8, 16), depths=(4, 8)):
     return reduce(DataFrame.union, out).withColumn("place", F.rank().over(W.orderBy("mae")))
 
 
+def dealt_anew(valid: DataFrame, groups: list[tuple[str, str, list[str]]], repeats: int) -> DataFrame:
+    """valid for each group of columns (kind, name, columns) and repeat, with the group's values from another row.
+
+    Rows ordered by a seeded hash inside each month give their neighbours' values, the first row's go to the
+    last one. All columns of a group come from one row; a repeat deals the same way for every group.
+    """
+    every = sorted({c for _, _, own in groups for c in own})
+    w = W.partitionBy("period", "repeat").orderBy(F.xxhash64("job_id", F.col("repeat").cast("int")), "job_id")
+    x = valid.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    values = F.struct(*every)
+    x = x.withColumn("__moved", F.coalesce(F.lead(values).over(w), F.first(values).over(w)))
+    x = x.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("feature"), F.array(*map(F.lit, own)).alias("own")) for k, n, own in groups))).alias("__g"))
+    moved = {c: F.when(F.array_contains("__g.own", c), F.col(f"__moved.{c}")).otherwise(F.col(c)) for c in every}
+    return x.withColumns(moved).select("*", "__g.kind", "__g.feature").drop("__g", "__moved")
+
+
 @over_postings("ml24_permutation")
-def permutation(p, repeats: int = 2):
-    """Rise of the error when a column's values are dealt anew: rows ordered by a seeded hash inside each month give their neighbours' values."""
+def permutation(p, repeats: int = 12):
+    """Rise of the error in each fold when the values of a column, or of a whole family's columns together, are dealt anew."""
     x = prepared(p)
-    month = outer_folds(p).agg(F.max("month")).first()[0]
-    train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
-    f = Features(train)
-    encoded = f.transform(train).select(TARGET, "features")
-    about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
-    model = ladder(*about)["Ridge"].fit(encoded)
-    score = lambda d: model.transform(f.transform(d)).select(F.avg(F.abs(F.col(TARGET) - F.col("predicted"))).alias("mae"))
-    base = score(valid).withColumnRenamed("mae", "base")
+    groups = [("raw_feature", c, [c]) for c in (*NOMINAL, *NUMERIC, "skills")] + [("joint_family", n, own) for n, own in FAMILIES.items()]
     out = []
-    for c in ("job_category", "years_of_experience", "country", "demand_score"):
-        for r in range(repeats):
-            w = W.partitionBy("period").orderBy(F.xxhash64("job_id", F.lit(r)))
-            moved = valid.withColumn(c, F.coalesce(F.lead(c).over(w), F.first(c).over(w)))
-            out.append(score(moved).select(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), "mae"))
-    return reduce(DataFrame.union, out).crossJoin(F.broadcast(base)).groupBy("feature").agg(F.count("*").alias("repeats"), F.avg(F.col("mae") - F.col("base")).alias("mean_increase"), F.stddev_pop("mae").alias("sd"))
+    for fold, month in [tuple(r) for r in outer_folds(p).orderBy("fold").collect()]:  # a row a fold
+        train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
+        f = Features(train)
+        encoded = f.transform(train).select(TARGET, "features").persist()
+        about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
+        model = ladder(*about)["Ridge"].fit(encoded)
+        encoded.unpersist()
+        error = F.avg(F.abs(F.col(TARGET) - F.col("predicted")))
+        base = model.transform(f.transform(valid)).agg(error.alias("base"))
+        scored = model.transform(f.transform(dealt_anew(valid, groups, repeats))).groupBy("kind", "feature", "repeat").agg(error.alias("mae"))
+        # a row a group and repeat; the driver holds one fold's plan
+        out += [(fold, *r) for r in scored.crossJoin(F.broadcast(base)).collect()]
+    made = p.sparkSession.createDataFrame(out, "fold int, kind string, feature string, repeat int, mae double, base double")
+    return made.groupBy("fold", "kind", "feature").agg(F.count("*").alias("repeats"), F.avg(F.col("mae") - F.col("base")).alias("mean_increase"), F.stddev_pop("mae").alias("sd"))
 
 
 @over_postings("ml26_variants")
 def variants(p):
     """All features against the two strongest, on the same folds."""
-    full = cross_validated(p, ["Random Forest"], 1).withColumn("variant", F.lit("full"))
-    two = cross_validated(p, ["Random Forest"], 1, nominal=["job_category"], numeric=["years_of_experience"], skills=False).withColumn("variant", F.lit("top2"))
-    return full.union(two).groupBy("variant", "fold").agg(*metrics())
+    full = fold_scores(p, ["Random Forest"]).withColumn("variant", F.lit("full"))
+    two = fold_scores(p, ["Random Forest"], nominal=["job_category"], numeric=["years_of_experience"], skills=False).withColumn("variant", F.lit("top2"))
+    return full.union(two).select("variant", *[c for c in two.columns if c not in ("model", "variant")])
 
 
 @over_postings("ml23_locked_test")

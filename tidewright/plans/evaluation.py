@@ -297,6 +297,50 @@ def silhouette(spark, sf_dir, tile: int = 500, columns: int | None = SQL_COLUMNS
     return m.groupBy("label").agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"), F.count("*").alias("members"))
 
 
+def _label_sums(pair: pd.DataFrame) -> pd.DataFrame:
+    """Of two tiles: for each row of the first, its distances to the second's rows summed by each labelling's labels (a product with 0/1 columns, 1,000 rows at a time)."""
+    from_, to = pair[pair["side"] == 0], pair[pair["side"] == 1]
+    if from_.empty or to.empty:
+        return pd.DataFrame({"id": [], "sums": []})
+    width = int(pair["width"].iloc[0])
+    x, y = np.stack(from_["x"].to_numpy()), np.stack(to["x"].to_numpy())
+    labels = np.stack(to["labels"].to_numpy())
+    on = np.zeros((len(y), labels.shape[1] * width))
+    for c in range(labels.shape[1]):
+        on[np.arange(len(y)), c * width + labels[:, c]] = 1
+    sums = np.concatenate([_gaps(x[k : k + 1000], y) @ on for k in range(0, len(x), 1000)])
+    return pd.DataFrame({"id": from_["id"].to_numpy(), "sums": list(sums)})
+
+
+def silhouettes(v: DataFrame, tile: int = 8000) -> list[float]:
+    """The mean Euclidean silhouette of each of several labellings: v has id (unique), labels (an array of small numbers from 0 on, one a labelling) and x, the place.
+
+    All labellings share one pass over the pairs of rows, which grows with their square as the measure does.
+    Pairs of tiles give sums by label. A row alone in its cluster counts 0.
+    """
+    v = v.withColumn("id", F.col("id").cast("string")).persist()
+    width = v.agg(F.max(F.array_max("labels"))).first()[0] + 1
+    counts = {(r.at, r.label): r["count"] for r in v.select(F.posexplode("labels").alias("at", "label")).groupBy("at", "label").count().collect()}  # a row a label
+    number = max(at for at, _ in counts) + 1
+    tiles = max(1, -(-v.count() // tile))
+    t = v.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("width", F.lit(int(width)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    one = t.select("id", "labels", "x", "width", F.lit(0).alias("side"), F.col("tile").alias("i"), every.alias("j"))
+    two = t.select("id", "labels", "x", "width", F.lit(1).alias("side"), F.col("tile").alias("j"), every.alias("i")).select(*one.columns)
+    parts = one.union(two).groupBy("i", "j").applyInPandas(_label_sums, "id string, sums array<double>")
+    cells = parts.select("id", F.posexplode("sums").alias("cell", "t")).groupBy("id", "cell").agg(F.sum("t").alias("t"))
+    cells = cells.select("id", F.floor(F.col("cell") / width).cast("int").alias("at"), (F.col("cell") % width).alias("label"), "t")
+    n = v.sparkSession.createDataFrame([(*k, m) for k, m in counts.items()], "at int, label int, n long")
+    own = v.select("id", F.posexplode("labels").alias("at", "own"))
+    d = cells.join(F.broadcast(n), ["at", "label"]).join(own, ["id", "at"])
+    same = F.col("label") == F.col("own")
+    m = d.groupBy("id", "at").agg(F.max(F.when(same & (F.col("n") > 1), F.col("t") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("t") / F.col("n"))).alias("b"))
+    value = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    made = {r.at: r.s for r in m.groupBy("at").agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(value)).alias("s")).collect()}
+    v.unpersist()
+    return [made[i] for i in range(number)]
+
+
 @over_tables("ag19_silhouette_whole")
 def silhouette_whole(spark, sf_dir):
     """silhouette over every component of the vectors; larger tiles, so that a long row is sent to fewer of them."""

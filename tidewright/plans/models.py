@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_TOKENS, TARGET, skill_tokens
 from tidewright.plans.base import over_postings, over_tables, r4
-from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index
+from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index, silhouettes
 
 NOMINAL = ["job_title", "job_category", "education_required", "country", "remote_work", "company_size", "industry"]
 NUMERIC = ["years_of_experience", "demand_score", "benefits_score_10", "skill_count"]
@@ -147,9 +148,22 @@ def top_loadings(p, components: int = 3, n: int = 10):
     return p.sparkSession.createDataFrame(rows, "component int, feature int, loading double")
 
 
-def reduced(p: DataFrame, k: int = 5, without: tuple[str, ...] = ()) -> DataFrame:
-    x = centred(balanced(p, without)[0])
-    return PCA(k=k, inputCol="features", outputCol="z").fit(x).transform(x).select("job_id", "job_category", TARGET, "z")
+def components_for(explained, share: float = 0.85) -> int:
+    """How many of the components whose shares of the variance are given reach the share in all; two at least, all if they don't."""
+    total = 0.0
+    for i, v in enumerate(explained, 1):
+        total += float(v)
+        if i >= 2 and total >= share:
+            return i
+    return len(explained)
+
+
+def reduced(p: DataFrame, share: float = 0.85, most: int = 25, without: tuple[str, ...] = ()) -> DataFrame:
+    """Records in the space of the components that hold the share of the variance (2 to `most`, by the rule of ml06_pca_variance)."""
+    x, widths = balanced(p, without)
+    model = PCA(k=min(most, sum(widths.values())), inputCol="features", outputCol="z").fit(x)
+    z = F.slice(vector_to_array("z"), 1, components_for(model.explainedVariance, share))
+    return model.transform(centred(x)).select("job_id", "job_category", TARGET, array_to_vector(z).alias("z"))
 
 
 @over_postings("ml09_correlation_filter")
@@ -165,9 +179,13 @@ def correlation_filter(p, limit: float = 0.9):
     return p.sparkSession.createDataFrame([(i, i in set(kept)) for i in range(len(var))], "feature int, selected boolean")
 
 
+def estimator(algorithm: str, k: int, seed: int = 42):
+    own = {"k": k, "seed": seed, "featuresCol": "z", "predictionCol": "cluster"}
+    return KMeans(**own) if algorithm == "KMeans" else GaussianMixture(**own, maxIter=40)
+
+
 def clustered(x: DataFrame, algorithm: str, k: int, seed: int = 42) -> DataFrame:
-    est = KMeans(k=k, seed=seed, featuresCol="z", predictionCol="cluster") if algorithm == "KMeans" else GaussianMixture(k=k, seed=seed, maxIter=40, featuresCol="z", predictionCol="cluster")
-    return est.fit(x).transform(x).select("job_id", "cluster", "z", "job_category", TARGET)
+    return estimator(algorithm, k, seed).fit(x).transform(x).select("job_id", "cluster", "z", "job_category", TARGET)
 
 
 @over_postings("ml10_cluster_assignments")
@@ -175,23 +193,54 @@ def cluster_assignments(p):
     return clustered(reduced(p), "KMeans", 3).select("job_id", "cluster")
 
 
+def converged(model) -> bool:
+    """Whether a mixture stopped before its last iteration; k-means always counts."""
+    return not isinstance(model, GaussianMixtureModel) or model.summary.numIter < model.getMaxIter()
+
+
+def choose(rows: list[dict], tolerance: float = 0.01) -> tuple[dict, str]:
+    """The chosen candidate and the pool it is from: balanced and converged ones, else converged ones, else all.
+
+    Of those within the tolerance of the pool's best silhouette: the least K, then KMeans, then the better silhouette.
+    """
+    pools = (("balanced_converged", [r for r in rows if r["balance_gate"] and r["convergence_gate"]]), ("converged", [r for r in rows if r["convergence_gate"]]), ("all", rows))
+    name, pool = next(x for x in pools if x[1])
+    best = max(r["silhouette"] for r in pool)
+    short = [r for r in pool if r["silhouette"] >= best - tolerance]
+    return min(short, key=lambda r: (r["k"], r["algorithm"] != "KMeans", -r["silhouette"])), name
+
+
 @over_postings("ml11_candidates")
-def candidates(p, ks=(2, 3, 4)):
-    """Each algorithm and K: sizes, balance, and Calinski-Harabasz; the chosen one is the largest of the candidates that pass the share gate (all, if none does)."""
+def candidates(p, ks=tuple(range(2, 9)), least: float = 0.05):
+    """Each algorithm and K: silhouette, Calinski-Harabasz, balance and its gate, convergence and its gate; and which one is chosen, from which pool.
+
+    The silhouettes of all candidates come from one pass over the pairs of records. A candidate of one cluster alone is left out.
+    """
     x = reduced(p).persist()
-    rows = []
+    at, rows = x.select("job_id", "z"), []
     for algorithm in ("KMeans", "GMM"):
         for k in ks:
-            z = clustered(x, algorithm, k).select("cluster", F.posexplode(vector_to_array("z")).alias("i", "v"))
-            s = z.groupBy("cluster", "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-            g = s.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("q").alias("q"), F.sum("s").alias("s"), F.min("n").alias("least"), F.count("*").alias("k"))
-            r = g.agg(F.sum(F.col("b") - F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("q") - F.col("b")).alias("within"), F.max("n").alias("n"), F.min("least").alias("least"), F.max("k").alias("k")).first()
-            ch = r.between / max(1, r.k - 1) / (r.within / (r.n - r.k)) if r.within else 0.0
-            rows.append((algorithm, k, int(r.k), r.least / r.n, ch))
+            model = estimator(algorithm, k).fit(x)
+            c = model.transform(x).select("job_id", "cluster", F.posexplode(vector_to_array("z")).alias("i", "v"))
+            s = c.groupBy("cluster", "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).toPandas()  # a row a cluster and component
+            sizes = s[s["i"] == 0]["n"].to_numpy()
+            if len(sizes) < 2:
+                continue
+            n = int(sizes.sum())
+            between = (s["s"] ** 2 / s["n"]).sum() - (s.groupby("i")["s"].sum() ** 2 / n).sum()
+            within = s["q"].sum() - (s["s"] ** 2 / s["n"]).sum()
+            ch = float(between / (len(sizes) - 1) / (within / (n - len(sizes)))) if within > 0 and n > len(sizes) else 0.0
+            share = sizes / n
+            entropy = float(-(share * np.log(share)).sum() / np.log(k))
+            rows.append({"algorithm": algorithm, "k": k, "clusters": len(sizes), "least_share": float(share.min()), "balance_entropy": entropy, "calinski_harabasz": ch, "balance_gate": bool(share.min() >= least), "convergence_gate": converged(model)})
+            at = model.setPredictionCol(f"c{len(rows) - 1}").transform(at).drop("probability")
+    values = silhouettes(at.select(F.col("job_id").alias("id"), F.array(*(f"c{i}" for i in range(len(rows)))).alias("labels"), vector_to_array("z").alias("x")))
     x.unpersist()
-    passed = [r for r in rows if r[3] >= 0.05] or rows
-    best = max(passed, key=lambda r: r[4])
-    return p.sparkSession.createDataFrame([(*r, r is best) for r in rows], "algorithm string, k int, clusters int, least_share double, calinski_harabasz double, selected boolean")
+    for r, v in zip(rows, values, strict=True):
+        r["silhouette"] = v
+    best, pool = choose(rows)
+    names = ["algorithm", "k", "clusters", "silhouette", "least_share", "balance_entropy", "calinski_harabasz", "balance_gate", "convergence_gate"]
+    return p.sparkSession.createDataFrame([(*(r[n] for n in names), r is best, pool) for r in rows], "algorithm string, k int, clusters int, silhouette double, least_share double, balance_entropy double, calinski_harabasz double, balance_gate boolean, convergence_gate boolean, selected boolean, pool string")
 
 
 @over_postings("ml12_seed_stability")
@@ -205,23 +254,32 @@ def seed_stability(p, seeds=(42, 7, 101)):
 
 
 @over_postings("ml13_subsample_stability")
-def subsample_stability(p, draws: int = 2, share: float = 0.8):
-    """Adjusted Rand index of subsamples (by seeded hash) against all records, on what they share."""
+def subsample_stability(p, draws: int = 8, share: float = 0.85, least: float = 0.75):
+    """Adjusted Rand index of subsamples of floor(share) of the records (the first by seeded hash) against all records, on what they share; with their mean, deviation, tenth percentile, least one, and whether the mean passes the gate."""
     x = reduced(p).persist()
     whole = clustered(x, "KMeans", 3).select("job_id", F.col("cluster").alias("a"))
-    out = []
+    size = int(x.count() * share)
+    rows = []
     for d in range(draws):
-        part = x.filter(F.pmod(F.xxhash64("job_id", F.lit(d)), F.lit(1000)) < int(share * 1000))
-        out.append(rand_index(clustered(part, "KMeans", 3).select("job_id", F.col("cluster").alias("b")).join(whole, "job_id").select("a", "b")).select(F.lit(d).alias("draw"), "ari"))
-    return reduce(DataFrame.union, out)
+        part = x.orderBy(F.xxhash64("job_id", F.lit(d)), "job_id").limit(size).persist()
+        pairs = clustered(part, "KMeans", 3, 42 + d).select("job_id", F.col("cluster").alias("b")).join(whole, "job_id").select("a", "b")
+        rows.append((d, size, rand_index(pairs).first().ari))
+        part.unpersist()
+    x.unpersist()
+    ari = np.array([r[2] for r in rows])
+    summary = (float(ari.mean()), float(ari.std(ddof=1)) if draws > 1 else 0.0, float(np.quantile(ari, 0.1)), float(ari.min()), bool(ari.mean() >= least))
+    return p.sparkSession.createDataFrame([(*r, *summary) for r in rows], "draw int, sample_rows long, ari double, mean double, sd double, p10 double, least double, stability_gate boolean")
 
 
 @over_postings("ml14_representations")
 def representations(p):
-    """Clusters of ablated feature spaces against those of the full one, and how far they depend on what was left out."""
+    """Clusters of the family-wise space (R1) and of ablated feature spaces against those of the full one, and how far they depend on what was left out."""
+    from tidewright.plans.ensembles import family_spaces  # which imports this module
+
     spaces = {"R0": (), "R2": ("role",), "R3": ("numeric",), "R4": ("role", "numeric")}
-    runs = {n: clustered(reduced(p, without=w), "KMeans", 3).select("job_id", F.col("cluster").alias(n)) for n, w in spaces.items()}
-    return reduce(DataFrame.union, [rand_index(runs["R0"].join(runs[n], "job_id").select(F.col("R0").alias("a"), F.col(n).alias("b"))).select(F.lit(n).alias("space"), "ari", F.when(F.col("ari") < 0.5, "high").when(F.col("ari") < 0.8, "moderate").otherwise("low").alias("dependency_band")) for n in ("R2", "R3", "R4")])
+    places = {n: reduced(p, without=w).select("job_id", "z") for n, w in spaces.items()} | {"R1": family_spaces(p)[0]}
+    runs = {n: estimator("KMeans", 3).fit(z).transform(z).select("job_id", F.col("cluster").alias(n)) for n, z in places.items()}
+    return reduce(DataFrame.union, [rand_index(runs["R0"].join(runs[n], "job_id").select(F.col("R0").alias("a"), F.col(n).alias("b"))).select(F.lit(n).alias("space"), "ari", F.when(F.col("ari") < 0.5, "high").when(F.col("ari") < 0.8, "moderate").otherwise("low").alias("dependency_band")) for n in ("R1", "R2", "R3", "R4")])
 
 
 @over_postings("ml15_segment_profiles")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import components, cut, short_batches, table
+from tidewright.llm.minhash import _tile_pairs
+from tidewright.llm.runs import bounds, groups
 
 #: A walk covers WALK characters in 3 * WALK steps and starts anew for the next ones, so that all parts of a
 #: text are walked side by side.
@@ -285,34 +287,85 @@ def within_edits(a: str, b: str, most: int) -> bool:
     return False
 
 
+#: Texts of a bucket's tile.
+TILE = 128
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's sorted distinct trigrams and how often each comes."""
+    t = _code_points(text).astype(_U)
+    return np.unique((t[:-2] << _U(42)) ^ (t[1:-1] << _U(21)) ^ t[2:], return_counts=True)
+
+
+def _may_be_within(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], longest: int, most: int) -> bool:
+    """Whether two texts share enough trigrams: an edit takes three at most from the longer text's."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum()) >= longest - 2 - 3 * most
+
+
+def forest_within(texts: list[str], most_edits: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within most_edits of the longer text: what fails against one root is tried against the others."""
+    grams = [_grams(t) if len(t) > 2 else None for t in texts]
+
+    def near(x: int, y: int) -> bool:
+        a, b, longest = texts[x], texts[y], max(len(texts[x]), len(texts[y]))
+        most = int(most_edits * longest)
+        if abs(len(a) - len(b)) > most:
+            return False
+        if grams[x] and grams[y] and not _may_be_within(grams[x], grams[y], longest, most):
+            return False
+        return within_edits(a, b, most)
+
+    forest, rest = [], list(range(len(texts)))
+    while rest:
+        front = [rest.pop(0)]
+        while front and rest:
+            x = front.pop()
+            hit = [y for y in rest if near(x, y)]
+            forest += [(x, y) for y in hit]
+            front += hit
+            rest = [y for y in rest if y not in set(hit)] if hit else rest
+    return forest
+
+
 def near_documents(docs: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
-    """(doc_id, component_id): documents joined with the least one of their bucket within most_edits of the longer text.
+    """(doc_id, component_id): documents joined with all of their bucket within most_edits of the longer text.
 
-    Bands of sampled steps make buckets; each document is compared with its bucket's least document
-    alone, by its true edit distance, so a bucket of any size gives one pair for each member. This is a
-    search by fingerprint, whose recall depends on the bands; it isn't an exact join. Documents without an
-    id or a text are left out.
+    Bands of sampled steps make buckets of different texts. In each a forest of the pairs within the
+    edit distance is grown; large buckets are cut into tiles that meet in pairs, so every pair of a bucket is
+    tried or joined already. This is a search by fingerprint, whose recall depends on the bands; it isn't an exact join.
+    Documents without an id or a text are left out.
     """
     short_batches(docs.sparkSession)
     own = docs.filter("doc_id is not null and text <> ''").groupBy("doc_id").agg(F.min("text").alias("text"))
+    shown = own.withColumn("hash", F.sha2("text", 256))
+    classes = cut(shown.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("text").alias("text")))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(e) for e in embed([_code_points(t) for t in b["text"].to_pylist()])], pa.string())], ["node", "fingerprint"])
-
-    keys = cut(own.mapInArrow(printed, "node long, fingerprint string").mapInArrow(_banded, "node long, key long").distinct())
-    least = keys.groupBy("key").agg(F.min("node").alias("b"))
-    pairs = keys.join(least, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    a, b = own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), own.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    check = F.pandas_udf(lambda x, y: _within(x, y, most_edits), "boolean")
-    groups = components(pairs.join(a, "a").join(b, "b").filter(check("x", "y")).select("a", "b"))
-    return own.select("doc_id").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _within(x, y, most_edits: float):
-    import pandas as pd
-
-    return pd.Series([within_edits(a, b, int(most_edits * max(len(a), len(b)))) for a, b in zip(x, y, strict=True)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([fingerprint(e) for e in embed([_code_points(t) for t in b["text"].to_pylist()])], pa.string())], ["node", "fingerprint"])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = ["key", "i", "j"]
+        for t in groups(batches, by):
+            a, b, ends, node = [], [], bounds(t, by), t["node"].to_numpy()
+            for begin, end in zip(ends[:-1], ends[1:], strict=True):
+                pairs = forest_within(t["text"][begin:end].to_pylist(), most_edits) if end - begin > 1 else []
+                a += [int(node[begin + x]) for x, _ in pairs]
+                b += [int(node[begin + y]) for _, y in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    keys = cut(classes.select("node", "text").mapInArrow(printed, "node long, fingerprint string").mapInArrow(_banded, "node long, key long").distinct())
+    # buckets with the same members, by two sums of hashes, are one
+    sums = (F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), *sums).filter("n > 1").groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
+    sizes = buckets.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    placed = keys.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = placed.select("key", _tile_pairs("tile", "tiles").alias("p"), "node").select("key", "p.i", "p.j", "node").join(classes.select("node", "text"), "node")
+    likely = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grown, "a long, b long")
+    found = components(likely)
+    out = shown.select("doc_id", "hash").join(classes.select("hash", "node"), "hash").join(found, "node", "left")
+    return out.select("doc_id", F.coalesce("component", "node").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

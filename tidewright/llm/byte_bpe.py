@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, short_batches, table
+from tidewright.llm.common import alone_in_worker, table
 
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_BYTES are never kept.
 REMEMBER, REMEMBER_BYTES = 150_000, 64
@@ -177,7 +177,6 @@ class Codec:
             for s in ids:
                 yield pd.Series([own.decode(x) if x else b"" for x in s], dtype=object)
 
-        short_batches(spark)
         self._round_trip, self._decode = round_trip, decode
 
     def round_trip(self, text: Column) -> Column:

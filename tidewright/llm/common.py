@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,27 +57,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders that cut() wrote in this driver and that are still there.
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a written table in the shared folder: computed once, with known size, and safe if executors go."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove a table made by cut() which no later step reads."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
+        _CUTS[:] = [x for x in _CUTS if x.rpartition("/")[2] != path.rpartition("/")[2]]
+
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove every table that cut() wrote, once the results made from them are written: results read them until then."""
+    while _CUTS:
+        _remove(spark, _CUTS.pop())
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers get texts in batches of at most so many rows, which bounds their memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows, which bound what a worker makes of them at once.
+
+    Batches themselves are bounded by Spark, by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB
+    unless the session says otherwise), so a run of very long texts comes in short batches.
+    """
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
 
 
 _HELD: list[dict] = []
@@ -86,8 +107,6 @@ def alone_in_worker(cache: dict) -> None:
         import ctypes
         import gc
 
-        import pyarrow as pa
-
         _HELD[0].clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -101,22 +120,51 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, at_once: int = 1_000_000) -> DataFrame:
+def forest(linked: np.ndarray, across: int | None = None) -> np.ndarray:
+    """Edges (rows of two numbers) that join what a symmetric matrix of links joins: at most a row less than nodes.
+
+    With across, linked has the links of nodes 0..across-1 (rows) with the nodes from `across` on (columns).
+    """
+    n = len(linked) if across is None else sum(linked.shape)
+    out, rest = [], np.ones(n, bool)
+    for root in range(n if across is None else across):
+        if not rest[root]:
+            continue
+        rest[root], front = False, [root]
+        while front:
+            x = front.pop()
+            if across is None:
+                hit = np.flatnonzero(linked[x] & rest)
+            elif x < across:
+                hit = across + np.flatnonzero(linked[x] & rest[across:])
+            else:
+                hit = np.flatnonzero(linked[:, x - across] & rest[:across])
+            if len(hit):
+                rest[hit] = False
+                front.extend(hit.tolist())
+                out.append(np.column_stack([np.full(len(hit), x), hit]))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def tile_pairs(tile: str, tiles: str) -> Column:
+    """Each tile meets every tile of its group, itself included: the pairs (i, j), i <= j, that a row goes to."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda u: F.struct(F.least(u, F.col(tile)).alias("i"), F.greatest(u, F.col(tile)).alias("j"))))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b): component is the least node reachable.
 
     Alternating large-star and small-star steps: each edge is moved towards the least neighbour until
     every component is a star around its least node. A step is one minimum per node (partial
-    aggregation) and a join, in which nodes with very many edges are apart (unless there are at_once
-    edges at most in all, which one task can hold); the state is written to the shared folder after each round. Self loops
-    and repeated edges are fine; an empty input gives an empty result. Nulls are dropped.
+    aggregation) and a join, in which nodes with very many edges are apart at every size: their least
+    neighbours are broadcast, so that no task gets a hub's rows. The state is written to the shared folder after each
+    round. Self loops and repeated edges are fine; an empty input gives an empty result. Nulls are dropped.
     """
 
     def with_least(both: DataFrame, rows: int) -> DataFrame:
-        """(a, b, m): m is a's least neighbour. Nodes with a 10,000th of all rows, 20,000 at most, join by broadcast: no task gets a hub's rows."""
-        if rows <= at_once:
-            return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a")
+        """(a, b, m): m is a's least neighbour. A hub has a 10,000th of all rows and 500 at least, so there are 20,000 hubs at most."""
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hub = F.col("n") >= max(1000, rows // 10_000)
+        hub = F.col("n") >= max(500, rows // 10_000)
         hubs = F.broadcast(least.filter(hub).select("a", "m"))
         return both.join(hubs, "a", "left_anti").join(least.filter(~hub).select("a", "m"), "a").union(both.join(hubs, "a"))
 

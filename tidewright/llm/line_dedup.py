@@ -10,43 +10,63 @@ from tidewright.llm.common import SPACE, SQL_SPACE, ascii_lower, aside, cut, res
 MIN_DOCS, MIN_CHARS = 10, 1
 
 
-def _hash(line: Column) -> Column:
-    """64-bit hash of a line's key, null for keys that are too short to count."""
+def _key(line: Column) -> Column:
+    """A lower-cased line's key; null for keys that are too short to count."""
     key = F.trim(line, F.lit(SPACE))
-    return F.when(F.length(key) >= MIN_CHARS, F.xxhash64(key))
+    return F.when(F.length(key) >= MIN_CHARS, key)
+
+
+def _hashes(key: Column) -> Column:
+    """Two 64-bit hashes of a key, by different seeds."""
+    return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
 
 
 def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.split(text, "\n", -1)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text rewritten, plus n_lines and n_dropped.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Lines are exploded as
-    64-bit key hashes, once for each document; hashes found in at least min_docs documents are
-    written as a table (broadcast by Catalyst only if its known size allows), matched against the
-    exploded lines, and gathered for each document; the text is then reassembled by position.
-
-    Every row of docs counts as a document. Null or empty text is one empty line, whose key is too
-    short to drop: it becomes ''. Rows sharing a doc_id, or having none, each keep their own text and
-    lose the same lines as they would alone. Columns other than doc_id and text pass through, whatever
-    their names (n_lines and n_dropped are replaced). An empty table gives an empty one. Keys are compared by hash: two of a trillion
-    distinct lines may meet in 64 bits, which matters only if one of them is frequent.
+    key hashes, once for each document; hashes found in at least min_docs documents are
+    written as a table (broadcast by Catalyst only if its known size allows). Exploded hashes with their positions are
+    matched against it, positions are gathered for each document, and its text is reassembled from the runs of lines
+    between them: work in proportion to its lines, however many of them go.
+
+    Every row of docs counts as a document. A row is known by its doc_id and two hashes of its text, so rows without
+    a doc_id, or sharing one, are apart unless they are equal; equal rows lose the same lines. Null or empty text is
+    one empty line, whose key is too short to drop: it becomes ''. A very long text is one row of hashes and
+    positions at a time; nothing is held but its own lines. Columns other than doc_id and text pass through, whatever
+    their names (n_lines and n_dropped are replaced). An empty table gives an empty one. Keys are compared by 128 bits
+    of hashes: among a trillion distinct lines two meet with probability 1e-15.
     """
     own, back = aside(docs, ("doc_id", "text"), ("n_lines", "n_dropped"))
-    keys = own.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(ascii_lower(F.col("text"))), _hash))).alias("h")).filter("h is not null")
-    frequent = cut(keys.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h"))
-    drops = keys.join(frequent, "h", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h").alias("__drop"))
-    joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hash(ascii_lower(x))), F.lit(False)))
-    n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    out = joined.withColumns({"n_lines": n_lines.cast("long"), "__kept": F.when(F.col("__drop").isNotNull(), kept)})
-    hit = F.col("__kept").isNotNull()
-    out = out.withColumns({
-        "n_dropped": F.when(hit, F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"),
-        "text": F.when(hit, F.array_join("__kept", "\n")).otherwise(F.coalesce("text", F.lit(""))),
+    lowered = _lines(ascii_lower(F.col("text")))
+    seen = own.filter("text <> ''").select(F.inline(F.transform(F.array_compact(F.array_distinct(F.transform(lowered, _key))), _hashes)))
+    frequent = cut(seen.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h", "g"))
+
+    own = own.withColumn("text", F.coalesce("text", F.lit("")))
+    key = {"__a": F.xxhash64("doc_id", "text"), "__b": F.xxhash64(F.lit(1), "text", "doc_id")}
+    at = own.filter("text <> ''").select(*(v.alias(k) for k, v in key.items()), F.posexplode(F.transform(F.transform(lowered, _key), _hashes)).alias("at", "x")).filter("x is not null")
+    hits = at.select("__a", "__b", "at", F.col("x.h").alias("h"), F.col("x.g").alias("g")).join(frequent, ["h", "g"], "left_semi")
+    drops = hits.groupBy("__a", "__b").agg(F.array_sort(F.collect_set("at")).alias("__drop"))
+    joined = own.withColumns(key).join(drops, ["__a", "__b"], "left")
+
+    def between(lines: Column, gone: Column) -> Column:
+        """The lines that stay: the run before each dropped position and the one after the last."""
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+        end = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, begin(i) + 1, end(i) - begin(i))))
+
+    # the lines are bound to a name once: the text isn't split again for each run
+    kept = F.transform(F.array(F.struct(_lines(F.col("text")).alias("l"), F.col("__drop").alias("d"))), lambda x: between(x["l"], x["d"]))[0]
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    hit = F.col("__drop").isNotNull()
+    out = joined.withColumns({
+        "n_lines": n_lines.cast("long"),
+        "n_dropped": F.when(hit, F.size("__drop")).otherwise(0).cast("long"),
+        "text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")),
     })
     return restored(out, back, "n_lines", "n_dropped")
 

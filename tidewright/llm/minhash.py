@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, aside, components, cut, restored, short_batches, small, sql_lower, table
+from tidewright.llm.common import alone_in_worker, aside, components, cut, restored, small, sql_lower, table
 from tidewright.llm.runs import bounds, groups
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
@@ -279,7 +279,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nothing, have a null component and are kept. Rows that share a doc_id are one document in the
     graph: each reports its own set, and all share a component. An empty table gives an empty one.
     """
-    short_batches(docs.sparkSession)
     signed = cut(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, hi long, lo long, keys array<long>, sketch binary"))
     usable = signed.filter("doc_id is not null and hi is not null")
     classes = cut(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, short_batches, table
+from tidewright.llm.common import alone_in_worker, table
 
 #: Weights of the model: 2^BITS hashed features, of which number 0 is the bias.
 BITS = 18
@@ -140,7 +140,6 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     weight vector, of fixed size.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
     @F.pandas_udf("double")

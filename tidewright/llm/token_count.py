@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, short_batches, table
+from tidewright.llm.common import alone_in_worker, table
 
 LIMIT = 4096
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_CHARS are never kept.
@@ -103,7 +103,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     table stays empty, other columns pass through (columns of these three names are replaced). The
     broadcast holds the vocabulary alone.
     """
-    short_batches(docs.sparkSession)
     pieces, by_bytes = read_pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast((path, pieces, by_bytes, prove(pieces, by_bytes)))
 

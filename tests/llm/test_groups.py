@@ -224,28 +224,50 @@ def cost_of(roles, new):
     return total
 
 
-def test_repair_costs_least(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [512, 3, 1])
+def test_repair_costs_least(spark, chunk):
     rng = random.Random(11)
     names = {0: [None, "tool", ""], 1: ["system", "System "], 2: ["user", "human"], 3: ["assistant", "bot"]}
     convs = {c: [rng.randrange(4) for _ in range(rng.randrange(1, 8))] for c in range(60)}
     rows = [(c, t, rng.choice(names[r]), f"t{t}", "x") for c, roles in convs.items() for t, r in enumerate(roles)]
     turns = spark.createDataFrame([*rows, (None, 0, "assistant", "lone", "x"), (None, 0, "assistant", "lone", "x"), (99, None, "user", None, "x")], "conv_id long, turn long, role string, text string, cost string")
-    for chunk in (512, 3):
-        monkeypatch.setattr(chat_format, "CHUNK", chunk)
-        made = chat_format.repair(turns).collect()
-        assert len(made) == len(rows) + 3
-        for c, roles in convs.items():
-            own = sorted((r for r in made if r.conv_id == c), key=lambda r: r.turn)
-            new = [chat_format.ROLES.index(r.new_role) for r in own]
-            least = min(cost_of(roles, x) for x in itertools.product((1, 2, 3), repeat=len(roles)))
-            assert sum(r.cost for r in own) == cost_of(roles, new) == least
-            text = "".join(r.piece for r in own)
-            shown = [x.split("\n")[0].strip("<|>") for x in text.split("<|end|>\n")[:-1]]
-            assert all((chat_format.ROLES.index(a), chat_format.ROLES.index(b)) in chat_format.LEGAL for a, b in zip(["", *shown], shown, strict=False))
-        assert [(r.new_role, r.action, r.piece) for r in made if r.conv_id is None] == [("user", "relabel", "<|user|>\nlone<|end|>\n")] * 2
+    made = chat_format.repair(turns, chunk).collect()
+    assert len(made) == len(rows) + 3
+    for c, roles in convs.items():
+        own = sorted((r for r in made if r.conv_id == c), key=lambda r: r.turn)
+        new = [chat_format.ROLES.index(r.new_role) for r in own]
+        least = min(cost_of(roles, x) for x in itertools.product((1, 2, 3), repeat=len(roles)))
+        # of equal ways the lowest roles, the last turn deciding first, wherever chunks and parts are cut
+        assert tuple(new) == min((x for x in itertools.product((1, 2, 3), repeat=len(roles)) if cost_of(roles, x) == least), key=lambda x: x[::-1])
+        assert sum(r.cost for r in own) == cost_of(roles, new) == least
+        text = "".join(r.piece for r in own)
+        shown = [x.split("\n")[0].strip("<|>") for x in text.split("<|end|>\n")[:-1]]
+        assert all((chat_format.ROLES.index(a), chat_format.ROLES.index(b)) in chat_format.LEGAL for a, b in zip(["", *shown], shown, strict=False))
+    assert [(r.new_role, r.action, r.piece) for r in made if r.conv_id is None] == [("user", "relabel", "<|user|>\nlone<|end|>\n")] * 2
     assert chat_format.repair(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "equal"])
+def test_a_hot_conversation_over_many_parts(spark, kind):
+    """A conversation of most rows, its turns all null or time stamps, is what the plain programme makes of it."""
+    rng = random.Random(12)
+    if kind == "long":
+        rows = [(7, 1_000_003 * t, rng.choice(["user", "assistant", "system", "?", None]), f"t{t}", {"k": t}) for t in range(3000)]
+    else:
+        rows = [(7, None, "?", "same", {"k": 0})] * 1500
+    rows += [(8 + i, 0, "assistant", "x", None) for i in range(50)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, extra map<string,int>").repartition(5)
+    made = [r for r in chat_format.repair(frame, 64).collect() if r.conv_id == 7]
+    number = lambda r: chat_format.ROLES.index(r) if r in chat_format.ROLES else 0
+    roles = [number(r[2]) for r in rows if r[0] == 7]
+    way = chat_format.solve(roles)
+    if kind == "long":
+        made.sort(key=lambda r: r.turn)
+        assert [chat_format.ROLES.index(r.new_role) for r in made] == way[1:] and [r.extra["k"] for r in made] == list(range(3000))
+    least = sum(chat_format.MOVES[r][p][q] for r, p, q in zip(roles, way, way[1:], strict=False))
+    assert sum(r.cost for r in made) == least and sum(r.piece.endswith("<|end|>\n") for r in made) == 1
+
+
 def test_url_rules_and_parts(spark):
     urls = ["http://A.Example.NET/en/x?q", "https://foo.net", "http://foo.net/", "http://notexample.com/de/", "http://x.example.com/de/#a", "http://b.org/fr/y", "http://b.org/fr", None, "no scheme", "http://u/p://v/w", "http://h?x://y/", ""]
     pages = spark.createDataFrame([(i, u, "keep") for i, u in enumerate(urls)] + [(None, "http://z.com/a", "keep")], "page_id long, url string, host string")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, table
-from tidewright.llm.runs import bounds, groups
+from tidewright.llm.common import aside, cut, restored, small, table
 
 #: States: nothing yet, or the role of the last turn. A legal sequence is an optional system turn, then
 #: user and assistant in turn, the user first; it may end with either, or be a system turn alone.
@@ -19,7 +19,7 @@ LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 #: Costs: joining a turn to one of its role, giving it another role (to or from system: more), an empty turn.
 MERGE, RELABEL, RELABEL_SYSTEM, INSERT = 1, 2, 4, 3
-#: Turn numbers in a chunk; a long conversation is solved in chunks side by side.
+#: Turns in a chunk; a long conversation is solved in chunks side by side.
 CHUNK = 512
 NEVER = 1 << 40
 
@@ -51,9 +51,13 @@ def _relabel(r: int, q: int) -> int:
 MOVES = [[[NEVER if not q else min(NEVER, _step(p, q) + _relabel(r, q)) for q in range(4)] for p in range(4)] for r in range(4)]
 
 
-def _number(role: str | None) -> int:
-    name = (role or "").strip().lower()
-    return ROLES.index(ALIASES.get(name, name)) if ALIASES.get(name, name) in ROLES else 0
+def number_of(role: Column) -> Column:
+    """0 for a role that is none of the known ones."""
+    name = F.lower(F.trim(role))
+    out = F.lit(0)
+    for k, v in {**{r: r for r in ROLES[1:]}, **ALIASES}.items():
+        out = F.when(name == k, ROLES.index(v)).otherwise(out)
+    return out
 
 
 def forward(roles: list[int], cost: list[int]) -> list[list[int]]:
@@ -65,110 +69,224 @@ def forward(roles: list[int], cost: list[int]) -> list[list[int]]:
     return out
 
 
-def solve(roles: list[int], entry: int = 0, leave: int | None = None) -> list[int]:
-    """The new role of each turn on the least-cost way from state entry to state leave (None: any); of equal ways, the one with the lowest roles, the last turn deciding first."""
-    costs = forward(roles, [0 if p == entry else NEVER for p in range(4)])
-    q = min(range(4), key=lambda x: (costs[-1][x], x)) if leave is None else leave
-    new = []
+def _back(roles: list[int], costs: list[list[int]], q: int) -> list[int]:
+    """The states before the first turn and after each on the least-cost way to q; of equal ways the one with the lowest roles, the last turn deciding first."""
+    way = [q]
     for k in range(len(roles) - 1, -1, -1):
-        new.append(q)
         q = next(p for p in range(4) if costs[k][p] + MOVES[roles[k]][p][q] == costs[k + 1][q])
-    return new[::-1]
-
-
-def rows_of(roles: list[int], new: list[int], entry: int, texts: list[str], last: bool) -> Iterator[tuple[str, str, str, int, str]]:
-    """(new role, action, inserted roles, cost, piece) of each turn. The pieces, joined, are the rendered conversation."""
-    p = entry
-    for k, (r, q) in enumerate(zip(roles, new, strict=True)):
-        merged = p == q
-        path = [] if merged else _path(p, q)
-        action = "+".join([*["relabel"] * (r != q), *["merge"] * merged]) or "keep"
-        close = "" if p == 0 else "<|end|>\n"
-        empties = "".join(f"<|{ROLES[x]}|>\n<|end|>\n" for x in path)
-        piece = f"\n\n{texts[k]}" if merged else f"{close}{empties}<|{ROLES[q]}|>\n{texts[k]}"
-        if last and k == len(roles) - 1:
-            piece += "<|end|>\n"
-        yield ROLES[q], action, ",".join(ROLES[x] for x in path), MOVES[r][p][q], piece
-        p = q
-
-
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least cost from each state to each state over a chunk."""
-    by = ["conv", "chunk"]
-    for t in groups(batches, by):
-        ends = bounds(t, by)
-        roles, m = [_number(r) for r in t["role"].to_pylist()], []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            m.append([x for p in range(4) for x in forward(roles[a:b], [0 if s == p else NEVER for s in range(4)])[-1]])
-        first = pa.array(ends[:-1])
-        yield pa.RecordBatch.from_arrays([t["conv"].combine_chunks().take(first), t["chunk"].combine_chunks().take(first), pa.array(m, pa.list_(pa.int64()))], ["conv", "chunk", "m"])
-
-
-def _ends_of_chunks(ms) -> list[list[int]]:
-    """Entry and leaving state of each chunk of one conversation on its least-cost way."""
-    costs = [[0, NEVER, NEVER, NEVER]]
-    for m in ms:
-        costs.append([min(min(costs[-1][p] + m[4 * p + q] for p in range(4)), NEVER) for q in range(4)])
-    q = min(range(4), key=lambda x: (costs[-1][x], x))
+        way.append(q)
+    return way[::-1]
+
+
+def solve(roles: list[int]) -> list[int]:
+    """The states of a whole conversation, the one before it included."""
+    costs = forward(roles, [0, NEVER, NEVER, NEVER])
+    return _back(roles, costs, min(range(4), key=lambda x: (costs[-1][x], x)))
+
+
+class Span:
+    """A run of turns of one conversation between states: least costs, and which entry wins among equals.
+
+    cost[4 * p + q] is the least cost from p to q. rank[4 * p + q] orders the entries p by their way to q, by its last
+    state, then the one before and so on, and at last by p itself: the same rule as solve() has, so that results don't
+    depend on where a conversation is cut.
+    """
+
+    def __init__(self, cost: list[int], rank: list[int]):
+        self.cost, self.rank = cost, rank
+
+    @staticmethod
+    def of(roles: list[int]) -> tuple[Span, list[list[int] | None]]:
+        """The span of turns, and the way for each pair of states (None: there is none)."""
+        ways: list[list[int] | None] = [None] * 16
+        cost = [NEVER] * 16
+        for p in range(4):
+            costs = forward(roles, [0 if x == p else NEVER for x in range(4)])
+            for q in range(4):
+                cost[4 * p + q] = costs[-1][q]
+                if costs[-1][q] < NEVER:
+                    ways[4 * p + q] = _back(roles, costs, q)
+        rank = [0] * 16
+        for q in range(4):
+            order = sorted(range(4), key=lambda p: (ways[4 * p + q] is None, (ways[4 * p + q] or [])[:0:-1], p))
+            for i, p in enumerate(order):
+                rank[4 * p + q] = i
+        return Span(cost, rank), ways
+
+    def then(self, after: Span) -> Span:
+        """Both spans as one."""
+        cost, key = [NEVER] * 16, [(4, 4)] * 16
+        for p in range(4):
+            for q in range(4):
+                best = min((self.cost[4 * p + m] + after.cost[4 * m + q], after.rank[4 * m + q], m) for m in range(4))
+                if best[0] < NEVER:
+                    cost[4 * p + q], key[4 * p + q] = best[0], (best[1], self.rank[4 * p + best[2]])
+        rank = [0] * 16
+        for q in range(4):
+            for i, p in enumerate(sorted(range(4), key=lambda p: (cost[4 * p + q] >= NEVER, key[4 * p + q], p))):
+                rank[4 * p + q] = i
+        return Span(cost, rank)
+
+
+def ends_of(spans: list[Span], entry: int, leave: int | None) -> list[list[int]]:
+    """Entry and leaving state of each of the spans, in order, on the least-cost way from entry to leave (None: any)."""
+    costs = [[0 if p == entry else NEVER for p in range(4)]]
+    for s in spans:
+        costs.append([min(min(costs[-1][p] + s.cost[4 * p + q] for p in range(4)), NEVER) for q in range(4)])
+    q = min(range(4), key=lambda x: (costs[-1][x], x)) if leave is None else leave
     out = []
-    for k in range(len(ms) - 1, -1, -1):
-        p = next(p for p in range(4) if costs[k][p] + ms[k][4 * p + q] == costs[k + 1][q])
+    for k in range(len(spans) - 1, -1, -1):
+        s = spans[k]
+        p = min((p for p in range(4) if costs[k][p] + s.cost[4 * p + q] == costs[k + 1][q]), key=lambda p: s.rank[4 * p + q])
         out.append([p, q])
         q = p
     return out[::-1]
 
 
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by = ["conv", "chunk"]
-    names = ["new_role", "action", "inserted", "cost", "piece"]
-    for t in groups(batches, by):
-        ends, made = bounds(t, by), []
-        roles, texts = [_number(r) for r in t["role"].to_pylist()], [x or "" for x in t["text"].to_pylist()]
-        entry, leave, last, alone = (t[c].to_pylist() for c in ("entry", "leave", "last", "alone"))
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            units = [(k, k + 1) for k in range(a, b)] if alone[a] else [(a, b)]
-            for x, y in units:
-                begin, end, done = (0, None, True) if entry[x] is None else (entry[x], None if last[x] else leave[x], last[x])
-                made += rows_of(roles[x:y], solve(roles[x:y], begin, end), begin, texts[x:y], done)
-        columns = list(zip(*made, strict=True)) or [()] * 5
-        arrays = [pa.array(c, pa.int64() if n == "cost" else pa.string()) for n, c in zip(names, columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([t["conv_id"].combine_chunks(), t["turn"].combine_chunks(), t["role"].combine_chunks(), *arrays], ["conv_id", "turn", "role", *names])
-
-
-def repair(turns: DataFrame) -> DataFrame:
-    """A row for each turn: conv_id, turn, role, new_role, action, inserted, cost, piece.
-
-    The automaton's costs form a least-plus matrix for each role, so a conversation is solved in chunks of
-    CHUNK turn numbers: each chunk gives the matrix of its turns, the matrices of a conversation of more
-    than one chunk give the states at its chunks' ends, and each chunk is then solved between its own.
-    So a conversation with most of the rows is as many tasks as it has chunks, and no row holds a
-    whole conversation: the pieces of its turns, in order, are its rendered text. Of ways that cost the
-    same, the states at the ends of chunks are the lowest first, then the roles inside.
+_MADE = "part int, chunk long, p int, q int, last boolean, ways binary, cost_of array<long>, rank_of array<int>, span_cost array<long>, span_rank array<int>"
+
+
+def _walked(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a part in order of conversation and turn, with what can be said of each from this part alone.
+
+    A conversation that begins and ends in the part and isn't longer than a chunk is solved: p and q are the states before
+    and after each turn. The part's first and last conversation may go on elsewhere, so they and long ones are
+    open: each row has the states for all 16 pairs of states at its chunk's ends (ways: 16 bytes before the turn, 16 after),
+    a chunk's last row has the chunk's span, and the last row of the conversation in this part has the part's span.
+    """
+    from pyspark import TaskContext
+
+    part, number = TaskContext.get().partitionId(), 0
+    held: list[pa.RecordBatch] = []  # rows of the chunk that is being gathered
+    roles: list[int] = []
+    first, span, long = True, None, False  # the part's first conversation; the span of the current one's chunks so far; whether it is open
+
+    def flush(over: bool, known_end: bool) -> pa.RecordBatch:
+        """The gathered rows with their columns; over: the conversation's last ones in this part; known_end: and of all."""
+        nonlocal held, roles, span, number
+        n, table = len(roles), pa.Table.from_batches(held).combine_chunks()
+        none = lambda: [None] * n
+        p, q, last, ways, cost, rank, span_cost, span_rank = none(), none(), none(), none(), none(), none(), none(), none()
+        if over and known_end and not first and not long:
+            way = solve(roles)
+            p, q, last = way[:-1], way[1:], [False] * (n - 1) + [True]
+        else:
+            own, found = Span.of(roles)
+            states = np.array([w if w is not None else [0] * (n + 1) for w in found], np.uint8)
+            both = np.concatenate([states[:, :-1], states[:, 1:]]).T
+            ways = [x.tobytes() for x in np.ascontiguousarray(both)]
+            cost[-1], rank[-1] = own.cost, own.rank
+            span = own if span is None else span.then(own)
+            if over:
+                span_cost[-1], span_rank[-1] = span.cost, span.rank
+        made = [pa.array([part] * n, pa.int32()), pa.array([part << 32 | number] * n, pa.int64()), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(last, pa.bool_()), pa.array(ways, pa.binary()), pa.array(cost, pa.list_(pa.int64())), pa.array(rank, pa.list_(pa.int32())), pa.array(span_cost, pa.list_(pa.int64())), pa.array(span_rank, pa.list_(pa.int32()))]
+        names = [f.split()[0] for f in _MADE.split(", ")]
+        batch = table.to_batches()[0]
+        held, roles, number = [], [], number + 1
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        conv, alone, role = batch["__conv"].fill_null(0).to_numpy(), batch["__conv"].is_null().to_numpy(zero_copy_only=False), batch["__r"].to_numpy()
+        new = np.concatenate([[True], (conv[1:] != conv[:-1]) | alone[1:] | alone[:-1]])
+        ready = []
+        for begin, end in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(new)], strict=True):
+            own = None if alone[begin] else int(conv[begin])
+            if now is not None and (own is None or own != now[0]):  # the one before is over
+                if roles:
+                    ready.append(flush(True, True))
+                first, span, long, now = False, None, False, None
+            if now is None and own is None:
+                first = False  # a turn alone is never open
+            now = (own,)
+            for k in range(begin, end, chunk):
+                step = min(chunk, end - k)
+                while step:
+                    if len(roles) == chunk:
+                        long = True
+                        ready.append(flush(False, False))
+                    take = min(step, chunk - len(roles))
+                    at = min(chunk, end - k) - step + k
+                    held.append(batch.slice(at, take))
+                    roles += role[at : at + take].tolist()
+                    step -= take
+        if ready:
+            yield from ready
+    if roles:
+        yield flush(True, now == (None,))
+
+
+def _ends(spans, entry: int, leave: int | None) -> list[list[int]]:
+    return ends_of([Span(list(c), list(r)) for c, r in spans], entry, leave)
+
+
+def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row for each turn: turns' columns, and new_role, action, inserted, cost, piece.
+
+    Turns are dealt by range of conversation and order and sorted, so a hot conversation is spread over as many parts as it
+    needs. One pass over the parts solves the conversations that lie in one part; of the others it
+    gives a span for each `chunk` turns (least costs between states: the automaton's least-plus matrix) and
+    one for each part. Those form a tree: a conversation's parts give the states at the parts' ends (a few numbers a
+    part, as many as there are parts), those the states at the ends of each part's chunks, and those each row's own. So no
+    row or task holds a whole conversation: the pieces of its turns, in order, are its rendered text. Of ways that cost the same
+    the one with the lowest roles is taken, the last turn deciding first, wherever the parts are cut.
 
     Turns are ordered by turn (nulls last), then role and text. Null and unknown roles must take a known
     one; null texts are empty. A turn without a conv_id is a conversation alone. Repeated rows are
-    separate turns (of one role, so they are merged). An empty table gives an empty one.
+    separate turns (of one role, so they are merged), and are dealt apart by their place in the input, which is written
+    first for that. A very long text is a row like another. Other columns pass through, but for those with the names
+    of the results. An empty table gives an empty one.
     """
-    long = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 62) - 1))
-    base = turns.select("conv_id", "turn", "role", "text", long("conv_id").alias("conv"), F.col("conv_id").isNull().alias("alone"))
-    base = base.withColumn("chunk", F.when(F.col("alone"), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).when(F.col("turn").isNull(), F.lit((1 << 62) - 1)).otherwise(F.floor(F.col("turn") / CHUNK)))
-    order = ["conv", "chunk", F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "text"]
-    many = base.filter("not alone").groupBy("conv").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo < hi").select("conv")
-    wide = base.filter("not alone").select("conv", "chunk", "turn", "role", "text").join(many, "conv", "left_semi")
-    matrices = wide.repartition("conv", "chunk").sortWithinPartitions(*order).select("conv", "chunk", "role").mapInArrow(_matrices, "conv long, chunk long, m array<long>")
-    chains = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("chain"))  # a row a chunk
-    ends = F.udf(lambda ms: _ends_of_chunks(ms), "array<array<int>>")
-    chains = chains.withColumns({"ends": ends("chain.m"), "n": F.size("chain")})
-    states = chains.select("conv", "n", F.posexplode(F.arrays_zip(F.col("chain.chunk").alias("chunk"), F.col("ends").alias("e"))).alias("at", "c"))
-    states = cut(states.select("conv", F.col("c.chunk").alias("chunk"), F.col("c.e")[0].alias("entry"), F.col("c.e")[1].alias("leave"), (F.col("at") == F.col("n") - 1).alias("last")))
-    told = base.join(states, ["conv", "chunk"], "left")
-    fields = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost long, piece string"
-    rows = told.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "conv", "chunk", "alone", "entry", "leave", "last")
-    return rows.repartition("conv", "chunk").sortWithinPartitions(*order).mapInArrow(_repaired, fields)
+    spark = turns.sparkSession
+    added = ("new_role", "action", "inserted", "cost", "piece")
+    own, back = aside(turns, ("conv_id", "turn", "role", "text"), added)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base = cut(own.withColumns({"__conv": F.col("conv_id").cast("long"), "__r": number_of(F.coalesce("role", F.lit("")))}))
+    order = [F.col("__conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_first(), F.col("__at")]
+    dealt = base.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__at")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    walked = cut(dealt.mapInArrow(lambda batches: _walked(batches, chunk), f"{schema}, {_MADE}"))
+
+    spans = lambda c, r, by: F.transform(F.sort_array(F.collect_list(F.struct(F.col(by).alias("k"), F.col(c).alias("c"), F.col(r).alias("r")))), lambda x: x)
+    solved = F.udf(lambda found, entry, leave: _ends([(x["c"], x["r"]) for x in found], entry, leave), "array<array<int>>")
+    of_parts = walked.filter("span_cost is not null").groupBy("__conv").agg(spans("span_cost", "span_rank", "part").alias("s"))  # as many as parts at most
+    of_parts = of_parts.withColumn("e", solved("s", F.lit(0), F.lit(None).cast("int"))).select("__conv", F.size("s").alias("n"), F.posexplode(F.arrays_zip(F.col("s.k").alias("part"), F.col("e").alias("e"))).alias("at", "x"))
+    of_parts = of_parts.select("__conv", F.col("x.part").alias("part"), F.col("x.e")[0].alias("entry"), F.col("x.e")[1].alias("leave"), (F.col("at") == F.col("n") - 1).alias("end"))
+    of_chunks = walked.filter("cost_of is not null").select("__conv", "part", "chunk", "cost_of", "rank_of").join(small(cut(of_parts)), ["__conv", "part"])
+    of_chunks = of_chunks.groupBy("__conv", "part").agg(spans("cost_of", "rank_of", "chunk").alias("s"), *(F.first(c).alias(c) for c in ("entry", "leave", "end")))  # the chunks of one part
+    of_chunks = of_chunks.withColumn("e", solved("s", "entry", "leave")).select("end", F.size("s").alias("n"), F.posexplode(F.arrays_zip(F.col("s.k").alias("chunk"), F.col("e").alias("e"))).alias("at", "x"))
+    states = cut(of_chunks.select(F.col("x.chunk").alias("__chunk"), F.col("x.e")[0].alias("entry"), F.col("x.e")[1].alias("leave"), (F.col("end") & (F.col("at") == F.col("n") - 1)).alias("end")))
+
+    opened = walked.filter("ways is not null").join(small(states), F.col("chunk") == F.col("__chunk"))
+    byte = lambda k: F.ascii(F.substring("ways", k, 1).cast("string"))
+    pair = 4 * F.col("entry") + F.col("leave") + 1
+    opened = opened.withColumns({"p": byte(pair), "q": byte(pair + 16), "last": F.col("end") & F.col("cost_of").isNotNull()})
+    rows = walked.filter("ways is null").unionByName(opened.select(walked.columns))
+    return restored(_told(rows), back, *added)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """rows (__r, p, q, last, text) with the result's columns, from small tables of the automaton."""
+    at = 4 * F.col("p") + F.col("q")
+    array = lambda values: F.array(*map(F.lit, values))
+    ways = [[] if p == q or not q else _path(p, q) or [] for p in range(4) for q in range(4)]
+    empties = ["".join(f"<|{ROLES[x]}|>\n<|end|>\n" for x in way) for way in ways]
+    begins = [("" if p == 0 else "<|end|>\n") + empties[4 * p + q] + f"<|{ROLES[q]}|>\n" if p != q else "\n\n" for p in range(4) for q in range(4)]
+    changed, merged = F.col("__r") != F.col("q"), F.col("p") == F.col("q")
+    return rows.withColumns({
+        "new_role": array(ROLES)[F.col("q")],
+        "action": F.when(changed & merged, "relabel+merge").when(changed, "relabel").when(merged, "merge").otherwise("keep"),
+        "inserted": array([",".join(ROLES[x] for x in way) for way in ways])[at],
+        "cost": array([x for r in MOVES for row in r for x in row])[16 * F.col("__r") + at].cast("long"),
+        "piece": F.concat(array(begins)[at], F.coalesce("text", F.lit("")), F.when(F.col("last"), "<|end|>\n").otherwise("")),
+    })
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return repair(turns).drop("text")
 
 
 def _sql() -> str:

@@ -192,31 +192,6 @@ def test_likeness_follows_edits():
     assert like[0] == 1 and like[1] > 0.8 and 0.9 > like[2] > 0.6 and like[3] < 0.5  # four fifths are the same in the third
 
 
-def test_edit_bands_find_near_copies(spark):
-    rng = random.Random(9)
-    base = "".join(rng.choice("etaoin shrdlu") for _ in range(900))
-    docs = [(1, base), (2, base[:300] + "zz" + base[300:]), (3, base), (4, base[::-1]), (5, ""), (6, None)]
-    found = {r.doc_id: r.component_id for r in edit_fingerprint.near_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
-
-
-@pytest.mark.parametrize("most", [0, 1, 3, 6])
-def test_within_edits(most):
-    rng = random.Random(10)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    for _ in range(200):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
-        assert edit_fingerprint.within_edits(a, b, most) == (distance(a, b) <= most)
-
-
 def cost_of(roles, new):
     p, total = 0, 0
     for r, q in zip(roles, new, strict=True):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, aside, components, cut, restored, small, sql_lower, table
+from tidewright.llm.common import alone_in_worker, aside, components, cut, forest, restored, small, sql_lower, table, tile_pairs
 from tidewright.llm.runs import bounds, groups
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
@@ -95,14 +95,14 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(rest)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     alone_in_worker(_WORDS)
     for batch in batches:
         n, hi, lo, keys, sketches = [], [], [], [], []
         for text in batch["text"].to_pylist():
-            own = shingles(text)
+            own = shingles(text, words)
             n.append(len(own))
             if len(own):
                 d, least = xxhash.xxh3_128_digest(own.tobytes()), samples(own)
@@ -116,12 +116,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "hi", "lo", "keys", "sketch"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: those whose key has another row, with the tile of their place in the bucket."""
+def _shared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: those whose key has another row, with the tile (of size rows) of their place in the bucket."""
     key, rep, at = np.empty(0, np.int64), np.empty(0, np.int64), 0  # held back: the last row, and its place
 
     def out(keys, reps, places):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((places // TILE).astype(np.int32)), pa.array(reps)], ["key", "tile", "rep"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((places // size).astype(np.int32)), pa.array(reps)], ["key", "tile", "rep"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -138,6 +138,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(key, rep, np.array([at]))
 
 
+def shared_buckets(keyed: DataFrame, size: int) -> DataFrame:
+    """(key, tile, rep) of the rows of keyed (key, rep) whose key has another row; tiles of a key have size rows."""
+    bucketed = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
+    return bucketed.mapInArrow(lambda batches: _shared(batches, size), "key long, tile int, rep long")
+
+
 def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [[]]).astype(np.int64)), pa.array(np.concatenate(b or [[]]).astype(np.int64))], ["a", "b"])
 
@@ -173,7 +179,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(a, b)
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolved(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The shingle sets of family members; a row whose set isn't its class's (a repeated doc_id) goes."""
     import xxhash
 
@@ -181,13 +187,13 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, sets = [], []
         for k, (text, hi, lo) in enumerate(zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)):
-            own = shingles(text).tobytes()
+            own = shingles(text, words).tobytes()
             d = xxhash.xxh3_128_digest(own)
             if (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) == (hi, lo):
                 keep.append(k)
                 sets.append(own)
-        rest = batch.select(["family", "tile", "tiles", "rep"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], ["family", "tile", "tiles", "rep", "shingles"])
+        rest = batch.select(["rep", "units"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], ["rep", "units", "shingles"])
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -229,42 +235,48 @@ def links_within(sets: list[np.ndarray], side: np.ndarray | None = None, percent
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
-    forest, rest = [], np.ones(m, bool)
-    for root in range(m):
-        if not rest[root]:
-            continue
-        rest[root], front = False, [root]
-        while front:
-            x = front.pop()
-            hit = np.flatnonzero(linked[x] & rest)
-            rest[hit] = False
-            front.extend(hit.tolist())
-            forest.extend((x, y) for y in hit.tolist())
-    return forest
+    return [tuple(e) for e in forest(linked).tolist()]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the true links of each unit; of a unit of two sides, those across."""
     by = ["family", "i", "j"]
     for t in groups(batches, by):
         a, b, ends = [], [], bounds(t, by)
-        rep, tile = t["rep"].to_numpy(), t["tile"].to_numpy()
+        rep, side = t["rep"].to_numpy(), t["side"].to_numpy()
         for begin, end in zip(ends[:-1], ends[1:], strict=True):
             if end - begin > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in t["shingles"][begin:end].to_pylist()]
-                own, apart = rep[begin:end], tile[begin] != tile[end - 1]
-                pairs = links_within(sets, tile[begin:end] if apart else None)
+                own, sides = rep[begin:end], side[begin:end]
+                pairs = links_within(sets, sides if sides[0] >= 0 else None)
                 a.append(own[[x for x, _ in pairs]])
                 b.append(own[[y for _, y in pairs]])
         yield _edges(a, b)
 
 
-def _tile_pairs(tile: str, tiles: str):
-    """Each tile meets every tile of its group, itself included: the pairs (i, j), i <= j, that a row goes to."""
-    return F.explode(F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda u: F.struct(F.least(u, F.col(tile)).alias("i"), F.greatest(u, F.col(tile)).alias("j"))))
-
-
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two tiles whose members have components so far: the members with a pair across that may link and isn't joined yet."""
+    by = ["family", "i", "j"]
+    for t in groups(batches, by):
+        ends, keep = bounds(t, by), []
+        n, tile, joined = (t[c].to_numpy() for c in ("n", "tile", "joined"))
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+        for begin, end in zip(ends[:-1], ends[1:], strict=True):
+            at = begin + int(np.searchsorted(tile[begin:end], tile[begin], "right"))
+            other = np.zeros(end - at, bool)
+            for x in range(begin, at):
+                may = np.arange(at, end)[joined[at:end] != joined[x]]
+                may = may[_alike(sketch, n, x, may)] if len(may) else may
+                if len(may):
+                    keep.append(x)
+                    other[may - at] = True
+            keep += (at + np.flatnonzero(other)).tolist()
+        out = t.select([*by, "tile", "rep"]).take(pa.array(keep, pa.int64())).combine_chunks()
+        yield from out.to_batches()
+
+
+def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text), by shingles of `words` words.
 
     1. Each text gives its shingle set's size and 128-bit hash, the keys of BANDS bands of MinHash
        samples, and an odd sketch. Documents with equal sets become one class, so exact copies cost a row.
@@ -272,35 +284,55 @@ def near_groups(docs: DataFrame) -> DataFrame:
        find a spanning forest of the pairs that may link. Buckets over TILE classes are cut into
        tiles which meet in pairs, so no task holds a whole bucket and no pair of a group becomes a row.
     3. The components of those forests are families, which hold every link. Full sets are gathered by
-       family (tile by tile where large) and intersected exactly; forests of true links remain.
-    4. Their components, spread over the classes' members, are the answer.
+       family and intersected exactly; forests of true links remain. A large family is dealt to tiles twice, by two hashes:
+       every set is sent twice, and the many copies of one text are joined by that alone. Where parts of a family are still
+       apart, its tiles meet in pairs as sketches, and only members with a pair across that may link and isn't joined yet
+       send their full sets there.
+    4. The components of all links, spread over the classes' members, are the answer.
 
     Null or wordless texts have no shingles and link with nothing. Rows without a doc_id link with
     nothing, have a null component and are kept. Rows that share a doc_id are one document in the
-    graph: each reports its own set, and all share a component. An empty table gives an empty one.
+    graph: each reports its own set, and all share a component. A very long text is eight bytes a word in a
+    worker, whole. Other columns of docs aren't returned. An empty table gives an empty one.
     """
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n long, hi long, lo long, keys array<long>, sketch binary"))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(lambda b: _signed(b, words), "doc_id long, n long, hi long, lo long, keys array<long>, sketch binary"))
     usable = signed.filter("doc_id is not null and hi is not null")
     classes = cut(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    keyed = classes.select(F.explode("keys").alias("key"), "rep")
-    bucketed = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "rep"))
-    rows = cut(bucketed.mapInArrow(_shared, "key long, tile int, rep long"))
+    rows = cut(shared_buckets(classes.select(F.explode("keys").alias("key"), "rep"), TILE))
     many = small(rows.filter("tile > 0").groupBy("key").agg((F.max("tile") + 1).alias("tiles")))
     told = rows.join(many, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).join(classes.select("rep", "n", "sketch"), "rep")
-    pairs = told.select("key", _tile_pairs("tile", "tiles").alias("p"), "rep", "n", "sketch").select("key", "p.i", "p.j", "rep", "n", "sketch")
+    pairs = told.select("key", tile_pairs("tile", "tiles").alias("p"), "rep", "n", "sketch").select("key", "p.i", "p.j", "rep", "n", "sketch")
     likely = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_likely, "a long, b long")
     families = components(likely)
 
     sized = families.join(classes.select(F.col("rep").alias("node"), "n", "hi", "lo"), "node")
     tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
     sizes = small(sized.groupBy("component").agg(tiles.alias("tiles")).filter("tiles > 1"))
-    members = sized.join(sizes, "component", "left").select(F.col("component").alias("family"), F.coalesce("tiles", F.lit(1)).alias("tiles"), F.col("node").alias("rep"), "hi", "lo")
-    members = small(cut(members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))))
-    sets = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).drop("doc_id").mapInArrow(_resolved, "family long, tile int, tiles int, rep long, shingles binary")
-    met = sets.select("family", _tile_pairs("tile", "tiles").alias("p"), "tile", "rep", "shingles").select("family", "p.i", "p.j", "tile", "rep", "shingles")
-    linked = met.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "tile").mapInArrow(_linked, "a long, b long")
+    members = sized.join(sizes, "component", "left").select(F.col("component").alias("family"), F.coalesce("tiles", F.lit(1)).alias("tiles"), F.col("node").alias("rep"), "n", "hi", "lo")
+    members = cut(members.withColumns({"tile": F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), "deal": F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("tiles")).cast("int")}))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """Links in units (rep, hi, lo, family, i, j, side), from the texts: a row of docs is sent to the units of its class."""
+        by_rep = small(cut(units.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("units"))))
+        sets = docs.select("doc_id", "text").join(by_rep, F.col("doc_id") == F.col("rep")).drop("doc_id")
+        sets = sets.mapInArrow(lambda b: _resolved(b, words), "rep long, units array<struct<family: long, i: int, j: int, side: int>>, shingles binary")
+        sent = sets.select("rep", "shingles", F.inline("units"))
+        return sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_linked, "a long, b long")
+
+    unit = lambda i, j: F.struct(F.lit(i).alias("i"), F.col(j).alias("j"), F.lit(-1).alias("side"))
+    deals = F.inline(F.when(F.col("tiles") > 1, F.array(unit(-1, "tile"), unit(-2, "deal"))).otherwise(F.array(unit(-1, "tile"))))
     # documents that share an id but not a set are one node
-    found = components(linked.union(_same_id(usable)))
+    links = cut(linked(members.select("rep", "hi", "lo", "family", deals)).union(_same_id(usable)))
+    found = components(links)
+    large = members.filter("tiles > 1").join(small(cut(found)).withColumnRenamed("node", "rep"), "rep", "left").withColumn("joined", F.coalesce("component", "rep"))
+    split = small(large.groupBy("family").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).filter("lo < hi").select("family"))
+    large = large.join(split, "family", "left_semi").join(classes.select("rep", "sketch"), "rep")
+    across = large.select("family", tile_pairs("tile", "tiles").alias("p"), "tile", "rep", "n", "sketch", "joined").select("family", "p.i", "p.j", "tile", "rep", "n", "sketch", "joined").filter("i < j")
+    doubt = across.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "tile").mapInArrow(_apart, "family long, i int, j int, tile int, rep long")
+    doubt = cut(doubt)
+    if not doubt.isEmpty():
+        units = doubt.join(members.select("rep", "hi", "lo"), "rep").select("rep", "hi", "lo", "family", "i", "j", F.col("tile").alias("side"))
+        found = components(links.union(linked(units)))
 
     copies = classes.filter("copies > 1").select("hi", "lo", "rep")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(small(copies), ["hi", "lo"], "left")
@@ -317,10 +349,10 @@ def _same_id(usable: DataFrame) -> DataFrame:
     return held.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group has another one of a smaller doc_id."""
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs, with all of their columns, without the documents whose group by near_groups() has another one of a smaller doc_id."""
     own, back = aside(docs, ("doc_id", "text"))
-    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_groups(docs, words).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return restored(own.join(small(cut(gone)), F.col("doc_id") == F.col("__gone"), "left_anti"), back)
 
 

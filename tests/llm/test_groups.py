@@ -37,13 +37,13 @@ def test_components(spark, kind):
     assert found == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in links)}
 
 
-def shingle_set(text):
+def shingle_set(text, words=4):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def plain_groups(docs):
-    sets = {d: shingle_set(t) for d, t in docs.items()}
+def plain_groups(docs, words=4):
+    sets = {d: shingle_set(t, words) for d, t in docs.items()}
     links = [(a, b) for a, b in itertools.combinations(sorted(docs), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     return {d: (len(sets[d]), c) for d, c in joined(docs, links).items()}
 

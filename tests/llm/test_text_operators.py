@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewright.llm import byte_bpe, line_dedup, mixing, quality, token_count
 
@@ -66,6 +67,25 @@ def test_encoder_is_the_librarys(bpe, tiktoken_encoding, text):
     assert own.decode(ids) == text.encode()
 
 
+def test_very_long_texts(spark, tiktoken_encoding, pieces):
+    """Texts of megabytes go through every operator on texts whole."""
+    texts = ["The quiet river. " * 150_000, "one line\n" * 100_000, "x" * 300_000]
+    docs = frame(spark, texts)
+    coded = byte_bpe.digests(byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).collect()
+    assert {r.doc_id: r.n_tokens for r in coded} == {i: len(tiktoken_encoding.encode_ordinary(t)) for i, t in enumerate(texts[:2])} | {2: next(r.n_tokens for r in coded if r.doc_id == 2)}
+    assert {r.doc_id: r.decoded_sha256 for r in coded} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    counted = token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r.n_tokens == len(pieces[2].encode(texts[r.doc_id])) for r in counted)
+    lined = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, 1).collect()}
+    assert lined == {0: (1, 1), 1: (100_001, 100_000), 2: (1, 1)}
+    from tidewright.llm import edit_fingerprint, minhash
+
+    assert {r.doc_id: r.n_shingles for r in minhash.near_groups(docs).collect()} == {0: 3, 1: 2, 2: 1}
+    assert {r.doc_id: r.n_chars for r in edit_fingerprint.fingerprints(docs).collect()} == {i: len(t) for i, t in enumerate(texts)}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, labels).collect())
+
+
 def test_bpe_over_frames(spark, tiktoken_encoding):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = frame(spark, ODD)
@@ -109,6 +129,62 @@ def test_a_model_whose_pieces_cross_words_is_refused():
         token_count.prove({"a b": -1.0}, True)
 
 
+def test_a_model_that_is_counted_otherwise_is_refused(pieces):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(pieces[2].serialized_model_proto())
+    assert token_count.unfit(proto) == []
+    proto.trainer_spec.byte_fallback = False
+    proto.normalizer_spec.precompiled_charsmap = b"x"
+    proto.pieces[5].type = proto.pieces[5].USER_DEFINED
+    assert len(token_count.unfit(proto)) == 3
+    proto.trainer_spec.model_type = 1
+    assert len(token_count.unfit(proto)) == 4
+
+
+def plain_learn(examples, epochs):
+    """FTRL-proximal one weight at a time, from dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == 0 else quality.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for x, label in examples:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_updates_are_the_plain_ones(spark):
+    """Weights, and the whole way from rows to scores, against one-by-one updates over the same order."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["river", "mill", "$$$", "NOW", "7"], 12)) for _ in range(60)]
+    examples = [(*quality.features(t), int(i % 3 > 0)) for i, t in enumerate(texts)]
+    want = plain_learn([(dict(zip(at.tolist(), x.tolist(), strict=True)), y) for at, x, y in examples], 3)
+    got = quality.learn(examples, 3)
+    assert np.flatnonzero(got).tolist() == sorted(i for i, w in want.items() if w) and all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    given = docs.filter(~quality.held_out(docs.doc_id)).select("doc_id", "text", F.xxhash64("doc_id", F.lit("place")).alias("place")).orderBy("place").collect()
+    shards = [[r for r in given if r.place % quality.SHARDS == s] for s in range(quality.SHARDS)]
+    fitted = [plain_learn([(dict(zip(*(v.tolist() for v in quality.features(r.text)), strict=True)), int(r.doc_id % 3 > 0)) for r in own], quality.EPOCHS) for own in shards if own]
+    mean = {i: sum(f.get(i, 0.0) for f in fitted) / len(fitted) for i in {i for f in fitted for i in f}}
+    for r in quality.score(docs, labels).collect():
+        at, x = quality.features(r.text)
+        assert abs(r.score - 1 / (1 + np.exp(-sum(mean.get(i, 0.0) * v for i, v in zip(at.tolist(), x.tolist(), strict=True))))) < 1e-4
+
+
 def test_classifier_learns_and_generalises(spark):
     good, junk = "The quiet river runs past the old mill number {}.", "The$$$ quiet%%% river### {}"
     texts = [(good if i % 3 else junk).format(i) for i in range(300)]
@@ -160,6 +236,85 @@ def test_mix_weights(spark):
     assert mixing.weights(sources.limit(0)).count() == 0
 
 
+def plain_schedule(rows, entropy, most_epochs, block):
+    """(doc_id, text, source) -> sorted (epoch, block, position) of each row, by one list a source."""
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:12], 16)
+    named = lambda s: "null" if s is None else f"s:{s}"
+    key = lambda r: f"{'n' if r[0] is None else r[0]}|{hashlib.md5((r[1] or '').encode()).hexdigest()}|{named(r[2])}|{mixing.SEED}"
+    sources = sorted({r[2] for r in rows}, key=named)
+    tokens = {s: sum(len((r[1] or "").split()) for r in rows if r[2] == s) for s in sources}
+    p = np.array([tokens[s] / sum(tokens.values()) for s in sources if tokens[s]])
+
+    def bisect(low_is_good, good):
+        lo, hi = 0.0, 1.0
+        for _ in range(mixing.HALVINGS):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if good(mid) == low_is_good else (lo, mid)
+        return lo if low_is_good else hi
+
+    def enough(a):
+        w = p**a / (p**a).sum()
+        return -(w * np.log(w)).sum() >= entropy * np.log(len(p)) - 1e-13
+
+    within = lambda a: (p.min() / p.max()) ** (a - 1) <= most_epochs
+    alpha = 1.0 if len(p) < 2 or enough(1.0) else bisect(True, enough)
+    alpha = alpha if len(p) < 2 or within(alpha) else bisect(False, within)
+    out = {}
+    for s in sources:
+        share = tokens[s] / sum(tokens.values())
+        epochs = max(1.0, (share / p.max()) ** (alpha - 1)) if share else 1.0
+        budget = round(epochs * tokens[s])
+        own = [r for r in rows if r[2] == s]
+        blocks = -(-len(own) // block)
+        size = lambda r: len((r[1] or "").split())
+        at = {key(r): number("b|" + key(r)) % blocks for r in own}
+        for epoch in range(max(1, int(np.ceil(epochs)))):
+            place = epoch * tokens[s]
+            for b in sorted(set(at.values()), key=lambda b: (number(f"{named(s)}|{b}|{epoch}|{mixing.SEED}"), b)):
+                for k in sorted({k for k in at if at[k] == b}, key=lambda k: (number(f"{k}|{epoch}"), k)):
+                    same = [r for r in own if key(r) == k]
+                    if place < budget or not size(same[0]) and epoch < int(epochs):
+                        for r in same:
+                            out.setdefault(r, []).append((epoch, b, round(min(place / budget, 1.0) if budget else 0.0, 9)))
+                    place += size(same[0]) * len(same)
+    return {r: sorted(x) for r, x in out.items()}
+
+
+def test_mix_is_the_plain_one_whatever_the_order_of_rows(spark):
+    """Repeated ids with other texts, equal rows, null ids, sources and texts; long texts; two orders of rows."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 90), "w " * int(1 + i % 7), ["hot", "hot", "hot", "s1", "s2"][i % 5]) for i in range(200)] + [(None, "w w", "hot"), (None, None, "s1"), (3, "", None), (4, "word " * 60_000, None)]
+    rows += [rows[0]] * 3 + [(None, "w w", "hot")] * 4
+    want = plain_schedule(rows, 0.98, 2.0, 16)
+    for order in (rows, [rows[i] for i in rng.permutation(len(rows))]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        got = {}
+        for r in mixing.schedule(docs, entropy=0.98, most_epochs=2.0, block=16).collect():
+            got.setdefault((r.doc_id, r.text, r.source), []).append((r.epoch, r.block, round(r.position, 9)))
+        assert {r: sorted(x) for r, x in got.items()} == {r: sorted(x) for r, x in want.items()}
+
+
+def test_mixed_files_are_in_order(spark, tmp_path):
+    docs = frame(spark, ["w " * (1 + i % 7) for i in range(400)], sources=["hot" if i % 4 else f"s{i % 3}" for i in range(400)])
+    mixing.mixed(docs, 4).write.parquet(str(tmp_path / "mix"))
+    order = [(r.position, r.source, r.doc_id) for r in mixing.schedule(docs).collect()]
+    import glob
+
+    got = [r.doc_id for f in sorted(glob.glob(str(tmp_path / "mix/part-*.parquet"))) for r in spark.read.parquet(f).collect()]
+    assert got == [d for _, _, d in sorted(order)]
+    placed = mixing.with_places(spark.read.parquet(str(tmp_path / "mix")))
+    assert [r.doc_id for r in placed.orderBy("mix_part", "mix_row").collect()] == got
+    assert mixing.with_places(docs.filter("doc_id = 1")).first().mix_part is None
+
+
+def test_exponent_of_many_sources_needs_no_list(spark):
+    """As many sources as documents: the weights are those of plain bisection."""
+    sources = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1).cast("long").alias("docs"), (F.col("id") * F.col("id") + 1).alias("tokens"))
+    rows = mixing.weights(sources, entropy=0.98, most_epochs=1e18).collect()
+    w = np.array([r.weight for r in rows])
+    assert abs(w.sum() - 1) < 1e-9 and abs(-(w * np.log(w)).sum() - 0.98 * np.log(3000)) < 1e-6
+
+
 def test_mix_reads_budgets(spark):
     texts = ["w " * (1 + i % 7) for i in range(400)] + [None, ""]
     sources = ["hot" if i % 4 else f"s{i % 3}" for i in range(400)] + [None, "hot"]

@@ -193,15 +193,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Every row is encoded by itself: null and empty texts give no ids, repeated rows repeat their
     result, an empty table stays empty, other columns pass through (columns of these three names are
-    replaced). Special strings inside texts are ordinary text.
+    replaced). Special strings inside texts are ordinary text. A very long text is encoded whole; one long pre-token takes
+    some numbers a byte.
     """
     codec = Codec(docs.sparkSession, path, pattern)
     coded = docs.withColumn("ids", codec.round_trip(F.col("text")))
     return coded.withColumns({"ids": F.col("ids.ids"), "n_tokens": (F.octet_length("ids.ids") / 4).cast("long"), "decoded": F.col("ids.decoded")})
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(coded: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, the kept columns, n_tokens and the digests of encode_documents()'s rows."""
+    return coded.select("doc_id", *kept, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
     About `sample` labelled ids are chosen by hash, so that the join's broadcast side is bounded by it.
     Features are made where the texts are; SHARDS groups learn side by side and their weights are
-    averaged. Labels without an id or a quality are left out, repeated ones count once; with no usable
-    label every score is a half.
+    averaged. A shard's order is by hashes of id and text, whatever the order of rows. Labels without an id or a quality
+    are left out, repeated ones count once; with no usable label every score is a half.
     """
     given = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     given = given.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("label"))
@@ -117,17 +117,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         alone_in_worker(_HASHES)
         for b in batches:
             made = [features(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["shard"], b["place"], b["label"], pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary())], ["shard", "place", "label", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b["shard"], b["place"], b["tie"], b["label"], pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in made], pa.binary())], ["shard", "place", "tie", "label", "at", "x"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable")
+        group = group.sort_values(["place", "tie"], kind="stable")
         examples = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), y) for a, x, y in zip(group["at"], group["x"], group["label"], strict=True)]
         return pd.DataFrame({"w": [learn(examples).astype(np.float32).tobytes()]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("__id"))
     place = F.xxhash64("doc_id", F.lit("place"))
-    rows = joined.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", "text")
-    made = rows.mapInArrow(shown, "shard int, place long, label int, at binary, x binary")
+    rows = joined.select(F.pmod(place, F.lit(SHARDS)).cast("int").alias("shard"), place.alias("place"), F.xxhash64("text").alias("tie"), "label", "text")
+    made = rows.mapInArrow(shown, "shard int, place long, tie long, label int, at binary, x binary")
     fitted = [np.frombuffer(r.w, np.float32) for r in made.groupBy("shard").applyInPandas(fit, "w binary").collect()]  # SHARDS rows of 2^BITS floats
     return np.mean(fitted, axis=0) if fitted else np.zeros(1 << BITS, np.float32)
 
@@ -136,8 +136,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """docs with score and predicted (1 at KEEP or more): sparse dot products with the learned weights.
 
     Null and empty texts score the bias alone. Repeated rows repeat their score; an empty table stays
-    empty; other columns pass through (columns of these two names are replaced). The broadcast is the
-    weight vector, of fixed size.
+    empty; other columns pass through (columns of these two names are replaced). A very long text is scored whole, in
+    some numbers a word. The broadcast is the weight vector, of fixed size.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))

@@ -19,11 +19,31 @@ REMEMBER, REMEMBER_CHARS = 150_000, 48
 PRE_TOKEN = " *[^ \n]+| +|\n"
 
 
+def unfit(proto) -> list[str]:
+    """What a model's file says that count() doesn't follow; nothing for a model that it counts as the library does."""
+    text, trainer = proto.normalizer_spec, proto.trainer_spec
+    faults = {
+        "its pieces aren't merged by score (BPE)": trainer.model_type != 2,
+        "it normalises texts": bool(text.precompiled_charsmap or text.normalization_rule_tsv),
+        "it removes white space": text.remove_extra_whitespaces,
+        "it puts no blank before a text": not text.add_dummy_prefix or trainer.treat_whitespace_as_suffix,
+        "it doesn't write blanks as U+2581": not text.escape_whitespaces,
+        "it has user-defined pieces": any(x.type == x.USER_DEFINED for x in proto.pieces),
+        "it joins runs of unknown characters, as it has no bytes for them": not trainer.byte_fallback,
+    }
+    return [fault for fault, there in faults.items() if there]
+
+
 def read_pieces(path: str) -> tuple[dict[str, float], bool]:
-    """Ordinary piece -> score (blanks written as blanks), and whether unknown characters become bytes."""
+    """Ordinary piece -> score (blanks written as blanks), and whether unknown characters become bytes. Models that count() can't follow are refused."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    if faults := unfit(proto):
+        raise ValueError(f"{path} can't be counted: {'; '.join(faults)}")
     ordinary = [i for i in range(model.vocab_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
     return {model.id_to_piece(i).replace("▁", " "): model.get_score(i) for i in ordinary}, any(model.is_byte(i) for i in range(model.vocab_size()))
 
@@ -100,7 +120,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (more than limit tokens), in one pass without a shuffle.
 
     Null and empty texts have no bytes and no tokens; repeated rows repeat their counts, an empty
-    table stays empty, other columns pass through (columns of these three names are replaced). The
+    table stays empty, other columns pass through (columns of these three names are replaced). A very long text is
+    counted whole, pre-token by pre-token; one long pre-token takes some numbers a character. The
     broadcast holds the vocabulary alone.
     """
     pieces, by_bytes = read_pieces(path)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm import byte_bpe, line_dedup, minhash, mixing, quality
 from tidewright.llm.common import cut, table
 
+#: Words of the near-dedup stage's shingles; their sets are linked at a similarity of 0.8.
+WORDS = 5
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it learns from the labels of those given."""
@@ -19,21 +22,21 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies, by five-word shingles."""
+    return minhash.keep_one(docs, WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights; every document stays, those of small sources come more than once."""
+    """The sources mixed to their target weights; every document stays, those of small sources come more than once. The files are the mix in order."""
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids (packed), digests, and their place in the mix: in order of mix_part and mix_row."""
     import public_tokenizers
 
-    coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return byte_bpe.digests(coded)
+    coded = byte_bpe.encode_documents(mixing.with_places(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(coded, "mix_part", "mix_row", "ids")
 
 
 STAGES = [("quality classifier", good), ("line dedup", without_common_lines), ("minhash near-dedup", one_of_each_group), ("source mixing", mixed), ("byte-level bpe", encoded)]

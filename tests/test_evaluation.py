@@ -29,9 +29,9 @@ def test_silhouette_whole(spark, vectors):
         a = others.pop(label[i])
         b = min(others.values())
         want.setdefault(int(label[i]), []).append((b - a) / max(a, b))
-    for made in (evaluation.silhouette_whole(spark, folder), evaluation.silhouette(spark, folder, 7, None)):
+    for made in (evaluation.silhouette(spark, folder), evaluation.silhouette(spark, folder, 7)):
         assert {r.label: r.silhouette for r in made.collect()} == pytest.approx({c: float(np.mean(v)) for c, v in want.items()}, abs=2e-6)
-    assert min(np.mean(v) for v in want.values()) > 0.3 > max(r.silhouette for r in evaluation.silhouette(spark, folder).collect())
+    assert min(np.mean(v) for v in want.values()) > 0.3  # which the first components alone don't show
 
 
 def test_cluster_validity_whole(spark, vectors):
@@ -42,13 +42,13 @@ def test_cluster_validity_whole(spark, vectors):
     s = np.array([np.sqrt(gap[label == c]).mean() for c in range(3)])
     apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
     db = np.mean([max((s[p] + s[q]) / apart[p, q] for q in range(3) if q != p) for p in range(3)])
-    r = evaluation.cluster_validity_whole(spark, folder).first()
+    r = evaluation.cluster_validity(spark, folder).first()
     assert (r.calinski_harabasz, r.davies_bouldin, r.inertia) == pytest.approx((between / 2 / (gap.sum() / 57), db, gap.sum()), abs=1e-4)
 
 
 def test_block_norms_whole(spark, vectors):
     folder, x, _ = vectors
-    for r in evaluation.block_norms_whole(spark, folder).collect():
+    for r in evaluation.block_norms(spark, folder).collect():
         own = x[:, :2] if r.family == "narrow" else x[:, 2:]
         rows = np.sqrt((own**2).sum(axis=1))
         want = np.array([np.sqrt((rows**2).sum()), rows.mean()])
@@ -60,3 +60,22 @@ def test_gaps_of_near_rows_keep_their_digits():
     x = np.full((2, 64), 1e4)
     x[1, 0] += 1e-5
     assert evaluation._gaps(x, x)[0] == pytest.approx([0, 1e-5], rel=1e-6)
+
+
+@pytest.mark.parametrize(("rows", "splits", "block"), [(16, 4, 3), (17, 4, 3), (1501, 5, 200), (1000, 5, 200), (301, 5, 200), (45, 5, 200), (6, 2, 200)])
+def test_block_folds(spark, rows, splits, block):
+    """Blocks by position in time; the last validation block has all the rest; few rows have shorter blocks; the last month is no part of it."""
+    months = [f"{2020 + i // 12}-{i % 12 + 1:02d}" for i in range(rows)] if rows < 100 else [f"2020-{1 + 11 * i // rows:02d}" for i in range(rows)]
+    p = spark.createDataFrame([(str(i), m) for i, m in enumerate(months)], "job_id string, period string").repartition(3)
+    dev = [m for m in months if m < max(months)]
+    n, bs = len(dev), block
+    if n // bs < 2:
+        bs = max(20, n // (splits + 1))
+    folds = min(splits, max(1, n // bs - 1))
+    want = []
+    for k in range(1, folds + 1):
+        train, valid = dev[(k - 1) * bs : k * bs], dev[k * bs : (k + 1) * bs if k < folds else n]
+        if train and valid:
+            label = lambda x: x[0] if x[0] == x[-1] else f"{x[0]}..{x[-1]}"
+            want.append((k, len(train), len(valid), label(train), label(valid), train[-1] == valid[0]))
+    assert sorted(tuple(r) for r in evaluation.block_folds(p, splits, block).collect()) == want

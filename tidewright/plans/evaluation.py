@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
+from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
 
 SHARES = (0.80, 0.19, 0.01)
 #: Outer folds: the last months before this one are validated one by one.
@@ -72,13 +72,39 @@ def fold_summary(p):
     return s.select("fold", "month", "first_period", "train_months", "n_train", "n_valid", (F.col("n_train") - F.lag("n_train").over(W.orderBy("fold"))).alias("added"), r4(100.0 * F.col("n_valid") / (F.col("n_train") + F.col("n_valid"))).alias("valid_pct"))
 
 
-@over_postings("wn07_block_folds", f", {SQL_NUMBERS}, b AS (SELECT *, (record_id - 1) // 200 AS block FROM numbered), s AS (SELECT block, count(*) AS n, min(period) AS first_period, max(period) AS last_period FROM b GROUP BY 1) SELECT (a.block + 1)::BIGINT AS fold, a.n::BIGINT AS n_train, v.n::BIGINT AS n_valid, a.first_period || '..' || a.last_period AS train_label, v.first_period || '..' || v.last_period AS valid_label, a.last_period = v.first_period AS shared_period FROM s a JOIN s v ON v.block = a.block + 1")
-def block_folds(p):
-    """Blocks of 200 records in order of time; each is validated by the next. Blocks are named by their first and last months."""
-    blocks = record_numbers(p).withColumn("block", F.floor((F.col("record_id") - 1) / 200))
-    s = blocks.groupBy("block").agg(F.count("*").alias("n"), F.min("period").alias("lo"), F.max("period").alias("hi"))
+#: Rows of a block and validation blocks of the sliding folds.
+BLOCK, SPLITS = 200, 5
+_SQL_BLOCKS = f"""d AS (SELECT * FROM p WHERE period < (SELECT max(period) FROM p)), {SQL_NUMBERS.replace("FROM p", "FROM d")},
+size AS (SELECT n, bs, least({SPLITS}, greatest(1, n // bs - 1)) AS folds FROM (SELECT n, CASE WHEN n // {BLOCK} < 2 THEN greatest(20, n // {SPLITS + 1}) ELSE {BLOCK} END AS bs FROM (SELECT count(*) AS n FROM d))),
+b AS (SELECT numbered.*, least((record_id - 1) // bs, folds) AS block FROM numbered CROSS JOIN size), s AS (SELECT block, count(*) AS n, min(period) AS lo, max(period) AS hi FROM b GROUP BY 1)"""
+_SQL_LABEL = "CASE WHEN {0}.lo = {0}.hi THEN {0}.lo ELSE {0}.lo || '..' || {0}.hi END"
+
+
+def blocks(p: DataFrame, splits: int = SPLITS, block: int = BLOCK) -> DataFrame:
+    """p with block: records in order of time in blocks of so many rows, all beyond the last fold's in one.
+
+    With less than two blocks in all, blocks have a (splits + 1)th of the rows instead, 20 at least. There are at most
+    `splits` folds, fold k training on block k - 1 and validated on block k, so the last one is validated on all that is left.
+    """
+    n = F.count("*")
+    rows = F.when(F.floor(n / block) < 2, F.greatest(F.lit(20), F.floor(n / (splits + 1)))).otherwise(block)
+    size = p.agg(n.alias("__n"), rows.cast("long").alias("__rows")).withColumn("__folds", F.least(F.lit(splits), F.greatest(F.lit(1), F.floor(F.col("__n") / F.col("__rows")) - 1)))
+    at = F.floor((F.col("record_id") - 1) / F.col("__rows"))
+    return record_numbers(p).crossJoin(F.broadcast(size)).withColumn("block", F.least(at, "__folds").cast("long")).drop("__n", "__rows", "__folds")  # one row
+
+
+def development(p: DataFrame) -> DataFrame:
+    """The records before the latest month, which is locked."""
+    last = p.agg(F.max("period").alias("__last"))
+    return p.crossJoin(F.broadcast(last)).filter(F.col("period") < F.col("__last")).drop("__last")  # one row
+
+
+@over_postings("wn07_block_folds", f", {_SQL_BLOCKS} SELECT (a.block + 1)::BIGINT AS fold, a.n::BIGINT AS n_train, v.n::BIGINT AS n_valid, {_SQL_LABEL.format('a')} AS train_label, {_SQL_LABEL.format('v')} AS valid_label, a.hi = v.lo AS shared_period FROM s a JOIN s v ON v.block = a.block + 1")
+def block_folds(p, splits: int = SPLITS, block: int = BLOCK):
+    """Sliding folds over the development records: each block is validated by the next, the last by all the rest. Blocks are named by their first and last months."""
+    s = blocks(development(p), splits, block).groupBy("block").agg(F.count("*").alias("n"), F.min("period").alias("lo"), F.max("period").alias("hi"))
     a, v = s.alias("a"), s.alias("v")
-    label = lambda t: F.concat_ws("..", f"{t}.lo", f"{t}.hi")
+    label = lambda t: F.when(F.col(f"{t}.lo") == F.col(f"{t}.hi"), F.col(f"{t}.lo")).otherwise(F.concat_ws("..", f"{t}.lo", f"{t}.hi"))
     return a.join(v, F.expr("v.block = a.block + 1")).select((F.col("a.block") + 1).alias("fold"), F.col("a.n").alias("n_train"), F.col("v.n").alias("n_valid"), label("a").alias("train_label"), label("v").alias("valid_label"), (F.col("a.hi") == F.col("v.lo")).alias("shared_period"))
 
 
@@ -199,17 +225,12 @@ def fit_diagnostics(p):
     return e.select("fold", F.col("m").alias("mae"), F.col("d").alias("dummy_mae"), F.round((F.col("d") - F.col("m")) / F.col("d"), 6).alias("gain"), F.when(F.col("m") < F.col("d"), "better").otherwise("not better").alias("against_dummy"), (wins >= 4).alias("better_in_four"))
 
 
-#: Components that SQL_LABELLED has; the queries that are held against it take as many, those named _whole take all.
-SQL_COLUMNS = 8
-
-
-def labelled(spark, sf_dir, columns: int | None = SQL_COLUMNS) -> DataFrame:
-    """vec_id, label, and the first components of each embedding (None: all of them) as x."""
-    x = F.slice("embedding", 1, columns) if columns else F.col("embedding")
-    return table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("vec_id", "label", F.transform(x, lambda v: v.cast("double")).alias("x"))
+def labelled(spark, sf_dir) -> DataFrame:
+    """vec_id, label, and each embedding, whole, as x."""
+    return table(spark, sf_dir, "embeddings").filter("label is not null and embedding is not null").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-SQL_LABELLED = "v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda e: e::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
+SQL_LABELLED = "v AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
 
 
 @over_tables("ag18_adjusted_rand", f"WITH {SQL_LABELLED}, c AS (SELECT label AS a, (vec_id % 5) AS b, count(*)::DOUBLE AS n FROM v GROUP BY ALL), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM ra) AS i, (SELECT sum(n * (n - 1) / 2) FROM rb) AS j, (SELECT sum(n) FROM c) AS t) SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s")
@@ -232,13 +253,13 @@ d AS (SELECT vec_id, label, sum(power(e - m, 2)) AS d2 FROM u JOIN c USING (labe
 b AS (SELECT sum(c.n * power(c.m - g.m, 2)) AS b FROM c JOIN g USING (i)), x AS (SELECT a.label AS p, z.label AS q, sqrt(sum(power(a.m - z.m, 2))) AS dist FROM c a JOIN c z ON a.i = z.i AND a.label <> z.label GROUP BY ALL),
 r AS (SELECT p, max((wp.s + wq.s) / dist) AS r FROM x JOIN w wp ON wp.label = p JOIN w wq ON wq.label = q GROUP BY 1)
 SELECT round((SELECT b FROM b) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 4) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin, round(sum(w), 4) AS inertia, count(*)::BIGINT AS clusters FROM w""")
-def cluster_validity(spark, sf_dir, columns: int | None = SQL_COLUMNS):
+def cluster_validity(spark, sf_dir):
     """Calinski-Harabasz, Davies-Bouldin and inertia of given labels, from centroids (a row a label and component)."""
-    u = labelled(spark, sf_dir, columns).select("vec_id", "label", F.posexplode("x").alias("i", "e"))
+    u = labelled(spark, sf_dir).select("vec_id", "label", F.posexplode("x").alias("i", "e"))
     c = u.groupBy("label", "i").agg(F.avg("e").alias("m"), F.count("*").alias("n"))
     g = u.groupBy("i").agg(F.avg("e").alias("g"))
     gap = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    d = u.join(F.broadcast(c.drop("n")), ["label", "i"]).groupBy("vec_id", "label").agg(F.sum(gap("e", "m")).alias("d2"))
+    d = u.join(c.drop("n"), ["label", "i"]).groupBy("vec_id", "label").agg(F.sum(gap("e", "m")).alias("d2"))
     w = d.groupBy("label").agg(F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s"), F.count("*").alias("n"))
     b = c.join(g, "i").agg(F.sum(F.col("n") * gap("m", "g")).alias("b"))
     one = c.select(F.col("label").alias("p"), "i", F.col("m").alias("mp"))
@@ -250,10 +271,7 @@ def cluster_validity(spark, sf_dir, columns: int | None = SQL_COLUMNS):
     return t.select(r4(F.expr("b / (k - 1) / (inertia / (n - k))")).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"), r4("inertia").alias("inertia"), F.col("k").alias("clusters"))
 
 
-@over_tables("ag19_cluster_validity_whole")
-def cluster_validity_whole(spark, sf_dir):
-    """cluster_validity over every component of the vectors."""
-    return cluster_validity(spark, sf_dir, None)
+over_tables("ag19_cluster_validity_whole", ORACLES["ag19_cluster_validity"])(cluster_validity)  # a former name
 
 
 def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -283,9 +301,9 @@ def _distances(pair: pd.DataFrame) -> pd.DataFrame:
 
 
 @over_tables("ag19_silhouette", f"WITH {SQL_LABELLED}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS t, count(*) FILTER (WHERE a.vec_id <> b.vec_id) AS n FROM v a JOIN v b ON true GROUP BY ALL), m AS (SELECT vec_id, label, max(CASE WHEN label = other AND n > 0 THEN t / n END) AS a, min(CASE WHEN label <> other THEN t / n END) AS b FROM d GROUP BY ALL) SELECT label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*)::BIGINT AS members FROM m GROUP BY 1")
-def silhouette(spark, sf_dir, tile: int = 500, columns: int | None = SQL_COLUMNS):
+def silhouette(spark, sf_dir, tile: int = 2000):
     """Euclidean silhouette of given labels over every pair of vectors: tiles of them meet in pairs, and a pair gives sums by label, not distances. The work grows with the square of the vectors, as the measure does."""
-    v = labelled(spark, sf_dir, columns)
+    v = labelled(spark, sf_dir)
     tiles = max(1, -(-v.count() // tile))
     v = v.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
@@ -341,10 +359,7 @@ def silhouettes(v: DataFrame, tile: int = 8000) -> list[float]:
     return [made[i] for i in range(number)]
 
 
-@over_tables("ag19_silhouette_whole")
-def silhouette_whole(spark, sf_dir):
-    """silhouette over every component of the vectors; larger tiles, so that a long row is sent to fewer of them."""
-    return silhouette(spark, sf_dir, 2000, None)
+over_tables("ag19_silhouette_whole", ORACLES["ag19_silhouette"])(silhouette)  # a former name
 
 
 @over_tables("ag20_balance", f"WITH {SQL_LABELLED}, g AS (SELECT label, count(*)::DOUBLE AS n FROM v GROUP BY 1), s AS (SELECT n / sum(n) OVER () AS s FROM g) SELECT round(-sum(s * ln(s)) / ln(count(*)), 6) AS entropy, round(min(s), 6) AS least_share FROM s")
@@ -368,17 +383,14 @@ def labelling_pairs(spark, sf_dir):
 
 
 @over_tables("ag32_block_norms", f"WITH {SQL_LABELLED}, u AS (SELECT vec_id, generate_subscripts(x, 1) <= 2 AS narrow, unnest(x) AS e FROM v), b AS (SELECT vec_id, narrow, sum(e * e) AS before, sum(e * e) / count(*) AS after FROM u GROUP BY ALL) SELECT CASE WHEN narrow THEN 'narrow' ELSE 'wide' END AS family, round(sqrt(sum(before)), 6) AS norm_before, round(avg(sqrt(before)), 6) AS row_before, round(sqrt(sum(after)), 6) AS norm_after, round(avg(sqrt(after)), 6) AS row_after FROM b GROUP BY 1")
-def block_norms(spark, sf_dir, columns: int | None = SQL_COLUMNS):
+def block_norms(spark, sf_dir):
     """Frobenius norm and mean row length of two column families (the first two components, and the rest), before and after each is divided by the root of its width."""
     sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
-    v = labelled(spark, sf_dir, columns)
+    v = labelled(spark, sf_dir)
     blocks = (("narrow", F.slice("x", 1, 2)), ("wide", F.slice("x", F.lit(3), F.greatest(F.size("x") - 2, F.lit(0)))))
     parts = F.array(*(F.struct(F.lit(n).alias("family"), sq(x).alias("b"), (sq(x) / F.size(x)).alias("a")) for n, x in blocks))
     g = v.select(F.inline(parts)).groupBy("family")
     return g.agg(F.round(F.sqrt(F.sum("b")), 6).alias("norm_before"), F.round(F.avg(F.sqrt("b")), 6).alias("row_before"), F.round(F.sqrt(F.sum("a")), 6).alias("norm_after"), F.round(F.avg(F.sqrt("a")), 6).alias("row_after"))
 
 
-@over_tables("ag32_block_norms_whole")
-def block_norms_whole(spark, sf_dir):
-    """block_norms over every component of the vectors."""
-    return block_norms(spark, sf_dir, None)
+over_tables("ag32_block_norms_whole", ORACLES["ag32_block_norms"])(block_norms)  # a former name

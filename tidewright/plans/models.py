@@ -71,7 +71,7 @@ class Features:
         return [(c, f"{c}={labels[c][i]}" if c in labels else c) for c, n in self.blocks() for i in range(n)]
 
 
-@over_postings("ml01_multi_hot", f", t AS (SELECT job_id, {SQL_TOKENS} AS a FROM p), w AS (SELECT count(DISTINCT u)::INTEGER AS width FROM (SELECT unnest(a) AS u FROM t)) SELECT job_id, width, coalesce(len(a), 0)::INTEGER AS n_on FROM t CROSS JOIN w")
+@over_postings("ml01_multi_hot", f", t AS MATERIALIZED (SELECT job_id, {SQL_TOKENS} AS a FROM p), w AS MATERIALIZED (SELECT count(DISTINCT u)::INTEGER AS width FROM (SELECT unnest(a) AS u FROM t)) SELECT job_id, width, coalesce(len(a), 0)::INTEGER AS n_on FROM t CROSS JOIN w")
 def multi_hot(p):
     x = prepared(p)
     f = Features(x, nominal=(), numeric=(), skills=True)
@@ -292,7 +292,7 @@ def segment_profiles(p):
 @over_tables("ml12_kmeans_embeddings")
 def kmeans_embeddings(spark, sf_dir):
     """K-means over embeddings against their labels."""
-    x = labelled(spark, sf_dir, 64).select(F.col("label").alias("a"), array_to_vector("x").alias("z"))
+    x = labelled(spark, sf_dir).select(F.col("label").alias("a"), array_to_vector("x").alias("z"))
     return rand_index(KMeans(k=10, seed=42, featuresCol="z", predictionCol="b").fit(x).transform(x).select("a", "b"))
 
 

@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.plans.base import SQL_NUMBERS, TIERS, money_mean, over_postings, over_tables, r4, record_numbers, sql_money_mean, sql_tier, table, tier
+from tidewright.plans.base import SQL_NUMBERS, TIERS, exact_quantiles, money_mean, once, over_postings, over_tables, r4, record_numbers, sql_money_mean, sql_tier, table, tier
 
+#: The record contract's columns. Fixed values.
 CONTRACT = ("job_id job_title job_category experience_level education_required city country remote_work company_size industry required_skills salary_tier years_of_experience annual_salary_usd salary_min_usd salary_max_usd ai_salary_premium_pct demand_score demand_growth_yoy_pct benefits_score_10 posting_year posting_month is_senior is_remote_friendly is_llm_role").split()
 NUMERIC = ["annual_salary_usd", "years_of_experience", "demand_score", "benefits_score_10", "ai_salary_premium_pct"]
 CATEGORICAL = ["job_category", "education_required", "country", "remote_work", "company_size", "industry"]
-ALLOW = ["job_title", "job_category", "education_required", "city", "country", "remote_work", "company_size", "industry", "years_of_experience", "demand_score", "benefits_score_10", "required_skills", "skill_count"]
-BLOCK = ["job_id", "salary_min_usd", "salary_max_usd", "salary_tier", "ai_salary_premium_pct", "demand_growth_yoy_pct", "experience_level", "posting_year", "posting_month", "is_senior", "is_remote_friendly", "is_llm_role"]
+#: Columns that a model may read, and those it may not with the reason. Names and order are fixed values of the contract.
+ALLOW = ["job_title", "job_category", "years_of_experience", "education_required", "city", "country", "remote_work", "company_size", "industry", "demand_score", "benefits_score_10", "required_skills", "skill_count"]
+BLOCK = {
+    "job_id": "names the record",
+    "salary_min_usd": "tells the target's range",
+    "salary_max_usd": "tells the target's range",
+    "salary_tier": "made from the target, and often wrong",
+    "experience_level": "contradicts the years",
+    "posting_year": "time decides the splits",
+    "posting_month": "time decides the splits",
+    "is_senior": "repeats other columns",
+    "is_remote_friendly": "repeats other columns",
+    "is_llm_role": "repeats other columns",
+    "ai_salary_premium_pct": "a market figure close to the target",
+    "demand_growth_yoy_pct": "not known when served",
+}
+REASONS = {"ALLOW": "known when a prediction is asked for", "TARGET": "what is predicted"}
 TARGET = "annual_salary_usd"
 
 
@@ -29,7 +45,7 @@ def skill_tokens(c: Column) -> Column:
 SQL_TOKENS = r"list_sort(list_distinct(list_filter(list_transform(string_split(required_skills, '|'), lambda x: regexp_replace(trim(x), '\s+', ' ', 'g')), lambda x: x <> '')))"
 SQL_RAW_TOKENS = "len(string_split(required_skills, '|'))"
 
-#: Whether years fit a level; the gaps between the bands count as misfits.
+#: Whether years fit a level (fixed values of the contract); the gaps between the bands count as misfits.
 LEVEL_YEARS = {"Entry": (0, 2), "Mid": (3, 5), "Senior": (6, 9), "Lead": (10, 100)}
 
 
@@ -79,9 +95,16 @@ def clean_records(p):
     return p.filter(F.trim(F.lower("job_category")) != "job_category").drop("job_id").distinct()
 
 
-@over_tables("prj03_feature_policy", "SELECT * FROM (VALUES " + ", ".join([f"('{c}', 'ALLOW')" for c in ALLOW] + [f"('{c}', 'BLOCK')" for c in BLOCK] + [f"('{TARGET}', 'TARGET')"]) + ") AS t(feature, decision)")
+def _policy() -> list[tuple[str, str, str]]:
+    return [*((c, "ALLOW", REASONS["ALLOW"]) for c in ALLOW), *((c, "BLOCK", why) for c, why in BLOCK.items()), (TARGET, "TARGET", REASONS["TARGET"])]
+
+
+_SQL_POLICY = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in _policy())
+
+
+@over_tables("prj03_feature_policy", f"SELECT * FROM (VALUES {_SQL_POLICY}) AS t(feature, policy, reason)")
 def feature_policy(spark, sf_dir):
-    return spark.createDataFrame([(c, "ALLOW") for c in ALLOW] + [(c, "BLOCK") for c in BLOCK] + [(TARGET, "TARGET")], "feature string, decision string")
+    return spark.createDataFrame(_policy(), "feature string, policy string, reason string")
 
 
 @over_postings("prj04_row_identity", f", {SQL_NUMBERS} SELECT job_id, record_id, record_id - 1 AS source_position, sha256('postings:' || (record_id - 1)) AS row_id FROM numbered")
@@ -265,10 +288,15 @@ def tier_crosstab(p):
     return wide.withColumnsRenamed({n: f"expected_{i}" for i, n in enumerate(_TIER_NAMES)})
 
 
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
 def describe(p: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact count, mean, sample deviation and quartiles of each column, as a row each."""
-    long = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))))
-    return long.groupBy("feature").agg(F.count("v").alias("n"), r4(F.avg("v")).alias("mean"), r4(F.stddev_samp("v")).alias("std"), r4(F.min("v")).alias("min"), *(r4(q("v", s)).alias(n) for n, s in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))), r4(F.max("v")).alias("max"))
+    """Exact count, mean, sample deviation and quartiles of each column, as a row each (a column without a value has no row)."""
+    long = once(p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns)))))
+    g = long.groupBy("feature").agg(F.count("v").alias("n"), r4(F.avg("v")).alias("mean"), r4(F.stddev_samp("v")).alias("std"), r4(F.min("v")).alias("min"), r4(F.max("v")).alias("max"))
+    quartiles = exact_quantiles(long, ["feature"], "v", QUARTILES)
+    return g.join(quartiles.select("feature", *(r4(c).alias(c) for c in QUARTILES)), "feature")
 
 
 @over_postings("ag06_describe", ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v FROM p" for c in NUMERIC) + ") SELECT feature, count(v)::BIGINT AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS q2, round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS max FROM u GROUP BY 1")
@@ -278,7 +306,8 @@ def numeric_summary(p):
 
 @over_postings("ag07_quantiles", ", x AS (SELECT 1) SELECT job_category, " + ", ".join(f"round(quantile_cont(annual_salary_usd, {s}), 4) AS q{int(s * 100)}" for s in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + " FROM p GROUP BY 1")
 def quantiles(p):
-    return p.groupBy("job_category").agg(*(r4(q(TARGET, s)).alias(f"q{int(s * 100)}") for s in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)))
+    shares = {f"q{int(s * 100)}": s for s in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)}
+    return exact_quantiles(p, ["job_category"], TARGET, shares).select("job_category", *(r4(c).alias(c) for c in shares))
 
 
 @over_postings("ag08_deviations", ", x AS (SELECT 1) SELECT job_category, round(stddev_samp(annual_salary_usd), 4) AS sample_sd, round(stddev_pop(annual_salary_usd), 4) AS population_sd FROM p GROUP BY 1")
@@ -327,7 +356,12 @@ def stacked_slices(p):
     dims = ["job_category", "country", "remote_work", "band"]
     x = p.withColumn("band", report_band(F.col("years_of_experience")))
     long = x.select(TARGET, F.inline(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dims))))
-    return salary_stats(long, "dimension", "value")
+    long = once(long)
+    own = ["dimension", "value"]
+    medians = exact_quantiles(long, own, TARGET, {"m": 0.5}).withColumnsRenamed({c: f"__{c}" for c in own})
+    g = long.groupBy(*own).agg(F.count("*").alias("records"), money_mean(TARGET).alias("mean_salary"))
+    same = F.col("dimension").eqNullSafe(F.col("__dimension")) & F.col("value").eqNullSafe(F.col("__value"))
+    return g.join(medians, same, "left").select(*own, "records", "mean_salary", r4("m").alias("median_salary"))
 
 
 def skill_rows(p: DataFrame) -> DataFrame:

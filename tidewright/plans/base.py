@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,17 +150,70 @@ def sql_exact_mean(c: str) -> str:
     return f"sum(round({c}, 6)::DECIMAL(28, 6))::DOUBLE / count({c})"
 
 
+#: Ids of a range: records are numbered in ranges of so many ids of a month.
+IDS = 65_536
+
+
 def record_numbers(p: DataFrame, name: str = "record_id") -> DataFrame:
     """p with a number from 1 on, in order of period and job_id.
 
-    Each period is numbered by itself and moved by the rows of the periods before it (a row a period), so
-    no task sorts more than a month.
+    Each range of IDS ids of a month is numbered by itself, and moved by the rows of the ranges before it in its month (a row a
+    range) and of the months before (a row a month), so no task sorts more than a range however large a month.
+    """
+    number = F.col("job_id").try_cast("long")
+    p = p.withColumn("__range", F.floor(F.coalesce(number, F.lit(-1)) / IDS))
+    ranges = p.groupBy(F.col("period").alias("__period"), F.col("__range").alias("__r")).agg(F.count("*").alias("n"))
+    months = ranges.groupBy("__period").agg(F.sum("n").alias("n")).select(F.col("__period").alias("__month"), F.coalesce(F.sum("n").over(W.orderBy("__period").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__months"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("__period").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = ranges.withColumn("__before", before).join(F.broadcast(months), F.col("__period").eqNullSafe(F.col("__month")))  # a row a month
+    moved = moved.select("__period", "__r", (F.col("__before") + F.col("__months")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("period", "__range").orderBy(number, "job_id"))
+    out = p.withColumn("__in", inside).join(moved, F.col("period").eqNullSafe(F.col("__period")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__period", "__range", "__r", "__before", "__in")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df as a table written to the folder of spark.checkpoint.dir, for plans that read it several times; as it is where that is unset."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df
+    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ranges that the values of a group are counted in.
+PARTS = 4096
+
+
+def exact_quantiles(x: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share: the exact quantiles of value in each group, between neighbours by their distance.
+
+    Equal values are counted first; counts are summed in PARTS ranges of each group's values, and inside each range. So
+    no task holds a group's values, however few groups there are. Groups without a value are left out.
     """
-    before = W.orderBy("__period").rowsBetween(W.unboundedPreceding, -1)
-    moved = p.groupBy(F.col("period").alias("__period")).agg(F.count("*").alias("n"))
-    moved = moved.select("__period", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("period").orderBy(F.col("job_id").cast("long"), "job_id"))
-    return p.join(F.broadcast(moved), F.col("period") == F.col("__period")).withColumn(name, (F.col("__before") + inside).cast("long")).drop("__period", "__before")
+    x = x.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    counted = once(x.groupBy(*by, "__v").agg(F.count("*").alias("__n")))
+    span = counted.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__t"))
+    keys = [f"__k{i}" for i in range(len(by))]
+    met = lambda other: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)), other)
+    named = lambda d: d.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), *[c for c in d.columns if c not in by])
+    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS))).otherwise(0)
+    dealt = counted.join(named(span), met(F.lit(True))).drop(*keys).withColumn("__part", part)
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+    earlier = F.coalesce(F.sum("__m").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__earlier", earlier).withColumnRenamed("__part", "__p").drop("__m")
+    dealt = dealt.join(named(parts), met(F.col("__part") == F.col("__p"))).drop(*keys, "__p")
+    upto = F.col("__earlier") + F.sum("__n").over(W.partitionBy(*by, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    dealt = dealt.withColumn("__upto", upto)
+    holds = lambda rank: (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__n"))
+    ends = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("__t") - 1)
+        ends += [F.max(F.when(holds(F.floor(at)), F.col("__v"))).alias(f"__lo_{name}"), F.max(F.when(holds(F.ceil(at)), F.col("__v"))).alias(f"__hi_{name}"), F.max(at - F.floor(at)).alias(f"__at_{name}")]
+    out = dealt.groupBy(*by).agg(*ends)
+    return out.select(*by, *((F.col(f"__lo_{n}") * (1 - F.col(f"__at_{n}")) + F.col(f"__hi_{n}") * F.col(f"__at_{n}")).alias(n) for n in shares))
 
 
 SQL_NUMBERS = "numbered AS (SELECT *, row_number() OVER (ORDER BY period, job_id::BIGINT) AS record_id FROM p)"

@@ -1,24 +1,83 @@
-"""Tables of the reports by their own names: segments over given labels, error tables, and page summaries.
+"""Tables of the reports by their own names: segments of the records, error tables, and page summaries.
 
-Segments are the labels of any clustering joined by record number; here a fixed rule of the number stands for one.
+Segments are clusters of the numeric columns, found by rounds of K-means in whole numbers, so that SQL can follow them;
+ml10_cluster_assignments has those of pyspark.ml in the space of all columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_STATS, SQL_TOKENS, TARGET, salary_stats, skill_tokens
-from tidewright.plans.base import SQL_NUMBERS, over_postings, r4, record_numbers
+from tidewright.plans.base import SQL_NUMBERS, exact_quantiles, once, over_postings, r4, record_numbers
 from tidewright.plans.evaluation import SQL_OOF, out_of_fold
 
+#: Clusters, rounds, and the columns that a record's place is made from: their range in hundredths.
+CLUSTERS, ROUNDS = 4, 6
+MEASURES = {"years": "years_of_experience", "demand": "coalesce(demand_score, 0)", "benefits": "coalesce(benefits_score_10, 0)", "skills": "skill_count"}
+
+
+def places(p: DataFrame) -> DataFrame:
+    """p with a whole number from 0 to 100 for each measure: its place between the column's ends."""
+    p = p.withColumn("skill_count", F.coalesce(F.size(skill_tokens(F.col("required_skills"))), F.lit(0)))
+    p = p.withColumns({f"__{m}": F.expr(c).cast("double") for m, c in MEASURES.items()})
+    ends = p.agg(*(f(f"__{m}").alias(f"__{n}_{m}") for m in MEASURES for n, f in (("lo", F.min), ("hi", F.max))))
+    own = lambda m: F.when(F.col(f"__hi_{m}") > F.col(f"__lo_{m}"), F.round(100.0 * (F.col(f"__{m}") - F.col(f"__lo_{m}")) / (F.col(f"__hi_{m}") - F.col(f"__lo_{m}")))).otherwise(0.0).cast("long")
+    placed = p.crossJoin(F.broadcast(ends)).withColumns({m: own(m) for m in MEASURES})  # one row
+    return placed.drop(*ends.columns, *(f"__{m}" for m in MEASURES))
+
+
+def nearest(centres: dict[int, list[int]]) -> Column:
+    """The cluster of the nearest centre (hundredths of places); the lowest of equals."""
+    gap = lambda c: sum(((100 * F.col(m) - F.lit(v)) * (100 * F.col(m) - F.lit(v)) for m, v in zip(MEASURES, c, strict=True)), F.lit(0).cast("long"))
+    return F.array_min(F.array(*(F.struct(gap(c).alias("d"), F.lit(k).alias("k")) for k, c in centres.items())))["k"]
+
+
+def centres_of(points: DataFrame, rounds: int = ROUNDS) -> dict[int, list[int]]:
+    """The clusters' centres after so many rounds over points (the measures and n, how many records are there).
+
+    The first clusters are quarters of the years. A round is one aggregation of a few rows; clusters that lose all points go.
+    """
+    cluster = F.least(F.lit(CLUSTERS - 1), F.floor(CLUSTERS * F.col("years") / 101)).cast("int")
+    for _ in range(rounds + 1):
+        sums = points.groupBy(cluster.alias("k")).agg(*(F.expr(f"sum({m} * n) * 100 div sum(n)").alias(m) for m in MEASURES)).collect()  # a row a cluster
+        centres = {r.k: [r[m] for m in MEASURES] for r in sorted(sums)}
+        cluster = nearest(centres)
+    return centres
+
 
 def segmented(p: DataFrame) -> DataFrame:
-    return record_numbers(p).withColumn("cluster", (F.col("record_id") * 7 % 4).cast("int"))
+    """p with record_id and cluster, which was found on the different places and their counts."""
+    placed = once(places(p))
+    points = placed.groupBy(*MEASURES).agg(F.count("*").alias("n"))
+    cluster = nearest(centres) if (centres := centres_of(once(points))) else F.lit(0)
+    return record_numbers(placed.withColumn("cluster", cluster)).drop(*MEASURES, "skill_count")
+
+
+def _sql_segmented() -> str:
+    names = list(MEASURES)
+    place = ", ".join(f"CASE WHEN max({m}) OVER () > min({m}) OVER () THEN round(100.0::DOUBLE * ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())) ELSE 0 END::BIGINT AS {m}" for m in names)
+    raw = ", ".join(f"({c})::DOUBLE AS {m}" for m, c in MEASURES.items())
+    centre = ", ".join(f"(sum({m} * n)::BIGINT * 100) // sum(n)::BIGINT AS c_{m}" for m in names)
+    gap = " + ".join(f"(100 * {m} - c_{m}) * (100 * {m} - c_{m})" for m in names)
+    keys = ", ".join(names)
+    steps = [f"a0 AS (SELECT *, least({CLUSTERS - 1}, {CLUSTERS} * years // 101)::INTEGER AS k FROM points)"]
+    for i in range(ROUNDS + 1):
+        steps += [f"c{i} AS (SELECT k, {centre} FROM a{i} GROUP BY k)", f"a{i + 1} AS (SELECT {keys}, n, arg_min(k, (({gap}) * {CLUSTERS} + k)) AS k FROM points CROSS JOIN (SELECT * FROM c{i}) GROUP BY {keys}, n)"]
+    return f"""{SQL_NUMBERS}, raw AS (SELECT record_id AS rid, {raw} FROM (SELECT *, coalesce(len({SQL_TOKENS}), 0) AS skill_count FROM numbered)),
+placed AS MATERIALIZED (SELECT rid, {place} FROM raw), points AS MATERIALIZED (SELECT {keys}, count(*)::BIGINT AS n FROM placed GROUP BY ALL), {", ".join(steps)},
+seg AS MATERIALIZED (SELECT numbered.*, k AS cluster FROM numbered JOIN placed ON record_id = rid JOIN a{ROUNDS + 1} USING ({keys}))"""
+
 
+SQL_SEGMENTED = _sql_segmented()
 
-SQL_SEGMENTED = f"{SQL_NUMBERS}, seg AS (SELECT *, (record_id * 7 % 4)::INTEGER AS cluster FROM numbered)"
+
+@over_postings("out_cluster_assignments", f", {SQL_SEGMENTED} SELECT record_id, job_id, cluster FROM seg")
+def assignments(p):
+    """Each record's number and cluster."""
+    return segmented(p).select("record_id", "job_id", "cluster")
 
 
 @over_postings("out_cluster_profiles", f", {SQL_SEGMENTED} SELECT cluster, {SQL_STATS}, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM seg GROUP BY 1")
@@ -81,7 +140,10 @@ def salary_range_status(p):
 @over_postings("out_target_summary", ", x AS (SELECT 1) SELECT count(annual_salary_usd)::BIGINT AS n, min(annual_salary_usd) AS lowest, max(annual_salary_usd) AS highest, sum(round(annual_salary_usd * 100)::BIGINT)::DOUBLE / (100.0::DOUBLE * count(*)) AS mean, round(median(annual_salary_usd), 4) AS median, round(stddev_samp(annual_salary_usd), 4) AS sd, CASE WHEN avg(annual_salary_usd) > median(annual_salary_usd) THEN 'right' ELSE 'left' END AS skew FROM p")
 def target_summary(p):
     mean = F.sum(F.round(F.col(TARGET) * 100).cast("long")) / (100.0 * F.count("*"))
-    return p.agg(F.count(TARGET).alias("n"), F.min(TARGET).alias("lowest"), F.max(TARGET).alias("highest"), mean.alias("mean"), r4(F.median(TARGET)).alias("median"), r4(F.stddev_samp(TARGET)).alias("sd"), F.when(F.avg(TARGET) > F.median(TARGET), "right").otherwise("left").alias("skew"))
+    x = once(p.select(TARGET))
+    g = x.agg(F.count(TARGET).alias("n"), F.min(TARGET).alias("lowest"), F.max(TARGET).alias("highest"), mean.alias("mean"), r4(F.stddev_samp(TARGET)).alias("sd"), F.avg(TARGET).alias("a"))
+    g = g.crossJoin(exact_quantiles(x, [], TARGET, {"m": 0.5}))  # one row each
+    return g.select("n", "lowest", "highest", "mean", r4("m").alias("median"), "sd", F.when(F.col("a") > F.col("m"), "right").otherwise("left").alias("skew"))
 
 
 @over_postings("out_before_after", ", x AS (SELECT 1) SELECT 'records' AS measure, count(*)::BIGINT AS before, count(*) FILTER (WHERE required_skills IS NOT NULL)::BIGINT AS after FROM p UNION ALL SELECT 'skills', count(DISTINCT required_skills)::BIGINT, count(DISTINCT CASE WHEN annual_salary_usd > 0 THEN required_skills END)::BIGINT FROM p")
@@ -148,3 +210,10 @@ def column_to_index(p):
     keyed = s.groupBy(F.col("cluster").alias("id")).agg(F.count("*").alias("size")).filter("id <> 3")
     rows = s.groupBy("cluster", "industry").agg(F.max("demand_growth_yoy_pct").alias("growth"))
     return rows.join(keyed, F.col("cluster") == F.col("id"), "left").drop("id")
+
+
+@over_postings("jn15_row_labels", f", {SQL_SEGMENTED} SELECT record_id, job_category, cluster FROM seg")
+def row_labels(p):
+    """Labels made elsewhere meet their rows by an explicit number, never by position."""
+    labels = segmented(p).select("record_id", "cluster")
+    return record_numbers(p).select("record_id", "job_category").join(labels, "record_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
+from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, exact_quantiles, once, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
 
 SHARES = (0.80, 0.19, 0.01)
 #: Outer folds: the last months before this one are validated one by one.
@@ -110,8 +110,8 @@ def block_folds(p, splits: int = SPLITS, block: int = BLOCK):
 
 def out_of_fold(p: DataFrame) -> DataFrame:
     """fold, job_id, dimensions, actual, predicted of each validation record, by the predictor fitted on its fold's history; an unseen group gets the history's median."""
-    x = p.select("job_id", "period", "job_category", "country", "remote_work", TARGET, report_band(F.col("years_of_experience")).alias("band"))
-    f = F.broadcast(outer_folds(p))
+    x = once(p.select("job_id", "period", "job_category", "country", "remote_work", TARGET, report_band(F.col("years_of_experience")).alias("band")))
+    f = F.broadcast(outer_folds(x))
     history = x.join(f, F.col("period") < F.col("month"))
     groups = history.groupBy("fold", "job_category", "band").agg(F.median(TARGET).alias("own"))
     whole = history.groupBy("fold").agg(F.median(TARGET).alias("baseline"))
@@ -188,8 +188,9 @@ def subgroup_metrics(p):
 @over_postings("ag27_uncertainty", f", {SQL_OOF}, b AS (SELECT quantile_cont(abs(actual - predicted), 0.9) AS q90 FROM oof) SELECT round(any_value(q90), 4) AS q90, round(avg((actual BETWEEN predicted - q90 AND predicted + q90)::INTEGER), 6) AS coverage, {sql_exact_mean('actual - predicted')} AS bias, round(1 - avg(abs(actual - predicted)) / avg(abs(actual - baseline)), 6) AS skill FROM oof CROSS JOIN b")
 def uncertainty(p):
     """Error band, its coverage of the same rows, bias, and skill against the baseline."""
-    x, e = out_of_fold(p), F.col("actual") - F.col("predicted")
-    x = x.crossJoin(F.broadcast(x.agg(F.percentile(F.abs(e), F.lit(0.9)).alias("q90"))))
+    e = F.col("actual") - F.col("predicted")
+    x = once(out_of_fold(p).withColumn("error", F.abs(e)))
+    x = x.crossJoin(F.broadcast(exact_quantiles(x, [], "error", {"q90": 0.9})))  # one row
     inside = F.col("actual").between(F.col("predicted") - F.col("q90"), F.col("predicted") + F.col("q90"))
     return x.agg(r4(F.max("q90")).alias("q90"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"), exact_mean(e).alias("bias"), F.round(1 - F.avg(F.abs(e)) / F.avg(F.abs(F.col("actual") - F.col("baseline"))), 6).alias("skill"))
 
@@ -233,9 +234,10 @@ def labelled(spark, sf_dir) -> DataFrame:
 SQL_LABELLED = "v AS (SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
 
 
-@over_tables("ag18_adjusted_rand", f"WITH {SQL_LABELLED}, c AS (SELECT label AS a, (vec_id % 5) AS b, count(*)::DOUBLE AS n FROM v GROUP BY ALL), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM ra) AS i, (SELECT sum(n * (n - 1) / 2) FROM rb) AS j, (SELECT sum(n) FROM c) AS t) SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s")
+@over_tables("ag18_adjusted_rand", f"WITH {SQL_LABELLED}, c AS (SELECT label AS a, list_position(x, list_max(x)) AS b, count(*)::DOUBLE AS n FROM v GROUP BY ALL), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM ra) AS i, (SELECT sum(n * (n - 1) / 2) FROM rb) AS j, (SELECT sum(n) FROM c) AS t) SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s")
 def adjusted_rand(spark, sf_dir):
-    return rand_index(labelled(spark, sf_dir).select(F.col("label").alias("a"), (F.col("vec_id") % 5).alias("b"))).select(F.round("ari", 6).alias("ari"))
+    """Given labels against each vector's largest component."""
+    return rand_index(labelled(spark, sf_dir).select(F.col("label").alias("a"), F.array_position("x", F.array_max("x")).alias("b"))).select(F.round("ari", 6).alias("ari"))
 
 
 def rand_index(pairs: DataFrame) -> DataFrame:
@@ -369,11 +371,11 @@ def balance(spark, sf_dir):
     return s.agg(F.round(-F.sum(F.col("s") * F.ln("s")) / F.ln(F.count("*")), 6).alias("entropy"), F.round(F.min("s"), 6).alias("least_share"))
 
 
-@over_tables("jn12_labelling_pairs", f"WITH {SQL_LABELLED}, l AS (SELECT vec_id, 'label' AS name, label::BIGINT AS c FROM v UNION ALL SELECT vec_id, 'mod3', vec_id % 3 FROM v UNION ALL SELECT vec_id, 'mod6', vec_id % 6 FROM v), c AS (SELECT x.name AS x, y.name AS y, x.c AS a, y.c AS b, count(*)::DOUBLE AS n FROM l x JOIN l y USING (vec_id) GROUP BY ALL), ra AS (SELECT x, y, sum(n * (n - 1) / 2) AS i FROM (SELECT x, y, a, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL), rb AS (SELECT x, y, sum(n * (n - 1) / 2) AS j FROM (SELECT x, y, b, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL), s AS (SELECT x, y, sum(n * (n - 1) / 2) AS ij, sum(n) AS t FROM c GROUP BY ALL) SELECT x, y, round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s JOIN ra USING (x, y) JOIN rb USING (x, y)")
+@over_tables("jn12_labelling_pairs", f"WITH {SQL_LABELLED}, l AS (SELECT vec_id, 'label' AS name, label::BIGINT AS c FROM v UNION ALL SELECT vec_id, 'largest', list_position(x, list_max(x)) FROM v UNION ALL SELECT vec_id, 'signs', (x[1] > 0)::BIGINT * 2 + (x[2] > 0)::BIGINT FROM v), c AS (SELECT x.name AS x, y.name AS y, x.c AS a, y.c AS b, count(*)::DOUBLE AS n FROM l x JOIN l y USING (vec_id) GROUP BY ALL), ra AS (SELECT x, y, sum(n * (n - 1) / 2) AS i FROM (SELECT x, y, a, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL), rb AS (SELECT x, y, sum(n * (n - 1) / 2) AS j FROM (SELECT x, y, b, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL), s AS (SELECT x, y, sum(n * (n - 1) / 2) AS ij, sum(n) AS t FROM c GROUP BY ALL) SELECT x, y, round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s JOIN ra USING (x, y) JOIN rb USING (x, y)")
 def labelling_pairs(spark, sf_dir):
-    """ARI of every pair of labellings: pairs are made inside a record, then counted."""
+    """ARI of every pair of labellings (given labels, the largest component, the signs of the first two): pairs are made inside a record, then counted."""
     l = labelled(spark, sf_dir)  # noqa: E741
-    own = F.array(F.struct(F.lit("label").alias("n"), F.col("label").cast("long").alias("c")), F.struct(F.lit("mod3").alias("n"), (F.col("vec_id") % 3).alias("c")), F.struct(F.lit("mod6").alias("n"), (F.col("vec_id") % 6).alias("c")))
+    own = F.array(F.struct(F.lit("label").alias("n"), F.col("label").cast("long").alias("c")), F.struct(F.lit("largest").alias("n"), F.array_position("x", F.array_max("x")).cast("long").alias("c")), F.struct(F.lit("signs").alias("n"), ((F.col("x")[0] > 0).cast("long") * 2 + (F.col("x")[1] > 0).cast("long")).alias("c")))
     pairs = l.select(own.alias("l")).select(F.inline(F.flatten(F.transform("l", lambda p: F.transform("l", lambda q: F.struct(p["n"].alias("x"), q["n"].alias("y"), p["c"].alias("a"), q["c"].alias("b")))))))
     choose = lambda n: F.col(n) * (F.col(n) - 1) / 2
     c = pairs.groupBy("x", "y", "a", "b").agg(F.count("*").cast("double").alias("n"))

@@ -44,14 +44,6 @@ def lineage_join(p):
     return r.join(F.broadcast(families), "feature", "left").select("feature", r4("r").alias("r"), "family")
 
 
-@over_postings("jn15_row_labels", f", {SQL_NUMBERS}, l AS (SELECT record_id, (record_id * 7 % 5)::INTEGER AS cluster FROM numbered) SELECT n.record_id, job_category, cluster FROM numbered n JOIN l USING (record_id)")
-def row_labels(p):
-    """Labels made elsewhere meet their rows by an explicit number, never by position."""
-    n = record_numbers(p)
-    labels = n.select("record_id", (F.col("record_id") * 7 % 5).cast("int").alias("cluster"))
-    return n.select("record_id", "job_category").join(labels, "record_id")
-
-
 @over_postings("jn04_performance_join", f", {SQL_OOF}, m AS (SELECT fold, {sql_exact_mean('abs(actual - predicted)')} AS mae FROM oof GROUP BY 1), n AS (SELECT fold, count(*) AS n, avg(actual) AS level FROM oof GROUP BY 1) SELECT m.fold, mae, n::BIGINT AS n, round(mae / level, 6) AS relative FROM m LEFT JOIN n ON m.fold = n.fold")
 def performance_join(p):
     x = out_of_fold(p)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import POSTINGS_SQL, over_postings, over_tables, postings, r4, table
+from tidewright.plans.base import POSTINGS_SQL, exact_quantiles, over_postings, over_tables, postings, r4, table
 from tidewright.plans.evaluation import SQL_OOF, out_of_fold
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -55,7 +55,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted scenarios with the two-feature prediction and its band: the out-of-fold error's ninth decile either way, not under zero."""
     p = postings(spark, sf_dir)
     own = p.groupBy("job_category", report_band(F.col("years_of_experience")).alias("band")).agg(F.median(TARGET).alias("predicted"))
-    e = out_of_fold(p).agg(F.percentile(F.abs(F.col("actual") - F.col("predicted")), F.lit(0.9)).alias("q90"))
+    e = exact_quantiles(out_of_fold(p).select(F.abs(F.col("actual") - F.col("predicted")).alias("error")), [], "error", {"q90": 0.9})
     ok = validated(scenarios(spark, sf_dir), policy(p)).filter("validation_mode <> 'rejected'").withColumn("band", report_band(F.col("years")))
     out = ok.join(F.broadcast(own), ["job_category", "band"]).crossJoin(F.broadcast(e))  # one row
     return out.withColumns({"lower": F.greatest(F.lit(0.0), F.col("predicted") - F.col("q90")), "upper": F.col("predicted") + F.col("q90")})

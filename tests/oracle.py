@@ -46,13 +46,21 @@ def rows_of_duckdb(con, sql, columns):
     return sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=order)
 
 
-def same(a, b):
-    """Equal, or floats a last rounded digit apart (sums of floats depend on their order)."""
-    return len(a) == len(b) and all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1.5e-4) for x, y in zip(a, b, strict=True))
+def digits(v):
+    """Decimals that a number is written with, up to 12."""
+    text = repr(v)
+    return len(text.partition(".")[2]) if "e" not in text else 12
+
+
+def same(a, b, scales):
+    """Equal, or floats a last rounded digit of their column apart (sums of floats depend on their order)."""
+    near = lambda x, y, n: math.isclose(x, y, rel_tol=1e-9, abs_tol=1.5 * 10.0**-n)
+    return len(a) == len(b) and all(x == y or isinstance(x, float) and isinstance(y, float) and near(x, y, n) for x, y, n in zip(a, b, scales, strict=True))
 
 
 def assert_same(df, con, sql):
     columns = sorted(df.columns)
     got, want = rows_of_spark(df, columns), rows_of_duckdb(con, sql, columns)
     assert len(got) == len(want)
-    assert not (bad := [(a, b) for a, b in zip(got, want, strict=True) if not same(a, b)]), bad[:2]
+    scales = [min(12, max((digits(r[i]) for r in want if isinstance(r[i], float)), default=12)) for i in range(len(columns))]
+    assert not (bad := [(a, b) for a, b in zip(got, want, strict=True) if not same(a, b, scales)]), bad[:2]

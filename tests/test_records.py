@@ -46,6 +46,71 @@ def test_packs(spark, tmp_path):
         evidence.load(spark, path, ["a"])
 
 
+def test_packs_tell_their_tables(spark, tmp_path):
+    path = str(tmp_path / "pack")
+    evidence.publish({"a": spark.range(5), "b": spark.range(3)}, path)
+    assert evidence.names(spark, path) == ["a", "b"] and {n: d.count() for n, d in evidence.load(spark, path).items()} == {"a": 5, "b": 3}
+
+
+def test_guarded_scans(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "x,\"y\"\nz"), (2, None, None)], "id long, v double, s string")
+    evidence.write_json(df, str(tmp_path / "t.jsonl"))
+    assert sorted(tuple(r) for r in evidence.guarded(spark, str(tmp_path / "t.jsonl"), ["id", "v"]).select("id", "v", "s").collect()) == sorted(tuple(r) for r in df.collect())
+    records.write_csv(df, str(tmp_path / "t.csv"))
+    assert evidence.guarded(spark, str(tmp_path / "t.csv"), ["s"]).count() == 2
+    with pytest.raises(FileNotFoundError):
+        evidence.guarded(spark, str(tmp_path / "none.csv"), [])
+    for own, match in (({"columns": ["w"]}, "lacks"), ({"columns": [], "most_rows": 1}, "rows"), ({"columns": [], "most_bytes": 10}, "bytes")):
+        with pytest.raises(ValueError, match=match):
+            evidence.guarded(spark, str(tmp_path / "t.jsonl"), **own)
+    odd = spark.createDataFrame([(1, float("nan")), (2, float("inf"))], "id long, v double")
+    with pytest.raises(Exception, match="JSON"):
+        evidence.write_json(odd, str(tmp_path / "odd.jsonl"))
+    evidence.write_json(odd, str(tmp_path / "odd.jsonl"), strict=False)
+    assert spark.read.schema("id long, v double").json(str(tmp_path / "odd.jsonl")).filter("v is null").count() == 2
+
+
+def test_log_lines(spark):
+    import json
+
+    rows = [("w", 2, {"k": "v"}, {"m": float("nan"), "n": 1.0}), ("w", 1, {"k": "x" * 20_000}, {}), ("u", 1, None, None)]
+    out = {(r.writer, r.sequence): json.loads(r.line) for r in evidence.log_lines(spark.createDataFrame(rows, "writer string, ts long, details map<string,string>, metrics map<string,double>")).collect()}
+    assert out["w", 2]["metrics"] == {"m": None, "n": 1.0} and "omitted_bytes" in out["w", 1]["details"] and ("u", 1) in out
+    many = spark.createDataFrame([("w", 1, None, {str(i): 0.0 for i in range(101)})], "writer string, ts long, details map<string,string>, metrics map<string,double>")
+    with pytest.raises(Exception, match="metrics"):
+        evidence.log_lines(many).collect()
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    df = spark.createDataFrame([(i, float(i), 2.0 * i + 1) for i in range(20)], "row_id long, x double, y double")
+    fit = lambda scale: Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y")]).fit(df.withColumn("y", F.col("y") * scale))
+    model = fit(1.0)
+    evidence.save_model(model, str(tmp_path / "m"))
+    loaded = evidence.load_model(str(tmp_path / "m"), df, model)
+    assert loaded.transform(df).first().prediction == pytest.approx(1.0)
+    with pytest.raises(ValueError, match="apart"):
+        evidence.load_model(str(tmp_path / "m"), df, fit(2.0))
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.integers(0, 50, 400)] + [("b", 7.0)] * 9 + [(None, float(v)) for v in rng.normal(size=31)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for parts in (4096, 3, 1):
+        monkeypatch.setattr(base, "PARTS", parts)
+        out = {r.g: (r.lo, r.mid, r.hi) for r in base.exact_quantiles(df, ["g"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()}
+        assert set(out) == {"a", "b", None}
+        for g, got in out.items():
+            assert got == pytest.approx(np.quantile([v for k, v in rows if k == g], [0.1, 0.5, 0.9]))
+    assert base.exact_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
 def test_stream_equals_table(spark, sf, tmp_path):
     whole = base.table(spark, sf, "events")
     whole.repartition(3).write.parquet(str(tmp_path / "events.parquet"))

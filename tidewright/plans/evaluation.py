@@ -1,7 +1,7 @@
 """Temporal partitions, folds and the algebra of evaluation, over a predictor that SQL can follow.
 
 The predictor is the median salary of a category and experience band among earlier records. It stands
-for any model: every table here needs actual and predicted values only.
+for any model in every query of this module: those tables need actual and predicted values only. Fitted models are in models.py.
 """
 
 from __future__ import annotations
@@ -195,27 +195,56 @@ def uncertainty(p):
     return x.agg(r4(F.max("q90")).alias("q90"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"), exact_mean(e).alias("bias"), F.round(1 - F.avg(F.abs(e)) / F.avg(F.abs(F.col("actual") - F.col("baseline"))), 6).alias("skill"))
 
 
-_CANDIDATES = [("Random Forest", 100.0, 8.0, 5), ("Linear Regression", 105.0, 5.0, 2), ("Dummy Median", 150.0, 5.0, 1), ("Ridge", 130.0, 5.0, 3), ("Gradient Boosting", 140.0, 5.0, 4)]
-_VALUES = ", ".join(map(str, _CANDIDATES))
+#: Predictors of the selection, the simplest first: the medians of these columns among earlier records.
+PREDICTORS = {"Dummy Median": (), "Category": ("job_category",), "Band": ("band",), "Category and Band": ("job_category", "band")}
 
 
-def candidates(spark) -> DataFrame:
-    return spark.createDataFrame(_CANDIDATES, "model string, mae double, sd double, simplicity int")
+def predictor_errors(p: DataFrame) -> DataFrame:
+    """model, simplicity, fold and mae of each predictor on each fold; a group unseen in a fold's history gets the history's median."""
+    x = once(p.select("period", "job_category", TARGET, report_band(F.col("years_of_experience")).alias("band")))
+    f = F.broadcast(outer_folds(x))
+    history, valid = x.join(f, F.col("period") < F.col("month")), x.join(f, F.col("period") == F.col("month"))
+    whole = history.groupBy("fold").agg(F.median(TARGET).alias("baseline"))
+    valid = valid.join(whole, "fold")
+    for i, by in enumerate(PREDICTORS.values()):
+        own = history.groupBy("fold", *by).agg(F.median(TARGET).alias(f"m{i}"))
+        valid = valid.join(own, ["fold", *by], "left")
+    gaps = F.array(*(F.struct(F.lit(n).alias("model"), F.lit(i + 1).alias("simplicity"), F.abs(F.col(TARGET) - F.coalesce(f"m{i}", "baseline")).alias("gap")) for i, n in enumerate(PREDICTORS)))
+    return valid.select("fold", F.inline(gaps)).groupBy("model", "simplicity", "fold").agg(exact_mean(F.col("gap")).alias("mae"))
+
+
+def candidates(errors: DataFrame) -> DataFrame:
+    """model, simplicity, mean and population deviation over the folds of errors (model, simplicity, fold, mae)."""
+    return errors.groupBy("model", "simplicity").agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("sd"))
+
 
+_SQL_MEDIANS = ", ".join(f"g{i} AS (SELECT fold, {', '.join((*by, 'median(y) AS m'))} FROM h GROUP BY {', '.join(('fold', *by))})" for i, by in enumerate(PREDICTORS.values()))
+_SQL_GAPS = " UNION ALL ".join(f"SELECT '{n}' AS model, {i + 1} AS simplicity, o.fold, abs(actual - coalesce(g{i}.m, baseline)) AS gap FROM oof o LEFT JOIN g{i} ON {' AND '.join(f'o.{c} = g{i}.{c}' for c in ('fold', *by))}" for i, (n, by) in enumerate(PREDICTORS.items()))
+_SQL_CANDIDATES = f"{SQL_OOF}, {_SQL_MEDIANS}, gaps AS ({_SQL_GAPS}), errors AS (SELECT model, simplicity, fold, {sql_exact_mean('gap')} AS mae FROM gaps GROUP BY ALL), c AS (SELECT model, simplicity, avg(mae) AS mae, stddev_pop(mae) AS sd FROM errors GROUP BY ALL)"
 
-@over_tables("ml22_family_selection", f"WITH c(model, mae, sd, simplicity) AS (VALUES {_VALUES}), b AS (SELECT mae + sd AS hi, mae - sd AS lo, model AS best FROM c ORDER BY mae, model LIMIT 1), o AS (SELECT c.*, best FROM c CROSS JOIN b WHERE mae - sd <= hi AND mae + sd >= lo) SELECT any_value(best) AS lowest, arg_min(model, simplicity) AS selected, string_agg(model, ',' ORDER BY simplicity) AS overlap FROM o")
-def family_selection(spark, sf_dir):
-    """The simplest model whose one-deviation interval meets the best one's."""
-    c = candidates(spark)
+
+@over_postings("ml22_predictor_errors", f", {_SQL_CANDIDATES} SELECT model, simplicity, fold, mae FROM errors")
+def errors_by_fold(p):
+    return predictor_errors(p)
+
+
+def select_family(c: DataFrame) -> DataFrame:
+    """The simplest of the candidates (model, mae, sd, simplicity) whose one-deviation interval meets the best one's."""
     b = c.agg(F.min_by(F.struct("model", (F.col("mae") - F.col("sd")).alias("lo"), (F.col("mae") + F.col("sd")).alias("hi")), F.struct("mae", "model")).alias("b"))
-    o = c.crossJoin(F.broadcast(b)).filter("mae - sd <= b.hi AND mae + sd >= b.lo")
+    o = c.crossJoin(F.broadcast(b)).filter("mae - sd <= b.hi AND mae + sd >= b.lo")  # one row
     return o.agg(F.first("b.model").alias("lowest"), F.min_by("model", "simplicity").alias("selected"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("simplicity", "model"))), lambda x: x["model"]), ",").alias("overlap"))
 
 
-@over_tables("wn09_search_rank", f"WITH c(model, mae, sd, simplicity) AS (VALUES {_VALUES}), r AS (SELECT model, sd, rank() OVER (ORDER BY sd)::INTEGER AS place, simplicity FROM c) SELECT model, place, row_number() OVER (ORDER BY place, simplicity) = 1 AS winner FROM r")
-def search_rank(spark, sf_dir):
-    """Ranks that ties share, and the first of the best as the winner."""
-    r = candidates(spark).withColumn("place", F.rank().over(W.orderBy("sd")))
+@over_postings("ml22_family_selection", f", {_SQL_CANDIDATES}, b AS (SELECT mae + sd AS hi, mae - sd AS lo, model AS best FROM c ORDER BY mae, model LIMIT 1), o AS (SELECT c.*, best FROM c CROSS JOIN b WHERE mae - sd <= hi AND mae + sd >= lo) SELECT any_value(best) AS lowest, arg_min(model, simplicity) AS selected, string_agg(model, ',' ORDER BY simplicity) AS overlap FROM o")
+def family_selection(p):
+    """The selection over the predictors' errors by fold."""
+    return select_family(candidates(predictor_errors(p)))
+
+
+@over_postings("wn09_search_rank", f", {_SQL_CANDIDATES}, r AS (SELECT model, rank() OVER (ORDER BY round(mae, 4))::INTEGER AS place, simplicity FROM c) SELECT model, place, row_number() OVER (ORDER BY place, simplicity) = 1 AS winner FROM r")
+def search_rank(p):
+    """Ranks by mean error that ties share, and the first of the best as the winner (a row a candidate)."""
+    r = candidates(predictor_errors(p)).withColumn("place", F.rank().over(W.orderBy(r4("mae"))))
     return r.select("model", "place", (F.row_number().over(W.orderBy("place", "simplicity")) == 1).alias("winner"))
 
 

@@ -19,17 +19,25 @@ def policy(p: DataFrame) -> DataFrame:
     return p.groupBy("job_category", "job_title").agg(F.count("*").alias("support"), F.min("years_of_experience").alias("min_years"), F.max("years_of_experience").alias("max_years"))
 
 
+def policy_digest(rules: DataFrame) -> DataFrame:
+    """One row, policy_hash: the SHA-256 of the policy's lines in order (a line a pair)."""
+    number = lambda c: F.format_string("%.1f", c)
+    line = F.concat_ws("|", "job_category", "job_title", F.col("support").cast("string"), number("min_years"), number("max_years"))
+    return rules.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("policy_hash"))
+
+
+SQL_DIGEST = "digest AS (SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS policy_hash FROM (SELECT job_category || '|' || job_title || '|' || support || '|' || printf('%.1f', min_years) || '|' || printf('%.1f', max_years) AS line FROM policy))"
 SQL_POLICY = "policy AS (SELECT job_category, job_title, count(*) AS support, min(years_of_experience) AS min_years, max(years_of_experience) AS max_years FROM p GROUP BY ALL)"
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One what-if request a customer: a category, a title of that or another category, years, and whether it is a benchmark."""
+    """One what-if request a customer: a category, a title of that or another category, years, and whether it is a benchmark, whose salary is known."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
     own = F.element_at(F.array(*map(F.lit, PRIORITIES)), (key % 5 + 1).cast("int"))
-    return c.select(key.alias("scenario_id"), F.col("c_mktsegment").alias("job_category"), F.concat_ws(":", F.when(key % 7 == 0, "BUILDING").otherwise(F.col("c_mktsegment")), own).alias("job_title"), F.when(key % 11 > 0, (key % 19 - 2).cast("double")).alias("years"), (key % 2 == 0).alias("benchmark"))
+    return c.select(key.alias("scenario_id"), F.col("c_mktsegment").alias("job_category"), F.concat_ws(":", F.when(key % 7 == 0, "BUILDING").otherwise(F.col("c_mktsegment")), own).alias("job_title"), F.when(key % 11 > 0, (key % 19 - 2).cast("double")).alias("years"), (key % 2 == 0).alias("benchmark"), F.when(key % 2 == 0, F.round(F.abs("c_acctbal") * 20, 2)).alias("actual"))
 
 
-SQL_SCENARIOS = f"s AS (SELECT c_custkey AS scenario_id, c_mktsegment AS job_category, CASE WHEN c_custkey % 7 = 0 THEN 'BUILDING' ELSE c_mktsegment END || ':' || ({PRIORITIES})[c_custkey % 5 + 1] AS job_title, CASE WHEN c_custkey % 11 > 0 THEN (c_custkey % 19 - 2)::DOUBLE END AS years, c_custkey % 2 = 0 AS benchmark FROM customer)"
+SQL_SCENARIOS = f"s AS (SELECT c_custkey AS scenario_id, c_mktsegment AS job_category, CASE WHEN c_custkey % 7 = 0 THEN 'BUILDING' ELSE c_mktsegment END || ':' || ({PRIORITIES})[c_custkey % 5 + 1] AS job_title, CASE WHEN c_custkey % 11 > 0 THEN (c_custkey % 19 - 2)::DOUBLE END AS years, c_custkey % 2 = 0 AS benchmark, CASE WHEN c_custkey % 2 = 0 THEN round(abs(c_acctbal) * 20, 2) END AS actual FROM customer)"
 
 
 def validated(s: DataFrame, rules: DataFrame) -> DataFrame:
@@ -80,10 +88,41 @@ def growth_inputs(spark, sf_dir):
     return v.select("scenario_id", F.explode(years).alias("years"))
 
 
-@over_tables("snk06_prediction_audit", f"WITH RECURSIVE {POSTINGS_SQL}, {SQL_PREDICTED} SELECT scenario_id::VARCHAR AS scenario_id, job_category, job_title, printf('%.2f', years) AS years, printf('%.4f', round(predicted, 4)) AS predicted, coalesce(reason, '') AS reason FROM served")
+#: The export's columns. Names and order are fixed values of its format.
+EXPORT = ["schema_version", "scenario_id", "source", "record_id", "evidence_id", "model_id", "feature_variant", "policy_hash", "job_title", "job_category", "years_of_experience", "validation_mode", "exception_reason", "predicted_salary_usd", "lower_bound_usd", "upper_bound_usd", "q90_abs_error_usd", "q90_basis", "actual_salary_usd", "absolute_error_usd", "signed_variance_pct"]
+MODEL, EVIDENCE, BASIS = "group-median", "out-of-fold", "historical_test_absolute_errors"
+_AMOUNTS = {"predicted_salary_usd": "predicted", "lower_bound_usd": "lower", "upper_bound_usd": "upper", "q90_abs_error_usd": "q90", "actual_salary_usd": "actual", "absolute_error_usd": "abs(predicted - actual)"}
+_SQL_EXPORT = {
+    "schema_version": "'1'", "scenario_id": "scenario_id::VARCHAR", "source": "CASE WHEN benchmark THEN 'benchmark' ELSE 'manual' END", "record_id": "CASE WHEN benchmark THEN scenario_id::VARCHAR ELSE '' END",
+    "evidence_id": f"'{EVIDENCE}'", "model_id": f"'{MODEL}'", "feature_variant": "'top2'", "policy_hash": "policy_hash", "job_title": "job_title", "job_category": "job_category", "years_of_experience": "printf('%.1f', years)",
+    "validation_mode": "validation_mode", "exception_reason": "CASE WHEN validation_mode = 'benchmark' THEN 'years out of bounds' ELSE '' END",
+    **{c: f"coalesce(printf('%.2f', floor(round({v}, 4) * 100 + 0.5) / 100), '')" for c, v in _AMOUNTS.items()},
+    "q90_basis": f"'{BASIS}'", "signed_variance_pct": "coalesce(printf('%.4f', floor(round(CASE WHEN actual > 0 THEN 100.0::DOUBLE * (predicted - actual) / actual END, 7) * 10000 + 0.5) / 10000), '')",
+}
+
+
+@over_tables("snk06_prediction_audit", f"WITH RECURSIVE {POSTINGS_SQL}, {SQL_PREDICTED}, {SQL_DIGEST} SELECT {', '.join(f'{_SQL_EXPORT[c]} AS {c}' for c in EXPORT)} FROM served CROSS JOIN digest")
 def prediction_audit(spark, sf_dir):
-    """The export's columns as text: fixed decimals, nothing for null."""
-    return predictions(spark, sf_dir).select(F.col("scenario_id").cast("string").alias("scenario_id"), "job_category", "job_title", F.format_string("%.2f", "years").alias("years"), F.format_string("%.4f", r4("predicted")).alias("predicted"), F.coalesce("reason", F.lit("")).alias("reason"))
+    """The export's columns, all text: amounts with two decimals, the variance with four, nothing for null."""
+    digest = policy_digest(policy(postings(spark, sf_dir)))
+    x = predictions(spark, sf_dir).crossJoin(F.broadcast(digest))  # one row
+    half_up = lambda c, n: F.floor(F.round(c, n + 2 + (n > 2)) * 10**n + 0.5) / 10**n
+    shown = lambda c, n: F.when(c.isNotNull(), F.format_string(f"%.{n}f", half_up(c, n))).otherwise("")
+    id_ = F.col("scenario_id").cast("string")
+    own = {
+        "schema_version": F.lit("1"), "scenario_id": id_, "source": F.when(F.col("benchmark"), "benchmark").otherwise("manual"), "record_id": F.when(F.col("benchmark"), id_).otherwise(""),
+        "evidence_id": F.lit(EVIDENCE), "model_id": F.lit(MODEL), "feature_variant": F.lit("top2"), "years_of_experience": F.format_string("%.1f", "years"),
+        "exception_reason": F.when(F.col("validation_mode") == "benchmark", "years out of bounds").otherwise(""), "q90_basis": F.lit(BASIS),
+        **{c: shown(F.expr(v), 2) for c, v in _AMOUNTS.items()},
+        "signed_variance_pct": shown(F.when(F.col("actual") > 0, 100.0 * (F.col("predicted") - F.col("actual")) / F.col("actual")), 4),
+    }
+    return x.select(*((own[c] if c in own else F.col(c)).alias(c) for c in EXPORT))
+
+
+@over_tables("sv01_policy_digest", f"WITH RECURSIVE {POSTINGS_SQL}, {SQL_POLICY}, {SQL_DIGEST} SELECT policy_hash, (SELECT count(*) FROM policy)::BIGINT AS pairs FROM digest")
+def policy_hash(spark, sf_dir):
+    rules = policy(postings(spark, sf_dir))
+    return policy_digest(rules).crossJoin(rules.agg(F.count("*").alias("pairs")))  # one row each
 
 
 @over_postings("sv05_narrative", f", {SQL_OOF}, e AS (SELECT fold, avg(abs(actual - predicted)) AS m, avg(abs(actual - baseline)) AS d FROM oof GROUP BY 1) SELECT 'fold ' || fold || ': the model is ' || CASE WHEN m < d THEN 'ahead of' ELSE 'not ahead of' END || ' the baseline by ' || printf('%.1f', round(abs(100 * (d - m) / d), 1)) || ' %' AS line FROM e")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.plans.audit import TARGET
 from tidewright.plans.base import over_postings, over_tables, table
 from tidewright.streaming.events import sessions, windowed
 
@@ -25,7 +26,10 @@ def newest_run(p):
     return newest(p.select(F.col("country").alias("source_sha256"), F.col("job_id").alias("run_id"), F.col("period").alias("finished_at"), (~F.col("is_senior")).alias("complete")))
 
 
-@over_postings("snk04_export_stats", ", x AS (SELECT 1) SELECT 'records' AS table_name, count(*)::BIGINT AS records, least(count(*), 20)::BIGINT AS shown, greatest(count(*) - 20, 0)::BIGINT AS omitted FROM p")
+@over_postings("snk04_export_stats", ", x AS (SELECT sha256(job_id || '|' || period || '|' || printf('%.2f', annual_salary_usd)) AS h FROM p) SELECT 'records' AS table_name, count(*)::BIGINT AS records, 3::INTEGER AS n_columns, least(count(*), 20)::BIGINT AS shown, greatest(count(*) - 20, 0)::BIGINT AS omitted, sum(('0x' || substr(h, 1, 12))::BIGINT)::BIGINT AS digest FROM x")
 def export_stats(p):
-    """What an export lists of a table: at most twenty rows shown, the rest counted."""
-    return p.agg(F.lit("records").alias("table_name"), F.count("*").alias("records"), F.least(F.count("*"), F.lit(20)).alias("shown"), F.greatest(F.count("*") - 20, F.lit(0)).alias("omitted"))
+    """What an export lists of a table: rows, columns, at most twenty rows shown and the rest counted, and a digest: the sum of 48 bits of each row's SHA-256, whatever the order of rows."""
+    row = F.sha2(F.concat_ws("|", "job_id", "period", F.format_string("%.2f", TARGET)), 256)
+    digest = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long"))
+    n = F.count("*")
+    return p.agg(F.lit("records").alias("table_name"), n.alias("records"), F.lit(3).alias("n_columns"), F.least(n, F.lit(20)).alias("shown"), F.greatest(n - 20, F.lit(0)).alias("omitted"), digest.alias("digest"))

@@ -43,4 +43,5 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, nullValue="")
+    """A CSV with a header that read_records() and other readers take: quotes are doubled, nulls are empty."""
+    df.write.mode("overwrite").csv(path, header=True, nullValue="", escape='"')

@@ -165,6 +165,8 @@ def components(edges: DataFrame) -> DataFrame:
         """(a, b, m): m is a's least neighbour. A hub has a 10,000th of all rows and 500 at least, so there are 20,000 hubs at most."""
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         hub = F.col("n") >= max(500, rows // 10_000)
+        if least.filter(hub).isEmpty():
+            return both.join(least.drop("n"), "a")
         hubs = F.broadcast(least.filter(hub).select("a", "m"))
         return both.join(hubs, "a", "left_anti").join(least.filter(~hub).select("a", "m"), "a").union(both.join(hubs, "a"))
 
@@ -182,9 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(now)
     while seen[0]:
-        after = cut(star(star(now, True, seen[0]), False, seen[0]))
+        half = cut(star(now, True, seen[0]))
+        after = cut(star(half, False, seen[0]))
         mark_after = mark(after)
         drop_cut(now)
+        drop_cut(half)
         now = after
         if mark_after == seen:
             break

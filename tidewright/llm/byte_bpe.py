@@ -13,11 +13,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, table
+from tidewright.llm.common import alone_in_worker, table, texts_of
 
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_BYTES are never kept.
 REMEMBER, REMEMBER_BYTES = 150_000, 64
@@ -164,18 +164,19 @@ class Codec:
         tokens = list(read_ranks(path).items())
         shared = spark.sparkContext.broadcast((f"{path}\n{pattern}", tokens, PerfectHash([t for t, _ in tokens]), pattern))
 
-        @F.pandas_udf("ids binary, decoded binary")
-        def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf("ids binary, decoded binary")
+        def round_trip(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _encoder(shared)
-            for s in texts:
-                ids = [own.encode(x) if x else b"" for x in s]
-                yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]}, dtype=object)
+            for column in texts:
+                ids = pa.array([own.encode(x) if x else b"" for x in texts_of(column)], pa.binary())
+                decoded = pa.array([own.decode(x) for x in texts_of(ids)], pa.binary())
+                yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
-        @F.pandas_udf("binary")
-        def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("binary")
+        def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _encoder(shared)
-            for s in ids:
-                yield pd.Series([own.decode(x) if x else b"" for x in s], dtype=object)
+            for column in ids:
+                yield pa.array([own.decode(x) if x else b"" for x in texts_of(column)], pa.binary())
 
         self._round_trip, self._decode = round_trip, decode
 

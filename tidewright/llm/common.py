@@ -98,6 +98,12 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
+def texts_of(column: pa.Array, rows: int = 1000) -> Iterator[str | None]:
+    """The texts of a column, as Python's a slice at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 _HELD: list[dict] = []
 
 

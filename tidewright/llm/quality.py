@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, table
+from tidewright.llm.common import alone_in_worker, table, texts_of
 
 #: Weights of the model: 2^BITS hashed features, of which number 0 is the bias.
 BITS = 18
@@ -142,12 +142,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels, sample))
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         alone_in_worker(_HASHES)
         w = shared.value
-        for s in texts:
-            yield pd.Series([sigmoid(float(w[at] @ x)) for at, x in map(features, s)], dtype=float)
+        for column in texts:
+            yield pa.array([sigmoid(float(w[at] @ x)) for at, x in map(features, texts_of(column))], pa.float64())
 
     out = docs.withColumn("score", scored("text"))
     return out.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))

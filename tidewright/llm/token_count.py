@@ -6,11 +6,11 @@ import heapq
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, table
+from tidewright.llm.common import alone_in_worker, table, texts_of
 
 LIMIT = 4096
 #: Pre-tokens remembered in each of two generations; longer ones than REMEMBER_CHARS are never kept.
@@ -127,15 +127,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     pieces, by_bytes = read_pieces(path)
     shared = docs.sparkSession.sparkContext.broadcast((path, pieces, by_bytes, prove(pieces, by_bytes)))
 
-    @F.pandas_udf("long")
-    def n_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def n_tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         alone_in_worker(_COUNTERS)
         key, *parts = shared.value
         if key not in _COUNTERS:
             _COUNTERS[key] = PieceCounts(*parts)
         own = _COUNTERS[key]
-        for s in texts:
-            yield pd.Series([own.count(x) if x else 0 for x in s], dtype="int64")
+        for column in texts:
+            yield pa.array([own.count(x) if x else 0 for x in texts_of(column)], pa.int64())
 
     counted = docs.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "n_tokens": n_tokens("text")})
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -126,6 +126,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes in memory up to which a table may be broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
+def light(df: DataFrame, weight: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast when the weights of its rows (bytes each takes in memory) come to few enough; else as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= most else df
+
+
 def forest(linked: np.ndarray, across: int | None = None) -> np.ndarray:
     """Edges (rows of two numbers) that join what a symmetric matrix of links joins: at most a row less than nodes.
 

@@ -134,6 +134,23 @@ def test_recall_of_true_edits(spark, n):
     assert len({out[2 * i] for i in range(len(base))}) == len(base)
 
 
+def plain_likenesses(texts):
+    prints = [print_of(t) for t in texts]
+    return [edit.likeness(a, b) for a, b in zip(prints[::2], prints[1::2], strict=True)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 0.2, 0.4])
+def test_recall_over_lengths(spark, share):
+    """Pairs of a likeness of NEAR are found at all lengths: around 64 * 2^k characters, where levels change, and with tails of up to 40 %."""
+    rng = random.Random(int(share * 100))
+    sizes = [64 * 2**k + d for k in range(7) for d in (-5, -1, 0, 1, 5)] if share == 0 else [rng.randrange(300, 4000) for _ in range(60)]
+    base = [random_text(rng, n) for n in sizes for _ in range(2 if share == 0 else 1)]
+    texts = [x for t in base for x in (t, t + random_text(rng, max(rng.randrange(1, 6), int(share * len(t)))))]
+    near = [i for i, s in enumerate(plain_likenesses(texts)) if s >= edit.NEAR]
+    out = {r.doc_id: r.class_id for r in edit.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > 0.9 * len(base) and np.mean([out[2 * i] == out[2 * i + 1] for i in near]) >= 0.97
+
+
 def test_members_that_fail_against_the_least_meet_each_other(spark, monkeypatch):
     def one_bucket(batches):
         for b in batches:

@@ -23,6 +23,15 @@ def frame(spark, texts, ids=None, sources=None):
     return spark.createDataFrame(rows, DOC)
 
 
+def test_frequent_lines_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"hot\nown {i}\nshared {i % 3}\nhot") for i in range(60)] + [(None, "hot"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    assert sorted(map(repr, line_dedup.dedup_lines(docs).collect())) == want and "own 5" in str(want) and "hot" not in str(want)
+
+
 def test_line_dedup_small(spark):
     common = [f"own {i}\n  Common LINE \t\n\nlast" for i in range(9)]
     docs = frame(spark, [*common, "common line", None, "", "common line\ncommon line"], ids=[*range(9), 9, None, None, 9])
@@ -307,6 +316,14 @@ def test_mixed_files_are_in_order(spark, tmp_path):
     assert mixing.with_places(docs.filter("doc_id = 1")).first().mix_part is None
 
 
+def test_mixed_parts_of_several_files_are_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 5 + 1), "abc"[i % 3]) for i in range(200)], "doc_id long, text string, source string")
+    mixing.mixed(docs, parts=2).write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "cut"))
+    mixing.mixed(docs, parts=2).write.parquet(str(tmp_path / "whole"))
+    cut, whole = (mixing.with_places(spark.read.parquet(str(tmp_path / n))).orderBy("mix_part", "mix_row").collect() for n in ("cut", "whole"))
+    assert [r.doc_id for r in cut] == [r.doc_id for r in whole] and len({(r.mix_part, r.mix_row) for r in cut}) == len(cut)
+
+
 def test_exponent_of_many_sources_needs_no_list(spark):
     """As many sources as documents: the weights are those of plain bisection."""
     sources = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1).cast("long").alias("docs"), (F.col("id") * F.col("id") + 1).alias("tokens"))

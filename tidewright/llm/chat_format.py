@@ -237,7 +237,8 @@ def repair(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     one; null texts are empty. A turn without a conv_id is a conversation alone. Repeated rows are
     separate turns (of one role, so they are merged), and are dealt apart by their place in the input, which is written
     first for that. A very long text is a row like another. Other columns pass through, but for those with the names
-    of the results. An empty table gives an empty one.
+    of the results. An empty table gives an empty one. conv_id is taken as a long: a text that is no number is an error under
+    Spark's ANSI rules, so other ids must be numbered before.
     """
     spark = turns.sparkSession
     added = ("new_role", "action", "inserted", "cost", "piece")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, cut, small, table, tile_pairs
+from tidewright.llm.common import components, cut, slices, small, table, tile_pairs
 from tidewright.llm.minhash import shared_buckets
 from tidewright.llm.runs import bounds, groups
 
@@ -190,7 +190,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, waiting, opened = 0, [], False  # doc_ids met; rows of one doc_id that wait; whether some of its rows are out already
     ready, following, size = [], [], 0
     for batch in batches:
-        for row in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for row in ((d, t) for part in slices(batch) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)):
             if not waiting or row[0] != waiting[0][0]:
                 seen += 1
                 if seen <= 2:
@@ -268,7 +268,16 @@ _ORDERS: dict[int, np.ndarray] = {}
 
 
 def band_keys(level: int, n: int, x: np.ndarray) -> np.ndarray:
-    """Keys of a fingerprint's bands: each has the first BAND_SAMPLES steps, in an order of its own, that lie within the text."""
+    """Keys of a fingerprint's bands at its level and at the next one, where it meets the texts beyond a power of two.
+
+    Two texts with a likeness of NEAR are no more than twice as long as each other, so their levels are one apart at most.
+    """
+    above = at_level(n, level, x, level + 1)
+    return np.concatenate([keys_at(level, n, x), *([keys_at(level + 1, n, above)] if np.count_nonzero(above) >= BAND_SAMPLES else [])])
+
+
+def keys_at(level: int, n: int, x: np.ndarray) -> np.ndarray:
+    """Keys of a level's bytes: each band has the first BAND_SAMPLES steps, in an order of its own, that lie within the text."""
     known = _ORDERS.get(level)
     if known is None or known.shape[1] < len(x):
         at = sampled(1 << max(14, int(n).bit_length()), level).astype(_U)
@@ -334,13 +343,15 @@ def near_classes(prints: DataFrame) -> DataFrame:
     node is a hash of the fingerprint, so that equal ones are one node. Bands of sampled steps make buckets; in each,
     tile by tile where it is large, a forest of the pairs with a likeness of NEAR is grown over the whole fingerprints.
     class_id is the least doc_id that such links reach. A pair with a likeness s shares no band with
-    probability (1 - s^3)^24: 4 in 100 at NEAR, 1 in 1,000 at 0.64. Rows without a doc_id don't count.
+    probability (1 - s^3)^24: 4 in 100 at NEAR, 1 in 1,000 at 0.64, whatever their lengths (levels are tried one apart
+    too). Rows without a doc_id don't count.
     """
     rows = prints.filter("doc_id is not null")
-    buckets = cut(shared_buckets(rows.select("node", "print").mapInArrow(_banded, "key long, rep long").distinct(), TILE))
+    each = cut(rows.select("node", "print").dropDuplicates(["node"]))
+    buckets = cut(shared_buckets(each.mapInArrow(_banded, "key long, rep long"), TILE))
     many = small(buckets.filter("tile > 0").groupBy("key").agg((F.max("tile") + 1).alias("tiles")))
     needed = small(cut(buckets.select(F.col("rep").alias("node")).distinct()))
-    known = cut(rows.select("node", "print").join(needed, "node", "left_semi").dropDuplicates(["node"]))
+    known = each.join(needed, "node", "left_semi")
     told = buckets.join(many, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).join(known.withColumnRenamed("node", "rep"), "rep")
     met = told.select("key", tile_pairs("tile", "tiles").alias("p"), "rep", "print").select("key", "p.i", "p.j", "rep", "print")
     found = components(met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_grown, "a long, b long"))
@@ -363,7 +374,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     none, which comes last) each is fingerprinted by itself, and as a next document the one with the least hash
     stands for all; they are dealt by that hash, so a hot doc_id is many parts. Rows without a doc_id have a null class_id.
     An empty table gives an empty one. Equal texts have equal fingerprints and classes. A very long text is
-    walked in parts of WALK characters side by side: a worker holds three bytes a character of it. Other columns of docs aren't
+    walked in parts of WALK characters side by side: a worker holds some forty bytes a character of it. Ids are longs: others must be
+    cast before. Other columns of docs aren't
     returned.
     """
     rows = results(docs).withColumn("node", F.xxhash64("print"))

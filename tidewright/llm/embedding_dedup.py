@@ -169,7 +169,8 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vec_id, link with nothing; so do vectors of different lengths. Rows without a vec_id have a null
     component and are kept. Rows sharing a vec_id are separate vectors which share a component, and each
     reports the links of all. Other columns pass through, but for those with the names of the results. A very long
-    vector is a row like another: a unit holds two tiles of codes. An empty table gives an empty one.
+    vector is a row like another: a unit holds two tiles of codes. An empty table gives an empty one. Ids are longs and labels whole
+    numbers; texts that are no numbers are an error under Spark's ANSI rules.
     """
     own, back = aside(vectors, ("vec_id", "embedding", "label"), ("n_links", "component_id", "kept"))
     rows = own.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").filter("vec_id is not null and label is not null and embedding is not null")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACE, SQL_SPACE, ascii_lower, aside, cut, restored, sql_lower, table
+from tidewright.llm.common import BROADCAST_BYTES, SPACE, SQL_SPACE, ascii_lower, aside, cut, restored, sql_lower, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
+#: Beyond the broadcast of all frequent lines, those of more than a HOT-th of all frequent rows are still sent to every task: HOT of them at most.
+HOT = 100_000
 
 
 def _key(line: Column) -> Column:
@@ -25,12 +27,23 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _found(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of lines whose key is frequent, by a broadcast of the keys while they are few; else the hot ones apart, so that no task gets a hot key's rows."""
+    told = frequent.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    if told.keys * 40 <= BROADCAST_BYTES:
+        return lines.join(F.broadcast(frequent.select("h", "g")), ["h", "g"], "left_semi")
+    hot = F.col("n") * HOT >= told.rows
+    hubs = F.broadcast(frequent.filter(hot).select("h", "g"))
+    rest = lines.join(hubs, ["h", "g"], "left_anti").join(frequent.filter(~hot).select("h", "g"), ["h", "g"], "left_semi")
+    return lines.join(hubs, ["h", "g"], "left_semi").unionByName(rest)
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text rewritten, plus n_lines and n_dropped.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Lines are exploded as
     key hashes, once for each document; hashes found in at least min_docs documents are
-    written as a table (broadcast by Catalyst only if its known size allows). Exploded hashes with their positions are
+    written as a table (broadcast while they are few; beyond that the hot ones alone are). Exploded hashes with their positions are
     matched against it, positions are gathered for each document, and its text is reassembled from the runs of lines
     between them: work in proportion to its lines, however many of them go.
 
@@ -44,12 +57,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     own, back = aside(docs, ("doc_id", "text"), ("n_lines", "n_dropped"))
     lowered = _lines(ascii_lower(F.col("text")))
     seen = own.filter("text <> ''").select(F.inline(F.transform(F.array_compact(F.array_distinct(F.transform(lowered, _key))), _hashes)))
-    frequent = cut(seen.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h", "g"))
+    frequent = cut(seen.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
 
     own = own.withColumn("text", F.coalesce("text", F.lit("")))
     key = {"__a": F.xxhash64("doc_id", "text"), "__b": F.xxhash64(F.lit(1), "text", "doc_id")}
     at = own.filter("text <> ''").select(*(v.alias(k) for k, v in key.items()), F.posexplode(F.transform(F.transform(lowered, _key), _hashes)).alias("at", "x")).filter("x is not null")
-    hits = at.select("__a", "__b", "at", F.col("x.h").alias("h"), F.col("x.g").alias("g")).join(frequent, ["h", "g"], "left_semi")
+    hits = at.select("__a", "__b", "at", F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    hits = _found(hits, frequent)
     drops = hits.groupBy("__a", "__b").agg(F.array_sort(F.collect_set("at")).alias("__drop"))
     joined = own.withColumns(key).join(drops, ["__a", "__b"], "left")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import alone_in_worker, aside, components, cut, forest, restored, small, sql_lower, table, tile_pairs
+from tidewright.llm.common import alone_in_worker, aside, components, cut, forest, light, restored, small, sql_lower, table, texts_of, tile_pairs
 from tidewright.llm.runs import bounds, groups
 
 #: Link at 100 * intersection >= PERCENT * union of the sets of WORDS-word shingles.
@@ -101,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     alone_in_worker(_WORDS)
     for batch in batches:
         n, hi, lo, keys, sketches = [], [], [], [], []
-        for text in batch["text"].to_pylist():
+        for text in texts_of(batch["text"]):
             own = shingles(text, words)
             n.append(len(own))
             if len(own):
@@ -186,7 +186,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
     alone_in_worker(_WORDS)
     for batch in batches:
         keep, sets = [], []
-        for k, (text, hi, lo) in enumerate(zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)):
+        for k, (text, hi, lo) in enumerate(zip(texts_of(batch["text"]), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)):
             own = shingles(text, words).tobytes()
             d = xxhash.xxh3_128_digest(own)
             if (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) == (hi, lo):
@@ -293,7 +293,8 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Null or wordless texts have no shingles and link with nothing. Rows without a doc_id link with
     nothing, have a null component and are kept. Rows that share a doc_id are one document in the
     graph: each reports its own set, and all share a component. A very long text is eight bytes a word in a
-    worker, whole. Other columns of docs aren't returned. An empty table gives an empty one.
+    worker, whole. Other columns of docs aren't returned. An empty table gives an empty one. Ids are longs: others must be cast
+    before.
     """
     signed = cut(docs.select("doc_id", "text").mapInArrow(lambda b: _signed(b, words), "doc_id long, n long, hi long, lo long, keys array<long>, sketch binary"))
     usable = signed.filter("doc_id is not null and hi is not null")
@@ -313,7 +314,8 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def linked(units: DataFrame) -> DataFrame:
         """Links in units (rep, hi, lo, family, i, j, side), from the texts: a row of docs is sent to the units of its class."""
-        by_rep = small(cut(units.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("units"))))
+        by_rep = cut(units.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("family", "i", "j", "side")).alias("units")))
+        by_rep = light(by_rep, 56 + 48 * F.size("units"))
         sets = docs.select("doc_id", "text").join(by_rep, F.col("doc_id") == F.col("rep")).drop("doc_id")
         sets = sets.mapInArrow(lambda b: _resolved(b, words), "rep long, units array<struct<family: long, i: int, j: int, side: int>>, shingles binary")
         sent = sets.select("rep", "shingles", F.inline("units"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,6 +184,12 @@ def once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(calls: list[Callable], at_once: int = 3) -> list:
+    """What the calls return; a few run at once, so that Spark has the jobs of one while another waits for its driver."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda f: f(), calls))
+
+
 #: Ranges that the values of a group are counted in.
 PARTS = 4096
 

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_TOKENS, TARGET, skill_tokens
-from tidewright.plans.base import over_postings, over_tables, r4
-from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index, silhouettes
+from tidewright.plans.base import over_postings, over_tables, r4, side_by_side
+from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index
 
-NOMINAL = ["job_title", "job_category", "education_required", "country", "remote_work", "company_size", "industry"]
+#: The allowed features by type; the tokens of required_skills are the column "skills" here.
+NOMINAL = ["job_title", "job_category", "education_required", "city", "country", "remote_work", "company_size", "industry"]
 NUMERIC = ["years_of_experience", "demand_score", "benefits_score_10", "skill_count"]
-FAMILIES = {"role": ["job_title", "job_category"], "education": ["education_required"], "place": ["country", "remote_work"], "company": ["company_size", "industry"], "numeric": NUMERIC, "skills": ["skills"]}
+#: Families of features. Names, members and order are fixed values of the contract.
+FAMILIES = {
+    "job_domain": ["job_title", "job_category"],
+    "experience_education": ["years_of_experience", "education_required"],
+    "geography": ["city", "country"],
+    "company_work": ["remote_work", "company_size", "industry"],
+    "demand_benefits": ["demand_score", "benefits_score_10"],
+    "skills": ["skills", "skill_count"],
+}
+#: Distinct values of a column, or tokens, that an encoder takes; more are an error, as its vocabulary is held by the driver and every task.
+MOST_VALUES = 100_000
 
 
 def prepared(p: DataFrame) -> DataFrame:
@@ -41,14 +54,19 @@ class Features:
 
     def __init__(self, train: DataFrame, nominal=tuple(NOMINAL), numeric=tuple(NUMERIC), skills: bool = True):
         self.nominal, self.numeric, self.skills = list(nominal), list(numeric), skills
+        sizes = train.agg(*(F.approx_count_distinct(c).alias(c) for c in self.nominal)).first().asDict() if self.nominal else {}
+        words = train.select(F.explode("skills").alias("w")).distinct() if skills else None
+        sizes |= {"skills": words.count()} if skills else {}
+        if large := [c for c, n in sizes.items() if n > MOST_VALUES]:
+            raise ValueError(f"too many values for an encoder: {', '.join(large)}")
         stages = []
         if self.nominal:
             stages += [StringIndexer(inputCols=self.nominal, outputCols=[f"{c}_i" for c in self.nominal], stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in self.nominal], outputCols=[f"{c}_v" for c in self.nominal], dropLast=True)]
         self.model = Pipeline(stages=stages).fit(train)
         self.moments = train.agg(*(x for c in self.numeric for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s")))).first().asDict() if self.numeric else {}
         if skills:
-            words = [r[0] for r in train.select(F.explode("skills")).distinct().orderBy("col").collect()]
-            self.tokens = CountVectorizerModel.from_vocabulary(words or ["-"], inputCol="skills", outputCol="skills_v").setBinary(True)
+            known = [r[0] for r in words.orderBy("w").collect()]
+            self.tokens = CountVectorizerModel.from_vocabulary(known or ["-"], inputCol="skills", outputCol="skills_v").setBinary(True)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.model.transform(df)
@@ -96,25 +114,32 @@ def population_scaling(p):
 
 
 def balancer(x: DataFrame, without: tuple[str, ...] = ()):
-    """An encoder fitted on prepared records, which divides each family's block by the root of its width; and the widths."""
-    families = {n: c for n, c in FAMILIES.items() if n not in without}
-    f = Features(x, [c for n in families for c in families[n] if c in NOMINAL], [c for n in families for c in families[n] if c in NUMERIC], "skills" in families)
-    family = {c: n for n, own in families.items() for c in own}
+    """An encoder fitted on prepared records without some features, which divides each family's block by the root of its width; the widths; and the original column and name of each encoded one."""
+    kept = [c for own in FAMILIES.values() for c in own if c not in without]
+    f = Features(x, [c for c in kept if c in NOMINAL], [c for c in kept if c in NUMERIC], "skills" in kept)
+    family = {c: n for n, own in FAMILIES.items() for c in own}
     widths: dict[str, int] = {}
     for c, n in f.blocks():
         widths[family[c]] = widths.get(family[c], 0) + n
     scale = [widths[family[c]] ** -0.5 for c, n in f.blocks() for _ in range(n)]
     v = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, scale)), lambda a, b: a * b)
-    return (lambda df: f.transform(df).select("job_id", "job_category", TARGET, array_to_vector(v).alias("features"))), widths
+    return (lambda df: f.transform(df).select("job_id", "job_category", TARGET, array_to_vector(v).alias("features"))), widths, f.columns()
 
 
 def balanced(p: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, int]]:
     """job_id and features of the records that the encoder is fitted on; and the families' widths."""
     x = prepared(p)
-    encode, widths = balancer(x, without)
+    encode, widths, _ = balancer(x, without)
     return encode(x), widths
 
 
+def balanced_names(p: DataFrame) -> tuple[DataFrame, dict[str, int], list[tuple[str, str]]]:
+    """balanced(), and the original column and name of each encoded one."""
+    x = prepared(p)
+    encode, widths, names = balancer(x)
+    return encode(x), widths, names
+
+
 @over_postings("ml05_family_blocks")
 def family_blocks(p):
     return p.sparkSession.createDataFrame(sorted(balanced(p)[1].items()), "family string, width int")
@@ -166,127 +191,60 @@ def reduced(p: DataFrame, share: float = 0.85, most: int = 25, without: tuple[st
     return model.transform(centred(x)).select("job_id", "job_category", TARGET, array_to_vector(z).alias("z"))
 
 
-@over_postings("ml09_correlation_filter")
-def correlation_filter(p, limit: float = 0.9):
-    """Greedy choice over the collected correlation matrix of encoded columns: by variance, if no chosen column is nearer than the limit."""
-    x, _ = balanced(p)
-    m = Correlation.corr(x.select("features"), "features").first()[0].toArray()
-    var = x.select(Summarizer.variance(F.col("features")).alias("v")).first().v
+def greedy_columns(corr: np.ndarray, var: np.ndarray, names: list[str], limit: float = 0.9) -> tuple[list[int], dict[int, tuple[int, float]]]:
+    """Columns kept, by falling variance (equal ones by name) unless a kept one's correlation reaches the limit; and for each dropped one the nearest kept one with it.
+
+    Columns without variance are left out; two are kept at least where there are two.
+    """
+    usable = [i for i in range(len(var)) if np.isfinite(var[i]) and var[i] > 1e-12]
+    order = sorted(usable, key=lambda i: (-var[i], names[i]))
     kept: list[int] = []
-    for i in sorted(range(len(var)), key=lambda i: (-var[i], i)):
-        if var[i] > 0 and all(not abs(m[i, j]) >= limit for j in kept):
+    dropped: dict[int, tuple[int, float]] = {}
+    for i in order:
+        near = max(kept, key=lambda j: abs(corr[i, j]), default=None)
+        if near is not None and abs(corr[i, near]) >= limit:
+            dropped[i] = near, float(corr[i, near])
+        else:
             kept.append(i)
-    return p.sparkSession.createDataFrame([(i, i in set(kept)) for i in range(len(var))], "feature int, selected boolean")
-
-
-def estimator(algorithm: str, k: int, seed: int = 42):
-    own = {"k": k, "seed": seed, "featuresCol": "z", "predictionCol": "cluster"}
-    return KMeans(**own) if algorithm == "KMeans" else GaussianMixture(**own, maxIter=40)
-
-
-def clustered(x: DataFrame, algorithm: str, k: int, seed: int = 42) -> DataFrame:
-    return estimator(algorithm, k, seed).fit(x).transform(x).select("job_id", "cluster", "z", "job_category", TARGET)
-
-
-@over_postings("ml10_cluster_assignments")
-def cluster_assignments(p):
-    return clustered(reduced(p), "KMeans", 3).select("job_id", "cluster")
-
-
-def converged(model) -> bool:
-    """Whether a mixture stopped before its last iteration; k-means always counts."""
-    return not isinstance(model, GaussianMixtureModel) or model.summary.numIter < model.getMaxIter()
-
+    for i in order:
+        if len(kept) < 2 and i not in kept:
+            kept.append(i)
+            dropped.pop(i, None)
+    return sorted(kept), dropped
 
-def choose(rows: list[dict], tolerance: float = 0.01) -> tuple[dict, str]:
-    """The chosen candidate and the pool it is from: balanced and converged ones, else converged ones, else all.
 
-    Of those within the tolerance of the pool's best silhouette: the least K, then KMeans, then the better silhouette.
-    """
-    pools = (("balanced_converged", [r for r in rows if r["balance_gate"] and r["convergence_gate"]]), ("converged", [r for r in rows if r["convergence_gate"]]), ("all", rows))
-    name, pool = next(x for x in pools if x[1])
-    best = max(r["silhouette"] for r in pool)
-    short = [r for r in pool if r["silhouette"] >= best - tolerance]
-    return min(short, key=lambda r: (r["k"], r["algorithm"] != "KMeans", -r["silhouette"])), name
+def encoded_correlations(x: DataFrame, names: list[str], limit: float = 0.9) -> tuple[list[int], dict[int, tuple[int, float]], np.ndarray]:
+    """greedy_columns() of the encoded columns of x, and their variances. The matrix has a row a column, whatever the records."""
+    m = np.nan_to_num(Correlation.corr(x.select("features"), "features").first()[0].toArray())
+    var = np.asarray(x.select(Summarizer.variance(F.col("features")).alias("v")).first().v.toArray())
+    return *greedy_columns(m, var, names, limit), var
 
 
-@over_postings("ml11_candidates")
-def candidates(p, ks=tuple(range(2, 9)), least: float = 0.05):
-    """Each algorithm and K: silhouette, Calinski-Harabasz, balance and its gate, convergence and its gate; and which one is chosen, from which pool.
-
-    The silhouettes of all candidates come from one pass over the pairs of records. A candidate of one cluster alone is left out.
-    """
-    x = reduced(p).persist()
-    at, rows = x.select("job_id", "z"), []
-    for algorithm in ("KMeans", "GMM"):
-        for k in ks:
-            model = estimator(algorithm, k).fit(x)
-            c = model.transform(x).select("job_id", "cluster", F.posexplode(vector_to_array("z")).alias("i", "v"))
-            s = c.groupBy("cluster", "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).toPandas()  # a row a cluster and component
-            sizes = s[s["i"] == 0]["n"].to_numpy()
-            if len(sizes) < 2:
-                continue
-            n = int(sizes.sum())
-            between = (s["s"] ** 2 / s["n"]).sum() - (s.groupby("i")["s"].sum() ** 2 / n).sum()
-            within = s["q"].sum() - (s["s"] ** 2 / s["n"]).sum()
-            ch = float(between / (len(sizes) - 1) / (within / (n - len(sizes)))) if within > 0 and n > len(sizes) else 0.0
-            share = sizes / n
-            entropy = float(-(share * np.log(share)).sum() / np.log(k))
-            rows.append({"algorithm": algorithm, "k": k, "clusters": len(sizes), "least_share": float(share.min()), "balance_entropy": entropy, "calinski_harabasz": ch, "balance_gate": bool(share.min() >= least), "convergence_gate": converged(model)})
-            at = model.setPredictionCol(f"c{len(rows) - 1}").transform(at).drop("probability")
-    values = silhouettes(at.select(F.col("job_id").alias("id"), F.array(*(f"c{i}" for i in range(len(rows)))).alias("labels"), vector_to_array("z").alias("x")))
-    x.unpersist()
-    for r, v in zip(rows, values, strict=True):
-        r["silhouette"] = v
-    best, pool = choose(rows)
-    names = ["algorithm", "k", "clusters", "silhouette", "least_share", "balance_entropy", "calinski_harabasz", "balance_gate", "convergence_gate"]
-    return p.sparkSession.createDataFrame([(*(r[n] for n in names), r is best, pool) for r in rows], "algorithm string, k int, clusters int, silhouette double, least_share double, balance_entropy double, calinski_harabasz double, balance_gate boolean, convergence_gate boolean, selected boolean, pool string")
-
-
-@over_postings("ml12_seed_stability")
-def seed_stability(p, seeds=(42, 7, 101)):
-    """Adjusted Rand index of every pair of seeds."""
-    x = reduced(p).persist()
-    runs = {s: clustered(x, "KMeans", 3, s).select("job_id", "cluster") for s in seeds}
-    pairs = [(a, b) for i, a in enumerate(seeds) for b in seeds[i + 1 :]]
-    out = [rand_index(runs[a].withColumnRenamed("cluster", "a").join(runs[b].withColumnRenamed("cluster", "b"), "job_id").select("a", "b")).select(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "ari") for a, b in pairs]
-    return reduce(DataFrame.union, out)
-
-
-@over_postings("ml13_subsample_stability")
-def subsample_stability(p, draws: int = 8, share: float = 0.85, least: float = 0.75):
-    """Adjusted Rand index of subsamples of floor(share) of the records (the first by seeded hash) against all records, on what they share; with their mean, deviation, tenth percentile, least one, and whether the mean passes the gate."""
-    x = reduced(p).persist()
-    whole = clustered(x, "KMeans", 3).select("job_id", F.col("cluster").alias("a"))
-    size = int(x.count() * share)
-    rows = []
-    for d in range(draws):
-        part = x.orderBy(F.xxhash64("job_id", F.lit(d)), "job_id").limit(size).persist()
-        pairs = clustered(part, "KMeans", 3, 42 + d).select("job_id", F.col("cluster").alias("b")).join(whole, "job_id").select("a", "b")
-        rows.append((d, size, rand_index(pairs).first().ari))
-        part.unpersist()
-    x.unpersist()
-    ari = np.array([r[2] for r in rows])
-    summary = (float(ari.mean()), float(ari.std(ddof=1)) if draws > 1 else 0.0, float(np.quantile(ari, 0.1)), float(ari.min()), bool(ari.mean() >= least))
-    return p.sparkSession.createDataFrame([(*r, *summary) for r in rows], "draw int, sample_rows long, ari double, mean double, sd double, p10 double, least double, stability_gate boolean")
-
+@over_postings("ml09_correlation_filter")
+def correlation_filter(p, limit: float = 0.9):
+    """Each encoded column of the balanced features: its family, variance, whether the greedy choice keeps it, and if not which kept one it repeats and how closely."""
+    x, _, named = balanced_names(p)
+    kept, dropped, var = encoded_correlations(x, [n for _, n in named], limit)
+    family = {c: n for n, own in FAMILIES.items() for c in own}
+    rows = [(i, n, family[c], float(var[i]), i in set(kept), named[dropped[i][0]][1] if i in dropped else None, dropped[i][1] if i in dropped else None) for i, (c, n) in enumerate(named)]
+    return p.sparkSession.createDataFrame(rows, "feature int, name string, family string, variance double, selected boolean, repeats string, correlation double")
 
-@over_postings("ml14_representations")
-def representations(p):
-    """Clusters of the family-wise space (R1) and of ablated feature spaces against those of the full one, and how far they depend on what was left out."""
-    from tidewright.plans.ensembles import family_spaces  # which imports this module
 
-    spaces = {"R0": (), "R2": ("role",), "R3": ("numeric",), "R4": ("role", "numeric")}
-    places = {n: reduced(p, without=w).select("job_id", "z") for n, w in spaces.items()} | {"R1": family_spaces(p)[0]}
-    runs = {n: estimator("KMeans", 3).fit(z).transform(z).select("job_id", F.col("cluster").alias(n)) for n, z in places.items()}
-    return reduce(DataFrame.union, [rand_index(runs["R0"].join(runs[n], "job_id").select(F.col("R0").alias("a"), F.col(n).alias("b"))).select(F.lit(n).alias("space"), "ari", F.when(F.col("ari") < 0.5, "high").when(F.col("ari") < 0.8, "moderate").otherwise("low").alias("dependency_band")) for n in ("R1", "R2", "R3", "R4")])
+@over_postings("ml09_redundant_pairs")
+def redundant_pairs(p, limit: float = 0.9):
+    """Pairs of encoded columns whose correlation reaches the limit."""
+    x, _, named = balanced_names(p)
+    m = np.nan_to_num(Correlation.corr(x.select("features"), "features").first()[0].toArray())
+    rows = [(named[i][1], named[j][1], float(m[i, j])) for i, j in zip(*np.nonzero(np.triu(np.abs(m) >= limit, 1)), strict=True)]
+    return p.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
 
 
-@over_postings("ml15_segment_profiles")
-def segment_profiles(p):
-    """Size, share and pay of each cluster by category."""
-    c = clustered(reduced(p), "KMeans", 3).groupBy("cluster", "job_category").agg(F.count("*").alias("records"), r4(F.avg(TARGET)).alias("mean_salary"), r4(F.median(TARGET)).alias("median_salary"))
-    return c.withColumn("pct", r4(100.0 * F.col("records") / F.sum("records").over(W.partitionBy("cluster"))))
+def correlation_choice(p: DataFrame, limit: float = 0.9) -> DataFrame:
+    """job_id and z: the balanced columns that the greedy choice keeps, as they are."""
+    x, _, named = balanced_names(p)
+    kept, _, _ = encoded_correlations(x, [n for _, n in named], limit)
+    v = vector_to_array("features")
+    return x.select("job_id", F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(v, i)).alias("z"))
 
 
 @over_tables("ml12_kmeans_embeddings")
@@ -307,166 +265,281 @@ def ladder(y_sd: float, n: int) -> dict[str, object]:
     }
 
 
-def each_fold(p: DataFrame, models: list[str], folds: int = N_OUTER, **features) -> Iterator[DataFrame]:
-    """Out-of-fold predictions of the models on the expanding folds (the last ones, if fewer are asked for): every encoder and model sees its fold's history alone."""
+class Fold:
+    """One fold's history and validation month, encoded once, for all the models and sets of features that are tried on it."""
+
+    def __init__(self, x: DataFrame, fold: int, month: str, **features):
+        """x: prepared records. Records of `month` are validated by those before it."""
+        self.fold, self.month = fold, month
+        train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
+        self.features = Features(train, **features)
+        self.train = self.features.transform(train).select(TARGET, "features").persist()
+        self.valid = self.features.transform(valid).select("job_id", F.col(TARGET).alias("actual"), "features").persist()
+        self.sd, self.rows, self.middle = self.train.agg(F.stddev_pop(TARGET), F.count("*"), F.percentile_approx(TARGET, 0.5, 1_000_000)).first()
+
+    def of(self, columns: list[str] | None) -> tuple[DataFrame, DataFrame, int]:
+        """History and validation month with the encoded columns of some features alone, and how many those are."""
+        names = self.features.columns()
+        if columns is None:
+            return self.train, self.valid, len(names)
+        slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=[i for i, (c, _) in enumerate(names) if c in columns])
+        return *(slicer.transform(d.withColumnRenamed("features", "__all")).drop("__all") for d in (self.train, self.valid)), len(slicer.getIndices())
+
+    def scored(self, model: str, columns: list[str] | None = None) -> tuple:
+        """A model's metrics on the month, the seconds of its fit and of its scoring, and the rows and encoded columns they had."""
+        train, valid, width = self.of(columns)
+        began = time.perf_counter()
+        fitted = ladder(self.sd, self.rows)[model].fit(train) if model != DUMMY else None
+        ended = time.perf_counter()
+        predicted = fitted.transform(valid) if fitted else valid.withColumn("predicted", F.lit(self.middle).cast("double"))
+        seen = Observation()
+        values = tuple(predicted.select("actual", "predicted").observe(seen, F.count("*").alias("rows")).agg(*metrics()).first())
+        return (model, self.fold, *values, ended - began, time.perf_counter() - ended, self.rows, seen.get["rows"], width)
+
+    def close(self) -> None:
+        self.train.unpersist()
+        self.valid.unpersist()
+
+
+DUMMY = "Dummy Median"
+
+
+def folds_of(p: DataFrame, folds: int = N_OUTER, **features) -> Iterator[Fold]:
+    """The expanding folds (the last ones, if fewer are asked for), one after the other: every encoder and model sees its fold's history alone."""
     x = prepared(p)
     for fold, month in [tuple(r) for r in outer_folds(p).orderBy(F.desc("fold")).limit(folds).collect()]:  # a row a fold
-        train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
-        f = Features(train, **features)
-        encoded = f.transform(train).select(TARGET, "features").persist()
-        about = encoded.agg(F.stddev_pop(TARGET), F.count("*"), F.median(TARGET)).first()
-        shown = f.transform(valid).select("job_id", F.col(TARGET).alias("actual"), "features")
-        dummy = valid.select("job_id", F.col(TARGET).alias("actual"), F.lit(about[2]).alias("predicted"))
-        fitted = {"Dummy Median": dummy} if "Dummy Median" in models else {}
-        fitted |= {n: m.fit(encoded).transform(shown).select("job_id", "actual", "predicted") for n, m in ladder(about[0], about[1]).items() if n in models}
-        encoded.unpersist()
-        yield reduce(DataFrame.union, [d.select(F.lit(n).alias("model"), F.lit(fold).alias("fold"), "job_id", "actual", "predicted") for n, d in fitted.items()])
+        own = Fold(x, fold, month, **features)
+        yield own
+        own.close()
 
 
-def cross_validated(p: DataFrame, models: list[str], folds: int = N_OUTER, **features) -> DataFrame:
-    """model, fold, job_id, actual and predicted of each_fold() in one table."""
-    return reduce(DataFrame.union, each_fold(p, models, folds, **features))
+SCORES = "model string, fold int, n long, mae double, rmse double, medae double, r2 double, r2_reason string"
+TIMES = "fit_s double, score_s double, train_rows long, scored_rows long, encoded_columns int"
 
 
-SCORES = "model string, fold int, n long, mae double, rmse double, medae double, r2 double, r2_reason string"
+def fold_scores(p: DataFrame, models: list[str], folds: int = N_OUTER, **features) -> DataFrame:
+    """Metrics and times of each model and fold. A fold's models are fitted side by side over its one encoding; the driver holds a row a model."""
+    rows = [r for f in folds_of(p, folds, **features) for r in side_by_side([lambda m=m, f=f: f.scored(m) for m in models], 4)]
+    return p.sparkSession.createDataFrame(rows, f"{SCORES}, {TIMES}")
 
 
-def fold_scores(p: DataFrame, models: list[str], **features) -> DataFrame:
-    """Metrics of each model and fold. A fold is scored before the next one is fitted, so the driver holds one fold's plan and a row a model."""
-    rows = [tuple(r) for d in each_fold(p, models, **features) for r in d.groupBy("model", "fold").agg(*metrics()).collect()]
-    return p.sparkSession.createDataFrame(rows, SCORES)
+LADDER = [DUMMY, "Linear Regression", "Ridge", "Random Forest", "Gradient Boosting"]
 
 
 @over_postings("ml17_model_ladder")
 def model_ladder(p):
-    return fold_scores(p, ["Dummy Median", "Linear Regression", "Ridge", "Random Forest", "Gradient Boosting"])
-
-
-def feature_sets() -> list[tuple[str, str, dict]]:
-    """kind, name and columns of each ablation: four options, four experiments that add to a core, and each family left out."""
-    every = {"nominal": NOMINAL, "numeric": NUMERIC, "skills": True}
-    core = {"nominal": NOMINAL, "numeric": ["demand_score", "benefits_score_10"], "skills": False}
-    without = lambda own: {"nominal": [c for c in NOMINAL if c not in own], "numeric": [c for c in NUMERIC if c not in own], "skills": "skills" not in own}
-    return [
-        ("option", "A_all", every),
-        ("option", "B_two_strongest", {"nominal": ["job_category"], "numeric": ["years_of_experience"], "skills": False}),
-        ("option", "C_no_job_category", without(["job_category"])),
-        ("option", "D_no_years_of_experience", without(["years_of_experience"])),
-        ("experiment", "A0_core", core),
-        ("experiment", "A1_plus_years", core | {"numeric": [*core["numeric"], "years_of_experience"]}),
-        ("experiment", "A2_experience_level", core | {"nominal": [*NOMINAL, "experience_level"]}),
-        ("experiment", "A6_skills", every),
-        *(("leave_one_out", n, without(own)) for n, own in FAMILIES.items()),
-    ]
+    return fold_scores(p, LADDER)
+
+
+@over_postings("ml17_runtime_summary")
+def runtime_summary(p, models=tuple(LADDER)):
+    """Fit and scoring times of each model over the folds, by the summary of runtime samples, and rows a second. Models are fitted one after the other, so that they don't wait for each other."""
+    rows = [f.scored(m) for f in folds_of(p) for m in models]
+    x = p.sparkSession.createDataFrame(rows, f"{SCORES}, {TIMES}")
+    phase = F.inline(F.array(F.struct(F.lit("fit").alias("phase"), F.col("fit_s").alias("s"), F.col("train_rows").alias("rows")), F.struct(F.lit("score").alias("phase"), F.col("score_s").alias("s"), F.col("scored_rows").alias("rows"))))
+    q = lambda v: F.percentile("s", F.lit(v))
+    return x.select("model", phase).groupBy("model", "phase").agg(F.count("*").alias("samples"), F.min("s").alias("min_s"), q(0.5).alias("p50_s"), q(0.9).alias("p90_s"), q(0.95).alias("p95_s"), F.max("s").alias("max_s"), F.avg("s").alias("mean_s"), F.stddev_pop("s").alias("sd_s"), (F.sum("rows") / F.sum("s")).alias("rows_per_s"), (1000 * F.sum("s") / F.sum("rows")).alias("ms_per_row"))
+
+
+#: Options and experiments of the ablations. Names are fixed values of the contract.
+OPTIONS = ("A — Conservative Core", "B — Simplifier", "C — Exclude job_category", "D — Exclude years_of_experience")
+EXPERIMENTS = ("A0_CONSERVATIVE_CORE", "A1_PLUS_YEARS", "A2_EXPERIENCE_BUCKET", "A6_SKILLS")
+
+
+def feature_sets() -> list[tuple[str, str, list[str]]]:
+    """kind, name and features of each ablation: four options, four experiments that add to a core, and each family left out."""
+    every = [c for own in FAMILIES.values() for c in own]
+    without = lambda *own: [c for c in every if c not in own]
+    core = without("years_of_experience", "skills", "skill_count")
+    options = (every, ["job_category", "years_of_experience"], without("job_category"), without("years_of_experience"))
+    experiments = (core, [*core, "years_of_experience"], [*core, "experience_level"], every)
+    return [*(("option", n, own) for n, own in zip(OPTIONS, options, strict=True)), *(("experiment", n, own) for n, own in zip(EXPERIMENTS, experiments, strict=True)), *(("leave_one_out", n, without(*own)) for n, own in FAMILIES.items())]
 
 
 @over_postings("ml18_ablations")
-def ablations(p, models=("Ridge", "Random Forest")):
-    """The same models over each set of features, fold by fold. A set that has two names is fitted once."""
-    names: dict[str, list[tuple[str, str]]] = {}
-    sets = {}
+def ablations(p, models=("Ridge", "Random Forest"), at_once: int = 6):
+    """The same models over each set of features, and how far each error is from the one with all of them, fold by fold.
+
+    A fold is encoded once with every column that any set has; sets are slices of that, fitted side by side. A set that has two names is fitted once.
+    """
+    names: dict[tuple[str, ...], list[tuple[str, str]]] = {}
     for kind, name, own in feature_sets():
-        names.setdefault(repr(own), []).append((kind, name))
-        sets[repr(own)] = own
-    out = []
-    for key, own in sets.items():
-        called = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in names[key])))
-        out.append(fold_scores(p, list(models), **own).select(called, "*"))
-    return reduce(DataFrame.union, out)
+        names.setdefault(tuple(own), []).append((kind, name))
+    rows = []
+    for f in folds_of(p, nominal=(*NOMINAL, "experience_level")):
+        tries = [(own, m) for own in names for m in models]
+        made = side_by_side([lambda own=own, m=m, f=f: f.scored(m, list(own)) for own, m in tries], at_once)
+        rows += [(kind, name, len(own), *r) for (own, _), r in zip(tries, made, strict=True) for kind, name in names[own]]
+    out = p.sparkSession.createDataFrame(rows, f"kind string, name string, features int, {SCORES}, {TIMES}")
+    whole = out.filter(F.col("name") == OPTIONS[0]).select("model", "fold", F.col("mae").alias("full_mae"))
+    return out.join(F.broadcast(whole), ["model", "fold"]).withColumn("mae_delta_vs_full", F.col("mae") - F.col("full_mae")).drop("fit_s", "score_s")  # a row a model and fold
 
 
-@over_postings("ml19_importance")
-def importance(p):
-    """Impurity importance in each fold's history: of encoded columns, and rolled up to the original ones and to families."""
-    x = prepared(p)
+@over_postings("ml18_ablation_summary")
+def ablation_summary(p, models=("Ridge",)):
+    """Means over the folds of each set of features, and the gain over the core in per cent."""
+    x = ablations(p, models).groupBy("kind", "name", "model", "features").agg(*(F.avg(c).alias(f"{c}_mean") for c in ("mae", "rmse", "medae", "r2")), F.stddev("mae").alias("mae_sd"), F.avg("mae_delta_vs_full").alias("mae_delta_vs_full_mean"))
+    core = F.max(F.when(F.col("name") == EXPERIMENTS[0], F.col("mae_mean"))).over(W.partitionBy("model"))  # a row a set
+    return x.withColumn("gain_on_core_pct", 100 * (core - F.col("mae_mean")) / core)
+
+
+def fold_importance(p: DataFrame) -> list[tuple]:
+    """(fold, level, family, feature, importance) of the forest on each fold's history: of encoded columns, rolled up to features and to families."""
     family = {c: n for n, own in FAMILIES.items() for c in own}
     rows = []
-    for fold, month in [tuple(r) for r in outer_folds(p).orderBy("fold").collect()]:  # a row a fold
-        train = x.filter(F.col("period") < month)
-        f = Features(train)
-        encoded = f.transform(train).select(TARGET, "features").persist()
-        about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
-        imp = ladder(*about)["Random Forest"].fit(encoded).featureImportances.toArray()
-        encoded.unpersist()
-        sums: dict[tuple[str, str, str], float] = {}
-        for (c, name), v in zip(f.columns(), imp, strict=True):
+    for f in folds_of(p):
+        imp = ladder(f.sd, f.rows)["Random Forest"].fit(f.train).featureImportances.toArray()
+        sums: dict[tuple[str, str, str], float] = {("family", n, n): 0.0 for n in FAMILIES}
+        for (c, name), v in zip(f.features.columns(), imp, strict=True):
             for level, own in (("encoded", name), ("raw", c), ("family", family[c])):
                 key = (level, family[c], own)
                 sums[key] = sums.get(key, 0.0) + float(v)
-        rows += [(fold, *key, v) for key, v in sums.items()]
-    return p.sparkSession.createDataFrame(rows, "fold int, level string, family string, feature string, importance double")
+        rows += [(f.fold, *key, v) for key, v in sums.items()]
+    return rows
+
+
+@over_postings("ml19_importance")
+def importance(p):
+    """Impurity importance in each fold's history: of encoded columns, and rolled up to the original ones and to families."""
+    return p.sparkSession.createDataFrame(fold_importance(p), "fold int, level string, family string, feature string, importance double")
+
+
+@over_postings("ml19_importance_drift")
+def importance_drift(p):
+    """Half the sum of the families' changes of normalised importance from each fold to the next."""
+    x = importance(p).filter("level = 'family'")
+    own = x.withColumn("share", F.coalesce(F.col("importance") / F.nullif(F.sum("importance").over(W.partitionBy("fold")), F.lit(0)), F.lit(0.0)))
+    w = W.partitionBy("family").orderBy("fold")  # a row a fold and family
+    moved = own.select("fold", F.lag("fold").over(w).alias("previous_fold"), F.abs(F.col("share") - F.lag("share").over(w)).alias("change"))
+    return moved.filter("previous_fold is not null").groupBy("previous_fold", "fold").agg((F.sum("change") / 2).alias("half_l1_drift"))
+
+
+#: The published grid, whose forests take hours on one machine; depths beyond Spark's 30 are 30.
+PUBLISHED_GRID = {"trees": (50, 100, 150, 200, 250, 300), "depths": (10, 15, 20, 25, 30, None)}
+
+
+def select_family(scores: DataFrame) -> str:
+    """The family with the least mean error over the folds; of those whose error lies within its spread, the simplest (the order of LADDER, the dummy last)."""
+    x = [tuple(r) for r in scores.groupBy("model").agg(F.avg("mae"), F.stddev("mae")).collect()]  # a row a model
+    _, mean, sd = min(x, key=lambda r: r[1])
+    close = {m for m, v, own in x if v - (own or 0.0) <= mean + (sd or 0.0)}
+    order = [m for m in LADDER if m != DUMMY] + [DUMMY]
+    return next(m for m in order if m in close)
 
 
 @over_postings("ml21_tuning")
-def tuning(p, trees=(8, 16), depths=(4, 8)):
-    """A grid of forests on one temporal fold, ranked by mean absolute error."""
-    x = prepared(p)
-    month = outer_folds(p).agg(F.max("month")).first()[0]
-    train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
-    f = Features(train)
-    a, b = f.transform(train).select(TARGET, "features").persist(), f.transform(valid).select(F.col(TARGET).alias("actual"), "features")
-    out = []
-    for t in trees:
-        for d in depths:
-            m = RandomForestRegressor(featuresCol="features", labelCol=TARGET, predictionCol="predicted", numTrees=t, maxDepth=d, seed=42).fit(a)
-            out.append(m.transform(b).agg(*metrics()).select(F.lit(t).alias("trees"), F.lit(d).alias("depth"), "mae", "rmse", "r2"))
-    return reduce(DataFrame.union, out).withColumn("place", F.rank().over(W.orderBy("mae")))
+def tuning(p, trees=(4, 8, 12, 16, 20, 24), depths=(4, 6, 8, 10, 12, 14), inner: int = 3, selected: str | None = None):
+    """A grid of forests on the inner folds of the training part, ranked by mean absolute error; one row that says so where the ladder selects another family.
+
+    The folds and the grid are one schedule of fits side by side over folds encoded once. A depth's forests grow by the step between numbers of trees: the
+    forest of t trees is the first t of them, so the grid costs its largest forests alone.
+    """
+    spark, schema = p.sparkSession, "status string, reason string, trees int, depth int, fold_mae array<double>, mae_mean double, mae_sd double, r2_mean double, place int"
+    family = selected or select_family(fold_scores(p, LADDER[1:]))
+    if family != "Random Forest":
+        return spark.createDataFrame([("skipped", f"selected family is {family}", *[None] * 7)], schema)
+    step = math.gcd(*trees)
+    parts = max(trees) // step
+    cells: dict[tuple[int, int], list[tuple]] = {}
+    for f in folds_of(p, inner):
+        own = {"featuresCol": "features", "labelCol": TARGET, "numTrees": step, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.8"}
+        grow = [RandomForestRegressor(**own, predictionCol=f"p{i}", maxDepth=min(d or 30, 30), seed=42 + i) for d in depths for i in range(parts)]
+        forests = side_by_side([lambda e=e, f=f: e.fit(f.train) for e in grow], 6)
+        for k, d in enumerate(depths):
+            shown = reduce(lambda x, m: m.transform(x), forests[k * parts : (k + 1) * parts], f.valid)
+            mean = lambda t: sum(F.col(f"p{i}") for i in range(t // step)) / (t // step)
+            gap = lambda t: F.col("actual") - mean(t)
+            total = F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.avg("actual")
+            row = shown.agg(*(x for t in trees for x in (F.avg(F.abs(gap(t))), F.when(total > 0, 1 - F.sum(gap(t) * gap(t)) / total)))).first()
+            for n, t in enumerate(trees):
+                cells.setdefault((t, d), []).append((row[2 * n], row[2 * n + 1]))
+    rows = []
+    for (t, d), own in cells.items():
+        mae, r2 = [m for m, _ in own], [r for _, r in own if r is not None]
+        rows.append(("completed", None, t, d, mae, float(np.mean(mae)), float(np.std(mae)), float(np.mean(r2)) if len(r2) == len(own) else None))
+    ordered = sorted({r[5] for r in rows})
+    return spark.createDataFrame([(*r, 1 + sum(x[5] < r[5] for x in rows) if ordered else None) for r in rows], schema)
 
 
-def dealt_anew(valid: DataFrame, groups: list[tuple[str, str, list[str]]], repeats: int) -> DataFrame:
+def dealt_anew(valid: DataFrame, groups: list[tuple[str, str, list[str]]], repeats: int, part: int = 50_000) -> DataFrame:
     """valid for each group of columns (kind, name, columns) and repeat, with the group's values from another row.
 
-    Rows ordered by a seeded hash inside each month give their neighbours' values, the first row's go to the
-    last one. All columns of a group come from one row; a repeat deals the same way for every group.
+    Rows are dealt by a seeded hash to parts of a month of about `part` rows; ordered by another hash inside each, they give their neighbours' values, the
+    first row's go to the last one. All columns of a group come from one row; a repeat deals the same way for every group.
     """
     every = sorted({c for _, _, own in groups for c in own})
-    w = W.partitionBy("period", "repeat").orderBy(F.xxhash64("job_id", F.col("repeat").cast("int")), "job_id")
-    x = valid.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    sizes = valid.groupBy(F.col("period").alias("__month")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / part)).alias("__parts"))
+    x = valid.join(F.broadcast(sizes), F.col("period").eqNullSafe(F.col("__month"))).drop("__month")  # a row a month
+    x = x.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    x = x.withColumn("__part", F.pmod(F.xxhash64("repeat", "job_id"), F.col("__parts")))
+    w = W.partitionBy("period", "repeat", "__part").orderBy(F.xxhash64("job_id", F.col("repeat").cast("int")), "job_id")
     values = F.struct(*every)
     x = x.withColumn("__moved", F.coalesce(F.lead(values).over(w), F.first(values).over(w)))
     x = x.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("feature"), F.array(*map(F.lit, own)).alias("own")) for k, n, own in groups))).alias("__g"))
     moved = {c: F.when(F.array_contains("__g.own", c), F.col(f"__moved.{c}")).otherwise(F.col(c)) for c in every}
-    return x.withColumns(moved).select("*", "__g.kind", "__g.feature").drop("__g", "__moved")
+    return x.withColumns(moved).select("*", "__g.kind", "__g.feature").drop("__g", "__moved", "__part", "__parts")
+
+
+#: The groups of columns that are dealt anew: each feature, and each family's together.
+GROUPS = [("raw_feature", c, [c]) for own in FAMILIES.values() for c in own] + [("joint_family", n, own) for n, own in FAMILIES.items()]
+
+
+def permuted(model, f: Features, valid: DataFrame, repeats: int) -> list[tuple]:
+    """(kind, feature, repeat, error, error as it was) of a fitted model on records whose groups of columns are dealt anew: a row a group and repeat."""
+    error = F.avg(F.abs(F.col(TARGET) - F.col("predicted")))
+    base = model.transform(f.transform(valid)).agg(error.alias("base")).first().base
+    scored = model.transform(f.transform(dealt_anew(valid, GROUPS, repeats))).groupBy("kind", "feature", "repeat").agg(error.alias("mae"))
+    return [(*r, base) for r in scored.collect()]
+
+
+def increases(made: DataFrame, *by: str) -> DataFrame:
+    return made.groupBy(*by, "kind", "feature").agg(F.count("*").alias("repeats"), F.avg(F.col("mae") - F.col("base")).alias("mean_increase"), F.stddev_pop("mae").alias("sd"))
 
 
 @over_postings("ml24_permutation")
 def permutation(p, repeats: int = 12):
     """Rise of the error in each fold when the values of a column, or of a whole family's columns together, are dealt anew."""
     x = prepared(p)
-    groups = [("raw_feature", c, [c]) for c in (*NOMINAL, *NUMERIC, "skills")] + [("joint_family", n, own) for n, own in FAMILIES.items()]
     out = []
-    for fold, month in [tuple(r) for r in outer_folds(p).orderBy("fold").collect()]:  # a row a fold
-        train, valid = x.filter(F.col("period") < month), x.filter(F.col("period") == month)
-        f = Features(train)
-        encoded = f.transform(train).select(TARGET, "features").persist()
-        about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
-        model = ladder(*about)["Ridge"].fit(encoded)
-        encoded.unpersist()
-        error = F.avg(F.abs(F.col(TARGET) - F.col("predicted")))
-        base = model.transform(f.transform(valid)).agg(error.alias("base"))
-        scored = model.transform(f.transform(dealt_anew(valid, groups, repeats))).groupBy("kind", "feature", "repeat").agg(error.alias("mae"))
-        # a row a group and repeat; the driver holds one fold's plan
-        out += [(fold, *r) for r in scored.crossJoin(F.broadcast(base)).collect()]
-    made = p.sparkSession.createDataFrame(out, "fold int, kind string, feature string, repeat int, mae double, base double")
-    return made.groupBy("fold", "kind", "feature").agg(F.count("*").alias("repeats"), F.avg(F.col("mae") - F.col("base")).alias("mean_increase"), F.stddev_pop("mae").alias("sd"))
+    for f in folds_of(p):
+        model = ladder(f.sd, f.rows)["Ridge"].fit(f.train)
+        out += [(f.fold, *r) for r in permuted(model, f.features, x.filter(F.col("period") == f.month), repeats)]  # the driver holds one fold's plan
+    return increases(p.sparkSession.createDataFrame(out, "fold int, kind string, feature string, repeat int, mae double, base double"), "fold")
 
 
 @over_postings("ml26_variants")
 def variants(p):
-    """All features against the two strongest, on the same folds."""
-    full = fold_scores(p, ["Random Forest"]).withColumn("variant", F.lit("full"))
-    two = fold_scores(p, ["Random Forest"], nominal=["job_category"], numeric=["years_of_experience"], skills=False).withColumn("variant", F.lit("top2"))
-    return full.union(two).select("variant", *[c for c in two.columns if c not in ("model", "variant")])
+    """All features against the two strongest, on the same folds, from one encoding of each."""
+    rows = []
+    for f in folds_of(p):
+        made = side_by_side([lambda own=own, f=f: f.scored("Random Forest", own) for own in (None, TOP2)])
+        rows += [(v, *r[1:]) for v, r in zip(("full", "top2"), made, strict=True)]
+    return p.sparkSession.createDataFrame(rows, f"variant string, {SCORES.partition(', ')[2]}, {TIMES}").drop("fit_s", "score_s")
+
+
+#: The two strongest features.
+TOP2 = ["job_category", "years_of_experience"]
+
+
+def final_fit(p: DataFrame) -> tuple:
+    """The forest fitted on all months but the latest, its encoder, and the latest month's records."""
+    x = prepared(p)
+    last = p.agg(F.max("period")).first()[0]
+    f = Fold(x, 0, last)
+    model = ladder(f.sd, f.rows)["Random Forest"].fit(f.train)
+    f.close()
+    return model, f.features, x.filter(F.col("period") == last)
 
 
 @over_postings("ml23_locked_test")
 def locked_test(p):
     """One final fit, scored once on the latest period, with its error band."""
-    x = prepared(p)
-    last = p.agg(F.max("period")).first()[0]
-    train, test = x.filter(F.col("period") < last), x.filter(F.col("period") == last)
-    f = Features(train)
-    encoded = f.transform(train).select(TARGET, "features")
-    about = encoded.agg(F.stddev_pop(TARGET), F.count("*")).first()
-    out = ladder(*about)["Random Forest"].fit(encoded).transform(f.transform(test)).select(F.col(TARGET).alias("actual"), "predicted")
+    model, f, test = final_fit(p)
+    out = model.transform(f.transform(test)).select(F.col(TARGET).alias("actual"), "predicted")
     return out.agg(*metrics(), F.percentile(F.abs(F.col("actual") - F.col("predicted")), F.lit(0.9)).alias("q90"))
+
+
+@over_postings("ml23_locked_permutation")
+def locked_permutation(p, repeats: int = 12):
+    """Permutation importance of the final model on the latest period, which it never saw."""
+    return increases(p.sparkSession.createDataFrame(permuted(*final_fit(p), repeats), "kind string, feature string, repeat int, mae double, base double"))

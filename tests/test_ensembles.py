@@ -70,10 +70,3 @@ def test_family_components(spark, sf):
         assert (z**2).sum(axis=0) == pytest.approx(s[:used] ** 2 / used, rel=1e-6)  # whatever a component's sign
         at += used
     assert at == len(got[ids[0]])
-
-
-def test_segments_of_the_last_month_alone(spark, sf):
-    p = base.postings(spark, sf).filter(F.col("period") >= "1995-01").persist()
-    last = p.agg(F.max("period")).first()[0]
-    want = {r.job_id for r in p.filter(F.col("period") == last).collect()}
-    assert {r.job_id for r in ensembles.segment_inference(p).collect()} == want

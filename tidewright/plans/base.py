@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -173,17 +174,42 @@ def record_numbers(p: DataFrame, name: str = "record_id") -> DataFrame:
     return out.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__period", "__range", "__r", "__before", "__in")
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df as a table written to the folder of spark.checkpoint.dir, for plans that read it several times; as it is where that is unset."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one, and set, only in local runs where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+#: Folders that once() wrote in this driver and that are still there.
+_ONCE: list[str] = []
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df as a table written to the folder of spark.checkpoint.dir, for plans that read it several times; as it is where that is unset.
+
+    The tables stay for recovery until clear_once() is called, when results are written.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
         return df
-    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_path(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _ONCE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_once(spark: SparkSession) -> None:
+    """Remove every table that once() wrote, once the results made from them are written: results read them until then."""
+    while _ONCE:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_ONCE.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def side_by_side(calls: list[Callable], at_once: int = 3) -> list:
     """What the calls return; a few run at once, so that Spark has the jobs of one while another waits for its driver."""
     with ThreadPoolExecutor(at_once) as pool:

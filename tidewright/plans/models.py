@@ -8,9 +8,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, CountVectorizerModel, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation, Summarizer
@@ -68,13 +68,23 @@ class Features:
             known = [r[0] for r in words.orderBy("w").collect()]
             self.tokens = CountVectorizerModel.from_vocabulary(known or ["-"], inputCol="skills", outputCol="skills_v").setBinary(True)
 
+    def stages(self) -> list:
+        """The encoder as stages of pyspark.ml, which a PipelineModel can save."""
+        number = lambda v: f"double('{float('nan') if v is None else v!r}')"
+        scaled = ", ".join(f"(`{c}` - {number(self.moments[f'{c}_m'])}) / {number(self.moments[f'{c}_s'] or 1.0)} AS `{c}_n`" for c in self.numeric)
+        columns = [f"{c}_v" for c in self.nominal] + [f"{c}_n" for c in self.numeric] + ["skills_v"] * self.skills
+        return [*self.model.stages, *([SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")] if self.numeric else []), *([self.tokens] if self.skills else []), VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df)
-        out = out.withColumns({f"{c}_n": (F.col(c) - self.moments[f"{c}_m"]) / (self.moments[f"{c}_s"] or 1.0) for c in self.numeric})
-        columns = [f"{c}_v" for c in self.nominal] + [f"{c}_n" for c in self.numeric]
-        if self.skills:
-            out, columns = self.tokens.transform(out), [*columns, "skills_v"]
-        return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(out)
+        return PipelineModel(self.stages()).transform(df)
+
+    def family_scale(self) -> list[float]:
+        """For each encoded column one over the root of its family's width."""
+        family = {c: n for n, own in FAMILIES.items() for c in own}
+        widths: dict[str, int] = {}
+        for c, n in self.blocks():
+            widths[family[c]] = widths.get(family[c], 0) + n
+        return [widths[family[c]] ** -0.5 for c, n in self.blocks() for _ in range(n)]
 
     def blocks(self) -> list[tuple[str, int]]:
         """Width of each column's block, in order."""
@@ -121,8 +131,7 @@ def balancer(x: DataFrame, without: tuple[str, ...] = ()):
     widths: dict[str, int] = {}
     for c, n in f.blocks():
         widths[family[c]] = widths.get(family[c], 0) + n
-    scale = [widths[family[c]] ** -0.5 for c, n in f.blocks() for _ in range(n)]
-    v = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, scale)), lambda a, b: a * b)
+    v = F.zip_with(vector_to_array("features"), F.array(*map(F.lit, f.family_scale())), lambda a, b: a * b)
     return (lambda df: f.transform(df).select("job_id", "job_category", TARGET, array_to_vector(v).alias("features"))), widths, f.columns()
 
 

@@ -111,6 +111,34 @@ def test_exact_quantiles(spark, monkeypatch):
     assert base.exact_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+def test_quantiles_of_skewed_values(spark, monkeypatch):
+    """One value far away, or values over many magnitudes, leave no range with a group's values."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in rng.lognormal(10, 2, 4000)] + [("a", 1e12)] + [("b", float(v)) for v in 10.0 ** rng.integers(-9, 9, 300)] + [(None, -3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    monkeypatch.setattr(base, "WHOLE", 0)
+    shares = {"lo": 0.01, "mid": 0.5, "hi": 0.999}
+    for parts in (1, 16, 1024):
+        monkeypatch.setattr(base, "PARTS", parts)
+        out = {r.g: (r.lo, r.mid, r.hi) for r in base.exact_quantiles(df, ["g"], "v", shares).collect()}
+        assert {g: pytest.approx(np.quantile([v for k, v in rows if k == g], list(shares.values()))) for g in ("a", "b", None)} == out
+    monkeypatch.setattr(base, "PARTS", 16)
+    largest = base.parted(base.counted_values(df, ["g"], "v"), ["g"]).groupBy("g", "__part").count().filter("g = 'a'").agg(F.max("count"), F.count("*")).first()
+    assert largest[0] < 2 * 4001 / 16 and largest[1] == 16
+
+
+def test_once_tables_are_cleared(spark, tmp_path, monkeypatch):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        pytest.skip("without a shared folder nothing is written")
+    base.clear_once(spark)
+    monkeypatch.setattr(base, "shared_path", lambda spark: str(tmp_path))
+    assert base.once(spark.range(5)).count() == 5 and len(list(tmp_path.iterdir())) == 1
+    base.clear_once(spark)
+    assert not list(tmp_path.iterdir())
+
+
 def test_stream_equals_table(spark, sf, tmp_path):
     whole = base.table(spark, sf, "events")
     whole.repartition(3).write.parquet(str(tmp_path / "events.parquet"))

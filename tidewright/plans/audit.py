@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.plans.base import SQL_NUMBERS, TIERS, exact_quantiles, money_mean, once, over_postings, over_tables, r4, record_numbers, sql_money_mean, sql_tier, table, tier
+from tidewright.plans.base import SQL_NUMBERS, TIERS, counted_values, exact_quantiles, money_mean, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_money_mean, sql_tier, table, tier
 
 #: The record contract's columns. Fixed values.
 CONTRACT = ("job_id job_title job_category experience_level education_required city country remote_work company_size industry required_skills salary_tier years_of_experience annual_salary_usd salary_min_usd salary_max_usd ai_salary_premium_pct demand_score demand_growth_yoy_pct benefits_score_10 posting_year posting_month is_senior is_remote_friendly is_llm_role").split()
-NUMERIC = ["annual_salary_usd", "years_of_experience", "demand_score", "benefits_score_10", "ai_salary_premium_pct"]
-CATEGORICAL = ["job_category", "education_required", "country", "remote_work", "company_size", "industry"]
-#: Columns that a model may read, and those it may not with the reason. Names and order are fixed values of the contract.
+TEXT, NUMERIC, FLAGS = CONTRACT[:12], CONTRACT[12:22], CONTRACT[22:]
+#: Columns of few values: texts that aren't ids or lists, and flags.
+CATEGORICAL = [c for c in TEXT if c not in ("job_id", "required_skills")] + FLAGS
+#: Columns that a model may read, and those it may not. Names and order are fixed values of the contract.
 ALLOW = ["job_title", "job_category", "years_of_experience", "education_required", "city", "country", "remote_work", "company_size", "industry", "demand_score", "benefits_score_10", "required_skills", "skill_count"]
-BLOCK = {
-    "job_id": "names the record",
-    "salary_min_usd": "tells the target's range",
-    "salary_max_usd": "tells the target's range",
-    "salary_tier": "made from the target, and often wrong",
-    "experience_level": "contradicts the years",
-    "posting_year": "time decides the splits",
-    "posting_month": "time decides the splits",
-    "is_senior": "repeats other columns",
-    "is_remote_friendly": "repeats other columns",
-    "is_llm_role": "repeats other columns",
-    "ai_salary_premium_pct": "a market figure close to the target",
-    "demand_growth_yoy_pct": "not known when served",
-}
-REASONS = {"ALLOW": "known when a prediction is asked for", "TARGET": "what is predicted"}
+BLOCK = ["job_id", "salary_min_usd", "salary_max_usd", "salary_tier", "experience_level", "posting_year", "posting_month", "is_senior", "is_remote_friendly", "is_llm_role", "ai_salary_premium_pct", "demand_growth_yoy_pct"]
 TARGET = "annual_salary_usd"
 
 
@@ -95,16 +84,16 @@ def clean_records(p):
     return p.filter(F.trim(F.lower("job_category")) != "job_category").drop("job_id").distinct()
 
 
-def _policy() -> list[tuple[str, str, str]]:
-    return [*((c, "ALLOW", REASONS["ALLOW"]) for c in ALLOW), *((c, "BLOCK", why) for c, why in BLOCK.items()), (TARGET, "TARGET", REASONS["TARGET"])]
-
+def _policy() -> list[tuple[str, str]]:
+    return [*((c, "ALLOW") for c in ALLOW), *((c, "BLOCK") for c in BLOCK), (TARGET, "TARGET")]
 
-_SQL_POLICY = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in _policy())
 
-
-@over_tables("prj03_feature_policy", f"SELECT * FROM (VALUES {_SQL_POLICY}) AS t(feature, policy, reason)")
-def feature_policy(spark, sf_dir):
-    return spark.createDataFrame(_policy(), "feature string, policy string, reason string")
+@over_postings("prj03_feature_policy", ", k AS (SELECT *, CASE WHEN required_skills IS NOT NULL THEN 1 END AS skill_count FROM p) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, '{says}' AS policy, count({c})::BIGINT AS known FROM k" for c, says in _policy()))
+def feature_policy(p):
+    """Each feature's policy, and in how many records it is known; the number of skills is known with the skills."""
+    policy = p.sparkSession.createDataFrame(_policy(), "feature string, policy string")
+    known = p.withColumn("skill_count", F.col("required_skills")).agg(*(F.count(c).alias(c) for c, _ in _policy())).unpivot([], [c for c, _ in _policy()], "feature", "known")
+    return known.join(F.broadcast(policy), "feature").select("feature", "policy", "known")  # a row a feature
 
 
 @over_postings("prj04_row_identity", f", {SQL_NUMBERS} SELECT job_id, record_id, record_id - 1 AS source_position, sha256('postings:' || (record_id - 1)) AS row_id FROM numbered")
@@ -234,7 +223,17 @@ def sign_and_text(p):
     return g.filter((F.abs("growth") >= 0.2) & (F.col("records") >= 10) & F.col("job_title").contains("URGENT")).select("job_title", r4("growth").alias("growth"), "records")
 
 
-CHECKS = {"missing_target": "annual_salary_usd IS NULL", "missing_period": "posting_year IS NULL OR posting_month IS NULL", "bad_month": "posting_month NOT BETWEEN 1 AND 12", "hidden_missing": "lower(trim(required_skills)) IN ('', 'na', 'n/a', 'nan', 'none', 'null')", "missing_skills": "required_skills IS NULL", "missing_demand": "demand_score IS NULL"}
+_HIDDEN = "('', 'na', 'n/a', 'nan', 'none', 'null')"
+CHECKS = {
+    "missing_target": "annual_salary_usd IS NULL",
+    "missing_period": "posting_year IS NULL OR posting_month IS NULL",
+    "bad_month": "posting_month NOT BETWEEN 1 AND 12",
+    "bad_year": "posting_year NOT BETWEEN 1900 AND 2100",
+    "range_order": "salary_min_usd > salary_max_usd",
+    **{f"missing_{c}": f"{c} IS NULL" for c in CONTRACT},
+    **{f"hidden_missing_{c}": f"lower(trim({c})) IN {_HIDDEN}" for c in TEXT},
+    **{f"negative_{c}": f"{c} < 0" for c in NUMERIC if c not in ("demand_growth_yoy_pct", "posting_year", "posting_month")},
+}
 
 
 @over_postings("flt08_schema_gate", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{n}' AS issue, count(*) FILTER (WHERE {c})::BIGINT AS records FROM p" for n, c in CHECKS.items()) + " UNION ALL SELECT 'duplicate_ids', (count(job_id) - count(DISTINCT job_id))::BIGINT FROM p UNION ALL SELECT 'periods', count(DISTINCT period)::BIGINT FROM p")
@@ -245,8 +244,14 @@ def schema_gate(p):
 
 
 def salary_stats(p: DataFrame, *by: str) -> DataFrame:
-    """Size, mean (of whole cents, so that it doesn't depend on their order) and median of each group."""
-    return p.groupBy(*by).agg(F.count("*").alias("records"), money_mean(TARGET).alias("mean_salary"), r4(F.median(TARGET)).alias("median_salary"))
+    """Size, mean (of whole cents, so that it doesn't depend on their order) and median of each group, from its counted values; records without pay count in the size alone."""
+    counted = counted_values(p, list(by), TARGET)
+    total = counted.groupBy(*by).agg((F.sum(F.round(F.col("__v") * 100).cast("long") * F.col("__n")) / (100.0 * F.sum("__n"))).alias("mean_salary"))
+    sizes = p.groupBy(*by).agg(F.count("*").alias("records"))
+    keyed = lambda d, t: d.withColumnsRenamed({c: f"__{t}{c}" for c in by})
+    met = lambda t: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{t}{c}")) for c in by))
+    out = sizes.join(keyed(total, "t"), met("t"), "left").join(keyed(quantiles_of(counted, list(by), {"m": 0.5}), "q"), met("q"), "left")
+    return out.select(*by, "records", "mean_salary", r4("m").alias("median_salary"))
 
 
 SQL_STATS = f"count(*)::BIGINT AS records, {sql_money_mean(TARGET)} AS mean_salary, round(median(annual_salary_usd), 4) AS median_salary"
@@ -262,20 +267,20 @@ def shares(p):
     return g.crossJoin(F.broadcast(total)).select("industry", "country", "records", of(F.sum("records").over(W.partitionBy("industry"))).alias("pct_of_industry"), of(F.col("t")).alias("pct_of_all"))
 
 
-@over_postings("ag03_distinct_counts", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c})::BIGINT AS n_distinct, (count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))::BIGINT AS n_with_null FROM p" for c in [*CATEGORICAL, "required_skills"]))
+@over_postings("ag03_distinct_counts", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c})::BIGINT AS n_distinct, (count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))::BIGINT AS n_with_null FROM p" for c in CONTRACT))
 def distinct_counts(p):
     """Each column's values grouped once (a row a column and value), then counted."""
-    columns = [*CATEGORICAL, "required_skills"]
-    values = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns)))).distinct()
+    values = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in CONTRACT)))).distinct()
     return values.groupBy("feature").agg(F.count("v").alias("n_distinct"), F.count("*").alias("n_with_null"))
 
 
-@over_postings("ag04_frequencies", ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS category FROM p" for c in CATEGORICAL) + "), g AS (SELECT feature, category, count(*) AS n FROM u WHERE category IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, category) AS place, sum(n) OVER (PARTITION BY feature) AS t FROM g) SELECT feature, category, n::BIGINT AS records, round(100.0::DOUBLE * n / t, 4) AS pct FROM r WHERE place <= 50")
+@over_postings("ag04_frequencies", ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::VARCHAR AS category FROM p" for c in CATEGORICAL) + "), g AS (SELECT feature, category, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, category NULLS LAST) AS place, sum(n) OVER (PARTITION BY feature) AS t FROM g) SELECT feature, category, n::BIGINT AS records, round(100.0::DOUBLE * n / t, 4) AS pct FROM r WHERE place <= 50")
 def frequencies(p):
-    long = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("category")) for c in CATEGORICAL)))).filter("category is not null")
+    """The fifty most frequent values of each column of few values; a missing value is one of them."""
+    long = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in CATEGORICAL))))
     g = long.groupBy("feature", "category").agg(F.count("*").alias("records"))
     own = W.partitionBy("feature")
-    g = g.withColumns({"t": F.sum("records").over(own), "place": F.row_number().over(own.orderBy(F.desc("records"), "category"))})
+    g = g.withColumns({"t": F.sum("records").over(own), "place": F.row_number().over(own.orderBy(F.desc("records"), F.asc_nulls_last("category")))})
     return g.filter("place <= 50").select("feature", "category", "records", r4(100.0 * F.col("records") / F.col("t")).alias("pct"))
 
 
@@ -292,10 +297,13 @@ QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
 
 def describe(p: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact count, mean, sample deviation and quartiles of each column, as a row each (a column without a value has no row)."""
-    long = once(p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns)))))
-    g = long.groupBy("feature").agg(F.count("v").alias("n"), r4(F.avg("v")).alias("mean"), r4(F.stddev_samp("v")).alias("std"), r4(F.min("v")).alias("min"), r4(F.max("v")).alias("max"))
-    quartiles = exact_quantiles(long, ["feature"], "v", QUARTILES)
+    """Exact count, mean, sample deviation and quartiles of each column, as a row each, from its counted values (a column without a value has no row)."""
+    counted = counted_values(p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns)))), ["feature"], "v")
+    v, n = F.col("__v"), F.col("__n")
+    mean = counted.groupBy("feature").agg((F.sum(v * n) / F.sum(n)).alias("__mean")).withColumnRenamed("feature", "__f")
+    around = (v - F.col("__mean")) * (v - F.col("__mean")) * n
+    g = counted.join(F.broadcast(mean), F.col("feature") == F.col("__f")).groupBy("feature").agg(F.sum(n).alias("n"), r4(F.first("__mean")).alias("mean"), r4(F.sqrt(F.when(F.sum(n) > 1, F.sum(around) / (F.sum(n) - 1)))).alias("std"), r4(F.min(v)).alias("min"), r4(F.max(v)).alias("max"))  # a row a column
+    quartiles = quantiles_of(counted, ["feature"], QUARTILES)
     return g.join(quartiles.select("feature", *(r4(c).alias(c) for c in QUARTILES)), "feature")
 
 
@@ -315,11 +323,46 @@ def deviations(p):
     return p.groupBy("job_category").agg(r4(F.stddev_samp(TARGET)).alias("sample_sd"), r4(F.stddev_pop(TARGET)).alias("population_sd"))
 
 
-@over_postings("ag09_correlations", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(coalesce(CASE WHEN stddev_pop({c}) = 0 THEN 0 ELSE corr({c}, annual_salary_usd) END, 0), 4) AS r FROM p" for c in NUMERIC[1:]))
+_OTHERS = [c for c in NUMERIC if c != "annual_salary_usd"]
+
+
+@over_postings("ag09_correlations", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(coalesce(CASE WHEN stddev_pop({c}) = 0 THEN 0 ELSE corr({c}, annual_salary_usd) END, 0), 4) AS r FROM p" for c in _OTHERS))
 def correlations(p):
-    """Pearson r with the target, zero for a constant column."""
+    """Pearson r of every number with the target, zero for a constant column."""
     r = lambda c: F.coalesce(F.when(F.stddev_pop(c) == 0, 0.0).otherwise(F.corr(c, TARGET)), F.lit(0.0))
-    return p.agg(*(r4(r(c)).alias(c) for c in NUMERIC[1:])).unpivot([], NUMERIC[1:], "feature", "r")
+    return p.agg(*(r4(r(c)).alias(c) for c in _OTHERS)).unpivot([], _OTHERS, "feature", "r")
+
+
+#: What models see: texts as 0/1 columns, numbers (missing ones are 0), and the tokens of skills.
+ENCODED = {"text": [c for c in ALLOW if c in TEXT and c != "required_skills"], "number": [c for c in ALLOW if c in NUMERIC]}
+
+
+@over_postings(
+    "ag09_encoded_correlations",
+    f""", d AS MATERIALIZED (SELECT *, coalesce(len({SQL_TOKENS}), 0)::DOUBLE AS skill_count, {SQL_TOKENS} AS tokens, annual_salary_usd AS y FROM p WHERE period < (SELECT max(period) FROM p) AND annual_salary_usd IS NOT NULL),
+t AS (SELECT count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM d), u AS ("""
+    + " UNION ALL ".join(f"SELECT '{c}=' || {c} AS encoded, y FROM d WHERE {c} IS NOT NULL" for c in ENCODED["text"])
+    + " UNION ALL SELECT 'skills=' || unnest(tokens), y FROM d), g AS (SELECT encoded, count(*) AS n1, sum(y) AS s1 FROM u GROUP BY 1), r AS ("
+    + "SELECT encoded, CASE WHEN n1 = n OR n * ss = s * s THEN 0 ELSE (n * s1 - n1 * s) / (sqrt(n1::DOUBLE * (n - n1)) * sqrt(n * ss - s * s)) END AS r FROM g CROSS JOIN t"
+    + "".join(f" UNION ALL SELECT '{c}', coalesce(CASE WHEN stddev_pop(coalesce({c}, 0)) = 0 THEN 0 ELSE corr(coalesce({c}, 0), y) END, 0) FROM d" for c in (*ENCODED["number"], "skill_count"))
+    + ") SELECT encoded, round(r, 4) AS r, round(abs(r), 4) AS abs_r FROM r",
+)
+def encoded_correlations(p):
+    """Pearson r of every encoded column with the target over the months before the latest: 0/1 columns from sums alone, constant ones 0."""
+    last = p.agg(F.max("period").alias("__last"))
+    tokens = F.coalesce(skill_tokens(F.col("required_skills")), F.array().cast("array<string>"))
+    d = p.crossJoin(F.broadcast(last)).filter((F.col("period") < F.col("__last")) & F.col(TARGET).isNotNull())  # one row
+    d = d.withColumn("tokens", tokens).withColumn("skill_count", F.size("tokens").cast("double"))
+    y = F.col(TARGET)
+    names = F.array_compact(F.concat(F.array(*(F.concat(F.lit(f"{c}="), F.col(c)) for c in ENCODED["text"])), F.transform("tokens", lambda x: F.concat(F.lit("skills="), x))))
+    t = d.agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
+    g = d.select(y.alias("y"), F.explode(names).alias("encoded")).groupBy("encoded").agg(F.count("*").alias("n1"), F.sum("y").alias("s1")).crossJoin(F.broadcast(t))  # one row
+    r = F.when((F.col("n1") == F.col("n")) | (F.col("n") * F.col("ss") == F.col("s") * F.col("s")), 0.0).otherwise(F.expr("(n * s1 - n1 * s) / (sqrt(double(n1) * (n - n1)) * sqrt(n * ss - s * s))"))
+    numbers = [*ENCODED["number"], "skill_count"]
+    filled = d.na.fill(0.0, numbers)
+    own = lambda c: F.coalesce(F.when(F.stddev_pop(c) == 0, 0.0).otherwise(F.corr(c, TARGET)), F.lit(0.0))
+    wide = filled.agg(*(own(c).alias(c) for c in numbers)).unpivot([], numbers, "encoded", "r")
+    return g.select("encoded", r.alias("r")).union(wide).select("encoded", r4("r").alias("r"), r4(F.abs("r")).alias("abs_r"))
 
 
 @over_postings("ag14_mode", ", g AS (SELECT industry, education_required, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY n DESC, education_required) AS k FROM g) SELECT industry, education_required AS dominant, n::BIGINT AS records FROM r WHERE k = 1")
@@ -328,14 +371,18 @@ def dominant(p):
     return g.groupBy("industry").agg(F.min_by("education_required", F.struct(-F.col("records"), "education_required")).alias("dominant"), F.max("records").alias("records"))
 
 
-@over_postings("ag16_column_profile", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(DISTINCT {c})::BIGINT AS n_unique, round(100.0::DOUBLE * count(DISTINCT {c}) / count(*), 4) AS unique_pct, (count(*) - count({c}))::BIGINT AS n_missing, count(*) FILTER (WHERE {c} IS NULL OR lower(trim({c}::VARCHAR)) IN ('', 'na', 'n/a', 'nan', 'none', 'null'))::BIGINT AS n_hidden FROM p" for c in ("job_title", "required_skills", "demand_score", "country")))
+_KINDS = {**dict.fromkeys(TEXT, "string"), **dict.fromkeys(NUMERIC, "double"), **dict.fromkeys(("posting_year", "posting_month"), "int"), **dict.fromkeys(FLAGS, "boolean")}
+
+
+@over_postings("ag16_column_profile", ", x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, '{_KINDS[c]}' AS dtype, count(DISTINCT {c})::BIGINT AS n_unique, round(100.0::DOUBLE * count(DISTINCT {c}) / count(*), 4) AS unique_pct, (count(*) - count({c}))::BIGINT AS n_missing, count(*) FILTER (WHERE {c} IS NULL OR lower(trim({c}::VARCHAR)) IN {_HIDDEN})::BIGINT AS n_hidden FROM p" for c in CONTRACT))
 def column_profile(p):
-    columns = ["job_title", "required_skills", "demand_score", "country"]
-    long = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns))))
-    hidden = F.col("v").isNull() | F.lower(F.trim("v")).isin("", "na", "n/a", "nan", "none", "null")
-    g = long.groupBy("feature", "v").agg(F.count("*").alias("n"), F.count_if(hidden).alias("h"))
-    g = g.groupBy("feature").agg(F.count("v").alias("n_unique"), F.sum("n").alias("t"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("h").alias("n_hidden"))
-    return g.select("feature", "n_unique", r4(100.0 * F.col("n_unique") / F.col("t")).alias("unique_pct"), "n_missing", "n_hidden")
+    """Type, distinct values, missing and hidden missing ones of every column: each column's values are grouped once, then counted."""
+    kinds = dict(p.dtypes)
+    long = p.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("dtype"), F.col(c).cast("string").alias("v")) for c in CONTRACT))))
+    hidden = F.col("v").isNull() | F.expr(f"lower(trim(v)) IN {_HIDDEN}")
+    g = long.groupBy("feature", "dtype", "v").agg(F.count("*").alias("n")).withColumn("h", F.when(hidden, F.col("n")).otherwise(0))
+    g = g.groupBy("feature", "dtype").agg(F.count("v").alias("n_unique"), F.sum("n").alias("t"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("h").alias("n_hidden"))
+    return g.select("feature", "dtype", "n_unique", r4(100.0 * F.col("n_unique") / F.col("t")).alias("unique_pct"), "n_missing", "n_hidden")
 
 
 @over_postings("ag17_duplicates", ", g AS (SELECT job_title, country, period, count(*) AS n, min(job_id::BIGINT) AS first_id FROM p GROUP BY ALL) SELECT job_title, country, period, n::BIGINT AS copies, first_id::BIGINT AS first_id FROM g WHERE n > 1")
@@ -356,12 +403,7 @@ def stacked_slices(p):
     dims = ["job_category", "country", "remote_work", "band"]
     x = p.withColumn("band", report_band(F.col("years_of_experience")))
     long = x.select(TARGET, F.inline(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in dims))))
-    long = once(long)
-    own = ["dimension", "value"]
-    medians = exact_quantiles(long, own, TARGET, {"m": 0.5}).withColumnsRenamed({c: f"__{c}" for c in own})
-    g = long.groupBy(*own).agg(F.count("*").alias("records"), money_mean(TARGET).alias("mean_salary"))
-    same = F.col("dimension").eqNullSafe(F.col("__dimension")) & F.col("value").eqNullSafe(F.col("__value"))
-    return g.join(medians, same, "left").select(*own, "records", "mean_salary", r4("m").alias("median_salary"))
+    return salary_stats(long, "dimension", "value")
 
 
 def skill_rows(p: DataFrame) -> DataFrame:

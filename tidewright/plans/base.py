@@ -216,30 +216,60 @@ def side_by_side(calls: list[Callable], at_once: int = 3) -> list:
         return list(pool.map(lambda f: f(), calls))
 
 
-#: Ranges that the values of a group are counted in.
-PARTS = 4096
+#: Ranges that a group's values are cut into, a power of two, and the rows of counted values up to which none is cut.
+PARTS, WHOLE = 1024, 4_000_000
 
 
-def exact_quantiles(x: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """by and a column for each share: the exact quantiles of value in each group, between neighbours by their distance.
+def counted_values(x: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, __v and __n: how often each value comes in each group, as a written table. Rows without a value are left out."""
+    x = x.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    return once(x.groupBy(*by, "__v").agg(F.count("*").alias("__n")))
+
 
-    Equal values are counted first; counts are summed in PARTS ranges of each group's values, and inside each range. So
-    no task holds a group's values, however few groups there are. Groups without a value are left out.
+def parted(counted: DataFrame, by: list[str]) -> DataFrame:
+    """counted with __part: the range of its group that a value lies in.
+
+    Ranges end at the group's quantiles, by a sketch of its values, so they hold about as many values each, however far apart those
+    lie. A value's range is found by halving.
     """
-    x = x.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    counted = once(x.groupBy(*by, "__v").agg(F.count("*").alias("__n")))
-    span = counted.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__t"))
-    keys = [f"__k{i}" for i in range(len(by))]
-    met = lambda other: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)), other)
-    named = lambda d: d.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), *[c for c in d.columns if c not in by])
-    part = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS))).otherwise(0)
-    dealt = counted.join(named(span), met(F.lit(True))).drop(*keys).withColumn("__part", part)
-    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
-    earlier = F.coalesce(F.sum("__m").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("__earlier", earlier).withColumnRenamed("__part", "__p").drop("__m")
-    dealt = dealt.join(named(parts), met(F.col("__part") == F.col("__p"))).drop(*keys, "__p")
-    upto = F.col("__earlier") + F.sum("__n").over(W.partitionBy(*by, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
-    dealt = dealt.withColumn("__upto", upto)
+    shares = [(i + 1) / PARTS for i in range(PARTS - 1)]
+    ends = counted.groupBy(*by).agg(F.percentile_approx("__v", shares, 4 * PARTS).alias("__ends"))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(PARTS.bit_length() - 1))))
+    dealt = counted.join(_renamed(ends, by), _same(by)).drop(*_keys(by))
+    at = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get("__ends", at + half - 1) < F.col("__v"), at + half).otherwise(at)) if PARTS > 1 else F.lit(0)
+    return dealt.withColumn("__part", at).drop("__ends")
+
+
+def _keys(by: list[str]) -> list[str]:
+    return [f"__k{i}" for i in range(len(by))]
+
+
+def _renamed(d: DataFrame, by: list[str]) -> DataFrame:
+    return d.select(*(F.col(c).alias(k) for c, k in zip(by, _keys(by), strict=True)), *[c for c in d.columns if c not in by])
+
+
+def _same(by: list[str], other: Column | None = None) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, _keys(by), strict=True)), F.lit(True) if other is None else other)
+
+
+def quantiles_of(counted: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share: the exact quantiles of counted values, between neighbours by their distance.
+
+    Few counted values are summed up group by group. Beyond WHOLE rows of them, counts are summed in ranges of each group's values, and inside each
+    range, so no task holds a group's values, however few groups there are.
+    """
+    if counted.limit(WHOLE + 1).count() <= WHOLE:
+        totals = counted.groupBy(*by).agg(F.sum("__n").alias("__t"))
+        dealt = counted.withColumn("__upto", F.sum("__n").over(W.partitionBy(*by).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
+        dealt = dealt.join(_renamed(totals, by), _same(by)).drop(*_keys(by))
+    else:
+        dealt = once(parted(counted, by))
+        parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+        earlier = F.coalesce(F.sum("__m").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum("__m").over(W.partitionBy(*by))
+        parts = parts.withColumns({"__earlier": earlier, "__t": total}).withColumnRenamed("__part", "__p").drop("__m")
+        dealt = dealt.join(_renamed(parts, by), _same(by, F.col("__part") == F.col("__p"))).drop(*_keys(by), "__p")
+        dealt = dealt.withColumn("__upto", F.col("__earlier") + F.sum("__n").over(W.partitionBy(*by, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
     holds = lambda rank: (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__n"))
     ends = []
     for name, share in shares.items():
@@ -249,4 +279,9 @@ def exact_quantiles(x: DataFrame, by: list[str], value: str, shares: dict[str, f
     return out.select(*by, *((F.col(f"__lo_{n}") * (1 - F.col(f"__at_{n}")) + F.col(f"__hi_{n}") * F.col(f"__at_{n}")).alias(n) for n in shares))
 
 
+def exact_quantiles(x: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """quantiles_of() the values of a column in each group. Groups without a value are left out."""
+    return quantiles_of(counted_values(x, by, value), by, shares)
+
+
 SQL_NUMBERS = "numbered AS (SELECT *, row_number() OVER (ORDER BY period, job_id::BIGINT) AS record_id FROM p)"

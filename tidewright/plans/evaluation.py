@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, exact_quantiles, once, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
+from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, exact_quantiles, once, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_exact_mean, table
 
 SHARES = (0.80, 0.19, 0.01)
 #: Outer folds: the last months before this one are validated one by one.
@@ -111,11 +111,14 @@ def block_folds(p, splits: int = SPLITS, block: int = BLOCK):
 def out_of_fold(p: DataFrame) -> DataFrame:
     """fold, job_id, dimensions, actual, predicted of each validation record, by the predictor fitted on its fold's history; an unseen group gets the history's median."""
     x = once(p.select("job_id", "period", "job_category", "country", "remote_work", TARGET, report_band(F.col("years_of_experience")).alias("band")))
-    f = F.broadcast(outer_folds(x))
-    history = x.join(f, F.col("period") < F.col("month"))
-    groups = history.groupBy("fold", "job_category", "band").agg(F.median(TARGET).alias("own"))
-    whole = history.groupBy("fold").agg(F.median(TARGET).alias("baseline"))
-    valid = x.join(f, F.col("period") == F.col("month")).join(groups, ["fold", "job_category", "band"], "left").join(whole, "fold")
+    f = F.broadcast(outer_folds(x))  # a row a fold
+    # pay is counted by month and group once; a fold is a filter on months of the counts, so no record meets five folds
+    counts = once(x.filter(F.col(TARGET).isNotNull()).groupBy("period", "job_category", "band", F.col(TARGET).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    history = counts.join(f, F.col("period") < F.col("month"))
+    own = ["fold", "job_category", "band"]
+    median = lambda by, name: quantiles_of(once(history.groupBy(*by, "__v").agg(F.sum("__n").alias("__n"))), by, {name: 0.5})
+    groups, whole = median(own, "own"), median(["fold"], "baseline")
+    valid = x.join(f, F.col("period") == F.col("month")).join(groups, own, "left").join(whole, "fold")
     return valid.select("fold", "job_id", "job_category", "country", "remote_work", "band", F.col(TARGET).alias("actual"), F.coalesce("own", "baseline").alias("predicted"), "baseline")
 
 
@@ -302,8 +305,6 @@ def cluster_validity(spark, sf_dir):
     return t.select(r4(F.expr("b / (k - 1) / (inertia / (n - k))")).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"), r4("inertia").alias("inertia"), F.col("k").alias("clusters"))
 
 
-over_tables("ag19_cluster_validity_whole", ORACLES["ag19_cluster_validity"])(cluster_validity)  # a former name
-
 
 def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of the rows of x to those of y, from one matrix product; where that loses digits, from the differences."""
@@ -390,8 +391,6 @@ def silhouettes(v: DataFrame, tile: int = 8000) -> list[float]:
     return [made[i] for i in range(number)]
 
 
-over_tables("ag19_silhouette_whole", ORACLES["ag19_silhouette"])(silhouette)  # a former name
-
 
 @over_tables("ag20_balance", f"WITH {SQL_LABELLED}, g AS (SELECT label, count(*)::DOUBLE AS n FROM v GROUP BY 1), s AS (SELECT n / sum(n) OVER () AS s FROM g) SELECT round(-sum(s * ln(s)) / ln(count(*)), 6) AS entropy, round(min(s), 6) AS least_share FROM s")
 def balance(spark, sf_dir):
@@ -423,5 +422,3 @@ def block_norms(spark, sf_dir):
     g = v.select(F.inline(parts)).groupBy("family")
     return g.agg(F.round(F.sqrt(F.sum("b")), 6).alias("norm_before"), F.round(F.avg(F.sqrt("b")), 6).alias("row_before"), F.round(F.sqrt(F.sum("a")), 6).alias("norm_after"), F.round(F.avg(F.sqrt("a")), 6).alias("row_after"))
 
-
-over_tables("ag32_block_norms_whole", ORACLES["ag32_block_norms"])(block_norms)  # a former name

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tidewright.functions.records import null_tokens, number
+from tidewright.plans.base import once
 
 TEXT = "job_id job_title job_category experience_level education_required city country remote_work company_size industry required_skills salary_tier".split()
 DOUBLE = "years_of_experience annual_salary_usd salary_min_usd salary_max_usd ai_salary_premium_pct demand_score demand_growth_yoy_pct benefits_score_10".split()
@@ -26,10 +28,51 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.withColumnsRenamed({a: c for a, c in ALIASES.items() if c not in raw.columns})
     if missing := [c for c in [*TEXT, *DOUBLE, *INTEGER, *FLAG] if c not in raw.columns]:
         raise ValueError(f"columns missing from the records: {missing}")
+    return typed(raw)
+
+
+def typed(raw: DataFrame) -> DataFrame:
+    """The contract's columns of texts, typed."""
     own = lambda c: null_tokens(F.col(c))
-    typed = {c: own(c) for c in TEXT} | {c: number(own(c)) for c in DOUBLE} | {c: number(own(c)).cast("int") for c in INTEGER}
+    values = {c: own(c) for c in TEXT} | {c: number(own(c)) for c in DOUBLE} | {c: number(own(c)).cast("int") for c in INTEGER}
     flags = {c: F.lower(own(c)).isin("true", "1", "1.0", "yes") for c in FLAG}
-    return raw.select(*(v.alias(c) for c, v in (typed | flags).items()))
+    return raw.select(*(v.alias(c) for c, v in (values | flags).items()))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 1 on, in each file) and value of text files. A block's lines are numbered by themselves and moved by the lines of the blocks before it, a row a block."""
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = own.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("at"))
+    out = own.withColumn("__in", inside).join(blocks, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return out.select("file", (F.col("__before") + F.col("__in")).alias("line"), "value")
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The sound records of a CSV with a header, typed; and a message (file, line, reason, start of the text) for each line that is none. Both are from one scan.
+
+    A record is one line: a quoted line feed opens a quote that its line doesn't close. Reasons: an open quote, fewer or more values than the
+    header, and numbers that can't be read, which name their column. Every file has its own header, with the contract's columns in any order.
+    """
+    lines = once(_lines(spark, path))
+    headers = lines.filter("line = 1").select(F.col("value")).distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError("the files have different headers" if headers else "no header")
+    names = [ALIASES.get(c.strip('"'), c.strip('"')) for c in headers[0][0].split(",")]
+    if missing := [c for c in [*TEXT, *DOUBLE, *INTEGER, *FLAG] if c not in names]:
+        raise ValueError(f"columns missing from the records: {missing}")
+    bare = F.regexp_replace("value", '"([^"]|"")*"', "")
+    values = F.size(F.split(bare, ",", -1))
+    shape = F.when(F.contains(bare, F.lit('"')), "open quote").when(values < len(names), "fewer values than columns").when(values > len(names), "more values than columns")
+    parsed = lines.filter("line > 1 and value <> ''").select("file", "line", "value", shape.alias("reason"), F.from_csv("value", ", ".join(f"`{c}` string" for c in names), {"escape": '"'}).alias("x"))
+    known = lambda c: null_tokens(F.col(f"x.{c}"))
+    numbers = F.array_compact(F.array(*(F.when(known(c).isNotNull() & number(known(c)).isNull(), F.lit(f"{c} is no number")) for c in (*DOUBLE, *INTEGER))))
+    reason = F.coalesce("reason", F.when(F.size(numbers) > 0, F.array_join(numbers, ", ")))
+    parsed = parsed.withColumn("reason", reason)
+    faults = parsed.filter("reason is not null").select("file", "line", "reason", F.substring("value", 1, 200).alias("text"))
+    return typed(parsed.filter("reason is null").select("x.*")), faults
 
 
 def schema() -> T.StructType:

@@ -53,7 +53,7 @@ def test_variants_take_every_fold(p, small_ladder):
 
 
 def test_ablations_fit_every_set_on_every_fold(p, small_ladder):
-    rows = models.ablations(p).collect()
+    rows = models.ablations(p, at_once=4).collect()
     assert len(rows) == 14 * 2 * N_OUTER and {r.model for r in rows} == {"Ridge", "Random Forest"} and all(r.mae > 0 for r in rows)
     own = {(r.kind, r.name, r.fold): r for r in rows if r.model == "Ridge"}
     assert {n for k, n, _ in own if k == "leave_one_out"} == set(models.FAMILIES)

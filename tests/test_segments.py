@@ -196,7 +196,7 @@ def test_gates_of_stability():
     assert r["resample_ari_mean"] == pytest.approx(0.81) and r["resample_ari_min"] == 0.8 and r["resample_ari_p10"] == pytest.approx(0.802)
 
 
-SMALL = segments.Rules(ks=(2, 3), seeds=(11, 42), draws=2, main_starts=(2, 1), tried=1, most_steps=40)
+SMALL = segments.Rules(ks=(2, 3), seeds=(11, 42), draws=2, main_starts=(2, 1), tried=1, most_steps=8)
 
 
 def test_judged_candidates(p):
@@ -240,10 +240,14 @@ def test_greedy_columns():
     assert models.greedy_columns(corr, np.array([1.0, 0.0, 2.0]), ["a", "b", "c"])[0] == [0, 2]
 
 
-def test_spaces_are_compared(p):
-    some = p.limit(300).persist()
-    rows = segments.representations(some, SMALL).collect()
-    assert [r.space for r in rows] == list(segments.SPACES) and sum(r.chosen for r in rows) == 1
-    assert rows[0].ari_to_r0 == 1 and {r.inputs for r in rows} == {13, 12, 11}
-    options = segments.space_options(some, SMALL).collect()
-    assert [r.space for r in options] == ["O1_PCA", "O2_CORRELATION"] and sum(r.chosen for r in options) == 1 and {r.reason == "chosen" for r in options} == {True, False}
+def test_spaces_are_compared(p, monkeypatch):
+    some = p.limit(200).persist()
+    rules = segments.Rules(**{**SMALL.__dict__, "ks": (2,), "main_starts": (1, 1), "most_steps": 4})
+    rows, made, ari = segments.space_rows(some, rules, 0.03)
+    assert [r["space"] for r in rows] == list(segments.SPACES) and sum(r["chosen"] for r in rows) == 1
+    assert rows[0]["ari_to_r0"] == 1 and {r["inputs"] for r in rows} == {13, 12, 11} and len(ari) == 25
+    assert rows[2]["mean_cross_ari"] == pytest.approx(np.mean([ari[rows[2]["space"], n] for n in made if n != rows[2]["space"]]))
+    monkeypatch.setattr(segments, "space_rows", lambda *a: ([dict(r) for r in rows], made, ari))
+    assert segments.representations(some, rules).count() == 5
+    options = segments.space_options(some, rules).collect()
+    assert [r.space for r in options] == ["O1_PCA", "O2_CORRELATION"] and sum(r.chosen for r in options) == 1 and [r.reason == "chosen" for r in options].count(True) == 1

@@ -43,6 +43,11 @@ def _rows(bits: int, sure: bool, cuts: np.ndarray, columns: dict[str, tuple[np.n
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([sure] * len(bucket)), *(_blobs(v, at) for v, at in columns.values())], ["bucket", "sure", *columns])
 
 
+def _seed(keys: np.ndarray) -> int:
+    """A number of a slice's texts together: slices with one hot passage have different ones."""
+    return int(mix(np.array([keys.sum()]).view(np.uint64))[0])
+
+
 def _spread(bucket: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Bounds of each of the buckets `cuts` in sorted bucket numbers."""
     return np.append(np.searchsorted(bucket, cuts), len(bucket))
@@ -77,7 +82,7 @@ def _probes(window: int, bits: int):
                 yield _rows(bits, False, cuts, {"probe": (low[new], probe), "low": (low[own], found), "key": (keys[row[own]], found), "no": (no[own].astype(np.int32), found)})
                 if known.shape[1]:
                     none, all_of = np.zeros(2, np.int64), np.array([0, known.shape[1]])
-                    yield _rows(bits, True, cuts, {"probe": (low[:0], none), "low": (low[:0], none), "key": (known[0], all_of), "no": (known[1].astype(np.int32), all_of)}, int(h[0]))
+                    yield _rows(bits, True, cuts, {"probe": (low[:0], none), "low": (low[:0], none), "key": (known[0], all_of), "no": (known[1].astype(np.int32), all_of)}, _seed(keys))
 
     return run
 
@@ -160,7 +165,7 @@ def _windows(window: int, bits: int):
                 if settled.any():
                     marks = np.unique(np.stack([run_key[settled], run_start[settled].astype(np.int64), length[settled], h[begin[settled]].view(np.int64)]), axis=1)
                     all_of = np.array([0, marks.shape[1]])
-                    yield _rows(bits, True, cuts, {"known": (h[:0], np.zeros(2, np.int64)), "key": (marks[0], all_of), "start": (marks[1].astype(np.int32), all_of), "len": (marks[2].astype(np.int32), all_of), "hash": (marks[3], all_of)}, int(h[0]))
+                    yield _rows(bits, True, cuts, {"known": (h[:0], np.zeros(2, np.int64)), "key": (marks[0], all_of), "start": (marks[1].astype(np.int32), all_of), "len": (marks[2].astype(np.int32), all_of), "hash": (marks[3], all_of)}, _seed(keys))
 
     return run
 

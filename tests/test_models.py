@@ -125,6 +125,22 @@ def test_family_selection(spark):
     scores = spark.createDataFrame([(m, mae + d * sd) for m, mae, sd in rows for d in (-1, 0, 1)], "model string, mae double")
     assert models.select_family(scores) == "Linear Regression"
     assert models.select_family(scores.filter(F.col("model") != "Linear Regression")) == "Random Forest"
+    assert tuple(models.family_choice(scores).first()) == ("Random Forest", "Linear Regression", "Linear Regression,Random Forest")
+
+
+def test_diagnoses(spark):
+    rows = [(models.DUMMY, f, 100.0, 100.0, 0.0) for f in range(1, 6)] + [("over", f, 10.0, 90.0, 0.1) for f in range(1, 6)] + [("under", f, 101.0, 100.0, 0.0) for f in range(1, 6)]
+    rows += [("good", f, 80.0, 85.0, 0.3) for f in range(1, 5)] + [("good", 5, 80.0, 85.0, -0.1)] + [("mixed", f, 80.0, 85.0, 0.3 if f < 3 else None) for f in range(1, 6)]
+    made = models.diagnosed(spark.createDataFrame(rows, "model string, fold int, train_mae double, mae double, r2 double")).collect()
+    own = {(r.model, r.fold): r for r in made}
+    assert {m: own[m, 1].aggregate_indication for m in ("over", "under", "good", "mixed")} == {"over": "overfitting_indication", "under": "underfitting_indication", "good": "good_fit_indication", "mixed": "mixed_or_inconclusive"}
+    assert own["good", 5].fold_indication == "inconclusive" and own[models.DUMMY, 1].fold_indication == own[models.DUMMY, 1].aggregate_indication == "baseline" and own[models.DUMMY, 1].gap is None
+    assert own["over", 2].gap == pytest.approx(0.8) and own["over", 2].train_gain == pytest.approx(0.9)
+
+
+def test_ladder_is_diagnosed(p):
+    rows = models.ladder_diagnostics(p, (models.DUMMY, "Ridge")).collect()
+    assert {(r.model, r.fold) for r in rows} == {(m, f) for m in (models.DUMMY, "Ridge") for f in FOLDS} and all(r.gap is not None for r in rows if r.model == "Ridge")
 
 
 def test_too_many_values_are_refused(p, monkeypatch):

@@ -305,6 +305,14 @@ class Fold:
         values = tuple(predicted.select("actual", "predicted").observe(seen, F.count("*").alias("rows")).agg(*metrics()).first())
         return (model, self.fold, *values, ended - began, time.perf_counter() - ended, self.rows, seen.get["rows"], width)
 
+    def errors(self, model: str) -> tuple:
+        """model, fold, its mean absolute error on the history that it was fitted on, and its error and r2 on the month."""
+        fitted = ladder(self.sd, self.rows)[model].fit(self.train) if model != DUMMY else None
+        shown = lambda d: fitted.transform(d) if fitted else d.withColumn("predicted", F.lit(self.middle).cast("double"))
+        own = shown(self.train).agg(F.avg(F.abs(F.col(TARGET) - F.col("predicted")))).first()[0]
+        seen = shown(self.valid).agg(*metrics()).first()
+        return model, self.fold, own, seen.mae, seen.r2
+
     def close(self) -> None:
         self.train.unpersist()
         self.valid.unpersist()
@@ -427,13 +435,66 @@ def importance_drift(p):
 PUBLISHED_GRID = {"trees": (50, 100, 150, 200, 250, 300), "depths": (10, 15, 20, 25, 30, None)}
 
 
+#: Families from the simplest on. The order is a fixed value of the contract.
+SIMPLEST = [DUMMY, "Linear Regression", "Ridge", "Gradient Boosting", "Random Forest"]
+
+
+def family_choice(scores: DataFrame) -> DataFrame:
+    """One row: the family of the least mean error over the folds, those whose spread (a deviation either way) meets its own, and the simplest of them, which is selected."""
+    x = scores.groupBy("model").agg(F.avg("mae").alias("m"), F.coalesce(F.stddev("mae"), F.lit(0.0)).alias("sd"))
+    best = x.agg(F.min_by(F.struct("model", "m", "sd"), F.struct("m", "model")).alias("b"))
+    place = F.array_position(F.array(*map(F.lit, SIMPLEST)), F.col("model"))
+    meets = (F.col("m") - F.col("sd") <= F.col("b.m") + F.col("b.sd")) & (F.col("b.m") - F.col("b.sd") <= F.col("m") + F.col("sd"))
+    close = x.crossJoin(F.broadcast(best)).filter(meets)  # one row
+    listed = close.agg(F.first("b.model").alias("lowest"), F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("model").alias("name")))).alias("c"))
+    return listed.select("lowest", F.col("c")[0]["name"].alias("selected"), F.array_join(F.transform("c", lambda c: c["name"]), ",").alias("overlap"))
+
+
 def select_family(scores: DataFrame) -> str:
-    """The family with the least mean error over the folds; of those whose error lies within its spread, the simplest (the order of LADDER, the dummy last)."""
-    x = [tuple(r) for r in scores.groupBy("model").agg(F.avg("mae"), F.stddev("mae")).collect()]  # a row a model
-    _, mean, sd = min(x, key=lambda r: r[1])
-    close = {m for m, v, own in x if v - (own or 0.0) <= mean + (sd or 0.0)}
-    order = [m for m in LADDER if m != DUMMY] + [DUMMY]
-    return next(m for m in order if m in close)
+    return family_choice(scores).first().selected
+
+
+@over_postings("ml22_ladder_selection")
+def ladder_selection(p):
+    """The family that the fitted ladder's errors select."""
+    return family_choice(fold_scores(p, LADDER))
+
+
+#: The gap between validation and history, over the dummy's error, from which a fit looks too close. Fixed value of the contract.
+GAP = 0.2
+
+
+def diagnosed(scores: DataFrame, gap: float = GAP, most: int = 4) -> DataFrame:
+    """Gains over the dummy on history and validation of each model and fold (model, fold, train_mae, mae, r2), the gap between the two, what that indicates, and what at least `most` folds do.
+
+    Overfitting: a gain on history with a gap over the bound. Underfitting: no gain on either. Good: a gain on validation, r2 of 0 or more, a gap within it.
+    """
+    dummy = scores.filter(F.col("model") == DUMMY).select(F.col("fold").alias("__fold"), F.col("train_mae").alias("__t"), F.col("mae").alias("__v"))
+    x = scores.join(F.broadcast(dummy), F.col("fold") == F.col("__fold"))  # a row a fold
+    x = x.withColumns({"train_gain": 1 - F.col("train_mae") / F.nullif("__t", F.lit(0.0)), "validation_gain": 1 - F.col("mae") / F.nullif("__v", F.lit(0.0)), "gap": (F.col("mae") - F.col("train_mae")) / F.nullif("__v", F.lit(0.0))})
+    known = F.col("train_gain").isNotNull() & F.col("validation_gain").isNotNull() & F.col("gap").isNotNull()
+    says = (
+        F.when(F.col("model") == DUMMY, "baseline")
+        .when(~known, "inconclusive")
+        .when((F.col("train_gain") > 0) & (F.col("gap") > gap), "overfitting_indication")
+        .when((F.col("train_gain") <= 0) & (F.col("validation_gain") <= 0), "underfitting_indication")
+        .when((F.col("validation_gain") > 0) & (F.col("r2") >= 0) & (F.col("gap") <= gap), "good_fit_indication")
+        .otherwise("inconclusive")
+    )
+    x = x.withColumn("fold_indication", says)
+    own = W.partitionBy("model", "fold_indication")
+    x = x.withColumn("__n", F.count("*").over(own))
+    whole = W.partitionBy("model")
+    agreed = F.when(F.col("model") == DUMMY, "baseline").otherwise(F.coalesce(F.max(F.when(F.col("__n") >= most, F.col("fold_indication"))).over(whole), F.lit("mixed_or_inconclusive")))
+    baseline = F.col("model") == DUMMY
+    return x.select("model", "fold", *(F.when(~baseline, F.col(c)).alias(c) for c in ("train_gain", "validation_gain", "gap")), "fold_indication", agreed.alias("aggregate_indication"))
+
+
+@over_postings("ml25_ladder_diagnostics")
+def ladder_diagnostics(p, models=tuple(LADDER)):
+    """diagnosed() of the fitted ladder."""
+    rows = [r for f in folds_of(p) for r in side_by_side([lambda m=m, f=f: f.errors(m) for m in models], 4)]
+    return diagnosed(p.sparkSession.createDataFrame(rows, "model string, fold int, train_mae double, mae double, r2 double"))
 
 
 @over_postings("ml21_tuning")
@@ -444,7 +505,7 @@ def tuning(p, trees=(4, 8, 12, 16, 20, 24), depths=(4, 6, 8, 10, 12, 14), inner:
     forest of t trees is the first t of them, so the grid costs its largest forests alone.
     """
     spark, schema = p.sparkSession, "status string, reason string, trees int, depth int, fold_mae array<double>, mae_mean double, mae_sd double, r2_mean double, place int"
-    family = selected or select_family(fold_scores(p, LADDER[1:]))
+    family = selected or select_family(fold_scores(p, LADDER))
     if family != "Random Forest":
         return spark.createDataFrame([("skipped", f"selected family is {family}", *[None] * 7)], schema)
     step = math.gcd(*trees)

@@ -206,6 +206,15 @@ def test_unseen_values_are_zeros(spark, sf):
     assert all(r.features.size == width and sum(1 for v in r.features.toArray() if v) <= 1 for r in rows)
 
 
+def test_record_numbers_of_any_ids(spark):
+    ids = ["10", "9", "x1", "abc", None, "-5", "x10", "700000", "", "é"] * 2
+    rows = [(j, "2000-01" if i % 3 else "1999-12") for i, j in enumerate(ids)]
+    df = spark.createDataFrame(rows, "job_id string, period string").repartition(4)
+    key = lambda r: (r[1], r[0] is not None and r[0].lstrip("-").isdigit(), int(r[0]) if r[0] and r[0].lstrip("-").isdigit() else 0, r[0] or "")
+    found = [(r.job_id, r.period) for r in base.record_numbers(df).orderBy("record_id").collect()]
+    assert [(j or "", p) for j, p in found] == [(j or "", p) for j, p in sorted(rows, key=key)]
+
+
 def test_record_numbers_are_whole(spark, sf):
     numbers = [r.record_id for r in base.record_numbers(base.postings(spark, sf)).select("record_id").collect()]
     assert sorted(numbers) == list(range(1, len(numbers) + 1))

@@ -154,24 +154,27 @@ def sql_exact_mean(c: str) -> str:
 
 #: Ids of a range: records are numbered in ranges of so many ids of a month.
 IDS = 65_536
+#: Characters by which ids that are no numbers are told apart into ranges.
+BEGINNING = 6
 
 
 def record_numbers(p: DataFrame, name: str = "record_id") -> DataFrame:
-    """p with a number from 1 on, in order of period and job_id.
+    """p with a number from 1 on, in order of period and job_id (ids that are no numbers first, as texts).
 
-    Each range of IDS ids of a month is numbered by itself, and moved by the rows of the ranges before it in its month (a row a
+    Each range of IDS ids of a month (of other texts: of one beginning) is numbered by itself, and moved by the rows of the ranges before it in its month (a row a
     range) and of the months before (a row a month), so no task sorts more than a range however large a month.
     """
     number = F.col("job_id").try_cast("long")
-    p = p.withColumn("__range", F.floor(F.coalesce(number, F.lit(-1)) / IDS))
-    ranges = p.groupBy(F.col("period").alias("__period"), F.col("__range").alias("__r")).agg(F.count("*").alias("n"))
+    other = F.when(number.isNull(), F.coalesce(F.substring("job_id", 1, BEGINNING), F.lit(""))).otherwise("")
+    p = p.withColumns({"__range": F.coalesce(F.floor(number / IDS), F.lit(-(2**62))), "__text": other})
+    ranges = p.groupBy(F.col("period").alias("__period"), F.col("__range").alias("__r"), F.col("__text").alias("__t")).agg(F.count("*").alias("n"))
     months = ranges.groupBy("__period").agg(F.sum("n").alias("n")).select(F.col("__period").alias("__month"), F.coalesce(F.sum("n").over(W.orderBy("__period").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__months"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("__period").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("__period").orderBy("__r", "__t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     moved = ranges.withColumn("__before", before).join(F.broadcast(months), F.col("__period").eqNullSafe(F.col("__month")))  # a row a month
-    moved = moved.select("__period", "__r", (F.col("__before") + F.col("__months")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("period", "__range").orderBy(number, "job_id"))
-    out = p.withColumn("__in", inside).join(moved, F.col("period").eqNullSafe(F.col("__period")) & (F.col("__range") == F.col("__r")))
-    return out.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__period", "__range", "__r", "__before", "__in")
+    moved = moved.select("__period", "__r", "__t", (F.col("__before") + F.col("__months")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("period", "__range", "__text").orderBy(number, "job_id"))
+    out = p.withColumn("__in", inside).join(moved, F.col("period").eqNullSafe(F.col("__period")) & (F.col("__range") == F.col("__r")) & (F.col("__text") == F.col("__t")))
+    return out.withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__period", "__range", "__text", "__r", "__t", "__before", "__in")
 
 
 def shared_path(spark: SparkSession) -> str:

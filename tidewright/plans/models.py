@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from tidewright.plans.audit import SQL_TOKENS, TARGET, skill_tokens
 from tidewright.plans.base import over_postings, over_tables, r4, side_by_side
 from tidewright.plans.evaluation import N_OUTER, labelled, metrics, outer_folds, rand_index
+from tidewright.plans.evaluation import select_family as simplest_of_best
 
 #: The allowed features by type; the tokens of required_skills are the column "skills" here.
 NOMINAL = ["job_title", "job_category", "education_required", "city", "country", "remote_work", "company_size", "industry"]
@@ -441,13 +442,8 @@ SIMPLEST = [DUMMY, "Linear Regression", "Ridge", "Gradient Boosting", "Random Fo
 
 def family_choice(scores: DataFrame) -> DataFrame:
     """One row: the family of the least mean error over the folds, those whose spread (a deviation either way) meets its own, and the simplest of them, which is selected."""
-    x = scores.groupBy("model").agg(F.avg("mae").alias("m"), F.coalesce(F.stddev("mae"), F.lit(0.0)).alias("sd"))
-    best = x.agg(F.min_by(F.struct("model", "m", "sd"), F.struct("m", "model")).alias("b"))
-    place = F.array_position(F.array(*map(F.lit, SIMPLEST)), F.col("model"))
-    meets = (F.col("m") - F.col("sd") <= F.col("b.m") + F.col("b.sd")) & (F.col("b.m") - F.col("b.sd") <= F.col("m") + F.col("sd"))
-    close = x.crossJoin(F.broadcast(best)).filter(meets)  # one row
-    listed = close.agg(F.first("b.model").alias("lowest"), F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("model").alias("name")))).alias("c"))
-    return listed.select("lowest", F.col("c")[0]["name"].alias("selected"), F.array_join(F.transform("c", lambda c: c["name"]), ",").alias("overlap"))
+    x = scores.groupBy("model").agg(F.avg("mae").alias("mae"), F.coalesce(F.stddev("mae"), F.lit(0.0)).alias("sd"))
+    return simplest_of_best(x.withColumn("simplicity", F.array_position(F.array(*map(F.lit, SIMPLEST)), F.col("model"))))
 
 
 def select_family(scores: DataFrame) -> str:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import TARGET
-from tidewright.plans.base import SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
-from tidewright.plans.evaluation import SQL_OOF, out_of_fold
+from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, over_postings, over_tables, r4, record_numbers, sql_exact_mean, table
+from tidewright.plans.evaluation import _SQL_CANDIDATES as _SQL_PREDICTORS
+from tidewright.plans.evaluation import SQL_OOF, out_of_fold, predictor_errors, silhouette
 
 
 @over_postings("flt01_leaked_header", ", u AS (SELECT job_id, job_category FROM p UNION ALL SELECT 'h' || industry, ' JOB_CATEGORY ' FROM (SELECT DISTINCT industry FROM p)) SELECT trim(lower(job_category)) = 'job_category' AS leaked, count(*)::BIGINT AS records FROM u GROUP BY 1")
@@ -88,3 +89,44 @@ def event_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     line = F.to_json(F.struct(F.col("event_type").alias("event"), F.col("user_id").alias("user")))
     return e.select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("sequence"), line.alias("line"))
+
+
+#: Bands of a silhouette, from the best on. Fixed values of the contract.
+QUALITY = ((0.50, "strong separation"), (0.35, "moderate separation"), (0.20, "weak but usable separation"))
+POOR = "very weak / overlapping structure"
+
+
+def quality_band(s):
+    """The band of a silhouette."""
+    out = F.lit(POOR)
+    for least, name in reversed(QUALITY):
+        out = F.when(s >= least, name).otherwise(out)
+    return out
+
+
+@over_tables("prj06_quality_bands", f"SELECT label, silhouette, CASE {' '.join(f"WHEN silhouette >= {b} THEN '{n}'" for b, n in QUALITY)} ELSE '{POOR}' END AS band FROM ({ORACLES['ag19_silhouette']})")
+def quality_bands(spark, sf_dir):
+    """How well each given cluster is apart."""
+    return silhouette(spark, sf_dir).select("label", "silhouette", quality_band(F.col("silhouette")).alias("band"))
+
+
+@over_postings("prj06_baseline_status", f", {_SQL_PREDICTORS}, m AS (SELECT model, avg(mae) AS mae FROM errors GROUP BY 1) SELECT model, round(mae, 4) AS mae, CASE WHEN model = 'Dummy Median' THEN 'reference baseline' WHEN mae < (SELECT mae FROM m WHERE model = 'Dummy Median') THEN 'below baseline' ELSE 'at or above baseline' END AS status FROM m")
+def baseline_status(p):
+    """Whether each predictor's mean error is below the dummy's."""
+    m = predictor_errors(p).groupBy("model").agg(F.avg("mae").alias("mae"))
+    dummy = m.filter("model = 'Dummy Median'").select(F.col("mae").alias("d"))
+    status = F.when(F.col("model") == "Dummy Median", "reference baseline").when(F.col("mae") < F.col("d"), "below baseline").otherwise("at or above baseline")
+    return m.crossJoin(F.broadcast(dummy)).select("model", r4("mae").alias("mae"), status.alias("status"))  # one row
+
+
+#: Limits of the timed samples' 95th per cent by type; a type without one isn't configured.
+BUDGETS = {"click": 95.0, "view": 50.0, "purchase": 10.0}
+
+
+@over_tables("prj06_budget_verdicts", f"WITH b AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in BUDGETS.items())}) AS t(event_type, most)), s AS (SELECT event_type, quantile_cont(value, 0.95) AS observed FROM events GROUP BY 1) SELECT s.event_type, round(observed, 4) AS observed, most, CASE WHEN most IS NULL THEN 'not_configured' WHEN observed <= most THEN 'pass' ELSE 'fail' END AS verdict FROM s LEFT JOIN b USING (event_type)")
+def budget_verdicts(spark, sf_dir):
+    """The 95th per cent of each type's samples against its limit."""
+    s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.95)).alias("observed"))
+    most = F.create_map(*(F.lit(x) for kv in BUDGETS.items() for x in kv))[F.col("event_type")]
+    verdict = F.when(F.col("most").isNull(), "not_configured").when(F.col("observed") <= F.col("most"), "pass").otherwise("fail")
+    return s.withColumn("most", most).select("event_type", r4("observed").alias("observed"), "most", verdict.alias("verdict"))

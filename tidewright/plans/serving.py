@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import POSTINGS_SQL, exact_quantiles, over_postings, over_tables, postings, r4, table
-from tidewright.plans.evaluation import SQL_OOF, out_of_fold
+from tidewright.plans.base import ORACLES, POSTINGS_SQL, exact_quantiles, once, over_postings, over_tables, postings, r4, table
+from tidewright.plans.evaluation import SQL_OOF, out_of_fold, predictor_errors, uncertainty
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 #: Years that a scenario may ask for beyond the observed ones, when it says that it is a benchmark.
@@ -42,7 +44,7 @@ SQL_SCENARIOS = f"s AS (SELECT c_custkey AS scenario_id, c_mktsegment AS job_cat
 
 def validated(s: DataFrame, rules: DataFrame) -> DataFrame:
     """s with validation_mode (observed, benchmark or rejected) and the reason of a rejection."""
-    x = s.join(F.broadcast(rules), ["job_category", "job_title"], "left")  # a row a pair: as many as titles
+    x = s.join(rules, ["job_category", "job_title"], "left")
     inside, lenient = F.col("years").between(F.col("min_years"), F.col("max_years")), F.col("benchmark") & F.col("years").between(*BENCHMARK_YEARS)
     reason = F.when(F.col("support").isNull(), "pair not observed").when(F.col("years").isNull() | F.isnan("years"), "years missing").when(~inside & ~lenient, "years out of bounds")
     mode = F.when(reason.isNotNull(), "rejected").when(inside, "observed").otherwise("benchmark")
@@ -132,3 +134,51 @@ def narrative(p):
     side = F.when(F.col("m") < F.col("d"), "ahead of").otherwise("not ahead of")
     gap = F.format_string("%.1f", F.round(F.abs(100 * (F.col("d") - F.col("m")) / F.col("d")), 1))
     return e.select(F.concat(F.lit("fold "), F.col("fold").cast("string"), F.lit(": the model is "), side, F.lit(" the baseline by "), gap, F.lit(" %")).alias("line"))
+
+
+#: The predictor that stands for a model with all features, and the one for a smaller variant, in the conclusions.
+WHOLE, SMALLER = "Category and Band", "Band"
+
+
+def _words(n: int, c: str) -> str:
+    return f"printf('%.{n}f', round({c}, {n}))"
+
+
+_SQL_CONCLUSIONS = f"""
+WITH e AS (SELECT * FROM ({ORACLES["ml22_predictor_errors"]})), m AS (SELECT model, avg(mae) AS mae FROM e GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY mae, model) AS k FROM m),
+own AS (SELECT fold, mae, max(fold) OVER () AS last FROM e WHERE model = '{WHOLE}'), u AS ({ORACLES["ag27_uncertainty"]}), s AS ({ORACLES["sv03_predict"]})
+SELECT 'ranking' AS kind, a.model || ' has the least mean error, ' || {_words(0, "a.mae")} || '; ' || b.model || ' is ' || {_words(0, "b.mae - a.mae")} || ' behind; ' || {_words(1, "100 * (d.mae - a.mae) / d.mae")} || ' % below the dummy' AS finding
+  FROM o a JOIN o b ON a.k = 1 AND b.k = 2 JOIN m d ON d.model = 'Dummy Median'
+UNION ALL SELECT 'folds', 'fold ' || arg_max(fold, mae) || ' is the weakest, ' || {_words(0, "max(mae)")} || '; errors span ' || {_words(0, "max(mae) - min(mae)")} FROM own
+UNION ALL SELECT 'generalisation', 'the last fold''s error ' || CASE WHEN a > b THEN 'increased' WHEN a < b THEN 'decreased' ELSE 'was unchanged' END || ' by ' || {_words(0, "abs(a - b)")} FROM (SELECT avg(CASE WHEN fold = last THEN mae END) AS a, avg(CASE WHEN fold < last THEN mae END) AS b FROM own)
+UNION ALL SELECT 'coverage', 'a band of ' || {_words(0, "q90")} || ' covers ' || {_words(1, "100 * coverage")} || ' %' FROM u
+UNION ALL SELECT 'variant', 'the smaller variant''s last error is ' || {_words(0, "abs(d)")} || CASE WHEN d < 0 THEN ' lower' WHEN d > 0 THEN ' higher' ELSE ' apart' END FROM (SELECT max(CASE WHEN model = '{SMALLER}' THEN mae END) - max(CASE WHEN model = '{WHOLE}' THEN mae END) AS d FROM e WHERE fold = (SELECT max(fold) FROM e))
+UNION ALL SELECT 'batch', count(*) || ' scenarios range from ' || {_words(0, "min(predicted)")} || ' to ' || {_words(0, "max(predicted)")} FROM s
+"""
+
+
+@over_tables("sv05_conclusions", _SQL_CONCLUSIONS)
+def conclusions(spark, sf_dir):
+    """Six sentences from the tables behind them: ranking, fold spread, generalisation, coverage, variant and batch. Each is one row made of aggregates."""
+    p = postings(spark, sf_dir)
+    e = once(predictor_errors(p))
+    words = lambda n, c: F.format_string(f"%.{n}f", F.round(c, n))
+    say = lambda kind, *parts: (F.lit(kind).alias("kind"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("finding"))
+    m = e.groupBy("model").agg(F.avg("mae").alias("mae"))
+    best = m.agg(F.sort_array(F.collect_list(F.struct("mae", "model"))).alias("o"), F.max(F.when(F.col("model") == "Dummy Median", F.col("mae"))).alias("d"))  # a row a predictor
+    a, b = F.col("o")[0], F.col("o")[1]
+    ranking = best.select(*say("ranking", a["model"], " has the least mean error, ", words(0, a["mae"]), "; ", b["model"], " is ", words(0, b["mae"] - a["mae"]), " behind; ", words(1, 100 * (F.col("d") - a["mae"]) / F.col("d")), " % below the dummy"))
+    own = e.filter(F.col("model") == WHOLE)
+    folds = own.agg(*say("folds", "fold ", F.max_by("fold", "mae").cast("string"), " is the weakest, ", words(0, F.max("mae")), "; errors span ", words(0, F.max("mae") - F.min("mae")))[1:]).select(F.lit("folds").alias("kind"), "finding")
+    last = e.agg(F.max("fold").alias("last"))
+    gap = own.crossJoin(F.broadcast(last)).agg(F.avg(F.when(F.col("fold") == F.col("last"), F.col("mae"))).alias("a"), F.avg(F.when(F.col("fold") < F.col("last"), F.col("mae"))).alias("b"))  # one row
+    moved = F.when(F.col("a") > F.col("b"), "increased").when(F.col("a") < F.col("b"), "decreased").otherwise("was unchanged")
+    general = gap.select(*say("generalisation", "the last fold's error ", moved, " by ", words(0, F.abs(F.col("a") - F.col("b")))))
+    coverage = uncertainty(p).select(*say("coverage", "a band of ", words(0, F.col("q90")), " covers ", words(1, 100 * F.col("coverage")), " %"))
+    of = lambda n: F.max(F.when(F.col("model") == n, F.col("mae")))
+    d = e.crossJoin(F.broadcast(last)).filter("fold = last").agg((of(SMALLER) - of(WHOLE)).alias("d"))  # one row
+    side = F.when(F.col("d") < 0, " lower").when(F.col("d") > 0, " higher").otherwise(" apart")
+    variant = d.select(*say("variant", "the smaller variant's last error is ", words(0, F.abs("d")), side))
+    s = predict(spark, sf_dir).agg(F.count("*").alias("n"), F.min("predicted").alias("lo"), F.max("predicted").alias("hi"))
+    batch = s.select(*say("batch", F.col("n").cast("string"), " scenarios range from ", words(0, F.col("lo")), " to ", words(0, F.col("hi"))))
+    return reduce(DataFrame.union, [ranking, folds, general, coverage, variant, batch])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.plans import evaluation
+from tidewright.plans.base import with_medians
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,32 @@ def test_silhouette_whole(spark, vectors):
     assert min(np.mean(v) for v in want.values()) > 0.3  # which the first components alone don't show
 
 
+def test_a_tile_meets_each_other_once(spark):
+    """Every pair of tiles has the rows of both, on its two sides, and a tile alone has its own once."""
+    v = spark.range(50).withColumnRenamed("id", "vec_id")
+    rows = evaluation.paired(v, "vec_id", 4).collect()
+    own = {r.vec_id: r.i for r in rows if r.i == r.j}
+    assert len(rows) == 50 * 4 and len(own) == 50
+    for i in range(4):
+        for j in range(i, 4):
+            for side, tile in ((0, i), (1, j))[: 1 if i == j else 2]:
+                assert {r.vec_id for r in rows if (r.i, r.j, r.side) == (i, j, side)} == {v for v, t in own.items() if t == tile}
+
+
+def test_measured_groups(spark):
+    """Metrics whose median comes from counted errors are those of the plain median, null targets and one-row groups included."""
+    rows = [("a", 1.0, 2.0), ("a", 5.0, 2.5), ("a", None, 1.0), ("a", 9.0, 9.0), ("b", 4.0, 1.5), (None, 7.0, 7.5), (None, 7.0, 6.0), ("c", None, 2.0)]
+    x = spark.createDataFrame(rows, "g string, actual double, predicted double")
+    made = {r.g: r.asDict() for r in evaluation.measured(x, ["g"]).collect()}
+    assert made == {r.g: r.asDict() for r in x.groupBy("g").agg(*evaluation.metrics()).collect()} and len(made) == 4
+
+
+def test_medians_of_several_values(spark):
+    x = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, None), ("b", None, 4), ("b", None, 7), (None, 3.0, 1)], "g string, x double, y int")
+    made = with_medians(x.groupBy("g").count(), x, ["g"], {"mx": F.col("x"), "my": F.col("y")})
+    assert {r.g: (r["count"], r.mx, r.my) for r in made.collect()} == {"a": (2, 1.5, 5.0), "b": (2, None, 5.5), None: (1, 3.0, 1.0)}
+
+
 def test_cluster_validity_whole(spark, vectors):
     folder, x, label = vectors
     centres = np.array([x[label == c].mean(axis=0) for c in range(3)])

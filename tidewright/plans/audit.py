@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.plans.base import SQL_NUMBERS, TIERS, counted_values, exact_quantiles, money_mean, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_money_mean, sql_tier, table, tier
+from tidewright.plans.base import SQL_NUMBERS, TIERS, counted_values, exact_quantiles, money_mean, once, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_money_mean, sql_tier, table, tier, with_medians, with_quantiles
 
 #: The record contract's columns. Fixed values.
 CONTRACT = ("job_id job_title job_category experience_level education_required city country remote_work company_size industry required_skills salary_tier years_of_experience annual_salary_usd salary_min_usd salary_max_usd ai_salary_premium_pct demand_score demand_growth_yoy_pct benefits_score_10 posting_year posting_month is_senior is_remote_friendly is_llm_role").split()
@@ -146,13 +146,17 @@ SQL_REPORT_BAND = "CASE WHEN years_of_experience >= 0 AND years_of_experience <
 @over_postings("prj07_experience_bands", f", x AS (SELECT {SQL_AUDIT_BAND} AS audit_band, {SQL_REPORT_BAND} AS report_band, annual_salary_usd AS s FROM p) SELECT audit_band, report_band, count(*)::BIGINT AS records, round(avg(s), 4) AS mean_salary, round(median(s), 4) AS median_salary FROM x GROUP BY ALL")
 def experience_bands(p):
     y = F.col("years_of_experience")
-    return p.groupBy(audit_band(y).alias("audit_band"), report_band(y).alias("report_band")).agg(F.count("*").alias("records"), r4(F.avg(TARGET)).alias("mean_salary"), r4(F.median(TARGET)).alias("median_salary"))
+    x = once(p.select(audit_band(y).alias("audit_band"), report_band(y).alias("report_band"), TARGET))
+    by = ["audit_band", "report_band"]
+    return with_medians(x.groupBy(*by).agg(F.count("*").alias("records"), r4(F.avg(TARGET)).alias("mean_salary")), x, by, {"median_salary": F.col(TARGET)})
 
 
 @over_postings("prj08_ratios", ", x AS (SELECT job_category, avg(annual_salary_usd) AS m, avg(salary_min_usd) AS lo, avg(salary_max_usd) AS hi, sqrt(avg(power(annual_salary_usd - salary_min_usd, 2))) AS rmse, median(abs(annual_salary_usd - salary_min_usd)) AS med FROM p GROUP BY 1) SELECT job_category, round(100 * (hi - lo) / nullif(m, 0), 4) AS spread_pct, round(100 * (m - lo) / nullif(lo, 0), 4) AS over_min_pct, round(rmse / nullif(med, 0), 4) AS tail_ratio FROM x")
 def ratios(p):
     gap = F.col(TARGET) - F.col("salary_min_usd")
-    g = p.groupBy("job_category").agg(F.avg(TARGET).alias("m"), F.avg("salary_min_usd").alias("lo"), F.avg("salary_max_usd").alias("hi"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.median(F.abs(gap)).alias("med"))
+    x = once(p.select("job_category", TARGET, "salary_min_usd", "salary_max_usd", F.abs(gap).alias("gap")))
+    g = x.groupBy("job_category").agg(F.avg(TARGET).alias("m"), F.avg("salary_min_usd").alias("lo"), F.avg("salary_max_usd").alias("hi"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    g = with_quantiles(g, x, ["job_category"], "gap", {"med": 0.5})
     over = lambda a, b: a / F.nullif(F.col(b), F.lit(0.0))
     return g.select("job_category", r4(over(100 * (F.col("hi") - F.col("lo")), "m")).alias("spread_pct"), r4(over(100 * (F.col("m") - F.col("lo")), "lo")).alias("over_min_pct"), r4(over(F.col("rmse"), "med")).alias("tail_ratio"))
 

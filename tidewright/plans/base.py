@@ -287,4 +287,18 @@ def exact_quantiles(x: DataFrame, by: list[str], value: str, shares: dict[str, f
     return quantiles_of(counted_values(x, by, value), by, shares)
 
 
+def with_quantiles(groups: DataFrame, x: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """groups (a row a group of x) with the exact quantiles of a column; null where a group has no value."""
+    own = _renamed(exact_quantiles(x, by, value, shares), by)
+    return groups.join(own, _same(by), "left").drop(*_keys(by))
+
+
+def with_medians(groups: DataFrame, x: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """groups (a row a group of x) with the exact medians of several values, to four decimals: they are unpivoted in the row and counted at once."""
+    long = x.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("__of"), c.cast("double").alias("__value")) for n, c in values.items()))))
+    found = exact_quantiles(long, [*by, "__of"], "__value", {"__m": 0.5})
+    own = found.groupBy(*by).agg(*(r4(F.max(F.when(F.col("__of") == n, F.col("__m")))).alias(n) for n in values))
+    return groups.join(_renamed(own, by), _same(by), "left").drop(*_keys(by))
+
+
 SQL_NUMBERS = "numbered AS (SELECT *, row_number() OVER (ORDER BY period, job_id::BIGINT) AS record_id FROM p)"

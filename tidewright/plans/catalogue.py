@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_STATS, SQL_TOKENS, TARGET, salary_stats, skill_tokens
-from tidewright.plans.base import SQL_NUMBERS, exact_quantiles, once, over_postings, r4, record_numbers
+from tidewright.plans.base import SQL_NUMBERS, exact_quantiles, once, over_postings, r4, record_numbers, with_medians
 from tidewright.plans.evaluation import SQL_OOF, out_of_fold
 
 #: Clusters, rounds, and the columns that a record's place is made from: their range in hundredths.
@@ -114,7 +114,8 @@ def cluster_years_distribution(p):
 
 @over_postings("out_cluster_market_signals", f", {SQL_SEGMENTED} SELECT cluster, round(median(demand_score), 4) AS median_demand, round(median(benefits_score_10), 4) AS median_benefits, round(median(demand_growth_yoy_pct), 4) AS median_growth FROM seg GROUP BY 1")
 def cluster_market_signals(p):
-    return segmented(p).groupBy("cluster").agg(r4(F.median("demand_score")).alias("median_demand"), r4(F.median("benefits_score_10")).alias("median_benefits"), r4(F.median("demand_growth_yoy_pct")).alias("median_growth"))
+    s = once(segmented(p).select("cluster", "demand_score", "benefits_score_10", "demand_growth_yoy_pct"))
+    return with_medians(s.select("cluster").distinct(), s, ["cluster"], {"median_demand": F.col("demand_score"), "median_benefits": F.col("benefits_score_10"), "median_growth": F.col("demand_growth_yoy_pct")})
 
 
 @over_postings("out_segment_salary_summary", f", {SQL_SEGMENTED}, m AS (SELECT max(period) AS last FROM p) SELECT cluster, period = last AS locked, {SQL_STATS} FROM seg CROSS JOIN m GROUP BY ALL")
@@ -162,7 +163,8 @@ def error_ecdf(p):
 
 @over_postings("out_prediction_summary", f", {SQL_OOF} SELECT job_category, count(*)::BIGINT AS records, round(median(actual), 4) AS median_actual, round(median(predicted), 4) AS median_predicted, round(median(abs(actual - predicted)), 4) AS median_error FROM oof GROUP BY 1")
 def prediction_summary(p):
-    return out_of_fold(p).groupBy("job_category").agg(F.count("*").alias("records"), r4(F.median("actual")).alias("median_actual"), r4(F.median("predicted")).alias("median_predicted"), r4(F.median(F.abs(F.col("actual") - F.col("predicted")))).alias("median_error"))
+    x = once(out_of_fold(p))
+    return with_medians(x.groupBy("job_category").agg(F.count("*").alias("records")), x, ["job_category"], {"median_actual": F.col("actual"), "median_predicted": F.col("predicted"), "median_error": F.abs(F.col("actual") - F.col("predicted"))})
 
 
 @over_postings("out_rare_skills", f", s AS (SELECT unnest({SQL_TOKENS}) AS skill FROM p), g AS (SELECT skill, count(*) AS n FROM s GROUP BY 1), m AS (SELECT avg(n) AS m FROM g) SELECT count(*)::BIGINT AS skills, count(*) FILTER (WHERE n < m)::BIGINT AS rare, round(100.0::DOUBLE * count(*) FILTER (WHERE n < m) / count(*), 4) AS rare_pct FROM g CROSS JOIN m")
@@ -200,7 +202,8 @@ def predicted_by_segment(p):
     """Predictions meet their segment by record id."""
     s = segmented(p).select("job_id", "cluster")
     gap = F.col("actual") - F.col("predicted")
-    return out_of_fold(p).join(s, "job_id").groupBy("cluster", "fold").agg(F.count("*").alias("records"), r4(F.median("actual")).alias("median_actual"), r4(F.median("predicted")).alias("median_predicted"), r4(F.median(gap)).alias("median_residual"))
+    x = once(out_of_fold(p).join(s, "job_id"))
+    return with_medians(x.groupBy("cluster", "fold").agg(F.count("*").alias("records")), x, ["cluster", "fold"], {"median_actual": F.col("actual"), "median_predicted": F.col("predicted"), "median_residual": gap})
 
 
 @over_postings("jn03_column_to_index", f", {SQL_SEGMENTED}, i AS (SELECT cluster AS id, count(*)::BIGINT AS size FROM seg GROUP BY 1 HAVING cluster <> 3), r AS (SELECT cluster, industry, max(demand_growth_yoy_pct) AS growth FROM seg GROUP BY ALL) SELECT cluster, industry, growth, size FROM r LEFT JOIN i ON cluster = id")

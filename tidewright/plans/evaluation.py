@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
-from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, exact_quantiles, once, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_exact_mean, table
+from tidewright.plans.base import ORACLES, SQL_NUMBERS, exact_mean, exact_quantiles, once, over_postings, over_tables, quantiles_of, r4, record_numbers, sql_exact_mean, table, with_quantiles
 
 SHARES = (0.80, 0.19, 0.01)
 #: Outer folds: the last months before this one are validated one by one.
@@ -108,16 +110,28 @@ def block_folds(p, splits: int = SPLITS, block: int = BLOCK):
     return a.join(v, F.expr("v.block = a.block + 1")).select((F.col("a.block") + 1).alias("fold"), F.col("a.n").alias("n_train"), F.col("v.n").alias("n_valid"), label("a").alias("train_label"), label("v").alias("valid_label"), (F.col("a.hi") == F.col("v.lo")).alias("shared_period"))
 
 
+def pay_histories(x: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold, job_category, band, __v and __n: how often each pay comes in each group of each fold's history.
+
+    Pay is counted by month and group once; a fold is a filter on months of the counts, so no record meets five folds.
+    """
+    counts = once(x.filter(F.col(TARGET).isNotNull()).groupBy("period", "job_category", "band", F.col(TARGET).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
+    history = counts.join(folds, F.col("period") < F.col("month"))
+    return once(history.groupBy("fold", "job_category", "band", "__v").agg(F.sum("__n").alias("__n")))
+
+
+def history_medians(history: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The median pay of each group of pay_histories(), by fewer of its columns."""
+    return quantiles_of(once(history.groupBy(*by, "__v").agg(F.sum("__n").alias("__n"))), by, {name: 0.5})
+
+
 def out_of_fold(p: DataFrame) -> DataFrame:
     """fold, job_id, dimensions, actual, predicted of each validation record, by the predictor fitted on its fold's history; an unseen group gets the history's median."""
     x = once(p.select("job_id", "period", "job_category", "country", "remote_work", TARGET, report_band(F.col("years_of_experience")).alias("band")))
     f = F.broadcast(outer_folds(x))  # a row a fold
-    # pay is counted by month and group once; a fold is a filter on months of the counts, so no record meets five folds
-    counts = once(x.filter(F.col(TARGET).isNotNull()).groupBy("period", "job_category", "band", F.col(TARGET).cast("double").alias("__v")).agg(F.count("*").alias("__n")))
-    history = counts.join(f, F.col("period") < F.col("month"))
+    history = pay_histories(x, f)
     own = ["fold", "job_category", "band"]
-    median = lambda by, name: quantiles_of(once(history.groupBy(*by, "__v").agg(F.sum("__n").alias("__n"))), by, {name: 0.5})
-    groups, whole = median(own, "own"), median(["fold"], "baseline")
+    groups, whole = history_medians(history, own, "own"), history_medians(history, ["fold"], "baseline")
     valid = x.join(f, F.col("period") == F.col("month")).join(groups, own, "left").join(whole, "fold")
     return valid.select("fold", "job_id", "job_category", "country", "remote_work", "band", F.col(TARGET).alias("actual"), F.coalesce("own", "baseline").alias("predicted"), "baseline")
 
@@ -142,12 +156,20 @@ def metrics(actual: str = "actual", predicted: str = "predicted") -> list[Column
     return [F.count("*").alias("n"), exact_mean(F.abs(e)).alias("mae"), r4(F.sqrt(F.avg(e * e))).alias("rmse"), r4(F.median(F.abs(e))).alias("medae"), r4(F.when(~few & ~flat, 1 - F.sum(e * e) / spread)).alias("r2"), F.when(few, "fewer_than_two_rows").when(flat, "constant_target").alias("r2_reason")]
 
 
+def measured(x: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """metrics() and other aggregates of few, large groups of x: the median is taken from counted errors, so that no task holds a group's."""
+    x = once(x.withColumn("__gap", F.abs(F.col("actual") - F.col("predicted"))))
+    n, mae, rmse, _, *rest = metrics()
+    own = with_quantiles(x.groupBy(*by).agg(n, mae, rmse, *rest, *more), x, by, "__gap", {"medae": 0.5})
+    return own.withColumn("medae", r4("medae"))
+
+
 SQL_METRICS = f"count(*)::BIGINT AS n, {sql_exact_mean('abs(actual - predicted)')} AS mae, round(sqrt(avg(power(actual - predicted, 2))), 4) AS rmse, round(median(abs(actual - predicted)), 4) AS medae, round(CASE WHEN count(*) >= 2 AND max(actual) <> min(actual) THEN 1 - sum(power(actual - predicted, 2)) / (count(*) * var_pop(actual)) END, 4) AS r2, CASE WHEN count(*) < 2 THEN 'fewer_than_two_rows' WHEN max(actual) = min(actual) THEN 'constant_target' END AS r2_reason"
 
 
 @over_postings("ag10_fold_metrics", f", {SQL_OOF} SELECT fold, {SQL_METRICS} FROM oof GROUP BY 1")
 def fold_metrics(p):
-    return out_of_fold(p).groupBy("fold").agg(*metrics())
+    return measured(out_of_fold(p), ["fold"])
 
 
 @over_postings("ag10_strict_metrics", f", {SQL_OOF} SELECT fold, country, job_category, {SQL_METRICS} FROM oof GROUP BY ALL")
@@ -185,7 +207,7 @@ def family_drift(p):
 def subgroup_metrics(p):
     dims = ["job_category", "country", "remote_work", "band"]
     long = out_of_fold(p).select("actual", "predicted", F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims))))
-    return long.groupBy("dimension", "value").agg(*metrics(), (F.count("*") < 30).alias("low_support"))
+    return measured(long, ["dimension", "value"], (F.count("*") < 30).alias("low_support"))
 
 
 @over_postings("ag27_uncertainty", f", {SQL_OOF}, b AS (SELECT quantile_cont(abs(actual - predicted), 0.9) AS q90 FROM oof) SELECT round(any_value(q90), 4) AS q90, round(avg((actual BETWEEN predicted - q90 AND predicted + q90)::INTEGER), 6) AS coverage, {sql_exact_mean('actual - predicted')} AS bias, round(1 - avg(abs(actual - predicted)) / avg(abs(actual - baseline)), 6) AS skill FROM oof CROSS JOIN b")
@@ -206,12 +228,11 @@ def predictor_errors(p: DataFrame) -> DataFrame:
     """model, simplicity, fold and mae of each predictor on each fold; a group unseen in a fold's history gets the history's median."""
     x = once(p.select("period", "job_category", TARGET, report_band(F.col("years_of_experience")).alias("band")))
     f = F.broadcast(outer_folds(x))
-    history, valid = x.join(f, F.col("period") < F.col("month")), x.join(f, F.col("period") == F.col("month"))
-    whole = history.groupBy("fold").agg(F.median(TARGET).alias("baseline"))
-    valid = valid.join(whole, "fold")
-    for i, by in enumerate(PREDICTORS.values()):
-        own = history.groupBy("fold", *by).agg(F.median(TARGET).alias(f"m{i}"))
-        valid = valid.join(own, ["fold", *by], "left")
+    history = pay_histories(x, f)
+    valid = x.join(f, F.col("period") == F.col("month")).join(history_medians(history, ["fold"], "baseline"), "fold")
+    valid = valid.withColumn("m0", F.col("baseline"))
+    for i, by in list(enumerate(PREDICTORS.values()))[1:]:
+        valid = valid.join(history_medians(history, ["fold", *by], f"m{i}"), ["fold", *by], "left")
     gaps = F.array(*(F.struct(F.lit(n).alias("model"), F.lit(i + 1).alias("simplicity"), F.abs(F.col(TARGET) - F.coalesce(f"m{i}", "baseline")).alias("gap")) for i, n in enumerate(PREDICTORS)))
     return valid.select("fold", F.inline(gaps)).groupBy("model", "simplicity", "fold").agg(exact_mean(F.col("gap")).alias("mae"))
 
@@ -305,7 +326,6 @@ def cluster_validity(spark, sf_dir):
     return t.select(r4(F.expr("b / (k - 1) / (inertia / (n - k))")).alias("calinski_harabasz"), F.round("db", 6).alias("davies_bouldin"), r4("inertia").alias("inertia"), F.col("k").alias("clusters"))
 
 
-
 def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of the rows of x to those of y, from one matrix product; where that loses digits, from the differences."""
     size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
@@ -317,68 +337,86 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0, out=d), out=d)
 
 
+def paired(v: DataFrame, key: str, tiles: int) -> DataFrame:
+    """v with i <= j and side: each row goes to every pair of tiles that its own is in (a tile with itself once), to the pair's first side or its second."""
+    own = v.withColumn("__tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    ends = {"i": F.least("__tile", "__other"), "j": F.greatest("__tile", "__other"), "side": (F.col("__tile") > F.col("__other")).cast("int")}
+    return own.withColumns(ends).drop("__tile", "__other")
+
+
+def _sides(pair: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The rows of a pair's two tiles, and whether they are one tile."""
+    one, two = pair[pair["side"] == 0], pair[pair["side"] == 1]
+    own = pair["i"].iloc[0] == pair["j"].iloc[0]
+    return one, one if own else two, own
+
+
 def _distances(pair: pd.DataFrame) -> pd.DataFrame:
-    """Of two tiles: for each vector of the first, the sum of its distances to the second's vectors by label, and their number."""
-    from_, to = pair[pair["side"] == 0], pair[pair["side"] == 1]
-    if from_.empty or to.empty:
+    """Of two tiles: for each vector of one, the sum of its distances to the other's vectors by label, and their number."""
+    one, two, own = _sides(pair)
+    if one.empty or two.empty:
         return pd.DataFrame({"vec_id": [], "label": [], "other": [], "t": [], "n": []})
-    x, y = np.stack(from_["x"].to_numpy()), np.stack(to["x"].to_numpy())
-    d = _gaps(x, y)
-    d[from_["vec_id"].to_numpy()[:, None] == to["vec_id"].to_numpy()[None, :]] = 0
+    d = _gaps(np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy()))
+    apart = one["vec_id"].to_numpy()[:, None] != two["vec_id"].to_numpy()[None, :]
+    d[~apart] = 0
     parts = []
-    for other, at in to.reset_index(drop=True).groupby("label").groups.items():
-        n = (from_["vec_id"].to_numpy()[:, None] != to["vec_id"].to_numpy()[None, at]).sum(axis=1)
-        parts.append(pd.DataFrame({"vec_id": from_["vec_id"].to_numpy(), "label": from_["label"].to_numpy(), "other": other, "t": d[:, at].sum(axis=1), "n": n}))
+    for from_, to, gap, differ in ((one, two, d, apart), (two, one, d.T, apart.T))[: 1 if own else 2]:
+        for other, at in to.reset_index(drop=True).groupby("label").groups.items():
+            parts.append(pd.DataFrame({"vec_id": from_["vec_id"].to_numpy(), "label": from_["label"].to_numpy(), "other": other, "t": gap[:, at].sum(axis=1), "n": differ[:, at].sum(axis=1)}))
     return pd.concat(parts)
 
 
 @over_tables("ag19_silhouette", f"WITH {SQL_LABELLED}, d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS t, count(*) FILTER (WHERE a.vec_id <> b.vec_id) AS n FROM v a JOIN v b ON true GROUP BY ALL), m AS (SELECT vec_id, label, max(CASE WHEN label = other AND n > 0 THEN t / n END) AS a, min(CASE WHEN label <> other THEN t / n END) AS b FROM d GROUP BY ALL) SELECT label, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*)::BIGINT AS members FROM m GROUP BY 1")
 def silhouette(spark, sf_dir, tile: int = 2000):
-    """Euclidean silhouette of given labels over every pair of vectors: tiles of them meet in pairs, and a pair gives sums by label, not distances. The work grows with the square of the vectors, as the measure does."""
+    """Euclidean silhouette of given labels over every pair of vectors: tiles of them meet once a pair, which gives both sides' sums by label, not distances. The work grows with the square of the vectors, as the measure does."""
     v = labelled(spark, sf_dir)
     tiles = max(1, -(-v.count() // tile))
-    v = v.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    one = v.select("vec_id", "label", "x", F.lit(0).alias("side"), F.col("tile").alias("i"), every.alias("j"))
-    two = v.select("vec_id", "label", "x", F.lit(1).alias("side"), F.col("tile").alias("j"), every.alias("i")).select(*one.columns)
-    d = one.union(two).groupBy("i", "j").applyInPandas(_distances, "vec_id long, label int, other int, t double, n long")
+    d = paired(v, "vec_id", tiles).groupBy("i", "j").applyInPandas(_distances, "vec_id long, label int, other int, t double, n long")
     d = d.groupBy("vec_id", "label", "other").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     m = d.groupBy("vec_id", "label").agg(F.max(F.when((F.col("label") == F.col("other")) & (F.col("n") > 0), F.col("t") / F.col("n"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("t") / F.col("n"))).alias("b"))
     return m.groupBy("label").agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"), F.count("*").alias("members"))
 
 
+def _by_label(labels: np.ndarray, width: int) -> np.ndarray:
+    """A row's labels as 0/1 columns, `width` a labelling."""
+    on = np.zeros((len(labels), labels.shape[1] * width))
+    for c in range(labels.shape[1]):
+        on[np.arange(len(labels)), c * width + labels[:, c]] = 1
+    return on
+
+
 def _label_sums(pair: pd.DataFrame) -> pd.DataFrame:
-    """Of two tiles: for each row of the first, its distances to the second's rows summed by each labelling's labels (a product with 0/1 columns, 1,000 rows at a time)."""
-    from_, to = pair[pair["side"] == 0], pair[pair["side"] == 1]
-    if from_.empty or to.empty:
+    """Of two tiles: for each row of one, its distances to the other's rows summed by each labelling's labels (products with 0/1 columns, 1,000 rows at a time)."""
+    one, two, own = _sides(pair)
+    if one.empty or two.empty:
         return pd.DataFrame({"id": [], "sums": []})
     width = int(pair["width"].iloc[0])
-    x, y = np.stack(from_["x"].to_numpy()), np.stack(to["x"].to_numpy())
-    labels = np.stack(to["labels"].to_numpy())
-    on = np.zeros((len(y), labels.shape[1] * width))
-    for c in range(labels.shape[1]):
-        on[np.arange(len(y)), c * width + labels[:, c]] = 1
-    sums = np.concatenate([_gaps(x[k : k + 1000], y) @ on for k in range(0, len(x), 1000)])
-    return pd.DataFrame({"id": from_["id"].to_numpy(), "sums": list(sums)})
+    x, y = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
+    of_one, of_two = (_by_label(np.stack(t["labels"].to_numpy()), width) for t in (one, two))
+    sums, back = [], np.zeros((len(y), of_one.shape[1]))
+    for k in range(0, len(x), 1000):
+        d = _gaps(x[k : k + 1000], y)
+        sums.append(d @ of_two)
+        if not own:
+            back += d.T @ of_one[k : k + 1000]
+    made = [(one["id"], np.concatenate(sums)), (two["id"], back)][: 1 if own else 2]
+    return pd.concat([pd.DataFrame({"id": ids.to_numpy(), "sums": list(values)}) for ids, values in made])
 
 
 def silhouettes(v: DataFrame, tile: int = 8000) -> list[float]:
     """The mean Euclidean silhouette of each of several labellings: v has id (unique), labels (an array of small numbers from 0 on, one a labelling) and x, the place.
 
     All labellings share one pass over the pairs of rows, which grows with their square as the measure does.
-    Pairs of tiles give sums by label. A row alone in its cluster counts 0.
+    Pairs of tiles give both sides' sums by label, which are added up as arrays. A row alone in its cluster counts 0.
     """
     v = v.withColumn("id", F.col("id").cast("string")).persist()
     width = v.agg(F.max(F.array_max("labels"))).first()[0] + 1
     counts = {(r.at, r.label): r["count"] for r in v.select(F.posexplode("labels").alias("at", "label")).groupBy("at", "label").count().collect()}  # a row a label
     number = max(at for at, _ in counts) + 1
     tiles = max(1, -(-v.count() // tile))
-    t = v.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("width", F.lit(int(width)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    one = t.select("id", "labels", "x", "width", F.lit(0).alias("side"), F.col("tile").alias("i"), every.alias("j"))
-    two = t.select("id", "labels", "x", "width", F.lit(1).alias("side"), F.col("tile").alias("j"), every.alias("i")).select(*one.columns)
-    parts = one.union(two).groupBy("i", "j").applyInPandas(_label_sums, "id string, sums array<double>")
-    cells = parts.select("id", F.posexplode("sums").alias("cell", "t")).groupBy("id", "cell").agg(F.sum("t").alias("t"))
+    parts = paired(v.select("id", "labels", "x", F.lit(int(width)).alias("width")), "id", tiles).groupBy("i", "j").applyInPandas(_label_sums, "id string, sums array<double>")
+    sums = parts.groupBy("id").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    cells = sums.select("id", F.posexplode(vector_to_array("sums")).alias("cell", "t"))
     cells = cells.select("id", F.floor(F.col("cell") / width).cast("int").alias("at"), (F.col("cell") % width).alias("label"), "t")
     n = v.sparkSession.createDataFrame([(*k, m) for k, m in counts.items()], "at int, label int, n long")
     own = v.select("id", F.posexplode("labels").alias("at", "own"))

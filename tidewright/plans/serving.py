@@ -64,10 +64,10 @@ def validate_scenarios(spark, sf_dir):
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted scenarios with the two-feature prediction and its band: the out-of-fold error's ninth decile either way, not under zero."""
     p = postings(spark, sf_dir)
-    own = p.groupBy("job_category", report_band(F.col("years_of_experience")).alias("band")).agg(F.median(TARGET).alias("predicted"))
+    own = exact_quantiles(p.withColumn("band", report_band(F.col("years_of_experience"))), ["job_category", "band"], TARGET, {"predicted": 0.5})
     e = exact_quantiles(out_of_fold(p).select(F.abs(F.col("actual") - F.col("predicted")).alias("error")), [], "error", {"q90": 0.9})
     ok = validated(scenarios(spark, sf_dir), policy(p)).filter("validation_mode <> 'rejected'").withColumn("band", report_band(F.col("years")))
-    out = ok.join(F.broadcast(own), ["job_category", "band"]).crossJoin(F.broadcast(e))  # one row
+    out = ok.join(own, ["job_category", "band"]).crossJoin(F.broadcast(e))  # one row
     return out.withColumns({"lower": F.greatest(F.lit(0.0), F.col("predicted") - F.col("q90")), "upper": F.col("predicted") + F.col("q90")})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.plans import base
-from tidewright.plans.sources import month_number
+from tidewright.plans.sources import export_stats, month_number
 from tidewright.sources import evidence, logs, records
 
 EVENT = "writer string, ts timestamp, id long, details map<string,string>, metrics map<string,double>"
@@ -120,6 +121,14 @@ def test_exports_are_never_replaced(spark, tmp_path):
     assert evidence.export_csv(df.repartition(5), str(tmp_path / "again.csv"))["digest"] == made["digest"]
 
 
+@pytest.mark.parametrize("n", [100, 140_000])
+def test_digest_beyond_a_long(spark, n):
+    p = spark.range(n).select(F.col("id").cast("string").alias("job_id"), F.lit("2000-01").alias("period"), (F.col("id") / 4).alias("annual_salary_usd"))
+    total = sum(int(hashlib.sha256(f"{i}|2000-01|{i / 4:.2f}".encode()).hexdigest()[:12], 16) for i in range(n))
+    made = export_stats(p).first()
+    assert (made.records, made.omitted, made.digest) == (n, n - 20, total % 2**63) and (total >= 2**63) == (n > 100)
+
+
 def test_any_stray_file_is_a_fault(spark, tmp_path):
     path = tmp_path / "pack"
     evidence.publish({"a": spark.range(5)}, str(path))

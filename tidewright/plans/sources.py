@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,9 +33,13 @@ def newest_run(p):
 
 @over_postings("snk04_export_stats", ", x AS (SELECT sha256(job_id || '|' || period || '|' || printf('%.2f', annual_salary_usd)) AS h FROM p) SELECT 'records' AS table_name, count(*)::BIGINT AS records, 3::INTEGER AS n_columns, least(count(*), 20)::BIGINT AS shown, greatest(count(*) - 20, 0)::BIGINT AS omitted, sum(('0x' || substr(h, 1, 12))::BIGINT)::BIGINT AS digest FROM x")
 def export_stats(p):
-    """What an export lists of a table: rows, columns, at most twenty rows shown and the rest counted, and a digest: the sum of 48 bits of each row's SHA-256, whatever the order of rows."""
+    """What an export lists of a table: rows, columns, at most twenty rows shown and the rest counted, and a digest: the sum of 48 bits of each row's SHA-256, whatever the order of rows.
+
+    The sum is taken whole, as a decimal. Of a sum that a long doesn't hold (from about 65,536 rows on, where the text has none) the digest is the low 63 bits.
+    """
     row = F.sha2(F.concat_ws("|", "job_id", "period", F.format_string("%.2f", TARGET)), 256)
-    digest = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long"))
+    total = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(28,0)"))
+    digest = (total % F.lit(Decimal(2**63))).cast("long")
     n = F.count("*")
     return p.agg(F.lit("records").alias("table_name"), n.alias("records"), F.lit(3).alias("n_columns"), F.least(n, F.lit(20)).alias("shown"), F.greatest(n - 20, F.lit(0)).alias("omitted"), digest.alias("digest"))
 

@@ -40,6 +40,24 @@ def test_ladder_on_every_fold(p, small_ladder):
     assert {r.encoded_columns for r in rows if r.fold == 5 and r.model != models.DUMMY} == {sum(n for _, n in next(models.folds_of(p, 1)).features.blocks())}
 
 
+def test_folds_read_the_records_once(spark):
+    """Whatever the folds, models and sets of features: each record is made once, and a fold's history alone is seen."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def city(c):
+        seen.add(1)
+        return c
+
+    months = [f"2000-{m:02d}" for m in range(5, 13)]
+    rows = [(str(i), months[i % 8], 100.0 + i, *["ab"[i // 8 % 2]] * 8, float(i % 5), float(i % 7), 1.0, "x|y", "Mid") for i in range(160)]
+    made = spark.createDataFrame(rows, ["job_id", "period", models.TARGET, *models.NOMINAL, "years_of_experience", "demand_score", "benefits_score_10", "required_skills", "experience_level"])
+    made = made.withColumn("city", city.asNondeterministic()("city"))
+    rows = models.fold_scores(made, [models.DUMMY, "Ridge"]).collect()
+    assert seen.value == 160
+    assert {(r.fold, r.train_rows, r.scored_rows) for r in rows} == {(f, 20 * (f + 2), 20) for f in FOLDS}
+
+
 def test_runtime_summary(p):
     rows = models.runtime_summary(p, (models.DUMMY, "Ridge")).collect()
     assert {(r.model, r.phase, r.samples) for r in rows} == {(m, x, N_OUTER) for m in (models.DUMMY, "Ridge") for x in ("fit", "score")}

@@ -127,6 +127,47 @@ def test_fits_are_the_plain_ones(places):
         assert [labels[j][i] for j in seen] == at.tolist()
 
 
+def test_moments_of_many_fits_are_each_ones(monkeypatch):
+    """Steps of several fits at once, over more rows than are taken at once, against sums row by row."""
+    monkeypatch.setattr(clustering, "AT_ONCE", 64)
+    rng = np.random.default_rng(3)
+    z, centres = blobs(150), [rng.normal(size=(k, 3)) for k in (2, 4, 1)]
+    centres[1][3] = centres[1][0]  # the first of equals
+    draws, of = rng.integers(0, 4, 150), [-1, 0, 1]
+    sees = lambda d: np.ones(150) if d < 0 else (draws >> d & 1).astype(float)
+    for c, d, got in zip(centres, of, clustering.mean_moments(z, [(d, "KMeans", c) for c, d in zip(centres, of, strict=True)], draws), strict=True):
+        far = ((z[:, None] - c[None]) ** 2).sum(axis=2)
+        on = np.eye(len(c))[far.argmin(axis=1)] * sees(d)[:, None]
+        assert got == pytest.approx(np.concatenate([[far.min(axis=1) @ sees(d)], on.sum(axis=0), (on.T @ z).ravel()]))
+    fits = []
+    for k in (2, 3):
+        root = rng.normal(size=(k, 3, 3))
+        fits.append(Fit("GMM", k, centres=rng.normal(size=(k, 3)), weights=rng.dirichlet(np.ones(k)), covariances=root @ root.transpose(0, 2, 1) + 0.3 * np.eye(3)))
+    fits.append(Fit("GMM", 3, centres=rng.normal(size=(3, 3))))
+    for f, d in zip(fits, of, strict=True):
+        f.draw = d
+    for f, got in zip(fits, clustering.mixture_moments(z, [f.payload() for f in fits], draws), strict=True):
+        if f.weights is None:
+            d = ((z[:, None] - f.centres[None]) ** 2).sum(axis=2)
+            share, score = np.eye(3)[d.argmin(axis=1)], d.min(axis=1)
+        else:
+            log = np.stack([np.log(w) - 0.5 * (np.linalg.slogdet(c)[1] + 3 * np.log(2 * np.pi) + np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)) for w, m, c in zip(f.weights, f.centres, f.covariances, strict=True)], axis=1)
+            total = np.log(np.exp(log).sum(axis=1))
+            share, score = np.exp(log - total[:, None]), total
+        share, score = share * sees(f.draw)[:, None], score @ sees(f.draw)
+        products = np.einsum("ik,ia,ib->kab", share, z, z)
+        assert got == pytest.approx(np.concatenate([[score], share.sum(axis=0), (share.T @ z).ravel(), products.ravel()]))
+
+
+def test_sums_are_the_same_whoever_adds_them(places, monkeypatch):
+    _, own = places
+    each = lambda z, draws: [z.sum(axis=0), np.array([len(z), draws.sum()], float)]
+    small = own.summed(each, 40)
+    monkeypatch.setattr(clustering, "SENT", 0)
+    for a, b in zip(small, own.summed(each, 40), strict=True):
+        assert a == pytest.approx(b)
+
+
 def test_draws_have_their_size(places):
     _, own = places
     draws = np.array([r.draws for r in own.table.collect()])

@@ -48,6 +48,24 @@ def test_a_tile_meets_each_other_once(spark):
                 assert {r.vec_id for r in rows if (r.i, r.j, r.side) == (i, j, side)} == {v for v, t in own.items() if t == tile}
 
 
+def test_rows_go_to_few_tiles():
+    """A row goes to as many groups as there are tiles: a few a core, not one for each 2,000 rows."""
+    assert [evaluation._tiles(n, 65_536, 8) for n in (0, 500, 4000, 51_282, 600_000)] == [1, 1, 4, 8, 10]
+
+
+@pytest.mark.parametrize("n, cells", [(700, 3), (700, 300), (40, 40)])
+def test_distances_are_summed_by_cells(monkeypatch, n, cells):
+    for name, size in (("ACROSS", 50), ("ALONG", 130), ("CELLS", 64)):
+        monkeypatch.setattr(evaluation, name, size)
+    rng = np.random.default_rng(8)
+    x, y, to = rng.normal(size=(n, 3)), rng.normal(size=(n // 2, 3)), rng.integers(0, 2, (cells, 5)).astype(float)
+    y[:5] = x[:5]  # at no distance
+    of_x, of_y = np.sort(rng.integers(0, cells, n)), np.sort(rng.integers(0, cells, n // 2))
+    there, back = evaluation._cell_sums(x, of_x, to, y, of_y, to, False)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert there == pytest.approx(d @ to[of_y]) and back == pytest.approx(d.T @ to[of_x])
+
+
 def test_measured_groups(spark):
     """Metrics whose median comes from counted errors are those of the plain median, null targets and one-row groups included."""
     rows = [("a", 1.0, 2.0), ("a", 5.0, 2.5), ("a", None, 1.0), ("a", 9.0, 9.0), ("b", 4.0, 1.5), (None, 7.0, 7.5), (None, 7.0, 6.0), ("c", None, 2.0)]

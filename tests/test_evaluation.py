@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.plans import evaluation
+from tidewright.plans import evaluation, serving
 from tidewright.plans.base import with_medians
 
 
@@ -125,3 +125,17 @@ def test_block_folds(spark, rows, splits, block):
             label = lambda x: x[0] if x[0] == x[-1] else f"{x[0]}..{x[-1]}"
             want.append((k, len(train), len(valid), label(train), label(valid), train[-1] == valid[0]))
     assert sorted(tuple(r) for r in evaluation.block_folds(p, splits, block).collect()) == want
+
+
+def test_conclusions_make_records_and_histories_once(spark, sf, monkeypatch):
+    made = {"postings": 0, "pay_histories": 0}
+    for module, name in ((serving, "postings"), (evaluation, "pay_histories")):
+        own = getattr(module, name)
+
+        def counted(*a, own=own, name=name):
+            made[name] += 1
+            return own(*a)
+
+        monkeypatch.setattr(module, name, counted)
+    assert serving.conclusions(spark, sf).count() == 6
+    assert made == {"postings": 1, "pay_histories": 1}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.plans.audit import SQL_REPORT_BAND, TARGET, report_band
 from tidewright.plans.base import ORACLES, POSTINGS_SQL, exact_quantiles, once, over_postings, over_tables, postings, r4, table
-from tidewright.plans.evaluation import SQL_OOF, out_of_fold, predictor_errors, uncertainty
+from tidewright.plans.evaluation import PREDICTORS, SQL_OOF, errors_of, fold_predictions, out_of_fold, uncertainty_of
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 #: Years that a scenario may ask for beyond the observed ones, when it says that it is a benchmark.
@@ -61,11 +61,19 @@ def validate_scenarios(spark, sf_dir):
     return validated(scenarios(spark, sf_dir), policy(postings(spark, sf_dir))).select("scenario_id", "job_category", "job_title", "years", "validation_mode", "reason")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted scenarios with the two-feature prediction and its band: the out-of-fold error's ninth decile either way, not under zero."""
-    p = postings(spark, sf_dir)
+#: The columns of records that served predictions and conclusions read.
+READ = ["job_id", "period", "job_category", "job_title", "country", "remote_work", "years_of_experience", TARGET]
+
+
+def predictions(spark: SparkSession, sf_dir: str, p: DataFrame | None = None, oof: DataFrame | None = None) -> DataFrame:
+    """Accepted scenarios with the two-feature prediction and its band: the out-of-fold error's ninth decile either way, not under zero.
+
+    The records and their out_of_fold() may be given.
+    """
+    p = once(postings(spark, sf_dir).select(*READ)) if p is None else p
+    oof = out_of_fold(p) if oof is None else oof
     own = exact_quantiles(p.withColumn("band", report_band(F.col("years_of_experience"))), ["job_category", "band"], TARGET, {"predicted": 0.5})
-    e = exact_quantiles(out_of_fold(p).select(F.abs(F.col("actual") - F.col("predicted")).alias("error")), [], "error", {"q90": 0.9})
+    e = exact_quantiles(oof.select(F.abs(F.col("actual") - F.col("predicted")).alias("error")), [], "error", {"q90": 0.9})
     ok = validated(scenarios(spark, sf_dir), policy(p)).filter("validation_mode <> 'rejected'").withColumn("band", report_band(F.col("years")))
     out = ok.join(own, ["job_category", "band"]).crossJoin(F.broadcast(e))  # one row
     return out.withColumns({"lower": F.greatest(F.lit(0.0), F.col("predicted") - F.col("q90")), "upper": F.col("predicted") + F.col("q90")})
@@ -78,7 +86,11 @@ served AS (SELECT ok.*, own.predicted, q90, greatest(0, own.predicted - q90) AS
 
 @over_tables("sv03_predict", f"WITH RECURSIVE {POSTINGS_SQL}, {SQL_PREDICTED} SELECT scenario_id, round(predicted, 4) AS predicted, round(lower, 4) AS lower, round(upper, 4) AS upper FROM served")
 def predict(spark, sf_dir):
-    return predictions(spark, sf_dir).select("scenario_id", r4("predicted").alias("predicted"), r4("lower").alias("lower"), r4("upper").alias("upper"))
+    return shown(predictions(spark, sf_dir))
+
+
+def shown(served: DataFrame) -> DataFrame:
+    return served.select("scenario_id", r4("predicted").alias("predicted"), r4("lower").alias("lower"), r4("upper").alias("upper"))
 
 
 @over_tables("sv04_growth_inputs", f"WITH RECURSIVE {POSTINGS_SQL}, {SQL_VALIDATED} SELECT scenario_id, unnest(list_sort(list_distinct(list_concat(CASE WHEN benchmark THEN list_transform(range(0, 16), lambda i: i::DOUBLE) ELSE list_transform(range(ceil(min_years)::BIGINT, floor(max_years)::BIGINT + 1), lambda i: i::DOUBLE) END, [min_years, max_years])))) AS years FROM validated WHERE validation_mode <> 'rejected'")
@@ -160,8 +172,10 @@ UNION ALL SELECT 'batch', count(*) || ' scenarios range from ' || {_words(0, "mi
 @over_tables("sv05_conclusions", _SQL_CONCLUSIONS)
 def conclusions(spark, sf_dir):
     """Six sentences from the tables behind them: ranking, fold spread, generalisation, coverage, variant and batch. Each is one row made of aggregates."""
-    p = postings(spark, sf_dir)
-    e = once(predictor_errors(p))
+    p = once(postings(spark, sf_dir).select(*READ))
+    told = once(fold_predictions(p))
+    oof = told.select("fold", "actual", F.col(f"m{list(PREDICTORS).index(WHOLE)}").alias("predicted"), "baseline")
+    e = once(errors_of(told))
     words = lambda n, c: F.format_string(f"%.{n}f", F.round(c, n))
     say = lambda kind, *parts: (F.lit(kind).alias("kind"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("finding"))
     m = e.groupBy("model").agg(F.avg("mae").alias("mae"))
@@ -174,11 +188,11 @@ def conclusions(spark, sf_dir):
     gap = own.crossJoin(F.broadcast(last)).agg(F.avg(F.when(F.col("fold") == F.col("last"), F.col("mae"))).alias("a"), F.avg(F.when(F.col("fold") < F.col("last"), F.col("mae"))).alias("b"))  # one row
     moved = F.when(F.col("a") > F.col("b"), "increased").when(F.col("a") < F.col("b"), "decreased").otherwise("was unchanged")
     general = gap.select(*say("generalisation", "the last fold's error ", moved, " by ", words(0, F.abs(F.col("a") - F.col("b")))))
-    coverage = uncertainty(p).select(*say("coverage", "a band of ", words(0, F.col("q90")), " covers ", words(1, 100 * F.col("coverage")), " %"))
+    coverage = uncertainty_of(oof).select(*say("coverage", "a band of ", words(0, F.col("q90")), " covers ", words(1, 100 * F.col("coverage")), " %"))
     of = lambda n: F.max(F.when(F.col("model") == n, F.col("mae")))
     d = e.crossJoin(F.broadcast(last)).filter("fold = last").agg((of(SMALLER) - of(WHOLE)).alias("d"))  # one row
     side = F.when(F.col("d") < 0, " lower").when(F.col("d") > 0, " higher").otherwise(" apart")
     variant = d.select(*say("variant", "the smaller variant's last error is ", words(0, F.abs("d")), side))
-    s = predict(spark, sf_dir).agg(F.count("*").alias("n"), F.min("predicted").alias("lo"), F.max("predicted").alias("hi"))
+    s = shown(predictions(spark, sf_dir, p, oof)).agg(F.count("*").alias("n"), F.min("predicted").alias("lo"), F.max("predicted").alias("hi"))
     batch = s.select(*say("batch", F.col("n").cast("string"), " scenarios range from ", words(0, F.col("lo")), " to ", words(0, F.col("hi"))))
     return reduce(DataFrame.union, [ranking, folds, general, coverage, variant, batch])

@@ -33,6 +33,14 @@ def test_one_round_is_the_formula(spark):
     assert got == pytest.approx(want)
 
 
+def test_tasks_of_a_fit_have_few_rows(spark, monkeypatch):
+    """However few parts the records are stored in, a task's rows stay few; small records are left as they are."""
+    x = spark.range(5000).select(F.col("id").cast("string").alias("job_id")).coalesce(1)
+    assert models.dealt(x).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    assert models.dealt(x).rdd.getNumPartitions() == 50 and models.dealt(x).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_outliers_hardly_move_it(spark):
     rows = [(float(i % 10), 10.0 * (i % 10) + (5000.0 if i % 20 == 0 else 0.0)) for i in range(200)]
     model = ensembles.HuberBoosting("y", rounds=10, step=0.5, depth=2).fit(points(spark, rows))

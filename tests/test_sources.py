@@ -89,6 +89,13 @@ def test_line_numbers_over_blocks(spark, tmp_path):
     assert len(found) == 5000 and all(r.value == f"line {r.line}" for r in found)
 
 
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    """Only blocks are ordered: no text is shuffled for its number."""
+    (tmp_path / "t.txt").write_text("a\nb\n")
+    lines = records._lines(spark, str(tmp_path))
+    assert "row_number" not in lines._jdf.queryExecution().optimizedPlan().toString() and sorted((r.line, r.value) for r in lines.collect()) == [(1, "a"), (2, "b")]
+
+
 def test_pointers_name_one_pack(spark, tmp_path):
     pointer = str(tmp_path / "latest")
     evidence.point_to(spark, pointer, "pack-1")

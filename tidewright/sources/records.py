@@ -40,14 +40,17 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1 on, in each file) and value of text files. A block's lines are numbered by themselves and moved by the lines of the blocks before it, a row a block."""
-    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = own.groupBy("file", "block").agg(F.count("*").alias("n"))
+    """line (from 1 on, in each file) and value of text files, from their rows written once.
+
+    A block's lines are read one after the other by one task, so their ids follow on from its first; they are moved by the lines of the blocks before it. Only
+    blocks are counted and sorted, a row a block.
+    """
+    own = once(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+    blocks = own.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), before.alias("__before"))
-    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("at"))
-    out = own.withColumn("__in", inside).join(blocks, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
-    return out.select("file", (F.col("__before") + F.col("__in")).alias("line"), "value")
+    blocks = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), (before - F.col("first")).alias("__moved"))
+    out = own.join(F.broadcast(blocks), (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))  # a row a block
+    return out.select("file", (F.col("__moved") + F.col("at") + 1).alias("line"), "value")
 
 
 def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +59,7 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A record is one line: a quoted line feed opens a quote that its line doesn't close. Reasons: an open quote, fewer or more values than the
     header, and numbers that can't be read, which name their column. Every file has its own header, with the contract's columns in any order.
     """
-    lines = once(_lines(spark, path))
+    lines = _lines(spark, path)
     headers = lines.filter("line = 1").select(F.col("value")).distinct().limit(2).collect()
     if len(headers) != 1:
         raise ValueError("the files have different headers" if headers else "no header")
@@ -67,6 +70,7 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     values = F.size(F.split(bare, ",", -1))
     shape = F.when(F.contains(bare, F.lit('"')), "open quote").when(values < len(names), "fewer values than columns").when(values > len(names), "more values than columns")
     parsed = lines.filter("line > 1 and value <> ''").select("file", "line", "value", shape.alias("reason"), F.from_csv("value", ", ".join(f"`{c}` string" for c in names), {"escape": '"'}).alias("x"))
+    parsed = once(parsed)  # else each column that a filter or a reason asks for parses its line again
     known = lambda c: null_tokens(F.col(f"x.{c}"))
     numbers = F.array_compact(F.array(*(F.when(known(c).isNotNull() & number(known(c)).isNull(), F.lit(f"{c} is no number")) for c in (*DOUBLE, *INTEGER))))
     reason = F.coalesce("reason", F.when(F.size(numbers) > 0, F.array_join(numbers, ", ")))
